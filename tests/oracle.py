@@ -6,7 +6,6 @@ import glob
 import os
 
 import duckdb
-import pandas as pd
 
 
 def duck(sf: str) -> duckdb.DuckDBPyConnection:
@@ -16,33 +15,35 @@ def duck(sf: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
-def canon(df: pd.DataFrame) -> pd.DataFrame:
-    df = df[sorted(df.columns)].copy()
-    for c in df.columns:
-        kind = df[c].dtype.kind
-        if kind == "f":
-            df[c] = df[c].map(lambda v: "null" if v != v else repr(float(v)))
-        elif kind in "iub":
-            df[c] = df[c].map(lambda v: repr(v) if isinstance(v, float) else str(v) if kind == "b" else repr(int(v)))
-        else:
-            df[c] = df[c].map(lambda v: "null" if v is None or v is pd.NA or v is pd.NaT or v != v else str(v))
-    return df.sort_values(list(df.columns)).reset_index(drop=True)
+def cell(v):
+    if v is None:
+        return "null"
+    if isinstance(v, bool):
+        return f"b{v}"
+    if isinstance(v, int):
+        return f"i{v}"
+    if isinstance(v, float):
+        return f"f{v!r}"
+    return f"s{v}"
+
+
+def rows_of(names, rows):
+    order = sorted(range(len(names)), key=lambda i: names[i])
+    return sorted(tuple(cell(r[i]) for i in order) for r in rows)
 
 
 def compare(spark_df, sql: str, con) -> str | None:
     """None when equal, else a short description."""
-    got, want = spark_df.toPandas(), con.execute(sql).df()
-    if sorted(got.columns) != sorted(want.columns):
-        return f"columns {sorted(got.columns)} vs {sorted(want.columns)}"
+    got_names = spark_df.columns
+    got = rows_of(got_names, [tuple(r) for r in spark_df.collect()])
+    cur = con.execute(sql)
+    want_names = [d[0] for d in cur.description]
+    want = rows_of(want_names, cur.fetchall())
+    if sorted(got_names) != sorted(want_names):
+        return f"columns {sorted(got_names)} vs {sorted(want_names)}"
     if len(got) != len(want):
         return f"rows {len(got)} vs {len(want)}"
-    kinds = {c: (got[c].dtype.kind, want[c].dtype.kind) for c in got.columns}
-    bad = {c: k for c, k in kinds.items() if k[0] != k[1] and len(got)}
+    bad = [(g, w) for g, w in zip(got, want) if g != w]
     if bad:
-        return f"types {bad}"
-    g, w = canon(got), canon(want)
-    if not g.equals(w):
-        diff = (g != w).any(axis=1)
-        i = diff.idxmax()
-        return f"{int(diff.sum())} rows differ, first: {g.loc[i].to_dict()} vs {w.loc[i].to_dict()}"
+        return f"{len(bad)} of {len(got)} rows differ, columns {sorted(got_names)}, first: {bad[0][0]} vs {bad[0][1]}"
     return None
