@@ -1,3 +1,3 @@
 """Registered queries; importing the section modules fills the registry."""
 
-from flowhelm.catalog import detection, flows, prepare, samples  # noqa: F401
+from flowhelm.catalog import detection, flows, graphs, prepare, samples  # noqa: F401

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowhelm.functions.scalar import seeded_hash
+from flowhelm.plans.lookup import with_both_ends
 from flowhelm.plans.ordered import ROWS_PER_BLOCK, hash_number, number
 
 MAX_CLASSES = 100_000
@@ -172,7 +173,7 @@ def split_table(df: DataFrame, ident: str, label: str, kind: str = "node", order
 def fold_subgraph(edges: DataFrame, nodes: DataFrame, src: str = "src", dst: str = "dst", ident: str = "id") -> DataFrame:
     """Edges with both ends among ``nodes``; self loops of the nodes when there is none."""
     ids = nodes.select(ident).distinct()
-    inside = edges.select(src, dst).join(ids.withColumnRenamed(ident, src), src, "left_semi").join(ids.withColumnRenamed(ident, dst), dst, "left_semi")
+    inside = with_both_ends(edges.select(src, dst), ids, src, dst, ident)
     if inside.isEmpty():
         return ids.select(F.col(ident).alias(src), F.col(ident).alias(dst))
     return inside.select(src, dst)

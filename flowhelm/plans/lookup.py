@@ -17,3 +17,19 @@ def lookup_join(facts: DataFrame, values: DataFrame, keys: Sequence[str], spread
     if values.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return facts.join(F.broadcast(values), list(keys), how)
     return salted_join(facts, values, keys, spread_on, how)
+
+
+def keep_matching(facts: DataFrame, ids: DataFrame, fact_key: str, id_key: str = "id", how: str = "left_semi") -> DataFrame:
+    """Semi / anti join on one column; the id list is broadcast only when its counted size allows."""
+    wanted = ids.select(F.col(id_key).alias(fact_key)).distinct()
+    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    return facts.join(wanted, fact_key, how)
+
+
+def with_both_ends(edges: DataFrame, ids: DataFrame, src: str = "src", dst: str = "dst", id_key: str = "id") -> DataFrame:
+    """Edges whose two endpoints are listed."""
+    wanted = ids.select(id_key).distinct()
+    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    return edges.join(wanted.withColumnRenamed(id_key, src), src, "left_semi").join(wanted.withColumnRenamed(id_key, dst), dst, "left_semi")
