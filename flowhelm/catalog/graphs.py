@@ -115,7 +115,7 @@ def _(spark, sf):
     return G.degrees(e, n).select("id", "degree")
 
 
-@query("subgraph_caps", f"WITH some AS (SELECT id FROM node ORDER BY md5(concat(id,'|cap')) LIMIT 200) SELECT * FROM edge WHERE t_us BETWEEN {NOW - DAY_US} AND {NOW} AND src IN (SELECT id FROM some) AND dst IN (SELECT id FROM some) ORDER BY t_us, flow_id LIMIT 150", "edge node")
+@query("subgraph_caps", f"WITH picked AS (SELECT id FROM node ORDER BY md5(concat(id,'|cap')) LIMIT 200) SELECT * FROM edge WHERE t_us BETWEEN {NOW - DAY_US} AND {NOW} AND src IN (SELECT id FROM picked) AND dst IN (SELECT id FROM picked) ORDER BY t_us, flow_id LIMIT 150", "edge node")
 def _(spark, sf):
     return G.subgraph_caps(V.edge(spark, sf), V.node(spark, sf), NOW, DAY_US, 200, 150, "cap")[0].select("flow_id", "src", "dst", "t_us", "bytes")
 

@@ -144,10 +144,28 @@ SQL: dict[str, tuple[str, str]] = {
             0.6::DOUBLE + 0.001::DOUBLE * (flow_id % 100) AS hit FROM (
             SELECT *EXCLUDE(y), CAST(list_position(['click','error','purchase','signup','view'], label) AS INT) - 1 AS y FROM flow))"""),
     "emb": ("", "SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings"),
-    "gaps": ("flow", "SELECT g FROM (SELECT (t_us - lag(t_us) OVER (ORDER BY t_us, flow_id))/1000000.0::DOUBLE AS g FROM flow) WHERE g IS NOT NULL"),
-    "pts": ("score", """SELECT p, tps, fps, sum(dp) OVER () AS tot_p, sum(dn) OVER () AS tot_n, dp, dn FROM (
-        SELECT p, dp, dn, sum(dp) OVER (ORDER BY p DESC) AS tps, sum(dn) OVER (ORDER BY p DESC) AS fps FROM (
-        SELECT p, sum(y) AS dp, count(*)-sum(y) AS dn FROM score GROUP BY p))"""),
+    "gapn": ("flow", """SELECT t_us, flow_id, g, row_number() OVER (ORDER BY t_us, flow_id) AS rn FROM (
+        SELECT t_us, flow_id, (t_us - lag(t_us) OVER (ORDER BY t_us, flow_id))/1000000.0::DOUBLE AS g FROM flow) WHERE g IS NOT NULL"""),
+    "gst": ("gapn", """SELECT count(*) AS n, min(g) AS lo, max(g) AS hi, avg(g) AS mean, stddev_pop(g) AS std,
+        quantile_cont(g,0.25) AS q1, quantile_cont(g,0.5) AS med, quantile_cont(g,0.75) AS q3 FROM gapn"""),
+    "acf": ("gapn gst", """SELECT CAST(k AS INT) AS lag, sum((a.g-mean)*(b.g-mean))/((max(n)-k)*max(std)*max(std)) AS r FROM gapn a
+        JOIN (SELECT unnest(range(1,101)) AS k) ON true JOIN gapn b ON b.rn = a.rn + k, gst WHERE k <= least(n//3,100) GROUP BY k"""),
+    "per": ("acf gst", """SELECT coalesce(min(lag) * max(med), 0.0::DOUBLE) AS period FROM (SELECT lag, r, lag(r) OVER (ORDER BY lag) AS r0, lead(r) OVER (ORDER BY lag) AS r1 FROM acf), gst
+        WHERE r > r0 AND r > r1 AND r > 0.2"""),
+    "dv": ("gapn", "SELECT g AS v, count(*) AS n FROM gapn GROUP BY g"),
+    "dcore": ("dv gst", """SELECT a.v, max(a.n) AS n, sum(b.n) >= 5 AS core FROM dv a JOIN dv b ON b.v BETWEEN a.v - 200 AND a.v + 200 AND abs(b.v - a.v) <= (SELECT med/2 FROM gst) GROUP BY a.v"""),
+    "dcl": ("dcore gst", """SELECT v, CAST(sum(CASE WHEN v - prev <= med/2 THEN 0 ELSE 1 END) OVER (ORDER BY v) - 1 AS BIGINT) AS c FROM (SELECT v, lag(v) OVER (ORDER BY v) AS prev FROM dcore WHERE core), gst"""),
+    "burst": ("gst dcl", "SELECT n >= 10 AND (std/mean > 2 OR (n >= 50 AND (SELECT count(DISTINCT c) FROM dcl) >= 2)) AS bursty, n >= 10 AND hi > 10*q3 AS low_slow FROM gst"),
+    "scales": ("gst per burst", """SELECT scale, size_s FROM (
+        SELECT 'micro' AS scale, greatest(0.5::DOUBLE, lo)*f AS size_s FROM gst, burst, (SELECT unnest([1,2,5]) AS f) WHERE lo < 2 OR bursty
+        UNION ALL SELECT 'small', greatest(2.0::DOUBLE, q1)*f FROM gst, burst, (SELECT unnest([1,2,5]) AS f) WHERE q1 < 30 OR bursty
+        UNION ALL SELECT 'medium', greatest(10.0::DOUBLE, med) FROM gst UNION ALL SELECT 'medium', period FROM per WHERE period > 0
+        UNION ALL SELECT 'large', greatest(60.0::DOUBLE, q3*2)*f FROM gst, burst, (SELECT unnest([1,2]) AS f) WHERE q3 > 60 OR low_slow
+        UNION ALL SELECT 'macro', greatest(3600.0::DOUBLE, hi/2) FROM gst, burst WHERE hi > 3600 OR low_slow)"""),
+    "rng": ("flow", "SELECT min(t_us) AS t0, max(t_us) AS t1 FROM flow"),
+    "win": ("scales rng", """SELECT scale, size_s, t0::DOUBLE + i*(size_s*1000000.0::DOUBLE) AS start_us, CASE WHEN i = n-1 THEN greatest(t0::DOUBLE + i*(size_s*1000000.0::DOUBLE) + size_s*1000000.0::DOUBLE, t1::DOUBLE)
+        ELSE t0::DOUBLE + i*(size_s*1000000.0::DOUBLE) + size_s*1000000.0::DOUBLE END AS end_us FROM (
+        SELECT *, unnest(range(n)) AS i FROM (SELECT *, CAST(greatest(1, least(ceil((t1-t0)::DOUBLE/(size_s*1000000.0::DOUBLE)), 100)) AS BIGINT) AS n FROM scales, rng WHERE scale IN ('micro','medium','large')))"""),
 }
 
 

@@ -55,7 +55,6 @@ def knn_graph(df: DataFrame, ident: str, vec: str, k: int = 5, tile_rows: int =
         radius[r["_cell"]], size[r["_cell"]] = r["radius"], r["n"]
     shape = spark.sparkContext.broadcast((radius, size))
     member_tiles = np.maximum(1, -(-size // tile_rows))
-    query_tiles = max(1, -(-n // tile_rows))
 
     def reach(batches):
         radius, size = shape.value
@@ -71,15 +70,20 @@ def knn_graph(df: DataFrame, ident: str, vec: str, k: int = 5, tile_rows: int =
             near = d - radius[used] <= bound[:, None] + 1e-9
             yield pdf.assign(_cells=[used[x].astype("int32") for x in near])
 
-    tiles = F.get(F.lit([int(x) for x in member_tiles]), F.col("_cell"))
+    asking = data.mapInPandas(reach, "_id long, _v array<double>, _cells array<int>").select("_id", "_v", F.explode("_cells").alias("_cell"))
+    # A cell is searched in member tiles x query tiles, as many as its own counts need.
+    query_tiles = np.ones(m, dtype=int)
+    for r in asking.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).collect():
+        query_tiles[r["_cell"]] = -(-r["n"] // tile_rows)
+    m_tiles = F.get(F.lit([int(x) for x in member_tiles]), F.col("_cell"))
+    q_tiles = F.get(F.lit([int(x) for x in query_tiles]), F.col("_cell"))
     queries = (
-        data.mapInPandas(reach, "_id long, _v array<double>, _cells array<int>")
-        .select("_id", "_v", F.explode("_cells").alias("_cell"), F.pmod(F.xxhash64("_id"), F.lit(query_tiles)).alias("_q"))
-        .withColumn("_t", F.explode(F.sequence(F.lit(0), tiles - 1)))
+        asking.withColumn("_q", F.pmod(F.xxhash64("_id"), q_tiles).cast("int"))
+        .withColumn("_t", F.explode(F.sequence(F.lit(0), m_tiles - 1)))
     )
     members = (
-        placed.select("_id", "_v", "_cell", F.pmod(F.xxhash64("_id", F.lit(1)), tiles).cast("int").alias("_t"))
-        .withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_tiles - 1).cast("long"))))
+        placed.select("_id", "_v", "_cell", F.pmod(F.xxhash64("_id", F.lit(1)), m_tiles).cast("int").alias("_t"))
+        .withColumn("_q", F.explode(F.sequence(F.lit(0), q_tiles - 1)))
     )
 
     def search(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
