@@ -151,7 +151,7 @@ def _(spark, sf):
 
 
 @query("multi_scale_tumbling", """SELECT scale, t_us - t_us % size_us AS start_us, count(*) AS n, round(sum(bytes),4)+0.0 AS total FROM flow,
-    (SELECT unnest(['micro','small','medium','large','macro','extended']) AS scale, unnest([1,60,300,3600,86400,604800])*1000000 AS size_us) GROUP BY ALL""", "flow")
+    (SELECT unnest(['micro','small','medium','large','macro','extended']) AS scale, unnest([1,60,300,3600,86400,604800])*1000000::BIGINT AS size_us) GROUP BY ALL""", "flow")
 def _(spark, sf):
     return W.multi_scale_tumbling(_f(spark, sf)).withColumn("total", F.round("total", 4) + 0.0)
 

@@ -148,8 +148,8 @@ SQL: dict[str, tuple[str, str]] = {
         SELECT t_us, flow_id, (t_us - lag(t_us) OVER (ORDER BY t_us, flow_id))/1000000.0::DOUBLE AS g FROM flow) WHERE g IS NOT NULL"""),
     "gst": ("gapn", """SELECT count(*) AS n, min(g) AS lo, max(g) AS hi, avg(g) AS mean, stddev_pop(g) AS std,
         quantile_cont(g,0.25) AS q1, quantile_cont(g,0.5) AS med, quantile_cont(g,0.75) AS q3 FROM gapn"""),
-    "acf": ("gapn gst", """SELECT CAST(k AS INT) AS lag, sum((a.g-mean)*(b.g-mean))/((max(n)-k)*max(std)*max(std)) AS r FROM gapn a
-        JOIN (SELECT unnest(range(1,101)) AS k) ON true JOIN gapn b ON b.rn = a.rn + k, gst WHERE k <= least(n//3,100) GROUP BY k"""),
+    "acx": ("gapn gst", "SELECT rn + k AS j, k, g - mean AS x FROM gapn, gst, (SELECT unnest(range(1,101)) AS k) WHERE k <= least(n//3,100)"),
+    "acf": ("acx gst", """SELECT CAST(k AS INT) AS lag, sum(x*(b.g-mean))/((max(n)-k)*max(std)*max(std)) AS r FROM acx JOIN gapn b ON b.rn = j, gst GROUP BY k"""),
     "per": ("acf gst", """SELECT coalesce(min(lag) * max(med), 0.0::DOUBLE) AS period FROM (SELECT lag, r, lag(r) OVER (ORDER BY lag) AS r0, lead(r) OVER (ORDER BY lag) AS r1 FROM acf), gst
         WHERE r > r0 AND r > r1 AND r > 0.2"""),
     "dv": ("gapn", "SELECT g AS v, count(*) AS n FROM gapn GROUP BY g"),
@@ -184,7 +184,7 @@ def with_views(names: list[str], body: str) -> str:
     body = body.strip()
     if not needed:
         return body
-    ctes = ", ".join(f"{n} AS ({SQL[n][1]})" for n in needed)
+    ctes = ", ".join(f"{n} AS MATERIALIZED ({SQL[n][1]})" for n in needed)
     if body[:15].upper().startswith("WITH RECURSIVE "):
         return f"WITH RECURSIVE {ctes}, {body[15:]}"
     if body[:5].upper() == "WITH ":

@@ -16,6 +16,8 @@ from flowhelm.plans.ordered import ROWS_PER_BLOCK, neighbours, number, percentil
 
 MICROS = 1_000_000.0
 MAX_WINDOWS = 100
+# Blocks with copied edges may be small: the copies stay far below one percent.
+HALO_ROWS = 50_000
 # Default window sizes in seconds.
 SCALES = {"micro": 1.0, "small": 60.0, "medium": 300.0, "large": 3600.0, "macro": 86400.0, "extended": 604800.0}
 DEFAULT_ENABLED = ("micro", "medium", "large")
@@ -61,13 +63,13 @@ def dbscan_1d(df: DataFrame, value: str, eps: Column | float, min_pts: int, keys
     def near(c: Column) -> Column:
         return F.abs(c["v"] - F.col(value)) <= F.col("_eps")
 
-    cut = row_halo(rows, "_rn", 3 * min_pts, 3 * min_pts, rows_per_block).withColumn("_near", around(min_pts, min_pts, "n"))
+    cut = row_halo(rows, "_rn", 3 * min_pts, 3 * min_pts, min(rows_per_block, HALO_ROWS)).withColumn("_near", around(min_pts, min_pts, "n"))
     weight = F.aggregate(F.filter("_near", near), F.lit(0).cast("long"), lambda a, c: a + c["n"])
     cored = cut.withColumn("core", weight >= min_pts).withColumn("_near", around(min_pts, -1, "core"))
     starts = F.col("core") & ~F.exists(F.coalesce("_near", F.array().cast(cored.schema["_near"].dataType)), lambda c: c["core"] & near(c))
     flagged = cored.withColumn("_start", starts.cast("long")).where("_own").drop("_near", "_blk", "_own")
     summed = running_sums(flagged, [value], {"_cl": F.col("_start")}, keys, rows_per_block)
-    again = row_halo(summed, "_rn", min_pts, min_pts, rows_per_block).withColumn("_near", around(min_pts, min_pts, "core", "_cl"))
+    again = row_halo(summed, "_rn", min_pts, min_pts, min(rows_per_block, HALO_ROWS)).withColumn("_near", around(min_pts, min_pts, "core", "_cl"))
     border = F.array_min(F.transform(F.filter("_near", lambda c: c["core"] & near(c)), lambda c: c["_cl"]))
     cluster = F.when(F.col("core"), F.col("_cl")).otherwise(border) - 1
     return again.where("_own").select(*keys, value, "n", "core", F.coalesce(cluster, F.lit(-1).cast("long")).alias("cluster"))
@@ -95,16 +97,13 @@ def autocorrelation(g: DataFrame, order: Sequence[str], stats: dict, rows_per_bl
     if lags < 1 or not stats["std"]:
         return spark.createDataFrame([], "lag int, r double")
     series = number(g.select(*order, "gap"), order, name="_rn", rows_per_block=rows_per_block)
-    cut = row_halo(series.select("_rn", (F.col("gap") - F.lit(stats["mean"])).alias("_x")), "_rn", lags, 0, rows_per_block)
+    cut = row_halo(series.select("_rn", (F.col("gap") - F.lit(stats["mean"])).alias("_x")), "_rn", lags, 0, min(rows_per_block, HALO_ROWS))
     w = Window.partitionBy("_blk").orderBy("_rn")
     past = F.collect_list("_x").over(w.rowsBetween(-lags, 0))
-    # The frame ends with the row itself, so element size - lag is the value ``lag`` rows back.
-    products = cut.withColumn("_past", past).where("_own")
-    sums = [F.sum(F.col("_x") * F.get("_past", F.size("_past") - 1 - k)).alias(f"s{k}") for k in range(1, lags + 1)]
-    one = products.agg(*sums)
-    var = stats["std"] ** 2
-    rows = F.array(*[F.struct(F.lit(k).alias("lag"), (F.col(f"s{k}") / F.lit((stats["n"] - k) * var)).alias("r")) for k in range(1, lags + 1)])
-    return one.select(F.inline(rows))
+    # Reversed, element ``lag`` is the value ``lag`` rows back; products meet in map-side partial sums.
+    lagged = cut.withColumn("_past", F.reverse(past)).where("_own").select("_x", F.posexplode("_past").alias("lag", "_y"))
+    sums = lagged.where("lag > 0").groupBy("lag").agg(F.sum(F.col("_x") * F.col("_y")).alias("s"))
+    return sums.select("lag", (F.col("s") / ((F.lit(stats["n"]) - F.col("lag")) * F.lit(stats["std"] ** 2))).alias("r"))
 
 
 def first_peak(acf: DataFrame) -> int | None:
