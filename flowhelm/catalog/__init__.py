@@ -1,3 +1,3 @@
 """Registered queries; importing the section modules fills the registry."""
 
-from flowhelm.catalog import activity, detection, flows, graphs, prepare, samples, scoring  # noqa: F401
+from flowhelm.catalog import activity, detection, flows, graphs, gsamples, prepare, samples, scoring  # noqa: F401

@@ -100,17 +100,17 @@ def _(spark, sf):
 
 
 def _fourier_sql(freqs) -> list[str]:
-    return [f"{fn}(t*{lit(2 * math.pi * f)}+{lit(p)})" for f, p in zip(freqs, PHASES) for fn in ("sin", "cos")] + [f"t*{lit(0.25)}+{lit(0.5)}"]
+    return [f"{fn}(t*{lit(2 * math.pi * f)}+{lit(p)})" for f, p in zip(freqs, PHASES) for fn in ("sin", "cos")] + [f"t*{lit(1 / 3)}+{lit(0.5)}"]
 
 
 @query("enc_fourier", _long_sql(_fourier_sql(FREQS), _T), "flow")
 def _(spark, sf):
-    return _long(_t(spark, sf).withColumn("enc", T.fourier("t", FREQS, PHASES, [(0.25, 0.5)])))
+    return _long(_t(spark, sf).withColumn("enc", T.fourier("t", FREQS, PHASES, [(1 / 3, 0.5)])))
 
 
 @query("enc_fourier_fixed", _long_sql(_fourier_sql(FALLING), _T), "flow")
 def _(spark, sf):
-    return _long(_t(spark, sf).withColumn("enc", T.fourier("t", FALLING, PHASES, [(0.25, 0.5)])))
+    return _long(_t(spark, sf).withColumn("enc", T.fourier("t", FALLING, PHASES, [(1 / 3, 0.5)])))
 
 
 # --- attention ------------------------------------------------------------------------------
