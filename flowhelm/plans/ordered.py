@@ -71,20 +71,23 @@ def running_sums(
     sums: dict[str, Column],
     keys: Sequence[str] = (),
     rows_per_block: int = ROWS_PER_BLOCK,
+    largest: bool = False,
 ) -> DataFrame:
-    """Inclusive running sums over rows, per ``keys``, in ``order`` (which must be a total order)."""
+    """Inclusive running sums (or, with ``largest``, running maxima) over rows, per ``keys``, in
+    ``order`` (which must be a total order)."""
+    fold = F.max if largest else F.sum
     full = [*keys, *order]
     placed, n = blocks(df, full, rows_per_block)
     if n == 1:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return placed.drop("_blk").withColumns({k: F.sum(c).over(w) for k, c in sums.items()})
+        return placed.drop("_blk").withColumns({k: fold(c).over(w) for k, c in sums.items()})
     w = Window.partitionBy("_blk", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = placed.withColumns({k: F.sum(c).over(w) for k, c in sums.items()})
+    local = placed.withColumns({k: fold(c).over(w) for k, c in sums.items()})
     before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     # A block continues at most one key of earlier blocks, so this table has <= one row per block.
     carry = (
-        placed.groupBy("_blk", *keys).agg(*[F.sum(c).alias(f"_s_{k}") for k, c in sums.items()])
-        .withColumns({f"_c_{k}": F.sum(f"_s_{k}").over(before) for k in sums} | {"_p": F.count(F.lit(1)).over(before)})
+        placed.groupBy("_blk", *keys).agg(*[fold(c).alias(f"_s_{k}") for k, c in sums.items()])
+        .withColumns({f"_c_{k}": fold(f"_s_{k}").over(before) for k in sums} | {"_p": F.count(F.lit(1)).over(before)})
         .where("_p > 0")
         .select("_blk", *[F.col(k).alias(f"_k_{k}") for k in keys], *[f"_c_{k}" for k in sums], F.lit(True).alias("_hit"))
     )
@@ -92,7 +95,10 @@ def running_sums(
     same = F.coalesce(F.col("_hit"), F.lit(False))
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    out = {k: F.col(k) + F.when(same, F.coalesce(F.col(f"_c_{k}"), F.lit(0))).otherwise(F.lit(0)) for k in sums}
+    if largest:
+        out = {k: F.greatest(F.col(k), F.when(same, F.col(f"_c_{k}"))) for k in sums}
+    else:
+        out = {k: F.col(k) + F.when(same, F.coalesce(F.col(f"_c_{k}"), F.lit(0))).otherwise(F.lit(0)) for k in sums}
     drop = ["_blk", "_hit", *[f"_k_{k}" for k in keys], *[f"_c_{k}" for k in sums]]
     return joined.withColumns(out).drop(*drop)
 
