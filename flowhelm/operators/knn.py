@@ -7,13 +7,19 @@ on bounded tiles (some queries x some members) that return k rows per query.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowhelm.functions.scalar import seeded_hash
 
+# The helpers travel with the tasks, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 TILE_ROWS = 4096
 MAX_PIVOTS = 1024
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from flowhelm.operators.attention import edge_time_mean
 from flowhelm.plans.lookup import lookup_join
+from flowhelm.session import cut_lineage
 
 
 def graph_features(edges: DataFrame, nodes: DataFrame, dim: int, encode: Callable[[Column], Column], time_dim: int) -> DataFrame:
@@ -49,18 +50,18 @@ def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return model.transform(rows).select("id", F.col("label").cast("int").alias("y"), F.col("prediction").cast("int").alias("pred"), vector_to_array("probability").alias("probs"))
 
 
-def evaluate(predicted: DataFrame) -> Column:
+def accuracy() -> Column:
     return F.avg((F.col("y") == F.col("pred")).cast("double"))
 
 
 def cv_run(rows: DataFrame, folds: DataFrame, k: int, **options) -> DataFrame:
     """Fit and evaluate once per fold (fold, role, id table): (fold, accuracy, tested)."""
-    tagged = rows.join(folds, "id")
+    tagged = cut_lineage(rows.join(folds, "id"))  # read by every fold
     out = None
     for fold in range(k):
         part = tagged.where(F.col("fold") == fold)
         model = train_node_classifier(part.where("role = 'train'"), **options)
-        got = predict(model, part.where("role = 'test'")).agg(evaluate(None).alias("accuracy"), F.count(F.lit(1)).alias("tested")).withColumn("fold", F.lit(fold))
+        got = predict(model, part.where("role = 'test'")).agg(accuracy().alias("accuracy"), F.count(F.lit(1)).alias("tested")).withColumn("fold", F.lit(fold))
         out = got if out is None else out.unionByName(got)
     return out.select("fold", "accuracy", "tested")
 
@@ -71,6 +72,7 @@ def fit_final(rows: DataFrame, **options) -> PipelineModel:
 
 def hyperparameter_search(rows: DataFrame, regs: Sequence[float], nets: Sequence[float], folds: int = 0, metric: str = "f1", parallelism: int = 4) -> DataFrame:
     """Grid search by cross-validation (``folds`` > 1) or one split: (trial, reg, net, value)."""
+    rows = cut_lineage(rows)  # read by every trial
     base = pipeline()
     lr = base.getStages()[1]
     grid = ParamGridBuilder().addGrid(lr.regParam, list(regs)).addGrid(lr.elasticNetParam, list(nets)).build()
@@ -89,7 +91,7 @@ def encoding_comparison(edges: DataFrame, nodes: DataFrame, dim: int, encodings:
     for name, (encode, time_dim) in encodings.items():
         rows = graph_features(edges, nodes, dim, encode, time_dim).join(split, "id")
         model = train_node_classifier(rows.where("split = 'train'"), **options)
-        got = predict(model, rows.where("split = 'test'")).agg(evaluate(None).alias("accuracy")).withColumn("encoding", F.lit(name))
+        got = predict(model, rows.where("split = 'test'")).agg(accuracy().alias("accuracy")).withColumn("encoding", F.lit(name))
         out = got if out is None else out.unionByName(got)
     top = out.agg(F.max("accuracy")).first()[0]
     return out.select("encoding", "accuracy", (F.col("accuracy") == F.lit(top)).alias("best"))
