@@ -8,6 +8,7 @@ from flowhelm.catalog import views as V
 from flowhelm.catalog.registry import query
 from flowhelm.functions.scalar import r6
 from flowhelm.operators import windows as W
+from flowhelm.session import cut_lineage
 
 ORDER = ["t_us", "flow_id"]
 ALL_SCALES = ("micro", "small", "medium", "large", "macro")
@@ -18,7 +19,7 @@ def _f(spark, sf):
 
 
 def _gaps(spark, sf):
-    g = W.gaps(_f(spark, sf), ORDER)
+    g = cut_lineage(W.gaps(_f(spark, sf), ORDER))
     return g, W.gap_statistics(g)
 
 

@@ -158,7 +158,9 @@ def _heads(df, vec: str):
 
 def _scored(spark, sf, sparse: bool = False):
     projected = A.project(_nodes(spark, sf), PW, PB).select("id", "h")
-    return A.attention_scores(V.edge(spark, sf).select("flow_id", "src", "dst"), projected, LAYER, sparse), projected
+    edges = V.edge(spark, sf).select("flow_id", "src", "dst")
+    sides = A.plan_sides(edges, projected)
+    return A.attention_scores(edges, projected, LAYER, sides, sparse), projected, sides
 
 
 @query("project_features", f"WITH {_PROJ} SELECT id, unnest(range(4))::INT AS pos, round(unnest(h),6)+0.0 AS value FROM pj", "node")
@@ -184,7 +186,8 @@ def _(spark, sf):
 
 @query("edge_softmax", f"WITH {_PROJ}, {_scores()}, {_SOFT} SELECT flow_id, head, round(a,6)+0.0 AS value FROM sm", "edge node")
 def _(spark, sf):
-    return _heads(A.edge_softmax(_scored(spark, sf)[0], HEADS), "a")
+    scored, _, sides = _scored(spark, sf)
+    return _heads(A.edge_softmax(scored, HEADS, sides), "a")
 
 
 _AGG_PARTS = " UNION ALL ".join(
@@ -194,8 +197,8 @@ _AGG_PARTS = " UNION ALL ".join(
 
 @query("attention_aggregate", f"WITH {_PROJ}, {_scores()}, {_SOFT} SELECT id, pos, round(CASE WHEN r > 0 THEN r ELSE exp(r)-1 END,6)+0.0 AS value FROM ({_AGG_PARTS})", "edge node")
 def _(spark, sf):
-    scored, projected = _scored(spark, sf)
-    return _long(A.attention_aggregate(scored, projected, _nodes(spark, sf), LAYER), "feat", "id")
+    scored, projected, sides = _scored(spark, sf)
+    return _long(A.attention_aggregate(scored, projected, _nodes(spark, sf), LAYER, sides), "feat", "id")
 
 
 @query("mean_message", f"""WITH {_PROJ}, {_ET} SELECT id, unnest(range(8))::INT AS pos, round(unnest(msg),6)+0.0 AS value FROM (SELECT dst AS id, [{', '.join(f'avg(h[{i + 1}])' for i in range(4))}, {', '.join(f'avg({c})' for c in _cos('t', TW, TB))}] AS msg

@@ -54,8 +54,19 @@ def vector(values: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
+def weighted(weights: Sequence[float], x: str | Column, start: int = 0) -> Column:
+    """Dot product of literal weights and ``x[start:]``, written out so that it compiles to plain code."""
+    total = F.lit(0.0)
+    for j, w in enumerate(weights):
+        total = total + F.lit(float(w)) * F.get(col(x), start + j)
+    return total
+
+
 def affine(weight: Sequence[Sequence[float]], bias: Sequence[float], x: str | Column) -> Column:
-    """``W x + b`` with one literal row of W per output element."""
+    """``W x + b`` with one literal row of W per output element; ``x`` given as an expression is
+    handed to array functions, which evaluate it once per row of W."""
+    if isinstance(x, str):
+        return F.array(*[weighted(row, x) + F.lit(float(b)) for row, b in zip(weight, bias)])
     return F.array(*[dot(vector(row), x) + F.lit(float(b)) for row, b in zip(weight, bias)])
 
 

@@ -14,8 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowhelm.functions.scalar import affine, dot, vector
-from flowhelm.plans.lookup import lookup_join
+from flowhelm.functions.scalar import affine, weighted
+from flowhelm.plans.lookup import is_small, lookup_join
+from flowhelm.plans.skew import hot_keys
 from flowhelm.session import cut_lineage
 
 SLOPE = 0.01
@@ -66,55 +67,74 @@ def edge_time_mean(edges: DataFrame, nodes: DataFrame, encode: Callable[[Column]
     return nodes.select("id").join(mean, "id", "left").withColumn("time_feat", F.coalesce("time_feat", F.array_repeat(F.lit(0.0), dim)))
 
 
-def head_slice(h: str | Column, head: int, out: int) -> Column:
-    return F.slice(h, head * out + 1, out)
+@dataclass(frozen=True)
+class Sides:
+    """How node values reach the edges: broadcast, or joined with the hubs of either side split."""
+
+    small: bool
+    hot_src: list | None = None
+    hot_dst: list | None = None
+
+
+def plan_sides(edges: DataFrame, nodes: DataFrame) -> Sides:
+    if is_small(nodes.select("id")):
+        return Sides(True)
+    return Sides(False, hot_keys(edges, ["src"]), hot_keys(edges, ["dst"]))
+
+
+def _to_src(edges: DataFrame, values: DataFrame, sides: Sides, spread_on: str) -> DataFrame:
+    return lookup_join(edges, values, ["src"], spread_on, "inner", sides.small, sides.hot_src)
+
+
+def _to_dst(edges: DataFrame, values: DataFrame, sides: Sides, spread_on: str) -> DataFrame:
+    return lookup_join(edges, values, ["dst"], spread_on, "inner", sides.small, sides.hot_dst)
 
 
-def attention_scores(edges: DataFrame, projected: DataFrame, layer: Layer, sparse: bool = False, spread_on: str = "flow_id") -> DataFrame:
+def attention_scores(edges: DataFrame, projected: DataFrame, layer: Layer, sides: Sides, sparse: bool = False, spread_on: str = "flow_id") -> DataFrame:
     """Leaky-ReLU score per edge: column ``e`` with one element per head.
 
     The dot products are taken per node; only heads numbers travel to the edges.
     """
     def side(params: Sequence[Sequence[float]]) -> Column:
-        return F.array(*[dot(vector(params[k]), head_slice("h", k, layer.out)) for k in range(layer.heads)])
+        return F.array(*[weighted(params[k], "h", k * layer.out) for k in range(layer.heads)])
 
     l = projected.select(F.col("id").alias("src"), side(layer.left).alias("_el"))
     r = projected.select(F.col("id").alias("dst"), side(layer.right).alias("_er"))
-    joined = lookup_join(lookup_join(edges, l, ["src"], spread_on, "inner"), r, ["dst"], spread_on, "inner")
+    joined = _to_dst(_to_src(edges, l, sides, spread_on), r, sides, spread_on)
 
-    def score(a: Column, b: Column) -> Column:
-        s = a + b
+    def score(k: int) -> Column:
+        s = F.get("_el", k) + F.get("_er", k)
         s = F.when(s >= 0, s).otherwise(s * SLOPE)
         return F.when(F.abs(s) > SPARSE_LIMIT, s).otherwise(F.lit(0.0)) if sparse else s
 
-    return joined.withColumn("e", F.zip_with("_el", "_er", score)).drop("_el", "_er")
+    return joined.withColumn("e", F.array(*[score(k) for k in range(layer.heads)])).drop("_el", "_er")
 
 
-def _shifted(scored: DataFrame, heads: int, spread_on: str) -> DataFrame:
+def _shifted(scored: DataFrame, heads: int, sides: Sides, spread_on: str) -> DataFrame:
     """``x = exp(e - max over the destination)`` per head."""
     top = scored.groupBy("dst").agg(F.array(*[F.max(F.get("e", k)) for k in range(heads)]).alias("_m"))
-    return lookup_join(scored, top, ["dst"], spread_on, "inner").withColumn("x", F.zip_with("e", "_m", lambda a, m: F.exp(a - m))).drop("_m")
+    return _to_dst(scored, top, sides, spread_on).withColumn("x", F.array(*[F.exp(F.get("e", k) - F.get("_m", k)) for k in range(heads)])).drop("_m")
 
 
-def edge_softmax(scored: DataFrame, heads: int, spread_on: str = "flow_id") -> DataFrame:
+def edge_softmax(scored: DataFrame, heads: int, sides: Sides, spread_on: str = "flow_id") -> DataFrame:
     """Softmax of ``e`` over the incoming edges of each destination: column ``a`` per head."""
-    shifted = _shifted(scored, heads, spread_on)
+    shifted = _shifted(cut_lineage(scored), heads, sides, spread_on)  # the maxima, the sums and the rows all read it
     total = shifted.groupBy("dst").agg(F.array(*[F.sum(F.get("x", k)) for k in range(heads)]).alias("_s"))
-    return lookup_join(shifted, total, ["dst"], spread_on, "inner").withColumn("a", F.zip_with("x", "_s", lambda x, s: x / s)).drop("x", "_s")
+    return _to_dst(shifted, total, sides, spread_on).withColumn("a", F.array(*[F.get("x", k) / F.get("_s", k) for k in range(heads)])).drop("x", "_s")
 
 
 def elu(x: Column) -> Column:
     return F.when(x > 0, x).otherwise(F.exp(x) - 1.0)
 
 
-def attention_aggregate(scored: DataFrame, projected: DataFrame, nodes: DataFrame, layer: Layer, vec: str = "feat", spread_on: str = "flow_id") -> DataFrame:
+def attention_aggregate(scored: DataFrame, projected: DataFrame, nodes: DataFrame, layer: Layer, sides: Sides, vec: str = "feat", spread_on: str = "flow_id") -> DataFrame:
     """(id, feat): softmax-weighted sum of source vectors, residual, ELU, heads concatenated.
 
     Numerators and the softmax denominator are summed in the same aggregate.
     """
     heads, out = layer.heads, layer.out
-    shifted = _shifted(scored, heads, spread_on)
-    msgs = lookup_join(shifted.select("src", "dst", "x", spread_on), projected.select(F.col("id").alias("src"), "h"), ["src"], spread_on, "inner")
+    shifted = _shifted(cut_lineage(scored), heads, sides, spread_on)
+    msgs = _to_src(shifted.select("src", "dst", "x", spread_on), projected.select(F.col("id").alias("src"), "h"), sides, spread_on)
     sums = [F.sum(F.get("x", k) * F.get("h", k * out + j)) / F.sum(F.get("x", k)) for k in range(heads) for j in range(out)]
     got = msgs.groupBy(F.col("dst").alias("id")).agg(F.array(*sums).alias("_r"))
     all_nodes = nodes.select("id", F.col(vec).alias("_in")).join(got, "id", "left")
@@ -132,19 +152,21 @@ def mean_message(edges: DataFrame, projected: DataFrame, encode: Callable[[Colum
     return _mean_vector(both.groupBy("id"), "_m", width + time_dim, "msg")
 
 
-def tgat_layer(edges: DataFrame, nodes: DataFrame, layer: Layer, encode: Callable[[Column], Column], time_dim: int, sparse: bool = False) -> DataFrame:
+def tgat_layer(edges: DataFrame, nodes: DataFrame, layer: Layer, encode: Callable[[Column], Column], time_dim: int, sparse: bool = False, sides: Sides | None = None) -> DataFrame:
     """One layer: node vectors joined with incoming-edge time, attention, aggregation."""
+    sides = sides or plan_sides(edges, nodes)
     timed = nodes.join(edge_time_mean(edges, nodes, encode, time_dim), "id").select("id", "feat", F.concat("feat", "time_feat").alias("_x"))
     projected = project(timed, layer.weight, layer.bias, "_x").select("id", "h")
-    scored = attention_scores(edges.select("src", "dst", "flow_id"), projected, layer, sparse)
-    return attention_aggregate(scored, projected, nodes, layer)
+    scored = attention_scores(edges.select("src", "dst", "flow_id"), projected, layer, sides, sparse)
+    return attention_aggregate(scored, projected, nodes, layer, sides)
 
 
 def tgat_encode(edges: DataFrame, nodes: DataFrame, layers: Sequence[Layer], encode: Callable[[Column], Column], time_dim: int) -> DataFrame:
     """Node embeddings after all layers; each layer's table is checkpointed before the next reads it twice."""
     current = nodes.select("id", "feat")
+    sides = plan_sides(edges, current)
     for i, layer in enumerate(layers):
-        current = tgat_layer(edges, current, layer, encode, time_dim)
+        current = tgat_layer(edges, current, layer, encode, time_dim, sides=sides)
         if i < len(layers) - 1:
             current = cut_lineage(current)
     return current

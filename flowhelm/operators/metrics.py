@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowhelm.plans.ordered import ROWS_PER_BLOCK, neighbours, running_sums
+from flowhelm.session import cut_lineage
 
 MAX_CLASSES = 10_000
 
@@ -88,11 +89,12 @@ def classification_report(cells: DataFrame, names: Sequence[str] | None = None)
 def points(df: DataFrame, y: str = "y", p: str = "p", cls: str | None = None, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """One row per (cls, threshold): own and cumulated positives / negatives, class totals, and
     whether the ROC curve keeps the point (neither end point nor bend: dropped)."""
-    at = df.groupBy((F.col(cls) if cls else F.lit(0)).alias("cls"), F.col(p).alias("p")).agg(
+    at = cut_lineage(df.groupBy((F.col(cls) if cls else F.lit(0)).alias("cls"), F.col(p).alias("p")).agg(
         F.sum(F.col(y).cast("long")).alias("dp"), F.sum(1 - F.col(y).cast("long")).alias("dn")
-    ).withColumn("_down", -F.col("p"))
-    cum = running_sums(at, ["_down"], {"tps": F.col("dp"), "fps": F.col("dn")}, ["cls"], rows_per_block)
-    bent = neighbours(cum, ["_down"], following={"_ndp": "dp", "_ndn": "dn"}, keys=["cls"], rows_per_block=rows_per_block)
+    ).withColumn("_down", -F.col("p")))
+    n = at.count()
+    cum = running_sums(at, ["_down"], {"tps": F.col("dp"), "fps": F.col("dn")}, ["cls"], rows_per_block, rows=n)
+    bent = neighbours(cum, ["_down"], following={"_ndp": "dp", "_ndn": "dn"}, keys=["cls"], rows_per_block=rows_per_block, rows=n)
     first = (F.col("tps") == F.col("dp")) & (F.col("fps") == F.col("dn"))
     keep = first | F.col("_ndp").isNull() | (F.col("_ndp") != F.col("dp")) | (F.col("_ndn") != F.col("dn"))
     # One row per class, so always small enough to send to every task.

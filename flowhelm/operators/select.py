@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from flowhelm.operators.clean import impute_median, long_form
 from flowhelm.plans.ordered import ROWS_PER_BLOCK, running_sums
+from flowhelm.session import cut_lineage
 
 # Name parts of columns that selection always keeps.
 ALWAYS_KEPT_PARTS = ["octet", "subnet", "private", "global", "time", "duration"]
@@ -107,11 +108,13 @@ def anova_p(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
 def mutual_info(df: DataFrame, columns: Sequence[str], label: str, bins: int = 32, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Plug-in mutual information of each feature (equal-count bins, equal values share a bin) and the label."""
     joint = long_form(df, columns, [label]).groupBy("feature", "value", label).agg(F.count(F.lit(1)).alias("n"))
-    per_value = joint.groupBy("feature", "value").agg(F.sum("n").alias("_nv"))
-    cum = running_sums(per_value, ["value"], {"_cum": F.col("_nv")}, ["feature"], rows_per_block)
-    total = df.count()
-    binned = cum.select("feature", "value", F.floor((F.col("_cum") - F.col("_nv")) * bins / total).alias("bin"))
-    cells = joint.join(binned, ["feature", "value"]).groupBy("feature", "bin", label).agg((F.sum("n") / total).alias("p"))
+    # One row per value with its class counts (as many as there are classes).
+    per_value = cut_lineage(joint.groupBy("feature", "value").agg(F.sum("n").alias("_nv"), F.collect_list(F.struct(label, "n")).alias("_g")))
+    size = per_value.agg(F.sum("_nv"), F.count(F.lit(1))).first()
+    total = size[0] / len(columns)
+    cum = running_sums(per_value, ["value"], {"_cum": F.col("_nv")}, ["feature"], rows_per_block, rows=size[1])
+    bin_ = F.floor((F.col("_cum") - F.col("_nv")) * bins / total).alias("bin")
+    cells = cum.select("feature", bin_, F.inline("_g")).groupBy("feature", "bin", label).agg((F.sum("n") / total).alias("p"))
     by_bin = cells.groupBy("feature", "bin").agg(F.sum("p").alias("pb"))
     by_label = cells.groupBy("feature", label).agg(F.sum("p").alias("pl"))
     term = F.col("p") * F.log(F.col("p") / (F.col("pb") * F.col("pl")))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from flowhelm.plans.lookup import BROADCAST_ROWS
 from flowhelm.plans.ordered import ROWS_PER_BLOCK, neighbours, number, percentile_row, row_halo, running_sums
+from flowhelm.session import cut_lineage
 
 MICROS = 1_000_000.0
 MAX_WINDOWS = 100
@@ -52,9 +53,9 @@ def dbscan_1d(df: DataFrame, value: str, eps: Column | float, min_pts: int, keys
     ``min_pts`` distinct values on either side, so fixed row frames over row blocks suffice.
     """
     reach = F.lit(float(eps)) if isinstance(eps, (int, float)) else eps
-    values = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"), F.max(reach).alias("_eps"))
-    full = [*keys, value]
-    rows = number(values, full, name="_rn", rows_per_block=rows_per_block)
+    values = cut_lineage(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"), F.max(reach).alias("_eps")))
+    full, total = [*keys, value], values.count()
+    rows = running_sums(values, full, {"_rn": F.lit(1).cast("long")}, rows_per_block=rows_per_block, rows=total)
 
     def around(before: int, after: int, *fields: str) -> Column:
         w = Window.partitionBy("_blk", *keys).orderBy("_rn").rowsBetween(-before, after)
@@ -68,7 +69,7 @@ def dbscan_1d(df: DataFrame, value: str, eps: Column | float, min_pts: int, keys
     cored = cut.withColumn("core", weight >= min_pts).withColumn("_near", around(min_pts, -1, "core"))
     starts = F.col("core") & ~F.exists(F.coalesce("_near", F.array().cast(cored.schema["_near"].dataType)), lambda c: c["core"] & near(c))
     flagged = cored.withColumn("_start", starts.cast("long")).where("_own").drop("_near", "_blk", "_own")
-    summed = running_sums(flagged, [value], {"_cl": F.col("_start")}, keys, rows_per_block)
+    summed = running_sums(flagged, [value], {"_cl": F.col("_start")}, keys, rows_per_block, rows=total)
     again = row_halo(summed, "_rn", min_pts, min_pts, min(rows_per_block, HALO_ROWS)).withColumn("_near", around(min_pts, min_pts, "core", "_cl"))
     border = F.array_min(F.transform(F.filter("_near", lambda c: c["core"] & near(c)), lambda c: c["_cl"]))
     cluster = F.when(F.col("core"), F.col("_cl")).otherwise(border) - 1
@@ -153,7 +154,7 @@ def select_scales(stats: dict, bursty: bool, period: float, low_slow: bool, enab
 
 def analyse(df: DataFrame, order: Sequence[str], t_us: str = "t_us", enabled: Sequence[str] = DEFAULT_ENABLED, rows_per_block: int = ROWS_PER_BLOCK) -> tuple[dict, list[tuple[str, float]]]:
     """Gap numbers and the window sizes chosen from them and from the detected patterns."""
-    g = gaps(df, order, t_us, rows_per_block=rows_per_block)
+    g = cut_lineage(gaps(df, order, t_us, rows_per_block=rows_per_block))  # one global ordering, read four times
     stats = gap_statistics(g, rows_per_block)
     if stats["n"] < 2:
         return stats, select_scales(stats, False, 0.0, False, enabled)
@@ -230,7 +231,7 @@ def windows_for_pattern(df: DataFrame, order: Sequence[str], pattern: str | None
     if pattern == "low_slow":
         return low_slow_windows(spark, t0, t1)
     if pattern == "periodic":
-        g = gaps(df, order, t_us)
+        g = cut_lineage(gaps(df, order, t_us))
         stats = gap_statistics(g)
         period = estimate_period(autocorrelation(g, order, stats), stats)
         if period > 0:

@@ -12,17 +12,25 @@ from flowhelm.plans.skew import salted_join
 BROADCAST_ROWS = 500_000
 
 
-def lookup_join(facts: DataFrame, values: DataFrame, keys: Sequence[str], spread_on: str, how: str = "left") -> DataFrame:
-    """Broadcast ``values`` when a counted size allows it, else a join with hot keys split."""
-    if values.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+def is_small(values: DataFrame) -> bool:
+    """Whether a counted row number allows a broadcast."""
+    return values.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
+def lookup_join(
+    facts: DataFrame, values: DataFrame, keys: Sequence[str], spread_on: str, how: str = "left", small: bool | None = None, hot: list | None = None
+) -> DataFrame:
+    """Broadcast ``values`` when small, else a join with hot keys split. A caller with several such
+    joins over the same ids checks the size and finds the hot keys once and passes them on."""
+    if is_small(values) if small is None else small:
         return facts.join(F.broadcast(values), list(keys), how)
-    return salted_join(facts, values, keys, spread_on, how)
+    return salted_join(facts, values, keys, spread_on, how, hot=hot)
 
 
 def keep_matching(facts: DataFrame, ids: DataFrame, fact_key: str, id_key: str = "id", how: str = "left_semi") -> DataFrame:
     """Semi / anti join on one column; the id list is broadcast only when its counted size allows."""
     wanted = ids.select(F.col(id_key).alias(fact_key)).distinct()
-    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if is_small(wanted):
         wanted = F.broadcast(wanted)
     return facts.join(wanted, fact_key, how)
 
@@ -30,6 +38,6 @@ def keep_matching(facts: DataFrame, ids: DataFrame, fact_key: str, id_key: str =
 def with_both_ends(edges: DataFrame, ids: DataFrame, src: str = "src", dst: str = "dst", id_key: str = "id") -> DataFrame:
     """Edges whose two endpoints are listed."""
     wanted = ids.select(id_key).distinct()
-    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if is_small(wanted):
         wanted = F.broadcast(wanted)
     return edges.join(wanted.withColumnRenamed(id_key, src), src, "left_semi").join(wanted.withColumnRenamed(id_key, dst), dst, "left_semi")

@@ -15,23 +15,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowhelm.session import cut_lineage
+
 ROWS_PER_BLOCK = 2_000_000
 MAX_BLOCKS = 65_536
 _SAMPLES_PER_BLOCK = 8
 _STEPS = [1 << b for b in range(16, -1, -1)]
 
 
-def _block_count(df: DataFrame, rows_per_block: int) -> tuple[int, int]:
-    rows = df.count()
+def _block_count(df: DataFrame, rows_per_block: int, rows: int | None = None) -> tuple[int, int]:
+    rows = df.count() if rows is None else rows
     return rows, min(MAX_BLOCKS, math.ceil(rows / rows_per_block))
 
 
-def blocks(df: DataFrame, order: Sequence[str], rows_per_block: int = ROWS_PER_BLOCK) -> tuple[DataFrame, int]:
+def blocks(df: DataFrame, order: Sequence[str], rows_per_block: int = ROWS_PER_BLOCK, rows: int | None = None) -> tuple[DataFrame, int]:
     """Add ``_blk``: the range of the total order by ``order`` a row falls into.
 
-    Cut points come from a row sample of fixed expected size; only they reach the driver.
+    Cut points come from a row sample of fixed expected size; only they reach the driver. ``rows``
+    saves the count when the caller knows it.
     """
-    rows, wanted = _block_count(df, rows_per_block)
+    rows, wanted = _block_count(df, rows_per_block, rows)
     if wanted <= 1:
         return df.withColumn("_blk", F.lit(0)), 1
     spark = df.sparkSession
@@ -72,12 +75,13 @@ def running_sums(
     keys: Sequence[str] = (),
     rows_per_block: int = ROWS_PER_BLOCK,
     largest: bool = False,
+    rows: int | None = None,
 ) -> DataFrame:
     """Inclusive running sums (or, with ``largest``, running maxima) over rows, per ``keys``, in
     ``order`` (which must be a total order)."""
     fold = F.max if largest else F.sum
     full = [*keys, *order]
-    placed, n = blocks(df, full, rows_per_block)
+    placed, n = blocks(df, full, rows_per_block, rows)
     if n == 1:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return placed.drop("_blk").withColumns({k: fold(c).over(w) for k, c in sums.items()})
@@ -121,11 +125,12 @@ def neighbours(
     following: dict[str, str] | None = None,
     keys: Sequence[str] = (),
     rows_per_block: int = ROWS_PER_BLOCK,
+    rows: int | None = None,
 ) -> DataFrame:
     """Value of a column in the previous / following row of the same key: ``{new name: column}``."""
     previous, following = previous or {}, following or {}
     full = [*keys, *order]
-    placed, n = blocks(df, full, rows_per_block)
+    placed, n = blocks(df, full, rows_per_block, rows)
     if n == 1:
         w = Window.partitionBy(*keys).orderBy(*order)
         new = {k: F.lag(c).over(w) for k, c in previous.items()} | {k: F.lead(c).over(w) for k, c in following.items()}
@@ -208,7 +213,7 @@ def percentiles(
 
     Works on value counts with a blocked running sum; no task sees all distinct values of a key.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    counts = cut_lineage(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")))
     cum = running_sums(counts, [value], {"_cum": F.col("_n")}, keys, rows_per_block)
     total = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     if not keys:

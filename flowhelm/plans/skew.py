@@ -11,6 +11,11 @@ HOT_ROWS = 5_000_000
 PIECES = 64
 
 
+def hot_keys(left: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> list:
+    """Keys with more than ``hot_rows`` rows: at most rows / hot_rows of them."""
+    return left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select(*keys).collect()
+
+
 def salted_join(
     left: DataFrame,
     right: DataFrame,
@@ -19,19 +24,20 @@ def salted_join(
     how: str = "inner",
     hot_rows: int = HOT_ROWS,
     pieces: int = PIECES,
+    hot: list | None = None,
 ) -> DataFrame:
     """Join where ``left`` may hold very many rows of one key.
 
-    Keys with more than ``hot_rows`` left rows get a salt from ``spread_on`` on the left and all
-    ``pieces`` salts on the right, so their rows meet in ``pieces`` tasks. At most
-    rows/hot_rows keys can be hot, which bounds the broadcast list.
+    Keys with more than ``hot_rows`` left rows (or those given as ``hot``) get a salt from
+    ``spread_on`` on the left and all ``pieces`` salts on the right, so their rows meet in ``pieces``
+    tasks.
     """
     keys = list(keys)
-    hot = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select(*keys)
-    hot_keys = hot.collect()
-    if not hot_keys:
+    hot = hot_keys(left, keys, hot_rows) if hot is None else hot
+    if not hot:
         return left.join(right, keys, how)
-    marks = F.broadcast(left.sparkSession.createDataFrame(hot_keys, hot.schema).withColumn("_hot", F.lit(True)))
+    schema = left.select(*keys).schema
+    marks = F.broadcast(left.sparkSession.createDataFrame(hot, schema).withColumn("_hot", F.lit(True)))
     salt = F.pmod(F.xxhash64(spread_on), F.lit(pieces)).cast("int")
     left_s = left.join(marks, keys, "left").withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0))).drop("_hot")
     all_salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(pieces - 1))).otherwise(F.array(F.lit(0)))
