@@ -44,7 +44,7 @@ def _(spark, sf):
 
 
 @query("dbscan_1d", """SELECT round(d.v,6)+0.0 AS gap, d.n, core, coalesce(CASE WHEN core THEN (SELECT c FROM dcl WHERE dcl.v = d.v) ELSE b.c END, -1) AS cluster
-    FROM dcore d LEFT JOIN (SELECT x.v, min(dcl.c) AS c FROM dcore x JOIN dcl ON dcl.v BETWEEN x.v - 200 AND x.v + 200 AND abs(dcl.v - x.v) <= (SELECT med/2 FROM gst) GROUP BY x.v) b USING (v)""", "gst dcore dcl")
+    FROM dcore d LEFT JOIN (SELECT x.v, min(dcl.c) AS c FROM dcore x JOIN gst ON true JOIN dcl ON dcl.v BETWEEN x.v - (med/2 + 1) AND x.v + (med/2 + 1) AND abs(dcl.v - x.v) <= med/2 GROUP BY x.v) b USING (v)""", "gst dcore dcl")
 def _(spark, sf):
     g, stats = _gaps(spark, sf)
     return W.dbscan_1d(g, "gap", stats["median"] / 2, 5).withColumn("gap", r6("gap"))
@@ -145,7 +145,7 @@ def _(spark, sf):
 
 
 @query("events_in_windows", """SELECT scale, round(size_s,3) AS size_s, CAST(floor(start_us/1000) AS BIGINT) AS start_ms, count(*) AS n, round(avg(bytes),6)+0.0 AS mean_bytes
-    FROM win JOIN flow ON t_us >= start_us AND (t_us < end_us OR (t_us = end_us AND end_us = (SELECT max(end_us) FROM win))) GROUP BY ALL""", "win flow")
+    FROM (SELECT *, max(end_us) OVER (PARTITION BY scale, size_s) AS stop FROM win) JOIN flow ON t_us >= start_us AND (t_us < end_us OR (t_us = end_us AND end_us = stop)) GROUP BY ALL""", "win flow")
 def _(spark, sf):
     joined = W.assign_windows(_f(spark, sf), adaptive_windows(spark, sf))
     return joined.groupBy("scale", F.round("size_s", 3).alias("size_s"), F.floor(F.col("start_us") / 1000).alias("start_ms")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("bytes")).alias("mean_bytes"))

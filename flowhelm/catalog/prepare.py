@@ -261,13 +261,13 @@ _PIPE_SQL = f"""WITH raw AS (SELECT f.*, ip.src_ip, CASE WHEN flow_id % 13 <> 0
     {_z('code::DOUBLE', 'proto')} FROM raw JOIN pc USING (proto), med"""
 
 
-@query("preprocess_pipeline", _PIPE_SQL, "flow ip")
+@query("preprocess", _PIPE_SQL, "flow ip")
 def _(spark, sf):
     out = C.preprocess(_raw_flows(spark, sf), "flow_id", "label", select_features=False)
     return out.withColumns({c: r6(c) for c in out.columns if c not in ("flow_id", "label")})
 
 
-@query("preprocess_pipeline_selected")
+@query("preprocess_selected")
 def _(spark, sf):
     """The same preparation with feature selection (its parts have their own SQL twins)."""
     return C.preprocess(_raw_flows(spark, sf), "flow_id", "label")

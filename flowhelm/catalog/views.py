@@ -153,7 +153,7 @@ SQL: dict[str, tuple[str, str]] = {
     "per": ("acf gst", """SELECT coalesce(min(lag) * max(med), 0.0::DOUBLE) AS period FROM (SELECT lag, r, lag(r) OVER (ORDER BY lag) AS r0, lead(r) OVER (ORDER BY lag) AS r1 FROM acf), gst
         WHERE r > r0 AND r > r1 AND r > 0.2"""),
     "dv": ("gapn", "SELECT g AS v, count(*) AS n FROM gapn GROUP BY g"),
-    "dcore": ("dv gst", """SELECT a.v, max(a.n) AS n, sum(b.n) >= 5 AS core FROM dv a JOIN dv b ON b.v BETWEEN a.v - 200 AND a.v + 200 AND abs(b.v - a.v) <= (SELECT med/2 FROM gst) GROUP BY a.v"""),
+    "dcore": ("dv gst", """SELECT a.v, max(a.n) AS n, sum(b.n) >= 5 AS core FROM dv a JOIN gst ON true JOIN dv b ON b.v BETWEEN a.v - (med/2 + 1) AND a.v + (med/2 + 1) AND abs(b.v - a.v) <= med/2 GROUP BY a.v"""),
     "dcl": ("dcore gst", """SELECT v, CAST(sum(CASE WHEN v - prev <= med/2 THEN 0 ELSE 1 END) OVER (ORDER BY v) - 1 AS BIGINT) AS c FROM (SELECT v, lag(v) OVER (ORDER BY v) AS prev FROM dcore WHERE core), gst"""),
     "burst": ("gst dcl", "SELECT n >= 10 AND (std/mean > 2 OR (n >= 50 AND (SELECT count(DISTINCT c) FROM dcl) >= 2)) AS bursty, n >= 10 AND hi > 10*q3 AS low_slow FROM gst"),
     "scales": ("gst per burst", """SELECT scale, size_s FROM (

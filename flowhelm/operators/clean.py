@@ -160,7 +160,7 @@ def category_ratio(df: DataFrame, approximate: bool = False) -> DataFrame:
     count = F.approx_count_distinct if approximate else F.count_distinct
     cols = _text(df)
     row = df.agg(F.count(F.lit(1)).alias("n"), *[count(c).alias(f"d{i}") for i, c in enumerate(cols)])
-    rows = [F.struct(F.lit(c).alias("column"), (F.col(f"d{i}") / F.col("n")).alias("ratio")) for i, c in enumerate(cols)]
+    rows = [F.struct(F.lit(c).alias("column"), F.try_divide(f"d{i}", "n").alias("ratio")) for i, c in enumerate(cols)]
     return row.select(F.inline(F.array(*rows))).withColumn("category", F.col("ratio") < 0.5)
 
 

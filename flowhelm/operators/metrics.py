@@ -103,11 +103,11 @@ def points(df: DataFrame, y: str = "y", p: str = "p", cls: str | None = None, ro
 
 
 def _tpr() -> Column:
-    return F.col("tps") / F.col("pos")
+    return F.try_divide("tps", "pos")
 
 
 def _fpr() -> Column:
-    return F.col("fps") / F.col("neg")
+    return F.try_divide("fps", "neg")
 
 
 def _precision() -> Column:
@@ -140,9 +140,9 @@ def _area_columns() -> list[Column]:
     pos, neg = F.first("pos"), F.first("neg")
     area = F.sum(F.col("dn") * (2 * F.col("tps") - F.col("dp")))
     return [
-        (area / 2 / pos / neg).alias("roc_auc"),
-        F.sum(F.col("dp") / F.col("pos") * (_precision() + _precision_before()) / 2).alias("pr_auc"),
-        F.sum(F.col("dp") / F.col("pos") * _precision()).alias("average_precision"),
+        F.try_divide(area / 2, pos.cast("double") * neg).alias("roc_auc"),
+        F.sum(F.try_divide("dp", "pos") * (_precision() + _precision_before()) / 2).alias("pr_auc"),
+        F.sum(F.try_divide("dp", "pos") * _precision()).alias("average_precision"),
     ]
 
 
@@ -155,7 +155,7 @@ def fpr_at_tpr(pts: DataFrame, targets: Sequence[float]) -> DataFrame:
     """First ROC point that reaches each target."""
     reached = kept_points(pts).withColumn("target_tpr", F.explode(F.array(*[F.lit(float(t)) for t in targets]))).where(_tpr() >= F.col("target_tpr"))
     best = reached.groupBy("cls", "target_tpr").agg(F.min_by(F.struct("tps", "fps", "pos", "neg", "p"), -F.col("p")).alias("b"))
-    return best.select("cls", "target_tpr", (F.col("b.fps") / F.col("b.neg")).alias("fpr"), F.col("b.p").alias("threshold"), (F.col("b.tps") / F.col("b.pos")).alias("actual_tpr"))
+    return best.select("cls", "target_tpr", F.try_divide("b.fps", "b.neg").alias("fpr"), F.col("b.p").alias("threshold"), F.try_divide("b.tps", "b.pos").alias("actual_tpr"))
 
 
 def fpr_at_tpr_multiclass(pts: DataFrame, targets: Sequence[float]) -> DataFrame:
@@ -229,7 +229,7 @@ def nids_report_binary(pts: DataFrame, targets: Sequence[float] = (0.9, 0.95, 0.
     pairs += [("best_threshold", F.col("best.threshold")), ("best_value", F.col("best.value"))]
     for t in targets:
         at = F.col(f"`at_{t}`")
-        pairs += [(f"fpr_at_{t}_tpr", at["fps"] / neg), (f"threshold_at_{t}_tpr", at["p"]), (f"actual_at_{t}_tpr", at["tps"] / pos)]
+        pairs += [(f"fpr_at_{t}_tpr", F.try_divide(at["fps"], neg)), (f"threshold_at_{t}_tpr", at["p"]), (f"actual_at_{t}_tpr", F.try_divide(at["tps"], pos))]
     return one.select("cls", F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), c.cast("double").alias("value")) for n, c in pairs])))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +18,11 @@ ALWAYS_KEPT_PARTS = ["octet", "subnet", "private", "global", "time", "duration"]
 CORR_IN_ONE_AGG = 16
 
 
+def pearson(a: str, b: str) -> Column:
+    """Correlation, null when a column is constant."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """|Pearson| of every column pair, upper triangle: (a, b, corr)."""
     columns = list(columns)
@@ -30,7 +35,7 @@ def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         m = Correlation.corr(vec, "_v").first()[0].toArray()
         rows = [(columns[i], columns[j], None if math.isnan(m[i, j]) else abs(float(m[i, j]))) for i, j in pairs]
         return df.sparkSession.createDataFrame(rows, "a string, b string, corr double")
-    one = df.agg(*[F.abs(F.corr(columns[i], columns[j])).alias(f"c{i}_{j}") for i, j in pairs])
+    one = df.agg(*[F.abs(pearson(columns[i], columns[j])).alias(f"c{i}_{j}") for i, j in pairs])
     return one.select(F.inline(F.array(*[F.struct(F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b"), F.col(f"c{i}_{j}").alias("corr")) for i, j in pairs])))
 
 
@@ -66,7 +71,9 @@ def anova_f(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
         F.collect_list(F.struct("n", "m")).alias("g"), F.sum(n * F.col("v")).alias("ssw"))
     ssb = F.aggregate("g", F.lit(0.0), lambda a, g: a + g["n"] * (g["m"] - F.col("gm")) * (g["m"] - F.col("gm")))
     dfb, dfw = F.col("k") - 1, F.col("n") - F.col("k")
-    return s.select("feature", ((ssb / dfb) / (F.col("ssw") / dfw)).alias("f"), dfb.alias("df_between"), dfw.alias("df_within"))
+    f = F.try_divide(F.try_divide(ssb, dfb), F.try_divide(F.col("ssw"), dfw))
+    perfect = (F.col("ssw") == 0) & (ssb > 0)
+    return s.select("feature", F.when(perfect, F.lit(float("inf"))).otherwise(f).alias("f"), dfb.alias("df_between"), dfw.alias("df_within"))
 
 
 def f_upper_tail(f: float, d1: float, d2: float) -> float:

@@ -244,22 +244,22 @@ def windows_per_scale(windows: DataFrame) -> DataFrame:
 
 
 def assign_windows(events: DataFrame, windows: DataFrame, t_us: str = "t_us") -> DataFrame:
-    """Every (event, window) with ``start <= t < end`` (``t = end`` too for the last end).
+    """Every (event, window) with ``start <= t < end`` (``t = end`` too in the last window of a size).
 
     Interval join: windows fall into classes by length (powers of two), a window touches at most two
     grid cells of its class, an event one per class; (class, cell) is the equi-join key.
     """
-    last = windows.agg(F.max("end_us")).first()[0]
     level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col("end_us") - F.col("start_us"), F.lit(1.0))))).cast("int")
-    marked = windows.withColumn("_lv", level)
+    ends = windows.groupBy("scale", "size_s").agg(F.max("end_us").alias("_stop"))
+    marked = windows.join(ends, ["scale", "size_s"]).withColumn("_lv", level)
     levels = sorted(r[0] for r in marked.select("_lv").distinct().collect())
     grid = marked.withColumn("_cell", F.explode(F.sequence(
         F.expr("shiftright(cast(floor(start_us) as bigint), _lv)"), F.expr("shiftright(cast(floor(end_us) as bigint), _lv)"))))
     spots = F.array(*[F.struct(F.lit(v).alias("_lv"), F.shiftright(F.col(t_us), v).alias("_cell")) for v in levels])
     spread = events.select("*", F.inline(spots))
     small = windows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    inside = (F.col(t_us) >= F.col("start_us")) & ((F.col(t_us) < F.col("end_us")) | ((F.col("end_us") == last) & (F.col(t_us) == last)))
-    return spread.join(F.broadcast(grid) if small else grid, ["_lv", "_cell"]).where(inside).drop("_lv", "_cell")
+    inside = (F.col(t_us) >= F.col("start_us")) & ((F.col(t_us) < F.col("end_us")) | ((F.col("end_us") == F.col("_stop")) & (F.col(t_us) == F.col("_stop"))))
+    return spread.join(F.broadcast(grid) if small else grid, ["_lv", "_cell"]).where(inside).drop("_lv", "_cell", "_stop")
 
 
 def multi_scale_tumbling(df: DataFrame, t_us: str = "t_us", value: str = "bytes", scales: dict[str, float] | None = None) -> DataFrame:
