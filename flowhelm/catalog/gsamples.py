@@ -178,12 +178,12 @@ def _fan(k: int, front: str, layer: int) -> str:
     return f"SELECT {layer}::INT AS layer, src, dst, flow_id FROM (SELECT *, {rank} AS rk FROM both_edges WHERE dst IN ({front})) WHERE rk <= {k}"
 
 
-@query("neighbour_fanout", f"""WITH both_edges AS (SELECT src, dst, flow_id FROM edge UNION ALL SELECT dst, src, flow_id + 1000000000 FROM edge), l0 AS MATERIALIZED ({_fan(5, 'SELECT id FROM node WHERE label < 3', 0)}),
+@query("neighbor_fanout", f"""WITH both_edges AS (SELECT src, dst, flow_id FROM edge UNION ALL SELECT dst, src, flow_id + 1000000000 FROM edge), l0 AS MATERIALIZED ({_fan(5, 'SELECT id FROM node WHERE label < 3', 0)}),
     l1 AS ({_fan(3, 'SELECT src FROM l0', 1)}) SELECT * FROM l0 UNION ALL SELECT * FROM l1""", "edge node")
 def _(spark, sf):
     e = _e(spark, sf).select("src", "dst", "flow_id")
     both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("flow_id") + 1_000_000_000).alias("flow_id")))
-    return S.neighbour_fanout(both, _starts(spark, sf), [5, 3], "nf")
+    return S.neighbor_fanout(both, _starts(spark, sf), [5, 3], "nf")
 
 
 @query("seed_batches", "SELECT id, (row_number() OVER (ORDER BY md5(concat(id,'|sb'))) - 1) // 32 AS batch FROM node", "node edge")

@@ -189,7 +189,7 @@ def degrees(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
 
 def density(edges: DataFrame) -> DataFrame:
     """Node and edge counts and E / (N (N - 1))."""
-    n = endpoints(edges).agg(F.count(F.lit(1)).alias("n_nodes")).withColumn("_one", F.lit(1))
-    e = edges.agg(F.count(F.lit(1)).alias("n_edges")).withColumn("_one", F.lit(1))
+    n = endpoints(edges).agg(F.count(F.lit(1)).alias("n_nodes"))
+    both = n.withColumn("n_edges", edges.agg(F.count(F.lit(1)).alias("e")).scalar())
     full = F.col("n_nodes") * (F.col("n_nodes") - 1)
-    return n.join(F.broadcast(e), "_one").drop("_one").withColumn("density", F.when(full > 0, F.col("n_edges") / full).otherwise(F.lit(0.0)))
+    return both.withColumn("density", F.when(full > 0, F.col("n_edges") / full).otherwise(F.lit(0.0)))

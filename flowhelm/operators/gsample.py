@@ -175,7 +175,7 @@ def bfs_sample(edges: DataFrame, seeds: DataFrame, size: int, seed: str = "0", m
     return top_rows(found.withColumn("_h", seeded_hash("id", seed)), [F.col("level"), F.col("_h")], size).drop("_h")
 
 
-def neighbour_fanout(edges: DataFrame, seeds: DataFrame, fanouts: Sequence[int], seed: str = "0", rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+def neighbor_fanout(edges: DataFrame, seeds: DataFrame, fanouts: Sequence[int], seed: str = "0", rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """(layer, src, dst, flow_id): per layer up to k sampled in-edges of the layer's nodes (-1: all)."""
     front = seeds.select(F.col("id").alias("dst")).distinct()
     out = None

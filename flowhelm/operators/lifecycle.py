@@ -84,6 +84,6 @@ def statistics(seen: DataFrame, now_us: int, lookback_us: int, size_us: int) ->
     totals = life.agg(
         F.count(F.lit(1)).alias("total_nodes"), F.count_if(~idle).alias("active_nodes"), F.count_if(idle).alias("inactive_nodes"),
         F.min("first_us").alias("earliest_us"), F.max("last_us").alias("latest_us"),
-    ).withColumn("_one", F.lit(1))
+    )
     n_buckets = seen.select(F.floor(F.col("t_us") / size_us).alias("b")).distinct().agg(F.count(F.lit(1)).alias("n_buckets"))
-    return totals.join(F.broadcast(n_buckets.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    return totals.withColumn("n_buckets", n_buckets.scalar())

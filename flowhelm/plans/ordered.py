@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,44 +28,46 @@ def _block_count(df: DataFrame, rows_per_block: int, rows: int | None = None) ->
     return rows, min(MAX_BLOCKS, math.ceil(rows / rows_per_block))
 
 
-def blocks(df: DataFrame, order: Sequence[str], rows_per_block: int = ROWS_PER_BLOCK, rows: int | None = None) -> tuple[DataFrame, int]:
-    """Add ``_blk``: the range of the total order by ``order`` a row falls into.
-
-    Cut points come from a row sample of fixed expected size; only they reach the driver. ``rows``
-    saves the count when the caller knows it.
-    """
+def cut_rows(
+    df: DataFrame, order: Sequence[str], payload: Sequence[str] = (), rows_per_block: int = ROWS_PER_BLOCK, rows: int | None = None
+) -> list[Row]:
+    """Rows that cut the order into blocks, from a row sample of fixed expected size; only they reach
+    the driver. ``rows`` saves the count when the caller knows it. Empty when one block is enough."""
     rows, wanted = _block_count(df, rows_per_block, rows)
     if wanted <= 1:
-        return df.withColumn("_blk", F.lit(0)), 1
-    spark = df.sparkSession
+        return []
     fraction = min(1.0, wanted * _SAMPLES_PER_BLOCK / rows)
     step = max(1, round(rows * fraction / wanted))
-    cuts = (
-        df.select(*order).sample(fraction, seed=11)
+    columns = list(dict.fromkeys([*order, *payload]))
+    return (
+        df.select(*columns).sample(fraction, seed=11)
         .limit(2 * MAX_BLOCKS * _SAMPLES_PER_BLOCK)
         .withColumn("_r", F.row_number().over(Window.orderBy(*order)))
         .where(F.col("_r") % step == 0)
-        .select(*order).distinct().orderBy(*order).collect()
+        .select(*columns).distinct().orderBy(*order).collect()
     )
-    if not cuts:
-        return df.withColumn("_blk", F.lit(0)), 1
+
+
+def place(df: DataFrame, order: Sequence[str], cuts: list[Row], after_cut: bool = False) -> DataFrame:
+    """Add ``_blk``, the number of cuts at or before a row (with ``after_cut``: strictly before it),
+    by binary search in an array that a scalar subquery provides once."""
     point = T.StructType([T.StructField(c, df.schema[c].dataType) for c in order])
-    table = spark.createDataFrame(
-        [(1, [tuple(c) for c in cuts])],
-        T.StructType([T.StructField("_one", T.IntegerType()), T.StructField("_cuts", T.ArrayType(point))]),
-    )
+    schema = T.StructType([T.StructField("c", T.ArrayType(point))])
+    table = df.sparkSession.createDataFrame([([tuple(c[k] for k in order) for c in cuts],)], schema)
     here = F.struct(*[F.col(c) for c in order])
 
     def descend(low: Column, step_: Column) -> Column:
-        inside = F.coalesce(F.get(F.col("_cuts"), low + step_ - 1) <= here, F.lit(False))
-        return F.when(inside, low + step_).otherwise(low)
+        cut = F.get(F.col("_cuts"), low + step_ - 1)
+        return F.when(F.coalesce(cut < here if after_cut else cut <= here, F.lit(False)), low + step_).otherwise(low)
 
-    placed = (
-        df.withColumn("_one", F.lit(1)).join(F.broadcast(table), "_one")
-        .withColumn("_blk", F.aggregate(F.array(*[F.lit(s) for s in _STEPS]), F.lit(0), descend))
-        .drop("_one", "_cuts")
-    )
-    return placed, len(cuts) + 1
+    search = F.aggregate(F.array(*[F.lit(s) for s in _STEPS if s <= 2 * len(cuts)]), F.lit(0), descend)
+    return df.withColumn("_cuts", table.scalar()).withColumn("_blk", search).drop("_cuts")
+
+
+def blocks(df: DataFrame, order: Sequence[str], rows_per_block: int = ROWS_PER_BLOCK, rows: int | None = None) -> tuple[DataFrame, int]:
+    """Add ``_blk``: the range of the total order by ``order`` a row falls into; and their number."""
+    cuts = cut_rows(df, order, (), rows_per_block, rows)
+    return (place(df, order, cuts) if cuts else df.withColumn("_blk", F.lit(0))), len(cuts) + 1
 
 
 def running_sums(
@@ -129,38 +131,30 @@ def neighbours(
 ) -> DataFrame:
     """Value of a column in the previous / following row of the same key: ``{new name: column}``."""
     previous, following = previous or {}, following or {}
+    if previous and following:
+        first = neighbours(df, order, previous, None, keys, rows_per_block, rows)
+        return neighbours(first, order, None, following, keys, rows_per_block, rows)
+    wanted, shift = (previous, F.lag) if previous else (following, F.lead)
     full = [*keys, *order]
-    placed, n = blocks(df, full, rows_per_block, rows)
-    if n == 1:
+    cuts = cut_rows(df, full, list(wanted.values()), rows_per_block, rows)
+    if not cuts:
         w = Window.partitionBy(*keys).orderBy(*order)
-        new = {k: F.lag(c).over(w) for k, c in previous.items()} | {k: F.lead(c).over(w) for k, c in following.items()}
-        return placed.drop("_blk").withColumns(new)
+        return df.withColumns({k: shift(c).over(w) for k, c in wanted.items()})
+    # Blocks end (for following: begin) with their cut row, so the row across an edge is a known cut.
+    placed = place(df, full, cuts, after_cut=bool(previous))
     w = Window.partitionBy("_blk", *keys).orderBy(*order)
-    new = {k: F.lag(c).over(w) for k, c in previous.items()} | {k: F.lead(c).over(w) for k, c in following.items()}
-    local = placed.withColumns(new | {"_is_first": F.lag(F.lit(True)).over(w), "_is_last": F.lead(F.lit(True)).over(w)})
-    payload = list(dict.fromkeys([*full, *previous.values(), *following.values()]))
-    row = F.struct(*[F.col(c) for c in payload])
-    along = Window.orderBy("_blk")
-    edges = (
-        placed.groupBy("_blk").agg(F.min(row).alias("_lo"), F.max(row).alias("_hi"))
-        .select("_blk", F.lag("_hi").over(along).alias("_before"), F.lead("_lo").over(along).alias("_after"))
-    )
+    local = placed.withColumns({k: shift(c).over(w) for k, c in wanted.items()} | {"_inside": shift(F.lit(True)).over(w)})
+    row = T.StructType([df.schema[c] for c in dict.fromkeys([*full, *wanted.values()])])
+    offset = 1 if previous else 0
+    edges = df.sparkSession.createDataFrame(
+        [(i + offset, tuple(c[f] for f in row.names)) for i, c in enumerate(cuts)],
+        T.StructType([T.StructField("_blk", T.IntegerType()), T.StructField("_edge", row)]))
     joined = local.join(F.broadcast(edges), "_blk", "left")
-
-    def same(edge: str) -> Column:
-        cond = F.col(edge).isNotNull()
-        for k in keys:
-            cond = cond & F.col(edge).getField(k).eqNullSafe(F.col(k))
-        return cond
-
-    fixed = {
-        k: F.when(F.col("_is_first").isNull() & same("_before"), F.col("_before").getField(c)).otherwise(F.col(k))
-        for k, c in previous.items()
-    } | {
-        k: F.when(F.col("_is_last").isNull() & same("_after"), F.col("_after").getField(c)).otherwise(F.col(k))
-        for k, c in following.items()
-    }
-    return joined.withColumns(fixed).drop("_blk", "_is_first", "_is_last", "_before", "_after")
+    across = F.col("_inside").isNull() & F.col("_edge").isNotNull()
+    for k in keys:
+        across = across & F.col("_edge").getField(k).eqNullSafe(F.col(k))
+    fixed = {k: F.when(across, F.col("_edge").getField(c)).otherwise(F.col(k)) for k, c in wanted.items()}
+    return joined.withColumns(fixed).drop("_blk", "_inside", "_edge")
 
 
 def row_halo(df: DataFrame, rn: str, before: int, after: int, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
@@ -215,11 +209,11 @@ def percentiles(
     """
     counts = cut_lineage(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")))
     cum = running_sums(counts, [value], {"_cum": F.col("_n")}, keys, rows_per_block)
-    total = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    if not keys:
-        cum, total = cum.withColumn("_one", F.lit(1)), total.withColumn("_one", F.lit(1))
-    join_on = list(keys) or ["_one"]
-    spread = cum.join(total, join_on).withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in ps])))
+    if keys:
+        cum = cum.join(counts.groupBy(*keys).agg(F.sum("_n").alias("_total")), list(keys))
+    else:
+        cum = cum.withColumn("_total", F.lit(counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]))
+    spread = cum.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in ps])))
     at = F.col("p") * (F.col("_total") - 1)
 
     def covers(i: Column) -> Column:
