@@ -91,7 +91,8 @@ def _known(spark, sf):
     return V.node(spark, sf).where("label < 8")
 
 
-_LONG = "SELECT id, label, unnest([0,1,2,3]) AS pos, unnest(feat) AS value FROM"
+_ZERO = f"[0.0::DOUBLE FOR i IN range({DIM})]"
+_LONG = f"SELECT id, label, unnest(range({DIM}))::INT AS pos, unnest(feat) AS value FROM"
 _WIN = f"cut AS (SELECT * FROM edge WHERE t_us BETWEEN {SINCE} AND {NOW}), ends AS (SELECT src AS id FROM cut UNION SELECT dst FROM cut)"
 
 
@@ -104,7 +105,7 @@ def _(spark, sf):
     return G.temporal_subgraph(V.edge(spark, sf), _known(spark, sf), NOW, NOW - SINCE, DIM)[0]
 
 
-@query("temporal_subgraph_nodes", f"WITH {_WIN}, j AS (SELECT ends.id, coalesce(feat, [0.0,0.0,0.0,0.0]::DOUBLE[]) AS feat, coalesce(label,-1) AS label FROM ends LEFT JOIN (SELECT * FROM node WHERE label < 8) USING (id)) {_LONG} j", "edge node")
+@query("temporal_subgraph_nodes", f"WITH {_WIN}, j AS (SELECT ends.id, coalesce(feat, {_ZERO}) AS feat, coalesce(label,-1) AS label FROM ends LEFT JOIN (SELECT * FROM node WHERE label < 8) USING (id)) {_LONG} j", "edge node")
 def _(spark, sf):
     return _exploded(G.temporal_subgraph(V.edge(spark, sf), _known(spark, sf), NOW, NOW - SINCE, DIM)[1], "label")
 
@@ -181,7 +182,7 @@ def _asked(spark, sf):
 _ASKED = "(SELECT 's'||c_custkey AS id FROM customer)"
 
 
-@query("node_features_lookup", f"WITH j AS (SELECT a.id, coalesce(feat, [0.0,0.0,0.0,0.0]::DOUBLE[]) AS feat FROM {_ASKED} a LEFT JOIN node USING (id)) SELECT id, unnest([0,1,2,3]) AS pos, unnest(feat) AS value FROM j", "node")
+@query("node_features_lookup", f"WITH j AS (SELECT a.id, coalesce(feat, {_ZERO}) AS feat FROM {_ASKED} a LEFT JOIN node USING (id)) SELECT id, unnest(range({DIM}))::INT AS pos, unnest(feat) AS value FROM j", "node")
 def _(spark, sf):
     return _exploded(G.node_features(_asked(spark, sf), V.node(spark, sf), DIM))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DIM = 4
+DIM = 64
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -36,7 +36,7 @@ def edge(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def node(spark: SparkSession, sf: str) -> DataFrame:
-    """Nodes: edge endpoints with the first elements of an embedding, first/last time and a label."""
+    """Nodes: edge endpoints with an embedding, first/last time and a label."""
     e = edge(spark, sf)
     ends = e.select(F.explode(F.array("src", "dst")).alias("id"), "t_us")
     seen = ends.groupBy("id").agg(F.min("t_us").alias("first_us"), F.max("t_us").alias("ts"))
@@ -45,7 +45,7 @@ def node(spark: SparkSession, sf: str) -> DataFrame:
     num = F.substring("id", 2, 18).cast("long")
     return (
         seen.withColumn("vec_id", num % F.lit(n))
-        .join(emb.select("vec_id", F.col("label"), F.slice("embedding", 1, DIM).cast("array<double>").alias("feat")), "vec_id")
+        .join(emb.select("vec_id", F.col("label"), F.col("embedding").cast("array<double>").alias("feat")), "vec_id")
         .select("id", "feat", "first_us", "ts", F.col("label").cast("int").alias("label"))
     )
 
@@ -122,7 +122,7 @@ SQL: dict[str, tuple[str, str]] = {
         CAST(json_extract_string(props,'$.k') AS BIGINT) AS dst, value AS bytes, event_type AS label,
         CAST(event_type='error' AS INT) AS y FROM events"""),
     "edge": ("flow", "SELECT flow_id, 's'||src AS src, 'd'||dst AS dst, t_us, bytes FROM flow"),
-    "node": ("flow edge", f"""SELECT id, CAST(embedding[1:{DIM}] AS DOUBLE[]) AS feat, first_us, s.ts AS ts, CAST(label AS INT) AS label
+    "node": ("flow edge", """SELECT id, CAST(embedding AS DOUBLE[]) AS feat, first_us, s.ts AS ts, CAST(label AS INT) AS label
         FROM (SELECT id, min(t_us) AS first_us, max(t_us) AS ts FROM
             (SELECT src AS id, t_us FROM edge UNION ALL SELECT dst, t_us FROM edge) GROUP BY id) s
         JOIN embeddings m ON m.vec_id = CAST(substr(id,2) AS BIGINT) % (SELECT count(*) FROM embeddings)"""),

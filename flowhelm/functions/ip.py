@@ -7,6 +7,8 @@ import ipaddress
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from flowhelm.functions.scalar import let
+
 # The IANA special-purpose registries, as networks.
 PRIVATE_V4 = [
     "0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24",
@@ -25,11 +27,6 @@ V4_PATTERN = rf"^{_OCTET}(\.{_OCTET}){{3}}$"
 _V4_TAIL = rf":{_OCTET}(\.{_OCTET}){{3}}$"
 
 
-def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and hand it to ``body``."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def is_v4(text: Column) -> Column:
     return F.coalesce(text.rlike(V4_PATTERN), F.lit(False))
 
@@ -43,7 +40,7 @@ def _groups_text(text: Column) -> Column:
         octet = [F.lpad(F.lower(F.hex(F.get(tail, i).try_cast("long"))), 2, "0") for i in range(4)]
         return F.concat(F.regexp_replace(t, _V4_TAIL, ""), F.lit(":"), octet[0], octet[1], F.lit(":"), octet[2], octet[3])
 
-    return _let(plain, lambda t: F.when(t.rlike(_V4_TAIL), tail_as_hex(t)).otherwise(t))
+    return let(plain, lambda t: F.when(t.rlike(_V4_TAIL), tail_as_hex(t)).otherwise(t))
 
 
 def _well_formed(t: Column) -> Column:
@@ -63,7 +60,7 @@ def v6_digits(text: Column) -> Column:
         zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(0), F.lit(8) - F.size(left) - F.size(right)))
         return F.array_join(F.transform(F.concat(left, zeros, right), lambda g: F.lpad(g, 4, "0")), "")
 
-    return F.when(text.contains(":"), _let(_groups_text(text), lambda t: F.when(_well_formed(t), expand(t))))
+    return F.when(text.contains(":"), let(_groups_text(text), lambda t: F.when(_well_formed(t), expand(t))))
 
 
 def v4_number(text: Column) -> Column:

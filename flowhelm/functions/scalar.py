@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+UNROLL = 16
+
+
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -55,19 +58,29 @@ def vector(values: Sequence[float]) -> Column:
 
 
 def weighted(weights: Sequence[float], x: str | Column, start: int = 0) -> Column:
-    """Dot product of literal weights and ``x[start:]``, written out so that it compiles to plain code."""
+    """Dot product of literal weights and ``x[start:]``: short ones written out, so that they compile
+    to plain code, long ones by array functions, so that plans stay small."""
+    if len(weights) > UNROLL:
+        return dot(vector(weights), F.slice(x, start + 1, len(weights)))
     total = F.lit(0.0)
     for j, w in enumerate(weights):
         total = total + F.lit(float(w)) * F.get(col(x), start + j)
     return total
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and hand it to ``body``; the plan holds it once, too."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def affine(weight: Sequence[Sequence[float]], bias: Sequence[float], x: str | Column) -> Column:
     """``W x + b`` with one literal row of W per output element; ``x`` given as an expression is
-    handed to array functions, which evaluate it once per row of W."""
-    if isinstance(x, str):
-        return F.array(*[weighted(row, x) + F.lit(float(b)) for row, b in zip(weight, bias)])
-    return F.array(*[dot(vector(row), x) + F.lit(float(b)) for row, b in zip(weight, bias)])
+    evaluated once."""
+
+    def rows(v: str | Column) -> Column:
+        return F.array(*[weighted(row, v) + F.lit(float(b)) for row, b in zip(weight, bias)])
+
+    return rows(x) if isinstance(x, str) else let(x, rows)
 
 
 def seconds(t_us: str | Column) -> Column:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowhelm.functions.scalar import affine, weighted
+from flowhelm.functions.scalar import affine, let, weighted
 from flowhelm.plans.lookup import is_small, lookup_join
 from flowhelm.plans.skew import hot_keys
 from flowhelm.session import cut_lineage
@@ -140,7 +140,7 @@ def attention_aggregate(scored: DataFrame, projected: DataFrame, nodes: DataFram
     all_nodes = nodes.select("id", F.col(vec).alias("_in")).join(got, "id", "left")
     rst = F.coalesce("_r", F.array_repeat(F.lit(0.0), heads * out))
     if layer.residual is not None:
-        res = affine(layer.residual, [0.0] * len(layer.residual), F.slice("_in", 1, len(layer.residual[0])))
+        res = affine(layer.residual, [0.0] * len(layer.residual), "_in")
         rst = F.zip_with(rst, res, lambda a, b: a + b)
     return all_nodes.select("id", F.transform(rst, elu).alias(vec))
 
@@ -172,24 +172,23 @@ def tgat_encode(edges: DataFrame, nodes: DataFrame, layers: Sequence[Layer], enc
     return current
 
 
-def softmax(x: str | Column) -> Column:
-    top = F.array_max(x)
-    ex = F.transform(x, lambda v: F.exp(v - top))
-    total = F.aggregate(ex, F.lit(0.0), lambda s, v: s + v)
-    return F.transform(ex, lambda v: v / total)
+def softmax(x: Column) -> Column:
+    def shares(ex: Column) -> Column:
+        return let(F.aggregate(ex, F.lit(0.0), lambda s, v: s + v), lambda total: F.transform(ex, lambda v: v / total))
+
+    return let(x, lambda l: let(let(F.array_max(l), lambda top: F.transform(l, lambda v: F.exp(v - top))), shares))
 
 
 def classify(df: DataFrame, w1, b1, w2, b2, vec: str = "feat") -> DataFrame:
     """linear, ReLU, linear, softmax: columns ``probs`` and ``pred``."""
-    hidden = df.withColumn("_z", F.transform(affine(w1, b1, vec), lambda x: F.greatest(x, F.lit(0.0))))
-    logits = hidden.withColumn("_l", affine(w2, b2, "_z"))
-    probs = logits.withColumn("probs", softmax("_l")).drop("_z", "_l")
-    return probs.withColumn("pred", F.array_position("probs", F.array_max("probs")).cast("int") - 1)
+    hidden = F.transform(affine(w1, b1, vec), lambda x: F.greatest(x, F.lit(0.0)))
+    probs = df.withColumn("probs", softmax(affine(w2, b2, hidden)))
+    return probs.withColumn("pred", let(F.col("probs"), lambda p: F.array_position(p, F.array_max(p))).cast("int") - 1)
 
 
 def attack_probability(probs: str | Column = "probs") -> Column:
     """1 - p[0]; a single column is the probability itself."""
-    return F.when(F.size(probs) == 1, F.get(probs, 0)).otherwise(1.0 - F.get(probs, 0))
+    return let(F.col(probs) if isinstance(probs, str) else probs, lambda p: F.when(F.size(p) == 1, F.get(p, 0)).otherwise(1.0 - F.get(p, 0)))
 
 
 def batch_alerts(df: DataFrame, batch: str, score: str, threshold: float) -> DataFrame:
