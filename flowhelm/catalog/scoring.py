@@ -117,7 +117,9 @@ def _(spark, sf):
 
 PW, PB = grid(HEADS * OUT, DIM), line(HEADS * OUT)
 LAYER = A.Layer(PW, PB, grid(HEADS, OUT, 2), grid(HEADS, OUT, 5), grid(HEADS * OUT, DIM, 4))
-LAYERS = [A.Layer(grid(HEADS * OUT, DIM + TDIM, s), line(HEADS * OUT, s), grid(HEADS, OUT, 2 + s), grid(HEADS, OUT, 5 + s), grid(HEADS * OUT, DIM, 4 + s)) for s in (0, 1)]
+LAYERS = [
+    A.Layer(grid(HEADS * OUT, width + TDIM, s), line(HEADS * OUT, s), grid(HEADS, OUT, 2 + s), grid(HEADS, OUT, 5 + s), grid(HEADS * OUT, width, 4 + s))
+    for s, width in enumerate((DIM, HEADS * OUT))]
 TW, TB = W8[:TDIM], B8[:TDIM]
 
 

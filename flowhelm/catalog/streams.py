@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from flowhelm.catalog import views as V
 from flowhelm.catalog.registry import query
-from flowhelm.catalog.scoring import C1, C2, D1, D2, LAYERS, TDIM, encode
+from flowhelm.catalog.scoring import C2, D1, D2, HEADS, LAYERS, OUT, TDIM, encode, grid
 from flowhelm.functions.scalar import r6
 from flowhelm.operators import attention as A
 from flowhelm.operators import edges as E
@@ -64,7 +64,7 @@ def _(spark, sf):
         edges = batch.withColumn("t", F.pmod(F.col("t_us"), F.lit(DAY_US)) / F.lit(1e6))
         touched = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
         vectors = A.tgat_layer(edges, nodes.join(touched, "id", "left_semi"), LAYERS[0], encode, TDIM)
-        probs = A.classify(vectors, C1, D1, C2, D2).select(F.lit(number).alias("batch"), A.attack_probability().alias("score"))
+        probs = A.classify(vectors, grid(6, HEADS * OUT, 1), D1, C2, D2).select(F.lit(number).alias("batch"), A.attack_probability().alias("score"))
         A.batch_alerts(probs, "batch", "score", 0.7).write.mode("overwrite").json(f"{alerts}/_batch={number}")
 
     J.run_batches(_arriving(spark, sf), J.edge_batches(spark, store, after=score))
