@@ -51,6 +51,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_STORED: list[str] = []
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read back: cut lineage that keeps columns apart and survives
+    lost executors. :func:`release` removes these tables."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    _STORED.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove what :func:`stored` has written so far; call it when the results built on it are written."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    while _STORED:
+        path = hadoop(_STORED.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: later steps restart from shared storage, also after executor loss."""
     shared_dir(df.sparkSession)
