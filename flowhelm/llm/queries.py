@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowhelm.llm import mixing
+from flowhelm.llm import chat, mixing, secrets
 from flowhelm.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +38,18 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"),
         F.round(F.get("positions", F.lit(0)), 6).alias("first_position"))
+
+
+@query(secrets.SQL)
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents, and weak credential parts near those that complete them."""
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+@query(chat.SQL)
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations formatted, and read back from the formatted text."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-1, i, role, "</s>[INST] ok [/INST]") for i, role in enumerate(("user", "assistant"))], turns.schema)
+    parts = turns.unionByName(probe).withColumn("parts", chat.text_parts(F.coalesce("text", F.lit(""))))
+    return chat.read_back(chat.format_turns(parts))
