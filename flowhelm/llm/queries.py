@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowhelm.llm import chat, mixing, secrets
+from flowhelm.llm import chat, fingerprint, mixing, secrets
 from flowhelm.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,9 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.createDataFrame([(-1, i, role, "</s>[INST] ok [/INST]") for i, role in enumerate(("user", "assistant"))], turns.schema)
     parts = turns.unionByName(probe).withColumn("parts", chat.text_parts(F.coalesce("text", F.lit(""))))
     return chat.read_back(chat.format_turns(parts))
+
+
+@query()
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Winnowed fingerprints of all documents and of their edited texts."""
+    return fingerprint.compare_edits(table(spark, sf_dir, "documents"))
