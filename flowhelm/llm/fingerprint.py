@@ -45,7 +45,12 @@ def _grams(data: Column, k: int, offset: Column | int = 0) -> Column:
     n = F.greatest(F.length(data) - (k - 1), F.least(F.length(data), F.lit(1)))
     starts = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
     at = _POSITIONS - (F.lit(0) + offset).cast("long")
-    return F.transform(starts, lambda i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(F.substring(data, i, F.lit(k))), 31), 30) + (at - i))
+
+    def gram(of: Column, i: Column) -> Column:
+        return F.shiftleft(F.shiftrightunsigned(F.xxhash64(F.substring(of, i, F.lit(k))), 31), 30) + (at - i)
+
+    # The bytes are bound once: a reference to a binary column inside a lambda would copy them for every gram.
+    return _once(F.struct(data.alias("d"), starts.alias("i")), lambda x: F.transform(x["i"], lambda i: gram(x["d"], i)))
 
 
 def winnow(df: DataFrame, text: str, out: str, k: int = K, window: int = WINDOW) -> DataFrame:
