@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowhelm.llm import chat, decontaminate, fingerprint, lines, minhash, mixing, secrets, toxicity
+from flowhelm.llm import chat, decontaminate, fingerprint, lines, minhash, mixing, secrets, suffixes, toxicity
 from flowhelm.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items, or near copies of them, in all documents."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without bytes under 100-byte strings that start earlier."""
+    cut = suffixes.dedup_bytes(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

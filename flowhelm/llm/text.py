@@ -69,7 +69,7 @@ class Spans:
         n = len(self.prefix) - k
         if n <= 0:
             return np.zeros(0, dtype=np.uint64)
-        return mix((self.prefix[k:] - self.prefix[:n]) * self.inverse[:n] + np.uint64(k) * self.salt)
+        return mix((self.prefix[k:] - self.prefix[:n]) * self.inverse[:n] + np.uint64(k * int(self.salt) % (1 << 64)))
 
 
 def pieces(texts: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
