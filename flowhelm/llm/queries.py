@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowhelm.llm import chat, decontaminate, fingerprint, lines, minhash, mixing, secrets, suffixes, toxicity
+from flowhelm.llm import chat, decontaminate, fingerprint, lines, minhash, mixing, ngrams, secrets, suffixes, toxicity
 from flowhelm.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,9 @@ def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without bytes under 100-byte strings that start earlier."""
     cut = suffixes.dedup_bytes(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query()
+def op9_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents under an interpolated n-gram model of the documents not held out."""
+    return ngrams.score(table(spark, sf_dir, "documents"))
