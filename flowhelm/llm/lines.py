@@ -136,9 +136,11 @@ def _lost(key: tuple, probes: pa.Table, shards: pa.Table) -> pa.Table:
         docs.append(ids[hit])
         keys.append(pairs[hit])
     docs, keys = np.concatenate(docs), np.concatenate(keys)
+    if not len(docs):
+        return schema.empty_table()
     order = np.argsort(docs, kind="stable")
     docs, keys = docs[order], keys[order]
-    begin = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]])) if len(docs) else np.zeros(0, np.int64)
+    begin = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]]))
     raw = keys.tobytes()
     end = np.append(begin[1:], len(docs))
     return pa.table([docs[begin], [raw[16 * a : 16 * b] for a, b in zip(begin, end, strict=True)]], schema=schema)
@@ -186,7 +188,7 @@ def dedup_lines(docs: DataFrame, least_chars: int = 10, keys_per_shard: int = KE
             text, lost = batch.column("text"), batch.column("_lost")
             n_lines, n_dropped = np.ones(len(text), dtype=np.int64), np.zeros(len(text), dtype=np.int64)
             fresh: list[str | None] = [None] * len(text)
-            has = np.asarray(lost.is_valid())
+            has = np.asarray(lost.is_valid()) & np.asarray(text.is_valid())
             for at, offsets, data in pieces(text):
                 breaks = np.flatnonzero(data == 10)
                 n_lines[at : at + len(offsets) - 1] += np.bincount(np.searchsorted(offsets, breaks, side="right") - 1, minlength=len(offsets) - 1)

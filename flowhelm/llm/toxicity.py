@@ -136,9 +136,11 @@ def _fit(sets: list[np.ndarray], swapped: list[np.ndarray | None], labels: np.nd
                 sign.append(np.full(len(place), s))
     pair, change, sign = (np.concatenate(x) if x else np.zeros(0) for x in (pair, change, sign))
     pair, change = pair.astype(np.int64), change.astype(np.int64)
-    # Accelerated gradient steps, each feature scaled by how often it occurs.
-    often = np.bincount(col, minlength=m) + np.bincount(change, minlength=m) * fairness * 8
-    rate = 1 / (0.25 * np.sqrt(often * max(1.0, len(row) / n)) + penalty)
+    # Accelerated gradient steps; each feature's step follows a bound of the curvature in its row (diagonal dominance).
+    bend = 0.25 * np.bincount(col, np.bincount(row, minlength=n)[row] + 1, m) + penalty
+    if len(pair):
+        bend += 2 * fairness * np.bincount(change, np.bincount(pair, minlength=n)[pair], m)
+    rate, rate_b = 1 / bend, 1 / (0.25 * (len(row) + n))
     w = v = np.zeros(m)
     b = c = 0.0
     for t in range(steps):
@@ -148,14 +150,14 @@ def _fit(sets: list[np.ndarray], swapped: list[np.ndarray | None], labels: np.nd
         if len(pair):
             moved = np.bincount(pair, sign * v[change], n)
             g += fairness * 2 * np.bincount(change, sign * moved[pair], m)
-        w2, b2 = v - 0.5 * rate * g / np.sqrt(max(1.0, len(row) / n)), c - 2.0 * r.sum() / n
+        w2, b2 = v - rate * g, c - rate_b * r.sum()
         mu = t / (t + 3)
         v, c = w2 + mu * (w2 - w), b2 + mu * (b2 - b)
         w, b = w2, b2
     return Model(kept, w, float(b))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: float = 0.1, fairness: float = 1.0, steps: int = 400) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: float = 0.1, fairness: float = 1.0, steps: int = 1000) -> Model:
     """The model from the ``sample`` labelled documents of each kind that come first by hash. Give only rows to learn
     from. What reaches the driver is bounded by the sample."""
     told = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")) \
