@@ -85,9 +85,12 @@ def _(spark, sf):
     return spark.createDataFrame(scales, "scale string, size_s double").withColumn("size_s", F.round("size_s", 3))
 
 
+COARSE = ("medium", "large")  # the windows of the finest scale would be millions over a month
+
+
 def adaptive_windows(spark, sf):
     f = _f(spark, sf)
-    return W.generate_windows(spark, W.analyse(f, ORDER)[1], *W.span(f))
+    return W.generate_windows(spark, W.analyse(f, ORDER, enabled=COARSE)[1], *W.span(f))
 
 
 @query("generate_windows", f"SELECT {_MS} FROM win", "win")
@@ -95,6 +98,13 @@ def _(spark, sf):
     return _ms(adaptive_windows(spark, sf))
 
 
+@query("generate_windows_capped", f"SELECT {_MS} FROM wincap", "wincap")
+def _(spark, sf):
+    """At most 100 windows per size, of all default scales."""
+    f = _f(spark, sf)
+    return _ms(W.generate_windows(spark, W.analyse(f, ORDER)[1], *W.span(f), max_windows=100))
+
+
 @query("windows_per_scale", "SELECT scale, count(*) AS n_windows FROM win GROUP BY scale", "win")
 def _(spark, sf):
     return W.windows_per_scale(adaptive_windows(spark, sf))
@@ -129,7 +139,7 @@ def _(spark, sf):
 @query("periodic_windows_auto", f"SELECT {_MS} FROM win", "win")
 def _(spark, sf):
     """The events have no period, so the pattern falls back to adaptive windows."""
-    return _ms(W.windows_for_pattern(_f(spark, sf), ORDER, "periodic"))
+    return _ms(W.windows_for_pattern(_f(spark, sf), ORDER, "periodic", enabled=COARSE))
 
 
 _LOWSLOW = """WITH p AS (SELECT t0, t1, greatest(3600000000.0::DOUBLE, (t1-t0)/5::DOUBLE) AS large FROM rng),

@@ -22,8 +22,7 @@ def source_activity(spark, sf):
     flow = V.flow(spark, sf)
     feats = flows.time_delta_features(spark, sf).groupBy("src").agg(
         F.avg(F.when(F.col("time_delta") >= 0, F.col("time_delta"))).alias("mean_gap"), F.max("count_3600s").alias("busiest_hour"))
-    links = graphs.temporal_edges(spark, sf).join(flow.select(F.col("flow_id").alias("src_flow"), "src"), "src_flow").groupBy("src").agg(F.count(F.lit(1)).alias("n_links"))
-    life = L.lifecycle(flow.select(F.col("src").alias("id"), "t_us")).withColumnRenamed("id", "src")
-    errors = flow.groupBy("src").agg(F.sum("y").alias("n_errors"))
-    out = life.join(errors, "src").join(feats, "src").join(links, "src", "left")
+    links = graphs.temporal_edges(spark, sf, ends=True).groupBy("src").agg(F.count(F.lit(1)).alias("n_links"))
+    life = L.lifecycle(flow.select(F.col("src").alias("id"), "t_us", "y"), F.sum("y").alias("n_errors")).withColumnRenamed("id", "src")
+    out = life.join(feats, "src").join(links, "src", "left")
     return out.select("src", r6("mean_gap").alias("mean_gap"), "busiest_hour", F.coalesce("n_links", F.lit(0)).alias("n_links"), "first_us", "last_us", "activity", "n_errors")

@@ -15,14 +15,17 @@ DAY_US, HOUR_US = 86_400_000_000, 3_600_000_000
 NOW, SINCE = 1704844800000000, 1704844800000000 - 21600000000
 DIM = V.DIM
 
-_E1 = f"""SELECT flow_id AS src_flow, id2 AS dst_flow, t2 AS t_us, round((t2-t_us)/1000000.0::DOUBLE,6)+0.0 AS gap, round(CASE WHEN bytes > 0 THEN s2/bytes ELSE 0 END,6)+0.0 AS size_ratio FROM (
+_E50 = f"""SELECT flow_id AS src_flow, id2 AS dst_flow, t2 AS t_us, round((t2-t_us)/1000000.0::DOUBLE,6)+0.0 AS gap, round(CASE WHEN bytes > 0 THEN s2/bytes ELSE 0 END,6)+0.0 AS size_ratio FROM (
     SELECT *, lead(t_us) OVER w AS t2, lead(flow_id) OVER w AS id2, lead(bytes) OVER w AS s2 FROM (
         SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY t_us, flow_id) AS rn FROM flow) WHERE rn <= 50 WINDOW w AS (PARTITION BY src, dst ORDER BY t_us, flow_id))
     WHERE (t2-t_us)/1000000.0 <= {WEEK_S}"""
 
 
-def temporal_edges(spark, sf):
-    return G.temporal_edges(V.flow(spark, sf), "src", "dst", "t_us", "flow_id", "bytes", WEEK_S)
+_E1 = _E50.replace("rn <= 50", "true")
+
+
+def temporal_edges(spark, sf, **options):
+    return G.temporal_edges(V.flow(spark, sf), "src", "dst", "t_us", "flow_id", "bytes", WEEK_S, **options)
 
 
 @query("temporal_edges", _E1, "flow")
@@ -30,6 +33,14 @@ def _(spark, sf):
     return temporal_edges(spark, sf).withColumns({"gap": r6("gap"), "size_ratio": r6("size_ratio")})
 
 
+@query("temporal_edges_capped", _E50.replace("rn <= 50", "rn <= 2").replace("PARTITION BY src, dst", "PARTITION BY src, dst % 10").replace("FROM flow)", "FROM (SELECT * EXCLUDE(dst), dst % 10 AS dst FROM flow))"), "flow")
+def _(spark, sf):
+    """The first two flows of each pair alone; pairs are made coarse enough to reach the cap."""
+    flow = V.flow(spark, sf).withColumn("dst", F.col("dst") % 10)
+    capped = G.temporal_edges(flow, "src", "dst", "t_us", "flow_id", "bytes", WEEK_S, per_pair=2)
+    return capped.withColumns({"gap": r6("gap"), "size_ratio": r6("size_ratio")})
+
+
 @query("ip_pair_groups", "SELECT src, dst, count(*) AS n_flows, min(t_us) AS first_us, max(t_us) AS last_us FROM flow GROUP BY ALL", "flow")
 def _(spark, sf):
     return G.pair_groups(V.flow(spark, sf), "src", "dst", "t_us")

@@ -130,10 +130,10 @@ _SUBNETS = ", ".join(f"CAST({_sub(b)} AS BIGINT) AS src_ip_subnet_{b}" for b in
 _FLAGS = f"CAST(coalesce({_PRIV},false) AS INT) AS src_ip_is_private, CAST(coalesce({_GLOB},false) AS INT) AS src_ip_is_global"
 
 
-@query("detect_ip_columns", f"SELECT 'src_ip' AS \"column\", round(avg(CAST({_OK} AS INT)),6)+0.0 AS share FROM (SELECT src_ip FROM ip ORDER BY flow_id LIMIT 100)", "ip")
+@query("detect_ip_columns", f"SELECT 'src_ip' AS \"column\", round(avg(CAST({_OK} AS INT)),6)+0.0 AS share FROM ip", "ip")
 def _(spark, sf):
     d = V.ip(spark, sf).withColumn("script", F.lit("tcp"))
-    return spark.createDataFrame(C.detect_ip_columns(d, "flow_id"), "column string, share double").withColumn("share", r6("share"))
+    return spark.createDataFrame(C.detect_ip_columns(d), "column string, share double").withColumn("share", r6("share"))
 
 
 @query("ip_valid", f"SELECT flow_id, {_OK} AS valid FROM ip", "ip")

@@ -34,11 +34,10 @@ def _(spark, sf):
     return P.sample_stratified(_flows(spark, sf), "flow_id", "label", 0.25, "s1")
 
 
-@query("sample_stratified_min", f"""WITH RECURSIVE {_COUNTS}, st AS (SELECT label, c, n, CASE WHEN c <= 50 THEN c ELSE greatest(floor(c*0.33::DOUBLE), least(50, c)) END AS q, row_number() OVER (ORDER BY c DESC, label) AS i FROM cc),
-    tt AS (SELECT CAST(floor(max(n)*0.33::DOUBLE) - sum(q) AS BIGINT) AS spare, sum(c) FILTER (c > q) AS open_rows FROM st),
-    walk AS (SELECT CAST(0 AS BIGINT) AS i, greatest(spare,0) AS lft, CAST(0 AS BIGINT) AS extra FROM tt
-      UNION ALL SELECT st.i, lft - CAST(CASE WHEN st.c > st.q THEN floor(lft*(st.c/open_rows::DOUBLE)) ELSE 0 END AS BIGINT), CAST(CASE WHEN st.c > st.q THEN floor(lft*(st.c/open_rows::DOUBLE)) ELSE 0 END AS BIGINT) FROM walk JOIN st ON st.i = walk.i + 1, tt),
-    qq AS (SELECT label, q + extra + CASE WHEN st.i = 1 THEN (SELECT min(lft) FROM walk) ELSE 0 END AS quota FROM st JOIN walk USING (i))
+@query("sample_stratified_min", f"""WITH {_COUNTS}, fl AS (SELECT label, c, n, least(c, greatest(floor(c*0.33::DOUBLE), 50)) AS q FROM cc),
+    sp AS (SELECT *, greatest(0, floor(n*0.33::DOUBLE) - sum(q) OVER ()) AS spare, greatest(1, sum(c - q) OVER ()) AS open_rows FROM fl),
+    sh AS (SELECT *, (c - q)*spare/open_rows::DOUBLE AS share FROM sp),
+    qq AS (SELECT label, q + floor(share) + CASE WHEN row_number() OVER (ORDER BY share-floor(share) DESC, c DESC, label) <= spare - sum(floor(share)) OVER () THEN 1 ELSE 0 END AS quota FROM sh)
     SELECT flow_id, t_us, f.label FROM (SELECT *, {_LRANK.format(s='m1')} FROM flow) f JOIN qq USING (label) WHERE rk <= quota""", "flow")
 def _(spark, sf):
     return P.sample_stratified_min(_flows(spark, sf), "flow_id", "label", 0.33, 50, "m1")
@@ -57,6 +56,13 @@ def _(spark, sf):
     return P.split_train_test(_flows(spark, sf), "flow_id", "label", 0.2, "t1").select("flow_id", "split")
 
 
+@query("split_train_test_nulls", f"WITH {_SPLIT.replace('FROM flow', 'FROM lab').replace('USING (label)', 'ON f.label IS NOT DISTINCT FROM qq.label').replace('ORDER BY share-floor(share) DESC, c DESC, label)', 'ORDER BY share-floor(share) DESC, c DESC, label NULLS LAST)').replace('cc AS', 'lab AS (SELECT flow_id, CASE WHEN flow_id % 5 > 0 THEN label END AS label FROM flow), cc AS')} SELECT flow_id, split FROM sp", "flow")
+def _(spark, sf):
+    """Rows without a label are split like a class of their own."""
+    lab = _flows(spark, sf).withColumn("label", F.when(F.col("flow_id") % 5 > 0, F.col("label")))
+    return P.split_train_test(lab, "flow_id", "label", 0.2, "t1").select("flow_id", "split")
+
+
 @query("split_reuse", f"WITH {_SPLIT} SELECT flow_id, coalesce(CASE WHEN y = 1 THEN 'test' END, split) AS split FROM sp JOIN flow USING (flow_id)", "flow")
 def _(spark, sf):
     new = P.split_train_test(_flows(spark, sf), "flow_id", "label", 0.2, "t1").select("flow_id", "split")

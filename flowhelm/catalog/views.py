@@ -88,10 +88,10 @@ def num(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def score(spark: SparkSession, sf: str) -> DataFrame:
-    """Binary scores with ties."""
+    """Binary scores with ties: growing in the whole length of a text, rounded."""
     d = table(spark, sf, "documents").select("doc_id", "n_chars")
     l = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("y"))
-    return l.join(d, "doc_id").select("doc_id", F.col("y").cast("int").alias("y"), (F.least("n_chars", F.lit(5000)) / F.lit(5000.0)).alias("p"))
+    return l.join(d, "doc_id").select("doc_id", F.col("y").cast("int").alias("y"), F.round(F.col("n_chars") / (F.col("n_chars") + F.lit(5000.0)), 2).alias("p"))
 
 
 CLASSES = ["click", "error", "purchase", "signup", "view"]
@@ -138,7 +138,7 @@ SQL: dict[str, tuple[str, str]] = {
         2*l_quantity + 0.01*l_linenumber::DOUBLE AS qty_copy, l_returnflag AS label FROM lineitem"""),
     "numlong": ("num", """SELECT label, feature, value FROM num UNPIVOT (value FOR feature IN
         (l_quantity, l_extendedprice, l_discount, l_tax, l_linenumber, qty_copy))"""),
-    "score": ("", """SELECT doc_id, CAST(quality AS INT) AS y, least(n_chars,5000)/5000.0::DOUBLE AS p FROM labels JOIN documents USING (doc_id)"""),
+    "score": ("", """SELECT doc_id, CAST(quality AS INT) AS y, round(n_chars/(n_chars+5000.0::DOUBLE),2) AS p FROM labels JOIN documents USING (doc_id)"""),
     "multi": ("flow", """SELECT flow_id, y, pred, [CASE WHEN pred = i THEN hit ELSE (1.0::DOUBLE - hit)/4.0::DOUBLE END FOR i IN [0,1,2,3,4]] AS probs FROM (
         SELECT flow_id, y, CAST(coalesce(lag(y) OVER (PARTITION BY src ORDER BY t_us, flow_id), 0) AS INT) AS pred,
             0.6::DOUBLE + 0.001::DOUBLE * (flow_id % 100) AS hit FROM (
@@ -164,6 +164,9 @@ SQL: dict[str, tuple[str, str]] = {
         UNION ALL SELECT 'macro', greatest(3600.0::DOUBLE, hi/2) FROM gst, burst WHERE hi > 3600 OR low_slow)"""),
     "rng": ("flow", "SELECT min(t_us) AS t0, max(t_us) AS t1 FROM flow"),
     "win": ("scales rng", """SELECT scale, size_s, t0::DOUBLE + i*(size_s*1000000.0::DOUBLE) AS start_us, CASE WHEN i = n-1 THEN greatest(t0::DOUBLE + i*(size_s*1000000.0::DOUBLE) + size_s*1000000.0::DOUBLE, t1::DOUBLE)
+        ELSE t0::DOUBLE + i*(size_s*1000000.0::DOUBLE) + size_s*1000000.0::DOUBLE END AS end_us FROM (
+        SELECT *, unnest(range(n)) AS i FROM (SELECT *, CAST(greatest(1, ceil((t1-t0)::DOUBLE/(size_s*1000000.0::DOUBLE))) AS BIGINT) AS n FROM scales, rng WHERE scale IN ('medium','large')))"""),
+    "wincap": ("scales rng", """SELECT scale, size_s, t0::DOUBLE + i*(size_s*1000000.0::DOUBLE) AS start_us, CASE WHEN i = n-1 THEN greatest(t0::DOUBLE + i*(size_s*1000000.0::DOUBLE) + size_s*1000000.0::DOUBLE, t1::DOUBLE)
         ELSE t0::DOUBLE + i*(size_s*1000000.0::DOUBLE) + size_s*1000000.0::DOUBLE END AS end_us FROM (
         SELECT *, unnest(range(n)) AS i FROM (SELECT *, CAST(greatest(1, least(ceil((t1-t0)::DOUBLE/(size_s*1000000.0::DOUBLE)), 100)) AS BIGINT) AS n FROM scales, rng WHERE scale IN ('micro','medium','large')))"""),
 }

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -37,13 +36,17 @@ def _text(df: DataFrame) -> list[str]:
 
 
 def clean_column_names(df: DataFrame) -> DataFrame:
-    """Trim, every non-alphanumeric character to ``_``; later duplicates get ``_2``, ``_3``."""
-    used: dict[str, int] = {}
-    names = []
-    for c in df.columns:
-        base = re.sub(r"[^a-zA-Z0-9]", "_", c.strip())
-        used[base] = used.get(base, 0) + 1
-        names.append(base if used[base] == 1 else f"{base}_{used[base]}")
+    """Trim; every character that is no letter or digit of any script becomes ``_``. Later duplicates
+    get the first of ``_2``, ``_3``, ... that no column has."""
+    wanted = ["".join(x if x.isalnum() else "_" for x in c.strip()) for c in df.columns]
+    taken, names = set(), []
+    for base in wanted:
+        name, n = base, 1
+        while name in taken or (n > 1 and name in wanted):
+            n += 1
+            name = f"{base}_{n}"
+        taken.add(name)
+        names.append(name)
     return df.toDF(*names)
 
 
@@ -197,16 +200,14 @@ def identify_target(df: DataFrame, configured: str | None = None, legacy: bool =
     return df.columns[-1]
 
 
-def detect_ip_columns(df: DataFrame, row_id: str, probe: int = 100) -> list[tuple[str, float]]:
-    """(column, valid share) for text columns named like an IP whose first values mostly parse."""
-    found = []
-    for c in _text(df):
-        if "ip" in c.lower():
-            head = df.where(F.col(c).isNotNull()).orderBy(row_id).limit(probe)
-            share = head.agg(F.avg(IP.ip_valid(F.col(c)).cast("double"))).first()[0]
-            if share is not None and share > 0.5:
-                found.append((c, share))
-    return found
+def detect_ip_columns(df: DataFrame) -> list[tuple[str, float]]:
+    """(column, valid share) for text columns named like an IP whose values mostly parse; one aggregate
+    over all values of all such columns, nulls aside."""
+    named = [c for c in _text(df) if "ip" in c.lower()]
+    if not named:
+        return []
+    shares = df.agg(*[F.avg(F.when(F.col(c).isNotNull(), IP.ip_valid(F.col(c)).cast("double"))).alias(f"s{i}") for i, c in enumerate(named)]).first()
+    return [(c, share) for c, share in zip(named, shares, strict=True) if share is not None and share > 0.5]
 
 
 def parse_ips(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -336,7 +337,7 @@ def preprocess(df: DataFrame, row_id: str, target: str | None = None, select_fea
     df = fill_missing_text(impute_median(replace_inf(clean_column_names(df)), None))
     df = df.drop(*[c for c in constant_columns(df) if c != row_id])
     label = identify_target(df.drop(row_id), target)
-    ips = [c for c, _ in detect_ip_columns(df.drop(label), row_id)]
+    ips = [c for c, _ in detect_ip_columns(df.drop(label))]
     df = ip_features(df, ips) if ips else df
     df = label_encode(df, label, row_id, "_code").drop(label).withColumnRenamed("_code", label)
     df = cut_lineage(df)  # the passes below would otherwise each redo the parsing above

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowhelm.plans.ordered import ROWS_PER_BLOCK, neighbours, number, row_halo
-from flowhelm.plans.skew import salted_join
+from flowhelm.plans.ordered import ROWS_PER_BLOCK, neighbours, number, row_halo, running_sums
+from flowhelm.plans.skew import null_safe_join, salted_join
 
 FORWARD_SECONDS = (1, 5, 10, 30, 60)
 MICROS = 1_000_000
@@ -34,24 +34,22 @@ def forward_counts(
 ) -> DataFrame:
     """Flows of the same entity in ``[t, t+w]`` for every w in seconds, the row itself included.
 
-    Beyond one block of rows the counts are made on (entity, t) totals cut into time buckets as
-    wide as the longest frame, each with a copy of the next bucket: a hot entity spreads over its
-    buckets, and a bucket holds at most one row per microsecond.
+    Beyond one block of rows the counts are differences of running counts: the totals of every
+    (entity, t) and a probe at the end of each of its frames are put in one order, which is summed in
+    blocks, so a hot entity or a busy second spreads over as many tasks as it needs.
     """
     names = {w: f"count_{w}s" for w in sizes}
     if df.count() <= rows_per_block:
         w0 = Window.partitionBy(entity).orderBy(t_us)
         return df.withColumns({n: F.count(F.lit(1)).over(w0.rangeBetween(0, w * MICROS)) for w, n in names.items()})
-    width = max(sizes) * MICROS
-    bucket = F.floor(F.col(t_us) / width)
     totals = df.groupBy(entity, t_us).agg(F.count(F.lit(1)).alias("_n"))
-    spread = totals.withColumn("_bkt", F.explode(F.array(bucket, bucket - 1)))
-    w0 = Window.partitionBy(entity, "_bkt").orderBy(t_us)
-    counted = (
-        spread.withColumns({n: F.sum("_n").over(w0.rangeBetween(0, w * MICROS)) for w, n in names.items()})
-        .where(F.col("_bkt") == bucket).drop("_bkt", "_n")
-    )
-    return salted_join(df, counted, [entity, t_us], t_us)
+    ends = F.array(*[F.struct(F.lit(w).alias("_w"), (F.col(t_us) + w * MICROS).alias("_at"), F.lit(0).cast("long").alias("_add")) for w in sizes])
+    event = F.array(F.struct(F.lit(-1).alias("_w"), F.col(t_us).alias("_at"), F.col("_n").alias("_add")))
+    points = totals.select(entity, t_us, F.inline(F.concat(event, ends)))  # events come before the probes of their time
+    summed = running_sums(points, ["_at", "_w", t_us], {"_c": F.col("_add")}, [entity], rows_per_block)
+    before = F.max(F.when(F.col("_w") == -1, F.col("_c") - F.col("_add")))
+    counted = summed.groupBy(entity, t_us).agg(*[(F.max(F.when(F.col("_w") == w, F.col("_c"))) - before).alias(n) for w, n in names.items()])
+    return null_safe_join(df, counted, [entity, t_us])
 
 
 def time_delta_features(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from flowhelm.functions.scalar import cosine, seeded_hash
 from flowhelm.plans.lookup import keep_matching, lookup_join, with_both_ends
-from flowhelm.plans.ordered import ROWS_PER_BLOCK, number
+from flowhelm.plans.ordered import ROWS_PER_BLOCK, neighbours, number
 from flowhelm.plans.skew import HOT_ROWS, salted_join
 
 MICROS = 1_000_000
@@ -17,17 +17,25 @@ MICROS = 1_000_000
 
 def temporal_edges(
     flows: DataFrame, src: str, dst: str, t_us: str, ident: str, size: str,
-    max_gap_s: float = 0.5, per_pair: int = 50, max_edges: int | None = None,
+    max_gap_s: float = 0.5, per_pair: int | None = None, max_edges: int | None = None, ends: bool = False, rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
-    """Links between consecutive flows of a pair that follow within ``max_gap_s``; of each pair the
-    first ``per_pair`` flows count. Spark limits the rows of a pair before the shuffle, so a hot pair
-    sends at most ``per_pair`` rows per map task."""
-    w = Window.partitionBy(src, dst).orderBy(t_us, ident)
-    head = flows.select(src, dst, t_us, ident, size).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= per_pair)
+    """Links between consecutive flows of a pair that follow within ``max_gap_s``; ``ends`` keeps the pair.
+
+    All flows count; a caller may ask for the first ``per_pair`` flows of each pair alone, which Spark
+    limits before the shuffle. The flows of a hot pair are ordered in blocks."""
+    wanted = flows.select(*dict.fromkeys([src, dst, t_us, ident, size]))
+    nexts = {"_t2": t_us, "_id2": ident, "_s2": size}
+    if per_pair is None:
+        head = neighbours(wanted, [t_us, ident], following=nexts, keys=[src, dst], rows_per_block=rows_per_block)
+    else:
+        w = Window.partitionBy(src, dst).orderBy(t_us, ident)
+        first = wanted.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= per_pair)
+        head = first.withColumns({k: F.lead(c).over(w) for k, c in nexts.items()})
     gap = (F.col("_t2") - F.col(t_us)) / F.lit(float(MICROS))
-    linked = head.withColumns({"_t2": F.lead(t_us).over(w), "_id2": F.lead(ident).over(w), "_s2": F.lead(size).over(w)}).where(gap <= max_gap_s)
+    linked = head.where(gap <= max_gap_s)
     ratio = F.when(F.col(size) > 0, F.col("_s2") / F.col(size)).otherwise(F.lit(0.0))
-    edges = linked.select(F.col(ident).alias("src_flow"), F.col("_id2").alias("dst_flow"), F.col("_t2").alias("t_us"), gap.alias("gap"), ratio.alias("size_ratio"))
+    pair = [F.col(src), F.col(dst)] if ends else []
+    edges = linked.select(*pair, F.col(ident).alias("src_flow"), F.col("_id2").alias("dst_flow"), F.col("_t2").alias("t_us"), gap.alias("gap"), ratio.alias("size_ratio"))
     return edges if max_edges is None else edges.orderBy("t_us", "dst_flow").limit(max_edges)
 
 

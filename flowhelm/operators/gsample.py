@@ -160,18 +160,21 @@ def recent_edge_nodes(edges: DataFrame, size: int) -> DataFrame:
     return top_rows(ends.groupBy("id").agg(F.max("t_us").alias("last_us")), [-F.col("last_us"), F.col("id")], size)
 
 
-def bfs_sample(edges: DataFrame, seeds: DataFrame, size: int, seed: str = "0", max_levels: int = 50) -> DataFrame:
-    """(id, level): breadth-first from the seeds until ``size`` nodes; the last level fills by hash order."""
+def bfs_sample(edges: DataFrame, seeds: DataFrame, size: int, seed: str = "0") -> DataFrame:
+    """(id, level): breadth-first from the seeds until ``size`` nodes or no new ones; the last level fills
+    by hash order."""
     nbrs = cut_lineage(both_directions(edges))
     found = front = cut_lineage(seeds.select("id").distinct().withColumn("level", F.lit(0)))
-    for level in range(1, max_levels + 1):
-        if found.count() >= size:
-            break
+    level, reached = 0, found.count()
+    while reached < size:
+        level += 1
         new = nbrs.join(front.select("id"), "id").select(F.col("nbr").alias("id")).distinct()
         front = cut_lineage(new.join(found.select("id"), "id", "left_anti").withColumn("level", F.lit(level)))
-        if front.isEmpty():
+        fresh = front.count()
+        if not fresh:
             break
-        found = cut_lineage(found.unionByName(front))
+        reached += fresh
+        found = found.unionByName(front)
     return top_rows(found.withColumn("_h", seeded_hash("id", seed)), [F.col("level"), F.col("_h")], size).drop("_h")
 
 

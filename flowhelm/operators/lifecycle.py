@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -11,8 +11,9 @@ def sightings(edges: DataFrame, src: str = "src", dst: str = "dst", t_us: str =
     return edges.select(F.explode(F.array(src, dst)).alias("id"), F.col(t_us).alias("t_us"))
 
 
-def lifecycle(seen: DataFrame) -> DataFrame:
-    return seen.groupBy("id").agg(F.min("t_us").alias("first_us"), F.max("t_us").alias("last_us"), F.count(F.lit(1)).alias("activity"))
+def lifecycle(seen: DataFrame, *more: Column) -> DataFrame:
+    """First and last sighting and their number per node; ``more`` aggregates come from the same pass."""
+    return seen.groupBy("id").agg(F.min("t_us").alias("first_us"), F.max("t_us").alias("last_us"), F.count(F.lit(1)).alias("activity"), *more)
 
 
 def bucket_members(seen: DataFrame, size_us: int) -> DataFrame:

@@ -1,8 +1,8 @@
 """Row sampling, train/test splits and cross-validation folds.
 
 Every random choice ranks rows by md5(id|seed), so results repeat exactly. Ranks come from
-plans.ordered, which spreads large classes over uniform hash ranges; only per-class counts reach
-the driver.
+plans.ordered, which spreads large classes over uniform hash ranges. Class tables stay distributed;
+rows without a label form a class.
 """
 
 from __future__ import annotations
@@ -10,42 +10,47 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowhelm.functions.scalar import seeded_hash
-from flowhelm.plans.lookup import with_both_ends
+from flowhelm.plans.lookup import lookup_join, with_both_ends
 from flowhelm.plans.ordered import ROWS_PER_BLOCK, hash_number, number
+from flowhelm.session import cut_lineage
 
-MAX_CLASSES = 100_000
 
+def class_counts(df: DataFrame, label: str) -> DataFrame:
+    """(label, n): rows per class. A missing label is a class of its own."""
+    return df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
 
-def class_counts(df: DataFrame, label: str) -> dict:
-    """Rows per class, largest first (ties by label); refuses labels that are no classes."""
-    rows = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"{label} has too many distinct values for a class label")
-    return {r[label]: r["n"] for r in sorted(rows, key=lambda r: (-r["n"], str(r[label])))}
 
+def _sums(counts: DataFrame) -> tuple[int, int]:
+    """All rows and the size of the smallest class (0 for an empty table)."""
+    total, least = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.min("n"), F.lit(0))).first()
+    return total, least
 
-def _quota(df: DataFrame, label: str, quotas: dict) -> Column:
-    table = df.sparkSession.createDataFrame(list(quotas.items()), f"{label} {df.schema[label].dataType.simpleString()}, _quota long")
-    return F.broadcast(table)  # one row per class
+
+def _with_quota(ranked: DataFrame, quotas: DataFrame, label: str, ident: str) -> DataFrame:
+    return lookup_join(ranked, quotas.select(label, F.col("quota").alias("_quota")), [label], ident, "inner")
 
 
 def _ranked(df: DataFrame, ident: str, seed: str, keys: Sequence[str] = (), name: str = "_rk", rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     return hash_number(df.withColumn("_h", seeded_hash(ident, seed)), "_h", keys, name, rows_per_block).drop("_h")
 
 
-def proportional_quotas(counts: dict, total: int) -> dict:
-    """Largest-remainder shares of ``total``; equal remainders go to the larger class first."""
-    n = sum(counts.values())
-    share = {k: c * total / n for k, c in counts.items()}
-    quota = {k: math.floor(s) for k, s in share.items()}
-    left = total - sum(quota.values())
-    for k in sorted(counts, key=lambda k: (-(share[k] - quota[k]), -counts[k], str(k)))[:left]:
-        quota[k] += 1
-    return quota
+def _rounded(shares: DataFrame, label: str, total: int, rows_per_block: int) -> DataFrame:
+    """Largest-remainder rounding of ``share`` to ``total``; equal remainders favour the larger class, then the name."""
+    whole = shares.withColumn("quota", F.floor("share"))
+    left = total - (whole.agg(F.sum("quota")).first()[0] or 0)
+    order = whole.withColumns({"_r": F.col("quota") - F.col("share"), "_m": -F.col("n"), "_none": F.col(label).isNull(), "_s": F.coalesce(F.col(label).cast("string"), F.lit(""))})
+    placed = number(order, ["_r", "_m", "_none", "_s"], name="_place", rows_per_block=rows_per_block)
+    return placed.withColumn("quota", F.col("quota") + F.when(F.col("_place") <= left, 1).otherwise(0)).drop("_r", "_m", "_none", "_s", "_place", "share")
+
+
+def proportional_quotas(counts: DataFrame, label: str, total: int, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+    """(label, n, quota): shares of ``total`` rows by class size."""
+    n = max(1, _sums(counts)[0])
+    return _rounded(counts.withColumn("share", F.col("n") * total / F.lit(float(n))), label, total, rows_per_block)
 
 
 def sample_random(df: DataFrame, ident: str, ratio: float, seed: str = "0", rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
@@ -54,38 +59,34 @@ def sample_random(df: DataFrame, ident: str, ratio: float, seed: str = "0", rows
     return _ranked(df, ident, seed, rows_per_block=rows_per_block).where(F.col("_rk") <= k).drop("_rk")
 
 
-def _take(df: DataFrame, ident: str, label: str, quotas: dict, seed: str, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+def _take(df: DataFrame, ident: str, label: str, quotas: DataFrame, seed: str, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     ranked = _ranked(df, ident, seed, [label], rows_per_block=rows_per_block)
-    return ranked.join(_quota(df, label, quotas), label).where(F.col("_rk") <= F.col("_quota")).drop("_rk", "_quota")
+    return _with_quota(ranked, quotas, label, ident).where(F.col("_rk") <= F.col("_quota")).select(*df.columns)
 
 
 def sample_stratified(df: DataFrame, ident: str, label: str, ratio: float, seed: str = "0", rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Proportional sample per class; plain random when a class has one row or ratio is no fraction."""
-    counts = class_counts(df, label)
-    if not 0 < ratio < 1 or min(counts.values()) < 2:
+    counts = cut_lineage(class_counts(df, label))
+    total, least = _sums(counts)
+    if not 0 < ratio < 1 or least < 2:
         return sample_random(df, ident, min(ratio, 1.0), seed, rows_per_block)
-    return _take(df, ident, label, proportional_quotas(counts, int(sum(counts.values()) * ratio)), seed, rows_per_block)
-
-
-def minimum_quotas(counts: dict, ratio: float, at_least: int) -> dict:
-    """Per class at least ``at_least`` rows (or all); the rest spreads by class size in walk order,
-    what rounding leaves goes to the largest class."""
-    quota = {k: c if c <= at_least else max(int(c * ratio), min(at_least, c)) for k, c in counts.items()}
-    left = int(sum(counts.values()) * ratio) - sum(quota.values())
-    if left > 0:
-        open_rows = sum(c for k, c in counts.items() if c > quota[k])
-        for k, c in counts.items():
-            if open_rows and c > quota[k]:
-                extra = int(left * (c / open_rows))
-                quota[k] += extra
-                left -= extra
-        if left > 0:
-            quota[next(iter(counts))] += left
-    return quota
+    return _take(df, ident, label, proportional_quotas(counts, label, int(total * ratio), rows_per_block), seed, rows_per_block)
+
+
+def minimum_quotas(counts: DataFrame, label: str, ratio: float, at_least: int, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+    """(label, n, quota): every class first gets its floor, ``at_least`` rows or ``ratio`` of it, whichever is more, and no
+    more than it has. What is left of ``ratio`` of all rows goes by largest remainder to the classes with rows left, in
+    proportion to these rows, so no class gets more than it has."""
+    floors = cut_lineage(counts.withColumn("_floor", F.least(F.col("n"), F.greatest(F.floor(F.col("n") * F.lit(float(ratio))), F.lit(at_least)))))
+    total, granted, open_rows = floors.agg(F.sum("n"), F.sum("_floor"), F.sum(F.col("n") - F.col("_floor"))).first()
+    spare = max(0, int((total or 0) * ratio) - (granted or 0))
+    share = (F.col("n") - F.col("_floor")) * spare / F.lit(float(max(1, open_rows or 0)))
+    extra = _rounded(floors.withColumn("share", share), label, spare, rows_per_block)
+    return extra.withColumn("quota", F.col("_floor") + F.col("quota")).drop("_floor")
 
 
 def sample_stratified_min(df: DataFrame, ident: str, label: str, ratio: float, at_least: int, seed: str = "0") -> DataFrame:
-    return _take(df, ident, label, minimum_quotas(class_counts(df, label), ratio, at_least), seed)
+    return _take(df, ident, label, minimum_quotas(class_counts(df, label), label, ratio, at_least), seed)
 
 
 def sample_systematic(df: DataFrame, order: Sequence[str], ratio: float, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
@@ -96,13 +97,14 @@ def sample_systematic(df: DataFrame, order: Sequence[str], ratio: float, rows_pe
 
 def split_train_test(df: DataFrame, ident: str, label: str, test_size: float = 0.2, seed: str = "0", rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Add ``split``; stratified unless a class has a single row."""
-    counts = class_counts(df, label)
-    n_test = math.ceil(sum(counts.values()) * test_size)
-    if min(counts.values()) < 2:
+    counts = cut_lineage(class_counts(df, label))
+    total, least = _sums(counts)
+    n_test = math.ceil(total * test_size)
+    if least < 2:
         ranked = _ranked(df, ident, seed, rows_per_block=rows_per_block).withColumn("_quota", F.lit(n_test))
     else:
-        ranked = _ranked(df, ident, seed, [label], rows_per_block=rows_per_block).join(_quota(df, label, proportional_quotas(counts, n_test)), label)
-    return ranked.withColumn("split", F.when(F.col("_rk") <= F.col("_quota"), "test").otherwise("train")).drop("_rk", "_quota")
+        ranked = _with_quota(_ranked(df, ident, seed, [label], rows_per_block=rows_per_block), proportional_quotas(counts, label, n_test, rows_per_block), label, ident)
+    return ranked.withColumn("split", F.when(F.col("_rk") <= F.col("_quota"), "test").otherwise("train")).select(*df.columns, "split")
 
 
 def split_reuse(df: DataFrame, stored: DataFrame, ident: str) -> DataFrame:

@@ -14,8 +14,8 @@ from flowhelm.plans.ordered import ROWS_PER_BLOCK, running_sums
 from flowhelm.session import cut_lineage
 
 # Name parts of columns that selection always keeps.
-ALWAYS_KEPT_PARTS = ["octet", "subnet", "private", "global", "time", "duration"]
-CORR_IN_ONE_AGG = 16
+ALWAYS_KEPT_PARTS = ["_octet", "_subnet", "_is_private", "_is_global", "time", "duration"]
+PAIRS_IN_ONE_AGG = 120
 
 
 def pearson(a: str, b: str) -> Column:
@@ -24,19 +24,17 @@ def pearson(a: str, b: str) -> Column:
 
 
 def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """|Pearson| of every column pair, upper triangle: (a, b, corr)."""
+    """|Pearson| of every column pair, upper triangle: (a, b, corr). A row counts for the pairs it has both values of;
+    the pairs are aggregated some at a time, however many columns there are."""
     columns = list(columns)
     pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
-    if len(columns) > CORR_IN_ONE_AGG:
-        from pyspark.ml.feature import VectorAssembler
-        from pyspark.ml.stat import Correlation
-
-        vec = VectorAssembler(inputCols=columns, outputCol="_v").transform(df.select(*columns))
-        m = Correlation.corr(vec, "_v").first()[0].toArray()
-        rows = [(columns[i], columns[j], None if math.isnan(m[i, j]) else abs(float(m[i, j]))) for i, j in pairs]
-        return df.sparkSession.createDataFrame(rows, "a string, b string, corr double")
-    one = df.agg(*[F.abs(pearson(columns[i], columns[j])).alias(f"c{i}_{j}") for i, j in pairs])
-    return one.select(F.inline(F.array(*[F.struct(F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b"), F.col(f"c{i}_{j}").alias("corr")) for i, j in pairs])))
+    out = None
+    for at in range(0, len(pairs), PAIRS_IN_ONE_AGG):
+        some = pairs[at : at + PAIRS_IN_ONE_AGG]
+        one = df.agg(*[F.abs(pearson(columns[i], columns[j])).alias(f"c{i}_{j}") for i, j in some])
+        rows = one.select(F.inline(F.array(*[F.struct(F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b"), F.col(f"c{i}_{j}").alias("corr")) for i, j in some])))
+        out = rows if out is None else out.unionByName(rows)
+    return df.sparkSession.createDataFrame([], "a string, b string, corr double") if out is None else out
 
 
 def variances(df: DataFrame, columns: Sequence[str], population: bool = True) -> DataFrame:

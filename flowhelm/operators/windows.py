@@ -16,7 +16,7 @@ from flowhelm.plans.ordered import ROWS_PER_BLOCK, neighbours, number, percentil
 from flowhelm.session import cut_lineage
 
 MICROS = 1_000_000.0
-MAX_WINDOWS = 100
+MAX_LAG = 100
 # Blocks with copied edges may be small: the copies stay far below one percent.
 HALO_ROWS = 50_000
 # Default window sizes in seconds.
@@ -88,12 +88,12 @@ def burst_flag(g: DataFrame, stats: dict, rows_per_block: int = ROWS_PER_BLOCK)
     return clusters.agg(F.coalesce(F.max("cluster"), F.lit(-1))).first()[0] >= 1
 
 
-def autocorrelation(g: DataFrame, order: Sequence[str], stats: dict, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    """(lag, r) of the gap series for lags up to min(n // 3, 100).
+def autocorrelation(g: DataFrame, order: Sequence[str], stats: dict, rows_per_block: int = ROWS_PER_BLOCK, max_lag: int = MAX_LAG) -> DataFrame:
+    """(lag, r) of the gap series for lags up to min(n // 3, max_lag), the longest period looked for.
 
     One window pass over row blocks gives all lagged values; only ``lag`` sums leave the tasks.
     """
-    lags = min(stats["n"] // 3, 100)
+    lags = min(stats["n"] // 3, max_lag)
     spark = g.sparkSession
     if lags < 1 or not stats["std"]:
         return spark.createDataFrame([], "lag int, r double")
@@ -133,23 +133,31 @@ def low_slow_by_entity(g: DataFrame, entity: str) -> DataFrame:
     return per.where((F.col("n_gaps") >= 3) & (F.col("max_gap") > 5 * F.col("mean_gap")) & (F.col("max_gap") > 300))
 
 
+# Per scale the statistic of the gaps that sizes it, the condition on it, the finding that
+# also asks for the scale, the smallest size, the factor of the statistic, and the multiples used.
+SCALE_RULES = (
+    ("micro", "min", lambda x: x < 2.0, "bursty", 0.5, 1.0, (1, 2, 5)),
+    ("small", "q1", lambda x: x < 30, "bursty", 2.0, 1.0, (1, 2, 5)),
+    ("medium", "median", lambda x: True, "", 10.0, 1.0, (1,)),
+    ("large", "q3", lambda x: x > 60, "low_slow", 60.0, 2.0, (1, 2)),
+    ("macro", "max", lambda x: x > 3600, "low_slow", 3600.0, 0.5, (1,)),
+)
+
+
 def select_scales(stats: dict, bursty: bool, period: float, low_slow: bool, enabled: Sequence[str] = DEFAULT_ENABLED, min_events: int = 5) -> list[tuple[str, float]]:
-    """Window sizes per scale from the gap numbers: [(scale, seconds)]."""
-    if stats["n"] + 1 < min_events or stats["n"] < 2:
-        return [("medium", SCALES["medium"])]
-    out: list[tuple[str, float]] = []
-    lo, q1, mid, q3, hi = (stats[k] for k in ("min", "q1", "median", "q3", "max"))
-    if "micro" in enabled and (lo < 2.0 or bursty):
-        out += [("micro", max(0.5, lo) * f) for f in (1, 2, 5)]
-    if "small" in enabled and (q1 < 30 or bursty):
-        out += [("small", max(2.0, q1) * f) for f in (1, 2, 5)]
-    if "medium" in enabled:
-        out += [("medium", max(10.0, mid))] + ([("medium", period)] if period > 0 else [])
-    if "large" in enabled and (q3 > 60 or low_slow):
-        out += [("large", max(60.0, q3 * 2) * f) for f in (1, 2)]
-    if "macro" in enabled and (hi > 3600 or low_slow):
-        out.append(("macro", max(3600.0, hi / 2)))
-    return out or [("medium", SCALES["medium"])]
+    """Window sizes per scale from the gap numbers: [(scale, seconds)], by :data:`SCALE_RULES`."""
+    standard = [("medium", SCALES["medium"])]
+    if stats["n"] < max(2, min_events - 1):
+        return standard
+    seen = {"bursty": bursty, "low_slow": low_slow, "": False}
+    sized = {
+        scale: [max(least, stats[name] * factor) * m for m in multiples]
+        for scale, name, fits, finding, least, factor, multiples in SCALE_RULES
+        if scale in enabled and (fits(stats[name]) or seen[finding])
+    }
+    if "medium" in sized and period > 0:
+        sized["medium"].append(period)
+    return [(scale, size) for scale, sizes in sized.items() for size in sizes] or standard
 
 
 def analyse(df: DataFrame, order: Sequence[str], t_us: str = "t_us", enabled: Sequence[str] = DEFAULT_ENABLED, rows_per_block: int = ROWS_PER_BLOCK) -> tuple[dict, list[tuple[str, float]]]:
@@ -171,11 +179,13 @@ def _explode_windows(sizes: DataFrame, count: Column, start: Column, end: Column
     return sizes.withColumn("i", F.explode(F.sequence(F.lit(0), (count - 1).cast("int")))).select("scale", "size_s", start.alias("start_us"), end.alias("end_us"))
 
 
-def generate_windows(spark: SparkSession, scales: Sequence[tuple[str, float]], t0: int, t1: int) -> DataFrame:
-    """Back-to-back windows per size, at most 100, the last one stretched to the final event."""
+def generate_windows(spark: SparkSession, scales: Sequence[tuple[str, float]], t0: int, t1: int, max_windows: int | None = None) -> DataFrame:
+    """Back-to-back windows per size up to the final event; with ``max_windows`` at most so many, the
+    last one stretched."""
     sizes = spark.createDataFrame(list(scales), "scale string, size_s double")
     step = F.col("size_s") * MICROS
-    n = F.greatest(F.lit(1), F.least(F.ceil(F.lit(float(t1 - t0)) / step), F.lit(MAX_WINDOWS)))
+    n = F.ceil(F.lit(float(t1 - t0)) / step)
+    n = F.greatest(F.lit(1), n if max_windows is None else F.least(n, F.lit(max_windows)))
     start = F.lit(float(t0)) + F.col("i") * step
     end = F.when(F.col("i") == F.col("n") - 1, F.greatest(start + step, F.lit(float(t1)))).otherwise(start + step)
     return _explode_windows(sizes.withColumn("n", n), F.col("n"), start, end).orderBy("start_us", "scale", "size_s")
@@ -190,11 +200,11 @@ def periodic_windows(spark: SparkSession, t0: int, t1: int, period_s: float) ->
     return _explode_windows(kinds, F.col("n"), start, F.least(start + step, F.lit(float(t1)))).where(F.col("start_us") < t1)
 
 
-def low_slow_windows(spark: SparkSession, t0: int, t1: int) -> DataFrame:
-    """Up to five large windows (at least an hour) and sliding ones of a third with half overlap."""
-    large = max(3600 * MICROS, (t1 - t0) / 5)
+def low_slow_windows(spark: SparkSession, t0: int, t1: int, parts: int = 5) -> DataFrame:
+    """``parts`` large windows (each at least an hour) and sliding ones of a third with half overlap."""
+    large = max(3600 * MICROS, (t1 - t0) / parts)
     medium = large / 3
-    kinds = spark.createDataFrame([("low_slow_large", large / MICROS, 5, large), ("low_slow_medium", medium / MICROS, math.ceil((t1 - t0) / (medium / 2)), medium / 2)],
+    kinds = spark.createDataFrame([("low_slow_large", large / MICROS, parts, large), ("low_slow_medium", medium / MICROS, math.ceil((t1 - t0) / (medium / 2)), medium / 2)],
                                   "scale string, size_s double, n int, step double").where("n > 0")
     start = F.lit(float(t0)) + F.col("i") * F.col("step")
     return _explode_windows(kinds, F.col("n"), start, F.least(start + F.col("size_s") * MICROS, F.lit(float(t1)))).where(F.col("start_us") < t1)
@@ -222,7 +232,7 @@ def burst_windows(df: DataFrame, t_us: str = "t_us", keys: Sequence[str] = (), r
     return edge.select(*keys, "cluster", F.inline(both))
 
 
-def windows_for_pattern(df: DataFrame, order: Sequence[str], pattern: str | None, t_us: str = "t_us") -> DataFrame:
+def windows_for_pattern(df: DataFrame, order: Sequence[str], pattern: str | None, t_us: str = "t_us", enabled: Sequence[str] = DEFAULT_ENABLED) -> DataFrame:
     """Windows suited to a named pattern: burst, periodic, low_slow; anything else adaptive."""
     spark = df.sparkSession
     t0, t1 = span(df, t_us)
@@ -236,7 +246,7 @@ def windows_for_pattern(df: DataFrame, order: Sequence[str], pattern: str | None
         period = estimate_period(autocorrelation(g, order, stats), stats)
         if period > 0:
             return periodic_windows(spark, t0, t1, period)
-    return generate_windows(spark, analyse(df, order, t_us)[1], t0, t1)
+    return generate_windows(spark, analyse(df, order, t_us, enabled)[1], t0, t1)
 
 
 def windows_per_scale(windows: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowhelm.plans.skew import salted_join
+from flowhelm.plans.skew import null_safe_join, salted_join
 
 BROADCAST_ROWS = 500_000
 
@@ -23,7 +23,7 @@ def lookup_join(
     """Broadcast ``values`` when small, else a join with hot keys split. A caller with several such
     joins over the same ids checks the size and finds the hot keys once and passes them on."""
     if is_small(values) if small is None else small:
-        return facts.join(F.broadcast(values), list(keys), how)
+        return null_safe_join(facts, F.broadcast(values), list(keys), how)
     return salted_join(facts, values, keys, spread_on, how, hot=hot)
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowhelm.plans.skew import null_safe_join
 from flowhelm.session import cut_lineage
 
 ROWS_PER_BLOCK = 2_000_000
@@ -181,19 +182,20 @@ def hash_number(
     name: str = "rn",
     rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
-    """Like :func:`number` for an order by an md5 text: uniform, so the cut points need no sample."""
+    """Like :func:`number` for an order by an md5 text: uniform, so the cut points need no sample.
+    Null hashes come first and null keys are a key of their own."""
     _, n = _block_count(df, rows_per_block)
     if n <= 1:
         w = Window.partitionBy(*keys).orderBy(hash_col)
         return df.withColumn(name, F.row_number().over(w).cast("long"))
     prefix = F.conv(F.substring(hash_col, 1, 6), 16, 10).cast("long")
-    placed = df.withColumn("_blk", F.floor(prefix * n / (1 << 24)))
+    placed = df.withColumn("_blk", F.coalesce(F.floor(prefix * n / (1 << 24)), F.lit(-1)))
     w = Window.partitionBy("_blk", *keys).orderBy(hash_col)
     before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     sizes = placed.groupBy("_blk", *keys).agg(F.count(F.lit(1)).alias("_n")) \
         .withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     numbered = placed.withColumn(name, F.row_number().over(w).cast("long"))
-    return numbered.join(sizes, ["_blk", *keys]).withColumn(name, F.col(name) + F.col("_off")).drop("_blk", "_off")
+    return null_safe_join(numbered, sizes, ["_blk", *keys]).withColumn(name, F.col(name) + F.col("_off")).drop("_blk", "_off")
 
 
 def percentiles(

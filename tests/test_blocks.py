@@ -12,6 +12,7 @@ from flowhelm.operators import sampling as P
 from flowhelm.operators import select as S
 from flowhelm.operators import windows as W
 from flowhelm.plans import ordered as O
+from flowhelm.plans.skew import salted_join
 
 SMALL = 40
 
@@ -114,3 +115,26 @@ def test_autocorrelation_blocks(skewed):
     assert len(got) == 100
     for k in (1, 7, 100):
         assert got[k] == pytest.approx(sum(a * b for a, b in zip(x, x[k:])) / ((n - k) * stats["std"] ** 2))
+
+
+def test_null_keys_and_ids_survive_blocks(spark):
+    """Blocked and plain paths agree, and no row is lost, when labels, entities and ids are missing."""
+    df = spark.range(200).select(
+        F.when(F.col("id") % 11 > 0, F.col("id")).alias("id"), F.when(F.col("id") % 5 > 0, (F.col("id") % 3).cast("string")).alias("label"),
+        (F.col("id") * 700_000 % 9_000_000).alias("t_us")).cache()
+    for block in (40, 100_000):
+        assert P.kfold_stratified(df.where("id IS NOT NULL"), "id", "label", 4, rows_per_block=block).where("role = 'test'").count() == 181
+        assert P.split_train_test(df, "id", "label", rows_per_block=block).count() == 200
+        assert P.sample_stratified(df, "id", "label", 0.5, rows_per_block=block).count() == 100
+        assert O.hash_number(df.withColumn("_h", F.md5(F.col("id").cast("string"))), "_h", ["label"], "n", block).count() == 200
+    results = [sorted(map(str, X.forward_counts(df, "label", "t_us", (1, 3), block).collect())) for block in (40, 100_000)]
+    assert len(results[0]) == 200 and results[0] == results[1]
+    joined = salted_join(df, df.groupBy("label").count(), ["label"], "id", hot_rows=10)
+    assert joined.count() == 200
+
+
+def test_correlations_with_nulls_take_one_path(spark):
+    wide = spark.range(60).select(*[F.when(F.col("id") % (k + 2) > 0, F.sin(F.col("id") * (k + 1))).alias(f"c{k}") for k in range(20)])
+    got = {(r.a, r.b): r["corr"] for r in S.corr_matrix(wide, wide.columns).collect()}
+    few = {(r.a, r.b): r["corr"] for r in S.corr_matrix(wide, ["c3", "c7", "c19"]).collect()}
+    assert len(got) == 190 and all(abs(got[k] - v) < 1e-12 for k, v in few.items())

@@ -78,9 +78,30 @@ def test_selection_drops_copies_constants_and_noise(spark):
     assert "flow_duration" in kept.columns and "copy" in kept.columns
 
 
-def test_quota_rules():
-    assert P.proportional_quotas({"a": 5, "b": 3, "c": 2}, 5) == {"a": 3, "b": 1, "c": 1}
-    assert P.minimum_quotas({"a": 1000, "b": 90, "c": 10}, 0.1, 20) == {"a": 100, "b": 20, "c": 10}
+def test_quota_rules(spark):
+    def quotas(rule, counts, *args):
+        frame = spark.createDataFrame(list(counts.items()), "label string, n long")
+        return {r.label: r.quota for r in rule(frame, "label", *args).collect()}
+
+    assert quotas(P.proportional_quotas, {"a": 5, "b": 3, "c": 2}, 5) == {"a": 3, "b": 1, "c": 1}
+    assert quotas(P.proportional_quotas, {"a": 5, None: 5}, 5) == {"a": 3, None: 2}
+    assert quotas(P.minimum_quotas, {"a": 1000, "b": 90, "c": 10}, 0.1, 20) == {"a": 100, "b": 20, "c": 10}
+    # 60 of 120 rows: floors 50, 5, 5 (all of c); nothing is left. With floors of 2: 50, 5, 5 again by ratio.
+    assert quotas(P.minimum_quotas, {"a": 100, "b": 15, "c": 5}, 0.5, 5) == {"a": 50, "b": 7, "c": 5}
+    # floors 1, 1, 1 of 3 x 3 rows at 0.5: one row is left and goes to the first of equal classes.
+    assert quotas(P.minimum_quotas, {"a": 3, "b": 3, "c": 3}, 0.5, 1) == {"a": 2, "b": 1, "c": 1}
+    assert quotas(P.minimum_quotas, {"a": 2, "b": 1}, 0.9, 5) == {"a": 2, "b": 1}  # no class gets more than it has
+    assert quotas(P.minimum_quotas, {}, 0.9, 5) == {}
+
+
+def test_no_label_and_no_rows(spark):
+    df = spark.range(100).select("id", F.when(F.col("id") % 5 > 0, (F.col("id") % 2).cast("string")).alias("label"))
+    split = P.split_train_test(df, "id", "label", 0.2)
+    assert split.count() == 100 and split.where("split = 'test'").count() == 20
+    assert P.sample_stratified(df, "id", "label", 0.5).count() == 50
+    none = df.limit(0)
+    assert P.split_train_test(none, "id", "label").count() == 0
+    assert P.sample_stratified(none, "id", "label", 0.5).count() == 0
 
 
 def test_folds_partition_rows_and_balance_classes(spark):
