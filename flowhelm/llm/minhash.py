@@ -8,9 +8,10 @@ one look-up per shingle reads the consecutive values of all coordinates.
 
 Signatures are cut into bands; equal bands are candidates and every link is confirmed on the full sets. Documents of
 equal sets count as one (a class) from the start. In a band's group no pairs are made: each class is compared with the
-hub of the group, the one that meets the most others over all bands. Classes that stay unlinked to the hub and could
-still be linked to another member (decided by the triangle inequality of the Jaccard distance) are compared with these
-alone, unless links found meanwhile join them. Components of the confirmed links spread the smallest doc_id.
+hub of the group, the one that meets the most others over all bands, and further rounds compare what lies outside the
+largest component of a group with members of that component. Classes that then are in different components and could
+still be linked (decided by the triangle inequality of the Jaccard distance) are compared one by one, so no link is
+lost. Components of the confirmed links spread the smallest doc_id.
 
 Null texts have empty sets; null doc_ids are ignored as names (they come last); repeated rows share a class; an empty
 table gives no rows; extra columns are not touched.
@@ -22,16 +23,18 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowhelm.llm.text import LOWER, Spans, as_long, constants, mix, pieces, row_bounds, shingle_hashes, words
+from flowhelm.plans.lookup import is_small
 from flowhelm.session import stored
 
 WORDS = 5
 NEAR, OF = 75, 100
 ROWS_PER_BAND = 6
 RECALL = 0.9999
+HUB_ROUNDS = 6  # at most; what these leave unlinked is compared pair by pair
 _CIRCLE = 1 << 18
 _TABLE: dict[int, np.ndarray] = {}
 
@@ -89,7 +92,8 @@ def signatures(docs: DataFrame, words_per_shingle: int, bands: int, rows: int) -
                         for next_ in range(lo + 512, hi, 512):
                             np.minimum(best, values[place[next_ : min(hi, next_ + 512)]].min(axis=0), out=best)
                         lowest[r] = best
-                names = mix((lowest.reshape(n, bands, rows).astype(np.uint64) * factor).sum(axis=2, dtype=np.uint64))
+                names = (lowest.reshape(n, bands, rows).astype(np.uint64) * factor).sum(axis=2, dtype=np.uint64)
+                names = mix(names + np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                 offsets = pa.array(np.concatenate([[0], np.cumsum(np.where(size > 0, bands, 0))]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [ids[at : at + n], pa.array(size.astype(np.int64)), as_long(a), as_long(b), pa.ListArray.from_arrays(offsets, as_long(names[size > 0].reshape(-1)))],
@@ -131,20 +135,30 @@ def is_near(common: str = "common", near: int = NEAR):
     return OF * F.col(common) >= near * (F.col("nm") + F.col("nh") - F.col(common))
 
 
-def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(m, root): smallest id that each node reaches, itself included. Labels are hooked to the smallest label of a
-    neighbour and then shortened, so rounds grow with the logarithm of a component's width."""
+def components(links: DataFrame) -> DataFrame:
+    """(m, root) for the ends of links: the smallest id that each reaches, itself included. Labels are hooked to the
+    smallest label of a neighbour and members follow their root, so rounds grow with the logarithm of a component's width."""
     both = stored(links.select("m", "h").unionByName(links.select(F.col("h").alias("m"), F.col("m").alias("h"))).distinct(), "links")
-    labels = stored(nodes.select("m", F.col("m").alias("root")), "labels")
+    labels = stored(both.groupBy("m").agg(F.least("m", F.min("h")).alias("root")), "labels")
     while True:
         lowest = both.join(labels.withColumnRenamed("m", "h"), "h").groupBy("m").agg(F.min("root").alias("near"))
-        hooked = labels.join(lowest, "m", "left").select("m", "root", F.least("root", "near").alias("to"))
-        # A root takes the smallest label any of its members has met; members follow their root.
+        hooked = labels.join(lowest, "m").select("m", "root", F.least("root", "near").alias("to"))
         moved = hooked.groupBy("root").agg(F.min("to").alias("top"))
         new = stored(hooked.join(moved, "root").select("m", F.col("top").alias("new"), "root"), "labels")
-        if new.where("new <> root").isEmpty():
-            return new.select("m", F.col("new").alias("root"))
         labels = new.select("m", F.col("new").alias("root"))
+        if new.where("new <> root").isEmpty():
+            return labels
+
+
+def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
+    return members.join(roots, "m", "left").withColumn("root", F.coalesce("root", "m"))
+
+
+def _untried(pairs: DataFrame, tried: DataFrame, near: int) -> DataFrame:
+    """Distinct pairs whose sizes allow a link and that were not compared before in either order."""
+    fits = OF * F.least("nm", "nh") >= near * F.greatest("nm", "nh")
+    both = tried.select("m", "h").unionByName(tried.select(F.col("h").alias("m"), F.col("m").alias("h")))
+    return pairs.where(fits & (F.col("m") != F.col("h"))).select("m", "h", "nm", "nh").distinct().join(both, ["m", "h"], "left_anti")
 
 
 def near_components(docs: DataFrame, words_per_shingle: int = WORDS, near: int = NEAR, rows: int = ROWS_PER_BAND) -> DataFrame:
@@ -154,37 +168,49 @@ def near_components(docs: DataFrame, words_per_shingle: int = WORDS, near: int =
     signed = stored(signatures(texts, words_per_shingle, bands, rows), "signatures")
     full = signed.where("n_shingles > 0")
     classes = stored(full.groupBy("a", "b", "n_shingles").agg(F.min("doc_id").alias("m"), F.min_by("bands", F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("bands")), "classes")
-    named = classes.where("m IS NOT NULL")
-    spread = named.select("m", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "name"))
-    counted = spread.groupBy("band", "name").agg(F.count(F.lit(1)).alias("together")).where("together > 1")
-    groups = stored(spread.join(counted, ["band", "name"]), "groups")
-    met = groups.groupBy("m").agg(F.sum("together").alias("met"))
-    groups = stored(groups.join(met, "m").drop("together"), "groups")
-    hubs = groups.groupBy("band", "name").agg(F.max_by(F.struct("m", "n"), F.struct("met", -F.col("m"))).alias("hub"))
-    starred = groups.join(hubs, ["band", "name"]).select("band", "name", "m", F.col("n").alias("nm"), F.col("hub.m").alias("h"), F.col("hub.n").alias("nh"))
-    starred = stored(starred, "stars")
-    fits = OF * F.least("nm", "nh") >= near * F.greatest("nm", "nh")
-    sets = stored(shingle_sets(texts.join(groups.select(F.col("m").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), words_per_shingle), "sets")
-    # The distance to the hub is wanted for all members, near or not: it decides what else must be compared.
+    group = Window.partitionBy("name")
+    spread = classes.where("m IS NOT NULL").select("m", F.col("n_shingles").alias("nm"), F.explode("bands").alias("name"))
+    met = stored(spread.withColumn("together", F.count(F.lit(1)).over(group)).where("together > 1"), "groups")
+    members = stored(met.join(met.groupBy("m").agg(F.sum("together").alias("met")), "m").drop("together"), "members")
+    wanted = members.select(F.col("m").alias("doc_id")).distinct()
+    sets = stored(shingle_sets(texts.join(F.broadcast(wanted) if is_small(wanted) else wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), words_per_shingle), "sets")
+
+    hubs = members.groupBy("name").agg(F.max_by(F.struct("m", "nm"), F.struct("met", -F.col("m"))).alias("hub"))
+    starred = stored(members.join(hubs, "name").select("name", "m", "nm", F.col("hub.m").alias("h"), F.col("hub.nm").alias("nh")), "stars")
+    # The distance to the first hub is wanted for all members, near or not: it decides what else must be compared.
     tried = stored(compare(starred.where("m <> h").select("m", "h", "nm", "nh").distinct(), sets), "tried")
+    star = tried.select("m", "h", (1 - F.col("common") / (F.col("nm") + F.col("nh") - F.col("common"))).alias("d"))
+    starred = stored(starred.join(star, ["m", "h"], "left").select("name", "m", "nm", F.coalesce("d", F.lit(0.0)).alias("d")), "stars")
     links = tried.where(is_near(near=near)).select("m", "h")
-    nodes = named.select("m")
-    roots = components(links, nodes)
-    # Members of a group that are in different components so far, and not further apart from the hub than a link allows.
-    distance = 1 - F.col("common") / (F.col("nm") + F.col("nh") - F.col("common"))
-    far = starred.join(tried.select("m", "h", distance.alias("d")), ["m", "h"], "left").withColumn("d", F.coalesce("d", F.lit(0.0))).join(roots, "m") \
-        .select("band", "name", "m", F.col("nm").alias("n"), "d", "root")
-    mixed = far.groupBy("band", "name").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("band", "name")
-    open_ = stored(far.join(mixed, ["band", "name"]), "open")
-    width = 1 - near / OF
-    x = open_.select("band", "name", F.col("m"), F.col("n").alias("nm"), F.col("d").alias("dm"), F.col("root").alias("rm"))
-    y = open_.select("band", "name", F.col("m").alias("h"), F.col("n").alias("nh"), F.col("d").alias("dh"), F.col("root").alias("rh"))
-    rest = x.join(y, ["band", "name"]).where((F.col("m") < F.col("h")) & (F.col("rm") != F.col("rh")) & fits & (F.abs(F.col("dm") - F.col("dh")) <= width + 1e-9)) \
-        .select("m", "h", "nm", "nh").distinct().join(tried.select("m", "h"), ["m", "h"], "left_anti").join(tried.select(F.col("m").alias("h"), F.col("h").alias("m")), ["m", "h"], "left_anti")
-    more = stored(compare(rest, sets).where(is_near(near=near)).select("m", "h"), "more")
+    roots = components(links)
+    for turn in range(HUB_ROUNDS):
+        # Members outside the largest component of their group meet one member of it, another one in each group.
+        placed = _rooted(starred, roots)
+        sizes = placed.groupBy("name", "root").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("m", "nm"), F.xxhash64("m", "name", F.lit(turn))).alias("hub"))
+        lead = sizes.groupBy("name").agg(F.max_by(F.struct("root", "hub"), F.struct("n", "root")).alias("lead"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+        outside = placed.join(lead, "name").where(F.col("root") != F.col("lead.root")).select("m", "nm", F.col("lead.hub.m").alias("h"), F.col("lead.hub.nm").alias("nh"))
+        more = stored(compare(_untried(outside, tried, near), sets), "tried")
+        tried = tried.unionByName(more)
+        found = more.where(is_near(near=near)).select("m", "h")
+        if found.isEmpty():
+            break
+        links = links.unionByName(found)
+        roots = components(links)
+    # What is left: members outside the largest component of a group against those of other components, if they are not
+    # further apart from the first hub than a link allows.
+    placed = _rooted(starred, roots)
+    sizes = placed.groupBy("name", "root").agg(F.count(F.lit(1)).alias("n"))
+    lead = sizes.groupBy("name").agg(F.max_by("root", F.struct("n", "root")).alias("lead"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("name", "lead")
+    open_ = stored(placed.join(lead, "name"), "open")
+    x = open_.where("root <> lead").select("name", "m", "nm", F.col("d").alias("dm"), F.col("root").alias("rm"))
+    y = open_.select("name", F.col("m").alias("h"), F.col("nm").alias("nh"), F.col("d").alias("dh"), F.col("root").alias("rh"), (F.col("root") == F.col("lead")).alias("main"))
+    once = F.col("main") | (F.col("m") < F.col("h"))
+    fits = OF * F.least("nm", "nh") >= near * F.greatest("nm", "nh")
+    rest = x.join(y, "name").where((F.col("rm") != F.col("rh")) & once & fits & (F.abs(F.col("dm") - F.col("dh")) <= 1 - near / OF + 1e-9))
+    more = stored(compare(_untried(rest, tried, near), sets).where(is_near(near=near)).select("m", "h"), "more")
     if not more.isEmpty():
-        roots = components(links.unionByName(more), nodes)
-    rooted = classes.join(roots, "m", "left").select("a", "b", "n_shingles", F.coalesce("root", "m").alias("component_id"))
+        roots = components(links.unionByName(more))
+    rooted = _rooted(classes.select("a", "b", "n_shingles", "m"), roots).select("a", "b", "n_shingles", F.col("root").alias("component_id"))
     own = signed.select("doc_id", "n_shingles", "a", "b")
     linked = own.where("n_shingles > 0").join(rooted, ["a", "b", "n_shingles"])
     alone = own.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
