@@ -53,19 +53,27 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
+def _prepared(stage):
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return stage(prepare(spark), docs, sf_dir)
+
+    run_stage.__name__, run_stage.__doc__ = stage.__name__, stage.__doc__
+    return run_stage
+
+
 STAGES = [
-    ("toxicity", reject_toxic),
-    ("line_dedup", drop_repeated_lines),
-    ("minhash_near_dedup", drop_near_copies),
-    ("decontamination", reject_leaks),
-    ("mixing", mix_sources),
+    ("toxicity", _prepared(reject_toxic)),
+    ("line_dedup", _prepared(drop_repeated_lines)),
+    ("minhash_near_dedup", _prepared(drop_near_copies)),
+    ("decontamination", _prepared(reject_leaks)),
+    ("mixing", _prepared(mix_sources)),
 ]
 #: Classifier, signatures and embeddings can't be written in SQL; tests/llm/test_pipeline.py checks against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name)
     return docs

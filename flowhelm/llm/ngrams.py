@@ -25,6 +25,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 from flowhelm.llm.text import LOWER, Spans, constants, mix, pieces, row_bounds, words
 from flowhelm.session import stored
 
-CHUNK_BYTES = 16 << 20
-KEYS_PER_SHARD = 3_000_000
+CHUNK_BYTES = 6 << 20
+KEYS_PER_SHARD = 1_000_000
 FOLDS = 10
 CELL = 8  # cells per doubling of an estimate
 _END, _START = (np.uint64(x) for x in constants(91, 2))
@@ -77,7 +78,7 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _batches(batch: pa.RecordBatch, limit: int):
     """A batch in runs of rows of about ``limit`` bytes, at least one row each."""
-    size = np.array([len(t) for t in batch.column("text").cast(pa.large_binary()).fill_null(b"").to_pylist()])
+    size = np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0))
     part = np.cumsum(size) // limit
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(size)]])
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
