@@ -34,13 +34,13 @@ def _out(predicted):
 @query("train_node_classifier")
 def _(spark, sf):
     rows = _rows(spark, sf).join(_split(spark, sf), "id")
-    return _out(M.predict(M.train_node_classifier(rows.where("split = 'train'"), max_iter=10), rows.where("split = 'test'")))
+    return _out(M.predict(M.train_node_classifier(rows.where("split = 'train'")), rows.where("split = 'test'")))
 
 
 @query("train_node_classifier_mlp")
 def _(spark, sf):
     rows = _rows(spark, sf).join(_split(spark, sf), "id")
-    model = M.train_node_classifier(rows.where("split = 'train'"), kind="mlp", classes=10, width=2 * V.DIM + TDIM, max_iter=15)
+    model = M.train_node_classifier(rows.where("split = 'train'"), kind="mlp", classes=10, width=2 * V.DIM + TDIM)
     return _out(M.predict(model, rows.where("split = 'test'")))
 
 
@@ -48,20 +48,20 @@ def _(spark, sf):
 def _(spark, sf):
     path = scratch_path(spark, "model")
     rows = _rows(spark, sf)
-    M.fit_final(rows, max_iter=10).save(path)
+    M.fit_final(rows).save(path)
     return _out(M.predict(M.PipelineModel.load(path), rows))
 
 
 @query("cv_run")
 def _(spark, sf):
     folds = P.kfold_stratified(V.node(spark, sf).select("id", "label"), "id", "label", 3, seed="cv")
-    return M.cv_run(_rows(spark, sf), folds, 3, max_iter=5)
+    return M.cv_run(_rows(spark, sf), folds, 3)
 
 
 @query("fit_final")
 def _(spark, sf):
     rows = _rows(spark, sf)
-    return _out(M.predict(M.fit_final(rows, max_iter=10), rows))
+    return _out(M.predict(M.fit_final(rows), rows))
 
 
 @query("hyperparameter_search")
@@ -72,7 +72,7 @@ def _(spark, sf):
 @query("encoding_comparison")
 def _(spark, sf):
     encodings = {"cosine": (_encode, TDIM), "time2vec": (lambda t: T.time2vec(t, TW, TB), TDIM), "fourier": (lambda t: T.fourier(t, FREQS, PHASES), 2 * len(FREQS))}
-    return M.encoding_comparison(edges_with_time(spark, sf), V.node(spark, sf), V.DIM, encodings, _split(spark, sf), max_iter=5)
+    return M.encoding_comparison(edges_with_time(spark, sf), V.node(spark, sf), V.DIM, encodings, _split(spark, sf))
 
 
 # Histories: a user is a run, its events in order are the epochs.

@@ -16,25 +16,34 @@ from flowhelm.streaming import jobs as J
 HOUR_US, DAY_US = 3_600_000_000, 86_400_000_000
 
 
-def _events(spark, sf):
-    """The event table as a stream with the flow columns and an event-time column."""
-    schema = V.table(spark, sf, "events").schema
-    raw = J.stream_source(spark, sf, schema, "events.parquet")
-    return raw.select(
-        F.col("event_id").alias("flow_id"), F.col("ts").cast("timestamp").alias("ts"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t_us"),
-        F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("src"), F.concat(F.lit("d"), F.get_json_object("props", "$.k")).alias("dst"), F.col("value").alias("bytes"))
+LATE_US = 1_800_000_000
 
 
-def _arriving(spark, sf, slices: int = 3):
-    """The edges as a stream of time slices, written one after the other."""
-    e = V.edge(spark, sf)
+def _slices(spark, rows, slices: int = 3):
+    """Rows as a stream of time slices, written one after the other, so that state crosses micro-batches. A third of the
+    rows of a slice's last half hour come late, with the next slice."""
     path = scratch_path(spark, "arriving")
-    lo, hi = e.agg(F.min("t_us"), F.max("t_us")).first()
+    lo, hi = rows.agg(F.min("t_us"), F.max("t_us")).first()
     step = (hi - lo) // slices + 1
+    at = F.floor((F.col("t_us") - lo) / step)
+    late = (F.pmod("flow_id", F.lit(3)) == 0) & (F.floor((F.col("t_us") + LATE_US - lo) / step) > at)
+    placed = rows.withColumn("_slice", F.least(at + late.cast("int"), F.lit(slices - 1)))
     for i in range(slices):
-        e.where(F.col("t_us").between(lo + i * step, lo + (i + 1) * step - 1)).write.mode("append").parquet(path)
+        placed.where(F.col("_slice") == i).drop("_slice").coalesce(4).write.mode("append").parquet(path)
     files = len(spark.read.parquet(path).inputFiles())
-    return J.stream_source(spark, path, e.schema, files_per_batch=max(1, files // slices))
+    return J.stream_source(spark, path, rows.schema, files_per_batch=max(1, files // slices))
+
+
+def _events(spark, sf):
+    """The event table as a stream with the flow columns and an event-time column."""
+    raw = V.table(spark, sf, "events")
+    return _slices(spark, raw.select(
+        F.col("event_id").alias("flow_id"), F.col("ts").cast("timestamp").alias("ts"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t_us"),
+        F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("src"), F.concat(F.lit("d"), F.get_json_object("props", "$.k")).alias("dst"), F.col("value").alias("bytes")))
+
+
+def _arriving(spark, sf, slices: int = 3):
+    return _slices(spark, V.edge(spark, sf), slices)
 
 
 @query("stream_source", "SELECT flow_id, src, dst, t_us, bytes FROM edge", "edge")
@@ -47,23 +56,43 @@ def _(spark, sf):
 _FIRST = "SELECT src, dst, arg_min(t_us, flow_id) AS t_us, min(flow_id) AS flow_id FROM edge GROUP BY src, dst"
 
 
-@query("graph_batch_update", _FIRST, "edge")
+_SLICED = """WITH b AS (SELECT min(t_us) AS lo, (max(t_us)-min(t_us))//3 + 1 AS step FROM edge),
+    arr AS (SELECT edge.*, least(2, (t_us-lo)//step + CASE WHEN flow_id % 3 = 0 AND (t_us+1800000000-lo)//step > (t_us-lo)//step THEN 1 ELSE 0 END) AS slice FROM edge, b),
+    life AS (SELECT id, max(t_us) AS last_us FROM (SELECT src AS id, t_us FROM edge UNION ALL SELECT dst, t_us FROM edge) GROUP BY id)
+    SELECT f.src, f.dst, f.t_us, f.flow_id, a.last_us AS src_last_us, c.last_us AS dst_last_us
+    FROM (SELECT * FROM arr QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY slice, t_us, flow_id) = 1) f JOIN life a ON a.id = f.src JOIN life c ON c.id = f.dst"""
+
+
+@query("graph_batch_update", _SLICED, "edge")
 def _(spark, sf):
+    """Nodes upserted and edges added once, batch by batch; then the temporal graph read from the store."""
     store = scratch_path(spark, "graph")
     J.run_batches(_arriving(spark, sf), J.edge_batches(spark, store))
-    return spark.read.parquet(store).select("src", "dst", "t_us", "flow_id")
+    return J.temporal_graph(spark, store)
+
+
+@query("stream_source_csv", "SELECT flow_id, src, dst, t_us, bytes FROM edge", "edge")
+def _(spark, sf):
+    folder, path = scratch_path(spark, "csv"), scratch_path(spark, "stream")
+    edges = V.edge(spark, sf)
+    edges.write.option("header", True).csv(folder)
+    J.run_appended(J.stream_source(spark, folder, edges.schema, "*.csv", fmt="csv", header=True), path)
+    return spark.read.parquet(path)
 
 
 @query("stream_detect")
 def _(spark, sf):
-    """Per micro-batch: grow the stored graph, score the touched nodes, record the alert."""
-    store, alerts = scratch_path(spark, "graph"), scratch_path(spark, "alerts")
+    """Per micro-batch: grow the stored graph, score the nodes that the batch touches over all stored and new edges of
+    the last ten days, record the alert."""
+    raw, store, alerts = (scratch_path(spark, n) for n in ("raw", "graph", "alerts"))
     nodes = V.node(spark, sf).select("id", "feat")
 
     def score(batch, number):
-        edges = batch.withColumn("t", F.pmod(F.col("t_us"), F.lit(DAY_US)) / F.lit(1e6))
-        touched = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-        vectors = A.tgat_layer(edges, nodes.join(touched, "id", "left_semi"), LAYERS[0], encode, TDIM)
+        batch.write.mode("overwrite").parquet(f"{raw}/_batch={number}")
+        touched = batch.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+        known = spark.read.parquet(raw).where(F.col("_batch") <= number).drop("_batch")
+        recent = E.recent(known, 10 * DAY_US).withColumn("t", F.pmod(F.col("t_us"), F.lit(DAY_US)) / F.lit(1e6))
+        vectors = A.tgat_layer(recent, nodes, LAYERS[0], encode, TDIM).join(touched, "id", "left_semi")
         probs = A.classify(vectors, grid(6, HEADS * OUT, 1), D1, C2, D2).select(F.lit(number).alias("batch"), A.attack_probability().alias("score"))
         A.batch_alerts(probs, "batch", "score", 0.7).write.mode("overwrite").json(f"{alerts}/_batch={number}")
 
@@ -115,24 +144,27 @@ def _(spark, sf):
     return spark.read.parquet(path)
 
 
+def _kept_store(spark, sf):
+    path = scratch_path(spark, "store")
+    J.run_batches(_arriving(spark, sf), J.retention_batches(spark, path, DAY_US))
+    return spark.read.parquet(path)
+
+
 @query("stream_retention", "SELECT flow_id, src, dst, t_us, bytes FROM edge WHERE t_us >= (SELECT max(t_us) FROM edge) - 86400000000", "edge")
 def _(spark, sf):
-    """Edges appended by a stream to the day-partitioned store, read with the retention bound."""
-    path = scratch_path(spark, "store")
+    """Edges appended by a stream to a day-partitioned store that forgets old days, read with the retention bound."""
+    return E.retention(_kept_store(spark, sf)).select("flow_id", "src", "dst", "t_us", "bytes")
 
-    def step(batch, number):
-        days = batch.withColumn("day", F.floor(F.col("t_us") / DAY_US))
-        days.write.mode("overwrite").partitionBy("day").parquet(f"{path}/_batch={number}")
 
-    J.run_batches(_arriving(spark, sf), step)
-    return E.retention(spark.read.parquet(path)).select("flow_id", "src", "dst", "t_us", "bytes")
+@query("stream_retention_store", "SELECT t_us//86400000000 AS day, count(*) AS n FROM edge WHERE t_us//86400000000 >= ((SELECT max(t_us) FROM edge) - 86400000000)//86400000000 GROUP BY ALL", "edge")
+def _(spark, sf):
+    """What is still stored: whole days only."""
+    return _kept_store(spark, sf).groupBy(F.col("day").cast("long").alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("stream_edge_dedup", "SELECT DISTINCT src, dst FROM edge", "edge")
+@query("stream_edge_dedup", "SELECT src, dst, min(t_us) AS t_us, arg_min(flow_id, [t_us, flow_id]) AS flow_id FROM edge GROUP BY src, dst", "edge")
 def _(spark, sf):
-    path = scratch_path(spark, "pairs")
-    J.run_appended(J.edge_dedup(_events(spark, sf), "ts", "60 days").select("src", "dst"), path)
-    return spark.read.parquet(path)
+    return J.run_updates(J.first_edges(_arriving(spark, sf)), ["src", "dst"])
 
 
 @query("stream_proximity_join", "SELECT a.flow_id AS src, b.flow_id AS dst, b.t_us FROM flow a JOIN flow b ON a.t_us <= b.t_us AND a.t_us >= b.t_us - 60000000 AND a.flow_id <> b.flow_id", "flow")

@@ -33,6 +33,9 @@ def in_window(edges: DataFrame, start_us: int, end_us: int, t_us: str = "t_us")
 
 
 def max_time(edges: DataFrame, t_us: str = "t_us") -> int | None:
+    """Newest time; on a stored table from its newest day alone."""
+    if "day" in edges.columns:
+        edges = edges.where(F.col("day") == edges.agg(F.max("day")).first()[0])
     return edges.agg(F.max(t_us)).first()[0]
 
 
@@ -43,7 +46,9 @@ def recent(edges: DataFrame, window_us: int, t_us: str = "t_us") -> DataFrame:
 
 
 def expire(edges: DataFrame, threshold_us: int, t_us: str = "t_us") -> DataFrame:
-    return edges.where(F.col(t_us) >= threshold_us)
+    """Edges not older than a time; on a stored table older days are not read."""
+    kept = edges.where(F.col(t_us) >= threshold_us)
+    return kept.where(F.col("day") >= threshold_us // DAY_US) if "day" in edges.columns else kept
 
 
 def expire_report(edges: DataFrame, threshold_us: int, t_us: str = "t_us") -> DataFrame:

@@ -31,7 +31,7 @@ def graph_features(edges: DataFrame, nodes: DataFrame, dim: int, encode: Callabl
     return joined.select("id", F.col("label").cast("double").alias("label"), array_to_vector(F.concat("feat", near_vec, "time_feat")).alias("features"))
 
 
-def pipeline(kind: str = "logistic", classes: int = 2, width: int = 0, max_iter: int = 20, reg: float = 0.01, hidden: int = 8) -> Pipeline:
+def pipeline(kind: str = "logistic", classes: int = 2, width: int = 0, max_iter: int = 100, reg: float = 0.01, hidden: int = 8) -> Pipeline:
     scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True)
     if kind == "mlp":
         model = MultilayerPerceptronClassifier(featuresCol="scaled", layers=[width, hidden, classes], maxIter=max_iter, seed=7)

@@ -8,21 +8,22 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowhelm.operators.graph import insert_edges
 from flowhelm.session import scratch_path
 
 TIMEOUT_S = 1800
+PAIR_BUCKETS = 16
 
 
-def stream_source(spark: SparkSession, path: str, schema, pattern: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
-    """Parquet files as they arrive; oldest first, optionally a few per micro-batch."""
+def stream_source(spark: SparkSession, path: str, schema, pattern: str = "*.parquet", files_per_batch: int | None = None, fmt: str = "parquet", **options) -> DataFrame:
+    """Parquet (or with ``fmt`` CSV, JSON) files as they arrive; oldest first, optionally a few per micro-batch."""
     reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(path)
+    return reader.options(**options).format(fmt).load(path)
 
 
 def _finish(query) -> None:
@@ -74,14 +75,15 @@ def node_state(stream: DataFrame) -> DataFrame:
 def activity_sessions(stream: DataFrame, key: str, ts: str, idle: str, delay: str) -> DataFrame:
     """Lives of a key that end after ``idle`` without events. The state of a life is dropped, and the
     life emitted, once the watermark passes its end; a later event starts a new life."""
-    stream.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     alive = stream.withWatermark(ts, delay).groupBy(key, F.session_window(ts, idle).alias("w"))
     return alive.agg(F.count(F.lit(1)).alias("n")).select(key, F.unix_micros("w.start").alias("start_us"), F.unix_micros("w.end").alias("end_us"), "n")
 
 
-def edge_dedup(stream: DataFrame, ts: str, within: str) -> DataFrame:
-    """The first arrival of each (src, dst)."""
-    return stream.withWatermark(ts, within).dropDuplicatesWithinWatermark(["src", "dst"])
+def first_edges(stream: DataFrame) -> DataFrame:
+    """The winning edge of each (src, dst): the earliest by time, then id, whatever the order of arrival. Its state is
+    one row per pair; partial minima precede it, so a hot pair sends one row per task."""
+    first = F.min(F.struct("t_us", "flow_id"))
+    return stream.groupBy("src", "dst").agg(first.alias("w")).select("src", "dst", "w.t_us", "w.flow_id")
 
 
 def proximity_join(stream: DataFrame, other: DataFrame, within_s: int, delay: str = "1 hour") -> DataFrame:
@@ -95,23 +97,64 @@ def proximity_join(stream: DataFrame, other: DataFrame, within_s: int, delay: st
     return a.join(b, "cell").where(F.expr(near)).where("src != dst").select("src", "dst", F.col("b_us").alias("t_us"))
 
 
+def _pair_bucket() -> Column:
+    return F.pmod(F.xxhash64("src", "dst"), F.lit(PAIR_BUCKETS)).cast("int")
+
+
 def edge_batches(spark: SparkSession, store: str, nodes: DataFrame | None = None, seq: Sequence[str] = ("t_us", "flow_id"), after: Callable[[DataFrame, int], None] | None = None) -> Callable[[DataFrame, int], None]:
-    """A step that adds new (src, dst) edges of a micro-batch to a stored graph, first wins.
+    """A step that grows a stored graph by a micro-batch: nodes are upserted (``<store>/nodes``, read by
+    :func:`stored_nodes`), edges between known nodes are added once per (src, dst), first wins (``<store>/edges``).
 
-    It reads only batches before its own, so a repeated batch gives the same result.
+    Pairs are stored in buckets of their hash, and a batch looks only into the buckets it touches. It reads only batches
+    before its own, so a repeated batch gives the same result.
     """
 
     def step(batch: DataFrame, number: int) -> None:
         batch = batch.select("src", "dst", "t_us", "flow_id")
-        known = nodes
-        if known is None:
-            known = batch.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-        old = batch.limit(0)
+        seen = batch.select(F.explode(F.array("src", "dst")).alias("id"), "t_us").groupBy("id").agg(F.max("t_us").alias("last_us"), F.count(F.lit(1)).alias("activity"))
+        seen.write.mode("overwrite").parquet(f"{store}/nodes/_batch={number}")
+        known = nodes if nodes is not None else stored_nodes(spark, store, number)
+        first = insert_edges(batch.limit(0), batch, known.select("id"), seq).withColumn("_bucket", _pair_bucket())
         if number > 0:
-            old = spark.read.parquet(store).where(F.col("_batch") < number).drop("_batch")
-        first = insert_edges(batch.limit(0), batch, known, seq)
-        first.join(old.select("src", "dst"), ["src", "dst"], "left_anti").write.mode("overwrite").parquet(f"{store}/_batch={number}")
+            touched = [r[0] for r in first.select("_bucket").distinct().collect()]
+            old = spark.read.parquet(f"{store}/edges").where((F.col("_batch") < number) & F.col("_bucket").isin(touched))
+            first = first.join(old.select("src", "dst"), ["src", "dst"], "left_anti")
+        first.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{store}/edges/_batch={number}")
         if after is not None:
             after(batch, number)
 
     return step
+
+
+def stored_nodes(spark: SparkSession, store: str, upto: int | None = None) -> DataFrame:
+    """(id, last_us, activity) of the stored graph, updates of all batches (up to one) merged."""
+    saved = spark.read.parquet(f"{store}/nodes")
+    saved = saved if upto is None else saved.where(F.col("_batch") <= upto)
+    return saved.groupBy("id").agg(F.max("last_us").alias("last_us"), F.sum("activity").alias("activity"))
+
+
+def temporal_graph(spark: SparkSession, store: str) -> DataFrame:
+    """The stored edges with the last activity of both ends."""
+    lives = stored_nodes(spark, store).select("id", "last_us")
+    edges = spark.read.parquet(f"{store}/edges").select("src", "dst", "t_us", "flow_id")
+    return edges.join(lives.toDF("src", "src_last_us"), "src").join(lives.toDF("dst", "dst_last_us"), "dst")
+
+
+def retention_batches(spark: SparkSession, store: str, keep_us: int, day_us: int = 86_400_000_000) -> Callable[[DataFrame, int], None]:
+    """A step that stores edges by day and forgets: day partitions that lie wholly behind ``keep_us`` before the newest
+    edge are removed from the store."""
+
+    def step(batch: DataFrame, number: int) -> None:
+        batch.withColumn("day", F.floor(F.col("t_us") / day_us)).write.mode("overwrite").partitionBy("day").parquet(f"{store}/_batch={number}")
+        saved = spark.read.parquet(store)
+        top = saved.where(F.col("day") == saved.agg(F.max("day")).first()[0]).agg(F.max("t_us")).first()[0]
+        if top is None:
+            return
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        fs = path(store).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for done in range(number + 1):
+            for part in fs.globStatus(path(f"{store}/_batch={done}/day=*")) or []:
+                if int(part.getPath().getName().split("=")[1]) < (top - keep_us) // day_us:
+                    fs.delete(part.getPath(), True)
+
+    return step
