@@ -9,7 +9,8 @@ offset is computed where the text is; what Spark sorts are the keys that decide
    ones), which depends on its bytes alone; neighbouring windows mostly elect the same one. So about one position in
    ``(length - GRAM) / 2`` is ranked, and equal windows meet at equal ranks. Positions with a unique rank drop out.
 2. The windows of an elected position form a run of text. Equal runs of one rank are copies: all but the first by
-   (doc_id, position) are covered. The first ones stay if their rank has different runs.
+   (doc_id, position) are covered. The first ones stay if their rank has different runs and is still shared when it grows
+   to the offset that every window reaches on one of its sides.
 3. For those, the windows themselves are ranked by the pair of half-length ranks at offset 0 and at the offset that
    reaches the threshold; all but the first window of equal pairs are covered.
 
@@ -61,7 +62,9 @@ def _windows(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
 
 
 def _elected(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(rank, run, doc, start, more): rank of the elected bytes, name of the whole run, first window, further windows."""
+    """(rank, run, sides, doc, start, more): rank of the elected bytes, name of the whole run, short names of the elected
+    bytes with what stands left and right of them, first window, further windows."""
+    side = (length - gram + 1) // 2
 
     def elect(batches):
         for batch in batches:
@@ -71,11 +74,16 @@ def _elected(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 if not len(row):
                     continue
                 run = spans.hash(first, last + length) + mix((position - first).astype(np.uint64))
+                alone = mix((ids[at + row].astype(np.uint64) << np.uint64(32)) + position.astype(np.uint64))  # no room: like no other
+                lo, hi = position - side, position + gram + side
+                left = np.where(lo >= offsets[:-1][row], spans.hash(np.maximum(lo, 0), position + gram), alone)
+                right = np.where(hi <= offsets[1:][row], spans.hash(position, np.minimum(hi, len(data))), alone)
+                sides = (left & ~np.uint64(0xFFFFFFFF)) | (right >> np.uint64(32))
                 yield pa.RecordBatch.from_arrays(
-                    [as_long(spans.hash(position, position + gram)), as_long(run), pa.array(ids[at + row]), pa.array((first - offsets[:-1][row]).astype(np.int32)), pa.array((last - first).astype(np.int32))],
-                    ["rank", "run", "doc", "start", "more"])
+                    [as_long(spans.hash(position, position + gram)), as_long(run), as_long(sides), pa.array(ids[at + row]), pa.array((first - offsets[:-1][row]).astype(np.int32)), pa.array((last - first).astype(np.int32))],
+                    ["rank", "run", "sides", "doc", "start", "more"])
 
-    return docs.mapInArrow(elect, "rank long, run long, doc long, start int, more int")
+    return docs.mapInArrow(elect, "rank long, run long, sides long, doc long, start int, more int")
 
 
 def _pairs(rows: DataFrame, length: int) -> DataFrame:
@@ -119,8 +127,10 @@ def covered_windows(docs: DataFrame, length: int, gram: int) -> DataFrame:
         .withColumn("_first", F.struct("doc", "start") == F.col("_first")) \
         .withColumns({"_n": F.count(F.lit(1)).over(rank), "_r0": F.min("run").over(rank), "_r1": F.max("run").over(rank)})
     kept = stored(marked.where((F.col("_n") > 1) & (~F.col("_first") | (F.col("_r0") != F.col("_r1"))))
-                  .select("doc", "start", "more", F.col("_first").alias("open")), "ranks")
-    runs = kept.where("open").groupBy("doc").agg(F.collect_list(F.struct("start", "more")).alias("runs"))
+                  .select("rank", "sides", "doc", "start", "more", F.col("_first").alias("open")), "ranks")
+    # A window has half of its other bytes left or right of the elected ones: a longer rank on one side must be shared.
+    left, right = (F.count(F.lit(1)).over(Window.partitionBy("rank", F.expr(half))) for half in ("shiftright(sides, 32)", "sides & 4294967295"))
+    runs = kept.where("open").withColumns({"_l": left, "_r": right}).where("_l > 1 OR _r > 1").groupBy("doc").agg(F.collect_list(F.struct("start", "more")).alias("runs"))
     pairs = _pairs(_with_texts(docs, runs), length)
     earliest = F.min(F.struct("doc", "start")).over(Window.partitionBy("a", "b"))
     single = pairs.withColumn("_first", earliest).where(F.struct("doc", "start") != F.col("_first")).select("doc", "start", F.lit(0).alias("more"))
