@@ -19,8 +19,11 @@ def _encode(t):
     return T.cosine(t, TW, TB)
 
 
-def _rows(spark, sf):
-    return M.graph_features(edges_with_time(spark, sf), V.node(spark, sf), V.DIM, _encode, TDIM)
+ENCODINGS = {"cosine": (_encode, TDIM), "time2vec": (lambda t: T.time2vec(t, TW, TB), TDIM), "fourier": (lambda t: T.fourier(t, FREQS, PHASES), 2 * len(FREQS))}
+
+
+def _rows(spark, sf, encoding="cosine", hops=1):
+    return M.graph_features(edges_with_time(spark, sf), V.node(spark, sf), V.DIM, *ENCODINGS[encoding], hops)
 
 
 def _split(spark, sf):
@@ -69,10 +72,45 @@ def _(spark, sf):
     return M.hyperparameter_search(_rows(spark, sf), [0.01, 0.1], [0.0, 0.5])
 
 
+TRIALS = [{"encoding": e, "hops": h} | model for e in ("cosine", "fourier") for h in (1, 2) for model in ({"reg": 0.01}, {"kind": "mlp", "hidden": 12})]
+
+
+@query("model_search", "SELECT unnest(range(8))::INT AS trial, unnest(['cosine','cosine','cosine','cosine','fourier','fourier','fourier','fourier']) AS encoding, unnest([1,1,2,2,1,1,2,2])::INT AS hops, unnest(['logistic','mlp','logistic','mlp','logistic','mlp','logistic','mlp']) AS kind, true AS valid")
+def _(spark, sf):
+    """Model kind, hidden width, time encoding and hops of the features tried on one split."""
+    found = M.model_search(lambda e, h: _rows(spark, sf, e, h), _split(spark, sf), TRIALS, 10)
+    return found.select("trial", "encoding", "hops", "kind", F.col("value").between(0, 1).alias("valid"))
+
+
+_TEST = """WITH cc AS (SELECT label, count(*) AS c, sum(count(*)) OVER () AS n FROM node GROUP BY label), sh AS (SELECT label, c, CAST(ceil(n*0.2) AS BIGINT) AS total, c*CAST(ceil(n*0.2) AS BIGINT)/n::DOUBLE AS share FROM cc),
+    qq AS (SELECT label, floor(share) + CASE WHEN row_number() OVER (ORDER BY share-floor(share) DESC, c DESC, label::VARCHAR) <= total - sum(floor(share)) OVER () THEN 1 ELSE 0 END AS quota FROM sh),
+    ts AS (SELECT id, f.label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(concat(id,'|','ml'))) AS rk FROM node) f JOIN qq USING (label) WHERE rk <= quota)"""
+
+
+def _checked(predicted):
+    """Probabilities that add up to 1 and a prediction that has the largest."""
+    total = F.aggregate("probs", F.lit(0.0), lambda a, p: a + p)
+    return predicted.select("id", "y", ((F.abs(total - 1) < 1e-6) & (F.get("probs", F.col("pred")) == F.array_max("probs"))).alias("valid"))
+
+
+@query("train_early_stop", _TEST + " SELECT id, label AS y, true AS valid FROM ts", "node")
+def _(spark, sf):
+    """Trained while a validation part of the training rows improves; every test row is predicted properly."""
+    rows = _rows(spark, sf, hops=2).join(_split(spark, sf), "id")
+    train = rows.where("split = 'train'").withColumn("_val", F.pmod(F.crc32("id"), F.lit(5)) == 0)
+    model, _history = M.train_early_stop(train.where("NOT _val"), train.where("_val"))
+    return _checked(M.predict(model, rows.where("split = 'test'")))
+
+
+@query("predictions_valid", "SELECT id, label AS y, true AS valid FROM node", "node")
+def _(spark, sf):
+    rows = _rows(spark, sf)
+    return _checked(M.predict(M.fit_final(rows), rows))
+
+
 @query("encoding_comparison")
 def _(spark, sf):
-    encodings = {"cosine": (_encode, TDIM), "time2vec": (lambda t: T.time2vec(t, TW, TB), TDIM), "fourier": (lambda t: T.fourier(t, FREQS, PHASES), 2 * len(FREQS))}
-    return M.encoding_comparison(edges_with_time(spark, sf), V.node(spark, sf), V.DIM, encodings, _split(spark, sf))
+    return M.encoding_comparison(edges_with_time(spark, sf), V.node(spark, sf), V.DIM, ENCODINGS, _split(spark, sf))
 
 
 # Histories: a user is a run, its events in order are the epochs.

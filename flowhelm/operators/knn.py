@@ -1,12 +1,14 @@
 """Exact k-nearest-neighbour graph without all-pairs rows.
 
-Vectors are grouped around pivots. The group sizes and radii bound how far the k-th neighbour of a
-vector can be, and only groups the triangle inequality cannot exclude are searched. Searching happens
-on bounded tiles (some queries x some members) that return k rows per query.
+Vectors are grouped around pivots, about the square root of their number. Each vector is first compared with
+its own group, which bounds how far its k-th neighbour can be; then only groups that the triangle inequality
+cannot exclude are searched. Searching happens on bounded tiles (some queries x some members) that return k rows
+per query.
 """
 
 from __future__ import annotations
 
+import math
 import sys
 
 import numpy as np
@@ -16,25 +18,68 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowhelm.functions.scalar import seeded_hash
+from flowhelm.session import stored
 
 # The helpers travel with the tasks, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-TILE_ROWS = 4096
-MAX_PIVOTS = 1024
+TILE_ROWS = 512
+MAX_PIVOTS = 4096
 
 
 def _matrix(s: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=float) for v in s]) if len(s) else np.zeros((0, 0))
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact differences, one member at a time, to keep memory at one tile."""
-    out = np.empty((len(a), len(b)))
-    for j, v in enumerate(b):
-        d = a - v
-        out[:, j] = np.sqrt(np.einsum("ij,ij->i", d, d))
-    return out
+def _squares(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances by one matrix product, and per row of ``a`` a bound of their rounding error."""
+    na, nb = np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b)
+    rough = na[:, None] + nb[None, :] - 2.0 * (a @ b.T)
+    return np.maximum(rough, 0.0), 1e-9 * (na + (nb.max() if len(nb) else 0.0)) + 1e-12
+
+
+def _closest(a: np.ndarray, ids: np.ndarray, b: np.ndarray, others: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of ``a``, row of ``b`` and exact distance of the k nearest others, ties by id: the product finds who may be
+    among them, differences decide."""
+    rough, slack = _squares(a, b)
+    rough[ids[:, None] == others[None, :]] = np.inf
+    if rough.shape[1] > k:
+        limit = np.partition(rough, k - 1, axis=1)[:, k - 1] + 2 * slack
+        maybe = (rough <= limit[:, None]) & np.isfinite(rough)
+    else:
+        maybe = np.isfinite(rough)
+    i, j = np.nonzero(maybe)
+    exact = np.sqrt(((a[i] - b[j]) ** 2).sum(axis=1))
+    order = np.lexsort((others[j], exact, i))
+    i, j, exact = i[order], j[order], exact[order]
+    place = np.arange(len(i)) - np.searchsorted(i, i, side="left")
+    return i[place < k], j[place < k], exact[place < k]
+
+
+def _search(k: int):
+    def search(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(x):
+            return pd.DataFrame({"_id": [], "neighbour": [], "distance": []}).astype({"_id": "int64", "neighbour": "int64", "distance": "float64"})
+        ids, others = q["_id"].to_numpy(), x["_id"].to_numpy()
+        i, j, d = _closest(_matrix(q["_v"]), ids, _matrix(x["_v"]), others, k)
+        return pd.DataFrame({"_id": ids[i], "neighbour": others[j], "distance": d})
+
+    return search
+
+
+def _tiled(asking: DataFrame, placed: DataFrame, sizes: dict[int, int], asked: dict[int, int], cells: int, tile_rows: int, k: int) -> DataFrame:
+    """(_id, neighbour, distance): every (_id, _v, _cell) of ``asking`` against the members of its cell, in tiles of
+    ``tile_rows`` queries x ``tile_rows`` members."""
+    m_tiles = F.get(F.lit([max(1, -(-sizes.get(c, 0) // tile_rows)) for c in range(cells)]), F.col("_cell"))
+    q_tiles = F.get(F.lit([max(1, -(-asked.get(c, 0) // tile_rows)) for c in range(cells)]), F.col("_cell"))
+    queries = asking.select("_id", "_v", "_cell", F.pmod(F.xxhash64("_id"), q_tiles).cast("int").alias("_q")).withColumn("_t", F.explode(F.sequence(F.lit(0), m_tiles - 1)))
+    members = placed.select("_id", "_v", "_cell", F.pmod(F.xxhash64("_id", F.lit(1)), m_tiles).cast("int").alias("_t")).withColumn("_q", F.explode(F.sequence(F.lit(0), q_tiles - 1)))
+    keys = ["_cell", "_t", "_q"]
+    return queries.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInPandas(_search(k), "_id long, neighbour long, distance double")
+
+
+def _counts(df: DataFrame) -> dict[int, int]:
+    return {r["_cell"]: r["n"] for r in df.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
 def knn_graph(df: DataFrame, ident: str, vec: str, k: int = 5, tile_rows: int = TILE_ROWS, pivots: int | None = None) -> DataFrame:
@@ -43,67 +88,39 @@ def knn_graph(df: DataFrame, ident: str, vec: str, k: int = 5, tile_rows: int =
     clean = F.transform(F.col(vec).cast("array<double>"), lambda x: F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(x))
     data = df.select(F.col(ident).cast("long").alias("_id"), clean.alias("_v"))
     n = data.count()
-    m = pivots or max(1, min(MAX_PIVOTS, int(n / tile_rows)))
+    m = pivots or max(1, min(MAX_PIVOTS, math.isqrt(n) // 2))
     heads = data.withColumn("_h", seeded_hash("_id", "pivot")).orderBy("_h").limit(m).select("_v").collect()
+    m = max(1, len(heads))
     spark = df.sparkSession
     centres = spark.sparkContext.broadcast(np.array([r["_v"] for r in heads], dtype=float))
 
     def assign(batches):
         for pdf in batches:
-            d = _distances(_matrix(pdf["_v"]), centres.value)
-            cell = d.argmin(axis=1)
-            yield pdf.assign(_cell=cell.astype("int32"), _r=d[np.arange(len(cell)), cell])
+            a = _matrix(pdf["_v"])
+            cell = _squares(a, centres.value)[0].argmin(axis=1)
+            yield pdf.assign(_cell=cell.astype("int32"), _r=np.sqrt(((a - centres.value[cell]) ** 2).sum(axis=1)))
 
-    placed = data.mapInPandas(assign, "_id long, _v array<double>, _cell int, _r double")
+    placed = stored(data.mapInPandas(assign, "_id long, _v array<double>, _cell int, _r double"), "placed")
     stats = placed.groupBy("_cell").agg(F.max("_r").alias("radius"), F.count(F.lit(1)).alias("n")).collect()
-    radius, size = np.full(m, -np.inf), np.zeros(m, dtype=int)
+    radius, sizes = np.full(m, -np.inf), {r["_cell"]: r["n"] for r in stats}
     for r in stats:
-        radius[r["_cell"]], size[r["_cell"]] = r["radius"], r["n"]
-    shape = spark.sparkContext.broadcast((radius, size))
-    member_tiles = np.maximum(1, -(-size // tile_rows))
+        radius[r["_cell"]] = r["radius"]
+    own = stored(_tiled(placed, placed, sizes, sizes, m, tile_rows, k), "near")
+    w = Window.partitionBy("_id").orderBy("distance", "neighbour")
+    best = own.withColumn("rank", F.row_number().over(w)).where(F.col("rank") == k).select("_id", F.col("distance").alias("_bound"))
+    reached = spark.sparkContext.broadcast(radius)
 
     def reach(batches):
-        radius, size = shape.value
-        used = np.flatnonzero(size > 0)
+        radius = reached.value
         for pdf in batches:
-            d = _distances(_matrix(pdf["_v"]), centres.value[used])
-            far = d + radius[used]
-            order = far.argsort(axis=1)
-            enough = (np.cumsum(size[used][order], axis=1) > k)
-            at = np.where(enough.any(axis=1), enough.argmax(axis=1), len(used) - 1)
-            rows = np.arange(len(pdf))
-            bound = far[rows, order[rows, at]]
-            near = d - radius[used] <= bound[:, None] + 1e-9
-            yield pdf.assign(_cells=[used[x].astype("int32") for x in near])
-
-    asking = data.mapInPandas(reach, "_id long, _v array<double>, _cells array<int>").select("_id", "_v", F.explode("_cells").alias("_cell"))
-    # A cell is searched in member tiles x query tiles, as many as its own counts need.
-    query_tiles = np.ones(m, dtype=int)
-    for r in asking.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).collect():
-        query_tiles[r["_cell"]] = -(-r["n"] // tile_rows)
-    m_tiles = F.get(F.lit([int(x) for x in member_tiles]), F.col("_cell"))
-    q_tiles = F.get(F.lit([int(x) for x in query_tiles]), F.col("_cell"))
-    queries = (
-        asking.withColumn("_q", F.pmod(F.xxhash64("_id"), q_tiles).cast("int"))
-        .withColumn("_t", F.explode(F.sequence(F.lit(0), m_tiles - 1)))
-    )
-    members = (
-        placed.select("_id", "_v", "_cell", F.pmod(F.xxhash64("_id", F.lit(1)), m_tiles).cast("int").alias("_t"))
-        .withColumn("_q", F.explode(F.sequence(F.lit(0), q_tiles - 1)))
-    )
-
-    def search(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(x):
-            return pd.DataFrame({"_id": [], "neighbour": [], "distance": []}).astype({"_id": "int64", "neighbour": "int64", "distance": "float64"})
-        d = _distances(_matrix(q["_v"]), _matrix(x["_v"]))
-        qi, xi = q["_id"].to_numpy(), x["_id"].to_numpy()
-        d[qi[:, None] == xi[None, :]] = np.inf
-        by_id = np.argsort(xi, kind="stable")
-        order = by_id[np.argsort(d[:, by_id], axis=1, kind="stable")][:, :k]
-        out = pd.DataFrame({"_id": np.repeat(qi, order.shape[1]), "neighbour": xi[order].ravel(), "distance": np.take_along_axis(d, order, 1).ravel()})
-        return out[np.isfinite(out["distance"])]
-
-    keys = ["_cell", "_t", "_q"]
-    found = queries.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInPandas(search, "_id long, neighbour long, distance double")
-    w = Window.partitionBy("_id").orderBy("distance", "neighbour")
+            rough, slack = _squares(_matrix(pdf["_v"]), centres.value)
+            d = np.sqrt(rough) - np.sqrt(slack)[:, None]  # no more than the distance to the pivot
+            bound = pdf["_bound"].fillna(np.inf).to_numpy()
+            near = (d - radius[None, :] <= bound[:, None] + 1e-9) & (radius[None, :] > -np.inf)
+            near[np.arange(len(pdf)), pdf["_cell"]] = False
+            yield pdf.assign(_cells=[np.flatnonzero(x).astype("int32") for x in near])[["_id", "_v", "_cells"]]
+
+    bounded = placed.select("_id", "_v", "_cell").join(best, "_id", "left")
+    asking = stored(bounded.mapInPandas(reach, "_id long, _v array<double>, _cells array<int>").select("_id", "_v", F.explode("_cells").alias("_cell")), "asking")
+    found = own.unionByName(_tiled(asking, placed, sizes, _counts(asking), m, tile_rows, k))
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("_id").alias(ident), "rank", "neighbour", "distance")

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowhelm.plans.lookup import is_small
 from flowhelm.plans.ordered import ROWS_PER_BLOCK, neighbours, running_sums
 from flowhelm.session import cut_lineage
 
@@ -93,7 +94,7 @@ def points(df: DataFrame, y: str = "y", p: str = "p", cls: str | None = None, ro
     keep = first | F.col("_ndp").isNull() | (F.col("_ndp") != F.col("dp")) | (F.col("_ndn") != F.col("dn"))
     # One row per class, so always small enough to send to every task.
     total = at.groupBy("cls").agg(F.sum("dp").alias("pos"), F.sum("dn").alias("neg"))
-    return bent.withColumn("kept", keep).drop("_down", "_ndp", "_ndn").join(F.broadcast(total), "cls")
+    return bent.withColumn("kept", keep).drop("_down", "_ndp", "_ndn").join(F.broadcast(total) if is_small(total) else total, "cls")
 
 
 def _tpr() -> Column:

@@ -18,17 +18,24 @@ from flowhelm.plans.lookup import lookup_join
 from flowhelm.session import cut_lineage
 
 
-def graph_features(edges: DataFrame, nodes: DataFrame, dim: int, encode: Callable[[Column], Column], time_dim: int) -> DataFrame:
-    """(id, label, features): own vector, mean of the neighbours' vectors, mean time encoding."""
+def graph_features(edges: DataFrame, nodes: DataFrame, dim: int, encode: Callable[[Column], Column], time_dim: int, hops: int = 1) -> DataFrame:
+    """(id, label, features): own vector, means of the neighbours' vectors at one to ``hops`` steps, mean time encoding."""
     ends = F.array(F.struct(F.col("src").alias("id"), F.col("dst").alias("nbr")), F.struct(F.col("dst").alias("id"), F.col("src").alias("nbr")))
     links = edges.select("flow_id", F.inline(ends))
-    near = lookup_join(links, nodes.select(F.col("id").alias("nbr"), F.col("feat").alias("_f")), ["nbr"], "flow_id", "inner")
-    mean = near.groupBy("id").agg(F.array(*[F.avg(F.get("_f", i)) for i in range(dim)]).alias("_n"))
+    around, means = nodes.select("id", F.col("feat").alias("_f")), []
+    for _ in range(hops):
+        near = lookup_join(links, around.withColumnRenamed("id", "nbr"), ["nbr"], "flow_id", "inner")
+        around = near.groupBy("id").agg(F.array(*[F.avg(F.get("_f", i)) for i in range(dim)]).alias("_f"))
+        around = around if hops == 1 else cut_lineage(around)  # read again by the next step
+        means.append(around)
     flat = edges.unionByName(edges.withColumns({"src": F.col("dst"), "dst": F.col("src")}))
     timed = edge_time_mean(flat, nodes, encode, time_dim)
-    joined = nodes.select("id", "label", "feat").join(mean, "id", "left").join(timed, "id")
-    near_vec = F.coalesce("_n", F.array_repeat(F.lit(0.0), dim))
-    return joined.select("id", F.col("label").cast("double").alias("label"), array_to_vector(F.concat("feat", near_vec, "time_feat")).alias("features"))
+    joined = nodes.select("id", "label", "feat")
+    for i, mean in enumerate(means):
+        joined = joined.join(mean.withColumnRenamed("_f", f"_n{i}"), "id", "left")
+    near_vecs = [F.coalesce(f"_n{i}", F.array_repeat(F.lit(0.0), dim)) for i in range(hops)]
+    joined = joined.join(timed, "id")
+    return joined.select("id", F.col("label").cast("double").alias("label"), array_to_vector(F.concat("feat", *near_vecs, "time_feat")).alias("features"))
 
 
 def pipeline(kind: str = "logistic", classes: int = 2, width: int = 0, max_iter: int = 100, reg: float = 0.01, hidden: int = 8) -> Pipeline:
@@ -44,6 +51,22 @@ def train_node_classifier(train: DataFrame, **options) -> PipelineModel:
     return pipeline(**options).fit(train)
 
 
+def train_early_stop(train: DataFrame, val: DataFrame, steps: Sequence[int] = (5, 10, 20, 40, 80), patience: int = 1, **options) -> tuple[PipelineModel, list[tuple[int, float]]]:
+    """Training that goes on while the accuracy on ``val`` improves: the best model and (iterations, accuracy) tried."""
+    best, history, waited = None, [], 0
+    for n in steps:
+        model = train_node_classifier(train, max_iter=n, **options)
+        got = predict(model, val).agg(accuracy()).first()[0] or 0.0
+        history.append((n, got))
+        if best is None or got > best[0] + 1e-6:
+            best, waited = (got, model), 0
+        else:
+            waited += 1
+            if waited > patience:
+                break
+    return best[1], history
+
+
 def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
@@ -70,6 +93,27 @@ def fit_final(rows: DataFrame, **options) -> PipelineModel:
     return train_node_classifier(rows, **options)
 
 
+def model_search(features: Callable[[str, int], DataFrame], split: DataFrame, trials: Sequence[dict], classes: int) -> DataFrame:
+    """One fit per trial on a fixed split (id, split): (trial, encoding, hops, kind, hidden, reg, value), value being the
+    accuracy on the test rows. ``features(encoding, hops)`` is made once per combination, whatever models try it."""
+    made: dict[tuple[str, int], DataFrame] = {}
+    out = None
+    for i, t in enumerate(trials):
+        key = (t.get("encoding", "cosine"), t.get("hops", 1))
+        if key not in made:
+            made[key] = cut_lineage(features(*key).join(split, "id"))
+        rows, kind = made[key], t.get("kind", "logistic")
+        options = {"kind": kind, "classes": classes, "hidden": t.get("hidden", 8), "reg": t.get("reg", 0.01)}
+        if kind == "mlp":
+            options["width"] = rows.select("features").first()[0].size
+        model = train_node_classifier(rows.where("split = 'train'"), **options)
+        got = predict(model, rows.where("split = 'test'")).agg(accuracy().alias("value")).select(
+            F.lit(i).alias("trial"), F.lit(key[0]).alias("encoding"), F.lit(key[1]).alias("hops"), F.lit(kind).alias("kind"),
+            F.lit(options["hidden"]).alias("hidden"), F.lit(options["reg"]).alias("reg"), "value")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
 def hyperparameter_search(rows: DataFrame, regs: Sequence[float], nets: Sequence[float], folds: int = 0, metric: str = "f1", parallelism: int = 4) -> DataFrame:
     """Grid search by cross-validation (``folds`` > 1) or one split: (trial, reg, net, value)."""
     rows = cut_lineage(rows)  # read by every trial

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowhelm.plans.lookup import BROADCAST_ROWS
+from flowhelm.plans.lookup import is_small
 from flowhelm.plans.ordered import ROWS_PER_BLOCK, neighbours, number, percentile_row, row_halo, running_sums
 from flowhelm.session import cut_lineage
 
@@ -267,7 +267,7 @@ def assign_windows(events: DataFrame, windows: DataFrame, t_us: str = "t_us") ->
         F.expr("shiftright(cast(floor(start_us) as bigint), _lv)"), F.expr("shiftright(cast(floor(end_us) as bigint), _lv)"))))
     spots = F.array(*[F.struct(F.lit(v).alias("_lv"), F.shiftright(F.col(t_us), v).alias("_cell")) for v in levels])
     spread = events.select("*", F.inline(spots))
-    small = windows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    small = is_small(windows)
     inside = (F.col(t_us) >= F.col("start_us")) & ((F.col(t_us) < F.col("end_us")) | ((F.col("end_us") == F.col("_stop")) & (F.col(t_us) == F.col("_stop"))))
     return spread.join(F.broadcast(grid) if small else grid, ["_lv", "_cell"]).where(inside).drop("_lv", "_cell", "_stop")
 

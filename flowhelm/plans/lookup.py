@@ -4,17 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowhelm.plans.skew import null_safe_join, salted_join
 
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
+
+
+def _width(field: T.StructField) -> Column:
+    """Bytes of a value, about."""
+    c = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0))
+    if isinstance(field.dataType, T.ArrayType):
+        return F.coalesce(F.size(c), F.lit(0)) * 8
+    return F.lit(8)
 
 
 def is_small(values: DataFrame) -> bool:
-    """Whether a counted row number allows a broadcast."""
-    return values.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    """Whether counted rows and their bytes allow a broadcast."""
+    width = F.lit(16)
+    for field in values.schema.fields:
+        width = width + _width(field)
+    rows, size = values.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
 
 
 def lookup_join(
