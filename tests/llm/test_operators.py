@@ -9,7 +9,7 @@ import brute
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import DOCS, SYLLABLES
+from corpus import DOCS, SYLLABLES, docs, rows  # noqa: F401
 from pyspark.sql import functions as F
 
 from flowhelm.llm import chat, decontaminate, lines, minhash, mixing, mph, ngrams, secrets, suffixes, text, toxicity

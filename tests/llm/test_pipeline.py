@@ -5,6 +5,7 @@ import hashlib
 import brute
 import corpus_pipeline
 import duckdb
+from corpus import rows, sf_small  # noqa: F401
 from pyspark.sql import functions as F
 
 from flowhelm.llm import lines, mixing

@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from corpus import rows, sf_small  # noqa: F401
 
 from flowhelm.llm import queries
 
