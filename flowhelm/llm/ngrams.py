@@ -36,6 +36,7 @@ from flowhelm.session import stored
 
 CHUNK_BYTES = 6 << 20
 KEYS_PER_SHARD = 1_000_000
+BYTES_PER_KEY = 7  # of text, about, for a distinct pair in a chunk
 FOLDS = 10
 CELL = 8  # cells per doubling of an estimate
 _END, _START = (np.uint64(x) for x in constants(91, 2))
@@ -164,7 +165,7 @@ def _answer(key: tuple, asked: pa.Table) -> pa.Table:
     return pa.table([rows["chunk"], [kind] * n, [shard] * n, rows["kept"], rows["deleted"]], schema=_ANSWER)
 
 
-_COUNTED = "chunk long, ids binary, known binary, held binary, sizes binary, single binary, context binary, pair binary, cells binary, totals binary"
+_COUNTED = "chunk long, ids binary, known binary, held binary, sizes binary, single binary, pair binary, cells binary, totals binary"
 
 
 def _log_cell(p: np.ndarray) -> np.ndarray:
@@ -187,7 +188,7 @@ def _counted(starts: tuple[int, int]):
         kept, deleted = ([x.as_py() for x in answers.column(c)] for c in ("kept", "deleted"))
         if not len(chunk):  # the totals
             sums = [np.sum([np.frombuffer(x, np.int64) for x in y], axis=0) for y in (kept, deleted)]
-            return pa.table([[-1], *[[None]] * 8, [np.concatenate(sums).tobytes()]], schema=schema)
+            return pa.table([[-1], *[[None]] * 7, [np.concatenate(sums).tobytes()]], schema=schema)
         row = chunk.to_pylist()[0]
         kinds = answers.column("kind").to_pylist()
 
@@ -196,6 +197,8 @@ def _counted(starts: tuple[int, int]):
 
         names, tokens, sizes = _unpack_keys(row["names"]), _unpack(row["tokens"]).astype(np.int64), _unpack(row["sizes"])
         before, pairs = _grams(names, tokens, sizes)
+        if sum(len(_unpack(x)) for x, k in zip(kept, kinds, strict=True) if k == 0) != len(names):
+            raise ValueError("chunks changed between two passes over the documents; give a written table or stable=False")
         place = np.unique(pairs, return_inverse=True)[1]
         counts = []  # of the kept and the deleted training documents
         for raw, start in ((kept, starts[0]), (deleted, starts[1])):
@@ -205,7 +208,7 @@ def _counted(starts: tuple[int, int]):
         single, context, pair = (x[use == 1] for x in counts[0])
         code = (bucket(context) << 40) | (_log_cell(pair / np.maximum(context, 1)) << 20) | _log_cell(single.astype(np.float64))
         code, n = np.unique(code, return_counts=True)
-        both = [a + b for a, b in zip(*counts, strict=True)]
+        both = [counts[0][k] + counts[1][k] for k in (0, 2)]
         return pa.table([[row["chunk"]], *[[row[c]] for c in ("ids", "known", "held", "sizes")], *[[_pack(x)] for x in both], [np.stack([code, n]).tobytes()], [None]], schema=schema)
 
     return join
@@ -239,15 +242,19 @@ def learn_weights(cells: dict[int, int], tokens: int, distinct: int, rounds: int
     return weights
 
 
-def score(docs: DataFrame, held_out: int = 2, modulus: int = 7, chunk_bytes: int = CHUNK_BYTES, keys_per_shard: int = KEYS_PER_SHARD) -> DataFrame:
+def score(docs: DataFrame, held_out: int = 2, modulus: int = 7, chunk_bytes: int = CHUNK_BYTES, keys_per_shard: int = KEYS_PER_SHARD, stable: bool = False) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score,
-    log10 probabilities. Documents whose crc32 of the doc_id modulo ``modulus`` is ``held_out`` are not learnt from."""
-    cut = stored(chunks(docs, held_out, modulus, chunk_bytes), "chunks")
-    meta = cut.mapInArrow(
-        lambda batches: (pa.RecordBatch.from_arrays([pa.array([[int(_unpack(r["sizes"]).sum()), *np.bincount(np.frombuffer(r["held"], np.uint8), minlength=2)[:2].tolist()][k] for r in b.to_pylist()], pa.int64()) for k in range(3)], ["n", "s0", "s1"]) for b in batches),
-        "n long, s0 long, s1 long").agg(F.sum("n"), F.sum("s0"), F.sum("s1")).first()
-    n_tokens, kept_starts, deleted_starts = (x or 0 for x in meta)
-    shards = max(1, -(-n_tokens // keys_per_shard))
+    log10 probabilities. Documents whose crc32 of the doc_id modulo ``modulus`` is ``held_out`` are not learnt from.
+
+    Chunks are read twice. They are written in between, unless the caller says that ``docs`` is ``stable``: the scan of a
+    written table, which is split alike each time."""
+    cut = chunks(docs, held_out, modulus, chunk_bytes)
+    cut = cut if stable else stored(cut, "chunks")
+    crc = F.crc32(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")))
+    learnt, deleted = crc % modulus != held_out, F.floor(crc / modulus) % FOLDS == 0
+    n_bytes, kept_starts, deleted_starts = docs.agg(
+        F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if(learnt & ~deleted), F.count_if(learnt & deleted)).first()
+    shards = max(1, -(-n_bytes // (BYTES_PER_KEY * keys_per_shard)))
     answers = _requests(cut, shards).groupBy("kind", "shard").applyInArrow(_answer, "chunk long, kind int, shard int, kept binary, deleted binary")
     counted = stored(cut.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_counted((kept_starts, deleted_starts)), _COUNTED), "counted")
     totals = counted.where("chunk = -1").select("totals").first()
@@ -267,7 +274,9 @@ def score(docs: DataFrame, held_out: int = 2, modulus: int = 7, chunk_bytes: int
         for batch in batches:
             for row in batch.to_pylist():
                 sizes = _unpack(row["sizes"]).astype(np.int64)
-                single, context, pair = (_unpack(row[c]).astype(np.float64) for c in ("single", "context", "pair"))
+                single, pair = (_unpack(row[c]).astype(np.float64) for c in ("single", "pair"))
+                context = np.concatenate([[0.0], single[:-1]])  # a word is a context as often as it is a token
+                context[np.cumsum(sizes) - sizes] = kept_starts + deleted_starts
                 w = weights[bucket(context)]
                 p = w[:, 0] * pair / np.maximum(context, 1) + w[:, 1] * single / max(all_n, 1) + w[:, 2] / (all_v + 1)
                 begin = np.cumsum(sizes) - sizes

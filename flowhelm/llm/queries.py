@@ -100,4 +100,4 @@ def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probabilities of all documents under an interpolated n-gram model of the documents not held out."""
-    return ngrams.score(table(spark, sf_dir, "documents"))
+    return ngrams.score(table(spark, sf_dir, "documents"), stable=True)
