@@ -9,7 +9,8 @@ the smallest doc_id among them. The steps:
 2. their hashes are dealt to shards, each with a minimal perfect hash, fingerprints, counts and first documents, written
    as one row of the shared folder;
 3. documents send their line hashes, packed per batch and shard, to these arrays; what comes back are the hashes that a
-   document loses. Shards whose keys occur very often are copied and their probes dealt over the copies;
+   document loses. There are enough shards for all lines, found or not; shards whose keys occur very often are copied and
+   their probes dealt over the copies;
 4. documents join with their own lost hashes and are cut.
 
 Null or empty texts are one empty line and stay as they are (null stays null). Null doc_ids count as one document behind
@@ -151,7 +152,9 @@ def dedup_lines(docs: DataFrame, least_chars: int = 10, keys_per_shard: int = KE
     spark = docs.sparkSession
     identified = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("_doc"), F.col("text").cast("string").alias("text"))
     keys = stored(repeated_keys(identified, least_chars), "line_keys")
-    shards = max(1, -(-keys.count() // keys_per_shard))
+    # Lines that count are at least ``least_chars`` bytes and a break, so this bounds both what a shard holds and what asks it.
+    n_bytes = identified.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    shards = max(1, -(-keys.count() // keys_per_shard), -(-n_bytes // ((least_chars + 1) * probes_per_copy)))
     arrays = stored(keys.withColumn("shard", F.pmod("low", F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(_build, _SHARD), "line_arrays")
     # A shard with many probes is read by several tasks: at most (lines / probes_per_copy) shards are listed here.
     copies = {r.shard: -(-r.probes // probes_per_copy) for r in arrays.where(F.col("probes") > probes_per_copy).select("shard", "probes").collect()}
