@@ -8,13 +8,12 @@ one look-up per shingle reads the consecutive values of all coordinates.
 
 Signatures are cut into bands; equal bands are candidates and every link is confirmed on the full sets. Documents of
 equal sets count as one (a class) from the start. In a band's group no pairs are made: each class is compared with the
-hub of the group, the one that meets the most others over all bands, and further rounds compare what lies outside the
-largest component of a group with members of that component. Classes that then are in different components and could
-still be linked (decided by the triangle inequality of the Jaccard distance) are compared one by one, so no link is
-lost. Components of the confirmed links spread the smallest doc_id.
+hub of the group, the one that meets the most others over all bands, and what then lies outside the largest component of
+a group with some members of that component. Members that then still lie outside are compared with all members of other
+components, in tiles that give out links alone, so no link is lost. Components of the confirmed links spread the smallest doc_id.
 
-Null texts have empty sets; null doc_ids are ignored as names (they come last); repeated rows share a class; an empty
-table gives no rows; extra columns are not touched.
+Null texts have empty sets; null doc_ids are ignored as names (they come last); repeated rows share a class (rows that
+share a doc_id are taken to share their text); an empty table gives no rows; extra columns are not touched.
 """
 
 from __future__ import annotations
@@ -34,7 +33,8 @@ WORDS = 5
 NEAR, OF = 75, 100
 ROWS_PER_BAND = 6
 RECALL = 0.9999
-HUB_ROUNDS = 6  # at most; what these leave unlinked is compared pair by pair
+TILE = 512
+DRAWS = 4  # members of a group's largest component that one outside it meets first; the rest is decided in tiles
 _CIRCLE = 1 << 18
 _TABLE: dict[int, np.ndarray] = {}
 
@@ -136,24 +136,39 @@ def is_near(common: str = "common", near: int = NEAR):
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(m, root) for the ends of links: the smallest id that each reaches, itself included. Labels are hooked to the
-    smallest label of a neighbour and members follow their root, so rounds grow with the logarithm of a component's width."""
-    both = stored(links.select("m", "h").unionByName(links.select(F.col("h").alias("m"), F.col("m").alias("h"))).distinct(), "links")
-    labels = stored(both.groupBy("m").agg(F.least("m", F.min("h")).alias("root")), "labels")
+    """(m, root) for the ends of links: the smallest id that each reaches, itself included.
+
+    Alternating stars: first every node ties its larger neighbours to its smallest one, then its smaller neighbours and
+    itself to their smallest one, until all edges lead to a root. Both are a window over one shuffle."""
+    edges = links.select(F.greatest("m", "h").alias("u"), F.least("m", "h").alias("v")).where("u <> v").distinct()
+    smallest, last = F.min("v").over(Window.partitionBy("u")), None
     while True:
-        lowest = both.join(labels.withColumnRenamed("m", "h"), "h").groupBy("m").agg(F.min("root").alias("near"))
-        hooked = labels.join(lowest, "m").select("m", "root", F.least("root", "near").alias("to"))
-        moved = hooked.groupBy("root").agg(F.min("to").alias("top"))
-        new = stored(hooked.join(moved, "root").select("m", F.col("top").alias("new"), "root"), "labels")
-        labels = new.select("m", F.col("new").alias("root"))
-        if new.where("new <> root").isEmpty():
-            return labels
+        edges = stored(edges, "links")
+        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if state == last:
+            return edges.select(F.col("u").alias("m"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("m"), F.col("v").alias("root")).distinct())
+        last = state
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = both.withColumn("low", F.least("u", smallest)).where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
+        small = large.withColumn("low", smallest)
+        edges = small.select(F.inline(F.array(F.struct("u", F.col("low").alias("v")), F.struct(F.col("v").alias("u"), F.col("low").alias("v"))))).where("u <> v").distinct()
 
 
 def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
     return members.join(roots, "m", "left").withColumn("root", F.coalesce("root", "m"))
 
 
+def _placed(starred: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members with their roots; and of every group with several roots the one that most members have (``lead``) and
+    ``drawn``, some members of it: at most ``DRAWS``, by hash, different ones in each group."""
+    placed = stored(_rooted(starred, roots), "placed")
+    by_hash = F.row_number().over(Window.partitionBy("name", "root").orderBy(F.xxhash64("m", "name"), "m"))
+    drawn = placed.withColumn("_turn", by_hash).groupBy("name", "root").agg(
+        F.count(F.lit(1)).alias("n"), F.collect_list(F.when(F.col("_turn") <= DRAWS, F.struct("m", "nm"))).alias("drawn"))
+    lead = drawn.groupBy("name").agg(F.max_by(F.struct("root", "drawn"), F.struct("n", "root")).alias("w"), F.count(F.lit(1)).alias("roots"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    return placed, stored(lead.where("roots > 1").select("name", F.col("w.root").alias("lead"), F.col("w.drawn").alias("drawn"), "all", (F.col("all") - F.col("most")).alias("outside")), "lead")
+
+
 def _untried(pairs: DataFrame, tried: DataFrame, near: int) -> DataFrame:
     """Distinct pairs whose sizes allow a link and that were not compared before in either order."""
     fits = OF * F.least("nm", "nh") >= near * F.greatest("nm", "nh")
@@ -161,6 +176,47 @@ def _untried(pairs: DataFrame, tried: DataFrame, near: int) -> DataFrame:
     return pairs.where(fits & (F.col("m") != F.col("h"))).select("m", "h", "nm", "nh").distinct().join(both, ["m", "h"], "left_anti")
 
 
+def _tile(near: int):
+    """Links between the sets of two tables of (m, root, set) and (y_m, y_root, y_set), other roots only: the sets of one side are looked up in
+    one sorted array of the other's, so the work is what they share."""
+
+    def link(x: pa.Table, y: pa.Table) -> pa.Table:
+        schema = pa.schema([("m", pa.int64()), ("h", pa.int64())])
+        if not len(x) or not len(y):
+            return schema.empty_table()
+        sets = [np.frombuffer(r.as_py(), np.uint64) for r in y.column("y_set")]
+        size = np.array([len(r) for r in sets])
+        every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+        order = np.argsort(every, kind="stable")
+        every, owner = every[order], owner[order]
+        others, roots = np.asarray(y.column("y_m")), np.asarray(y.column("y_root"))
+        ms, hs = [], []
+        for m, root, raw in zip(x.column("m").to_pylist(), x.column("root").to_pylist(), x.column("set"), strict=True):
+            own = np.frombuffer(raw.as_py(), np.uint64)
+            lo, hi = np.searchsorted(every, own, side="left"), np.searchsorted(every, own, side="right")
+            n = hi - lo
+            met = owner[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+            common = np.bincount(met, minlength=len(sets))
+            hit = np.flatnonzero((OF * common >= near * (len(own) + size - common)) & (roots != root))
+            ms += [m] * len(hit)
+            hs += others[hit].tolist()
+        return pa.table([pa.array(ms, pa.int64()), pa.array(hs, pa.int64())], schema=schema)
+
+    return link
+
+
+def _linked_in_tiles(placed: DataFrame, lead: DataFrame, sets: DataFrame, near: int) -> DataFrame:
+    """(m, h) linked pairs of different components that share a group: every member outside the group's largest component
+    against all members, in tiles of ``TILE`` x ``TILE`` rows. Only links leave a tile."""
+    rows = placed.join(lead.select("name", "lead", "outside", "all"), "name").join(sets.withColumnRenamed("doc_id", "m"), "m")
+    tiles = {"_q": F.ceil(F.col("outside") / TILE).cast("int"), "_t": F.ceil(F.col("all") / TILE).cast("int")}
+    rows = rows.withColumns(tiles)
+    x = rows.where("root <> lead").select("name", F.pmod(F.xxhash64("m"), "_q").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("_t") - 1)).alias("j"), "m", "root", "set")
+    y = rows.select("name", F.explode(F.sequence(F.lit(0), F.col("_q") - 1)).alias("i"), F.pmod(F.xxhash64("m", F.lit(1)), "_t").cast("int").alias("j"), "m", "root", "set")
+    y = y.toDF("y_name", "y_i", "y_j", "y_m", "y_root", "y_set")
+    return x.groupBy("name", "i", "j").cogroup(y.groupBy("y_name", "y_i", "y_j")).applyInArrow(_tile(near), "m long, h long").distinct()
+
+
 def near_components(docs: DataFrame, words_per_shingle: int = WORDS, near: int = NEAR, rows: int = ROWS_PER_BAND) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of ``docs``."""
     bands = bands_for(near / OF, rows)
@@ -170,44 +226,28 @@ def near_components(docs: DataFrame, words_per_shingle: int = WORDS, near: int =
     classes = stored(full.groupBy("a", "b", "n_shingles").agg(F.min("doc_id").alias("m"), F.min_by("bands", F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("bands")), "classes")
     group = Window.partitionBy("name")
     spread = classes.where("m IS NOT NULL").select("m", F.col("n_shingles").alias("nm"), F.explode("bands").alias("name"))
-    met = stored(spread.withColumn("together", F.count(F.lit(1)).over(group)).where("together > 1"), "groups")
-    members = stored(met.join(met.groupBy("m").agg(F.sum("together").alias("met")), "m").drop("together"), "members")
-    wanted = members.select(F.col("m").alias("doc_id")).distinct()
-    sets = stored(shingle_sets(texts.join(F.broadcast(wanted) if is_small(wanted) else wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), words_per_shingle), "sets")
-
-    hubs = members.groupBy("name").agg(F.max_by(F.struct("m", "nm"), F.struct("met", -F.col("m"))).alias("hub"))
-    starred = stored(members.join(hubs, "name").select("name", "m", "nm", F.col("hub.m").alias("h"), F.col("hub.nm").alias("nh")), "stars")
-    # The distance to the first hub is wanted for all members, near or not: it decides what else must be compared.
+    met = spread.withColumn("together", F.count(F.lit(1)).over(group)).where("together > 1")
+    members = met.withColumn("met", F.sum("together").over(Window.partitionBy("m"))).drop("together")
+    hub = F.max(F.struct(F.col("met"), (-F.col("m")).alias("h"), F.col("nm"))).over(group)
+    starred = stored(members.withColumn("_hub", hub).select("name", "m", "nm", (-F.col("_hub.h")).alias("h"), F.col("_hub.nm").alias("nh")), "stars")
+    wanted = starred.select(F.col("m").alias("doc_id")).distinct()
+    sets = stored(shingle_sets(texts.join(F.broadcast(wanted) if is_small(wanted) else wanted, "doc_id", "left_semi"), words_per_shingle), "sets")
     tried = stored(compare(starred.where("m <> h").select("m", "h", "nm", "nh").distinct(), sets), "tried")
-    star = tried.select("m", "h", (1 - F.col("common") / (F.col("nm") + F.col("nh") - F.col("common"))).alias("d"))
-    starred = stored(starred.join(star, ["m", "h"], "left").select("name", "m", "nm", F.coalesce("d", F.lit(0.0)).alias("d")), "stars")
     links = tried.where(is_near(near=near)).select("m", "h")
     roots = components(links)
-    for turn in range(HUB_ROUNDS):
-        # Members outside the largest component of their group meet one member of it, another one in each group.
-        placed = _rooted(starred, roots)
-        sizes = placed.groupBy("name", "root").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("m", "nm"), F.xxhash64("m", "name", F.lit(turn))).alias("hub"))
-        lead = sizes.groupBy("name").agg(F.max_by(F.struct("root", "hub"), F.struct("n", "root")).alias("lead"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-        outside = placed.join(lead, "name").where(F.col("root") != F.col("lead.root")).select("m", "nm", F.col("lead.hub.m").alias("h"), F.col("lead.hub.nm").alias("nh"))
-        more = stored(compare(_untried(outside, tried, near), sets), "tried")
-        tried = tried.unionByName(more)
-        found = more.where(is_near(near=near)).select("m", "h")
-        if found.isEmpty():
-            break
+    # Members outside the largest component of their group meet some members of it, others in each group.
+    placed, lead = _placed(starred, roots)
+    some = F.transform(F.sequence(F.lit(0), F.lit(DRAWS - 1)), lambda i: F.get("drawn", F.pmod(F.xxhash64("m", i), F.size("drawn")).cast("int")))
+    outside = placed.join(lead, "name").where(F.col("root") != F.col("lead")).withColumn("_h", F.explode(some)) \
+        .select("m", "nm", F.col("_h.m").alias("h"), F.col("_h.nm").alias("nh"))
+    more = stored(compare(_untried(outside, tried, near), sets), "tried")
+    found = more.where(is_near(near=near)).select("m", "h")
+    if not found.isEmpty():
         links = links.unionByName(found)
         roots = components(links)
-    # What is left: members outside the largest component of a group against those of other components, if they are not
-    # further apart from the first hub than a link allows.
-    placed = _rooted(starred, roots)
-    sizes = placed.groupBy("name", "root").agg(F.count(F.lit(1)).alias("n"))
-    lead = sizes.groupBy("name").agg(F.max_by("root", F.struct("n", "root")).alias("lead"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("name", "lead")
-    open_ = stored(placed.join(lead, "name"), "open")
-    x = open_.where("root <> lead").select("name", "m", "nm", F.col("d").alias("dm"), F.col("root").alias("rm"))
-    y = open_.select("name", F.col("m").alias("h"), F.col("nm").alias("nh"), F.col("d").alias("dh"), F.col("root").alias("rh"), (F.col("root") == F.col("lead")).alias("main"))
-    once = F.col("main") | (F.col("m") < F.col("h"))
-    fits = OF * F.least("nm", "nh") >= near * F.greatest("nm", "nh")
-    rest = x.join(y, "name").where((F.col("rm") != F.col("rh")) & once & fits & (F.abs(F.col("dm") - F.col("dh")) <= 1 - near / OF + 1e-9))
-    more = stored(compare(_untried(rest, tried, near), sets).where(is_near(near=near)).select("m", "h"), "more")
+        placed, lead = _placed(starred, roots)
+    # What is left: members outside the largest component of a group against those of other components, in tiles.
+    more = stored(_linked_in_tiles(placed, lead, sets, near), "more")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
     rooted = _rooted(classes.select("a", "b", "n_shingles", "m"), roots).select("a", "b", "n_shingles", F.col("root").alias("component_id"))
