@@ -44,14 +44,19 @@ class Layer:
 
 
 def project(nodes: DataFrame, weight: Sequence[Sequence[float]], bias: Sequence[float], vec: str = "feat", out: str = "h") -> DataFrame:
-    """``W x + b`` per node; wide layers multiply Arrow batches with numpy instead of array functions."""
+    """``W x + b`` per node, null for a missing vector; wide layers multiply Arrow batches with numpy instead of array
+    functions."""
     if len(weight) * len(weight[0]) <= WIDE:
         return nodes.withColumn(out, affine(weight, bias, vec))
     w, b = np.asarray(weight, dtype=float).T, np.asarray(bias, dtype=float)
 
     @F.pandas_udf("array<double>")
     def multiply(x: pd.Series) -> pd.Series:
-        return pd.Series(list(np.stack([np.asarray(v, dtype=float) for v in x]) @ w + b)) if len(x) else pd.Series([], dtype=object)
+        out = pd.Series([None] * len(x), index=x.index, dtype=object)
+        there = x.dropna()
+        if len(there):
+            out[there.index] = pd.Series(list(np.stack([np.asarray(v, dtype=float) for v in there]) @ w + b), index=there.index)
+        return out
 
     return nodes.withColumn(out, multiply(vec))
 

@@ -238,14 +238,15 @@ def ip_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def timestamp_to_epoch(df: DataFrame, c: str, row_id: str, out: str = "epoch") -> DataFrame:
-    """Seconds since 1970 from text, datetime or number; unparseable text columns get category codes."""
+    """Seconds since 1970 from text, datetime or number. A text column is one of times if most of its values parse (the
+    others are null then), else its values get category codes."""
     kind = df.schema[c].dataType
     if isinstance(kind, T.NumericType):
         return df.withColumn(out, F.col(c).cast("double"))
     if not isinstance(kind, T.StringType):
         return df.withColumn(out, F.unix_micros(F.col(c).cast("timestamp")) / F.lit(1e6))
     parsed = F.try_to_timestamp(F.col(c))
-    if df.agg(F.bool_or(parsed.isNotNull())).first()[0]:
+    if (df.agg(F.avg(F.when(F.col(c).isNotNull(), parsed.isNotNull().cast("int")))).first()[0] or 0.0) > 0.5:
         return df.withColumn(out, F.unix_micros(parsed) / F.lit(1e6))
     return category_codes(df, c, row_id, out).withColumn(out, F.col(out).cast("double"))
 
