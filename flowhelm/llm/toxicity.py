@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from flowhelm.llm.text import LOWER, Spans, pieces
 
-SAMPLE = 4_000
+SAMPLE = 2_000
 FEATURES = 30_000
 LEAST_ODDS = 0.7
 THRESHOLD = 0.7
@@ -111,8 +111,11 @@ def _fit(sets: list[np.ndarray], swapped: list[np.ndarray | None], labels: np.nd
     n0 = n - n1
     if not n1 or not n0:
         return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0 if not n else float(np.log((n1 + 0.5) / (n0 + 0.5))))
-    row = np.repeat(np.arange(n), [len(s) for s in sets])
-    names, col = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(s) for s in sets])
+    every = np.concatenate(sets)
+    names = np.unique(every)
+    col = np.searchsorted(names, every).astype(np.int32)
+    del every
     toxic, clean = np.bincount(col, labels[row], len(names)), np.bincount(col, 1 - labels[row], len(names))
     # Kept: features whose odds differ by a clear factor, beyond doubt. Weak ones would add up in long texts.
     odds = np.log((toxic + 0.5) / (clean + 0.5) * (n0 + 1) / (n1 + 1))
