@@ -1,14 +1,11 @@
-"""Benchmark decontamination by CGK embeddings, bit sampling and exact edit distance.
+"""Benchmark decontamination by pigeonhole seeds and exact edit distance, without loss.
 
-A CGK embedding reads a string by a random walk: step j writes the current byte and moves on by a random bit that
-depends on j and the byte. Two strings at a small edit distance fall back into step after each edit, so most written bytes
-agree: edit distance becomes Hamming distance. Bit-sampling LSH hashes a few steps at a time, repeatedly.
-
-Items are sorted into classes by length, ``[2**c, 2**(c+1))`` bytes. For each class windows of the items' size start at
-every ``2**(c-1)``-th byte of a text, and every item is entered under its first ``2**c`` shifts, so whatever the place of a
-passage, two windows start at the same bytes of it as entered shifts. Repetitions are added until the wanted recall is
-measured on edited copies of the items. Candidates are verified by the exact edit distance of
-the whole item to any part of the text around the window; at most ``edits`` of the item's bytes may differ.
+At most ``edits`` of an item's bytes may differ, say k. The item is cut into k + 1 pieces, so any near copy holds at
+least one of them unchanged. Moreover, counting errors minus pieces from left to right, the pieces behind the last
+maximum are followed to the end by fewer errors than pieces: some unchanged piece is followed by a piece with at most
+one error, by two with at most two, and so on. Unchanged pieces are found by a look-up of eight bytes at every position
+of a text, then the next piece and the next three are held against that, and what is left is verified by the exact edit
+distance of the whole item to the part of the text around the piece. Nothing is sampled and no true copy is dropped.
 
 Texts and items are compared with A-Z lower-cased and every white-space byte as a space. Null or empty texts and items
 match nothing; repeated rows are reported as rows of their own; equal items are all reported; an empty table on either
@@ -17,22 +14,33 @@ side gives no rows. The benchmark, a stated query set, goes to every task; its s
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowhelm.llm.text import IS_SPACE, LOWER, constants, mix, pieces
+from flowhelm.llm.text import IS_SPACE, LOWER, pieces
 
 EDITS = 0.1
-RECALL = 0.99
-STEPS = 12  # sampled steps of a repetition
-LEAST_REPEATS, MOST_REPEATS = 8, 32
 BENCHMARK_BYTES = 64 << 20
-_CHUNK = 4096
+AHEAD = 3  # pieces behind an unchanged one that are compared before the whole item
+_POSITIONS, _HITS = 1 << 18, 1 << 20  # positions looked up and pieces compared at a time
 _NORMAL = np.where(IS_SPACE, 32, LOWER).astype(np.uint8)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+
+
+def _words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every position on as a word, a view; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    return np.ndarray((len(data) + 1,), np.dtype("<u8"), padded, strides=(1,))
+
+
+def _counted(n: np.ndarray) -> np.ndarray:
+    """0 .. n - 1 for every n, behind each other."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
 def distance(item: bytes, text: bytes, most: int) -> int:
@@ -63,169 +71,158 @@ def distance(item: bytes, text: bytes, most: int) -> int:
     return min(best, most + 1)
 
 
-class _Class:
-    """Windows, walks and entries for items of ``2**c`` to ``2**(c+1) - 1`` bytes."""
-
-    def __init__(self, c: int, items: list[bytes], edits: float, recall: float):
-        self.low = 1 << c
-        self.stride = max(1, self.low // 2)
-        self.steps = self.low
-        bits = mix(np.arange(self.steps * 256, dtype=np.uint64) + np.uint64(c << 32)) >> np.uint64(60) & np.uint64(1)
-        self.moves = bits.astype(np.int64).reshape(self.steps, 256)
-        self.rng = np.random.Generator(np.random.PCG64(c))
-        self.factor = constants(53, STEPS)
-        entries = [(n, raw[s:]) for n, raw in enumerate(items) for s in range(min(self.low, len(raw)))]
-        owner = np.array([n for n, _ in entries])
-        walks = self.walk(*self._joined([t for _, t in entries]))
-        self.owner, self.walks, self.agree = owner, walks, 0.0
-        self.samples: list[np.ndarray] = []
-        self.tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        copies = [self._edited(raw, edits / 2) for raw in items for _ in range(max(1, 200 // len(items)))]
-        of = np.repeat(np.arange(len(items)), max(1, 200 // len(items)))
-        begins = self.rng.integers(0, self.stride, len(copies))
-        tests = self.walk(*self._joined([t[p:] for t, p in zip(copies, begins, strict=True)] + [t[p + self.stride :] for t, p in zip(copies, begins, strict=True)]))
-        met, best = 0, np.zeros(len(copies))
-        # Repetitions are added until edited copies of the items are found as often as wanted. The samples of one
-        # repetition lie close together: steps fall out of agreement in runs, so a short stretch is hit or missed whole.
-        while len(self.samples) < LEAST_REPEATS or (met < recall * len(copies) and len(self.samples) < MOST_REPEATS):
-            self.samples.append(self._sample(len(self.samples)))
-            key = self._key(walks, self.samples[-1])
-            order = np.lexsort((owner, key))
-            key, own = key[order], owner[order]
-            fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])])
-            key, entry = key[fresh], order[fresh]
-            bitmap = np.zeros(1 << 18, dtype=bool)
-            bitmap[(key >> np.uint64(46)).astype(np.int64)] = True
-            self.tables.append((key, entry, bitmap))
-            columns, entries = self.candidates(tests, last=True)
-            right = of[columns % len(copies)] == owner[entries]
-            np.maximum.at(best, columns[right] % len(copies), self.agreement(tests, columns[right], entries[right]))
-            met = int((best > 0).sum())
-        # What the embedding promises: near strings have near walks. The lowest share among the found copies but one in
-        # a hundred is asked of a candidate before its edit distance is computed.
-        self.agree = float(np.quantile(best[best > 0], 0.01)) if met else 0.0
-        self.measured = met / max(1, len(copies))
-
-    def _sample(self, number: int) -> np.ndarray:
-        spread = min(self.steps, 3 * STEPS)
-        room = self.steps - spread
-        begin = number * STEPS % (room + 1) if number * STEPS <= room else int(self.rng.integers(0, room + 1))
-        return begin + np.sort(self.rng.choice(spread, min(STEPS, spread), replace=False))
-
-    def _edited(self, raw: bytes, edits: float) -> bytes:
-        other = bytearray(raw)
-        for _ in range(max(1, int(len(raw) * edits))):
-            at, kind, byte = int(self.rng.integers(0, len(other))), int(self.rng.integers(0, 3)), int(self.rng.integers(97, 123))
-            if kind == 0:
-                other[at] = byte
-            elif kind == 1 or len(other) == 1:
-                other.insert(at, byte)
-            else:
-                del other[at]
-        return bytes(other)
-
-    def _joined(self, texts: list[bytes]):
-        """Texts behind each other, each followed by bytes 1 for what a walk may read beyond its end (0 follows documents)."""
-        space = b"\x01" * self.steps
-        size = [len(t) + len(space) for t in texts]
-        return np.frombuffer(b"".join(t + space for t in texts), dtype=np.uint8), np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
-
-    def walk(self, data: np.ndarray, start: np.ndarray) -> np.ndarray:
-        """Written bytes, a row per step, a column per start."""
-        out = np.empty((self.steps, len(start)), dtype=np.uint8)
-        at, step = start.copy(), np.empty(len(start), dtype=np.int64)
-        for j in range(self.steps):
-            np.take(data, at, out=out[j], mode="clip")
-            np.take(self.moves[j], out[j], out=step, mode="clip")
-            at += step
-        return out
-
-    def _key(self, walks: np.ndarray, steps: np.ndarray) -> np.ndarray:
-        k = np.zeros(walks.shape[1], dtype=np.uint64)
-        for f, j in zip(self.factor, steps, strict=False):
-            k += walks[j] * f
-        return mix(k)
-
-    def agreement(self, walks: np.ndarray, columns: np.ndarray, entries: np.ndarray) -> np.ndarray:
-        return (walks[:, columns] == self.walks[:, entries]).mean(axis=0)
-
-    def candidates(self, walks: np.ndarray, last: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """Columns and entries that agree in the sampled steps of some repetition (``last``: of the last one) and, on the
-        whole walk, as often as near copies do."""
-        columns, entries = [], []
-        for steps, (keys, entry, bitmap) in list(zip(self.samples, self.tables, strict=True))[-1 if last else 0 :]:
-            k = self._key(walks, steps)
-            maybe = np.flatnonzero(bitmap[(k >> np.uint64(46)).astype(np.int64)])
-            k = k[maybe]
-            lo, hi = np.searchsorted(keys, k, side="left"), np.searchsorted(keys, k, side="right")
-            n = hi - lo
-            columns.append(np.repeat(maybe, n))
-            entries.append(entry[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)])
-        columns, entries = np.concatenate(columns), np.concatenate(entries)
-        near = self.agreement(walks, columns, entries) >= self.agree
-        return columns[near], entries[near]
+def _overlapping(row: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parts of one text for one item that overlap: an order, the bounds of the groups in it, the end of each group."""
+    order = np.lexsort((lo, item, row))
+    row, item, lo, hi = (x[order] for x in (row, item, lo, hi))
+    other = np.ones(len(row), dtype=bool)
+    other[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1])
+    group = np.cumsum(other) * (int(hi.max(initial=0)) + 1)
+    reach = np.maximum.accumulate(group + hi) - group
+    other[1:] |= lo[1:] > reach[:-1]
+    bounds = np.append(np.flatnonzero(other), len(row))
+    return order, bounds, reach[bounds[1:] - 1]
+
+
+def _thinned(row: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray, at: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Parts with so many unchanged pieces that looking at each costs more than the whole comparison become one row
+    without a piece (-1)."""
+    order, bounds, end = _overlapping(row, item, lo, hi)
+    row, item, lo, hi, at, seed = (x[order] for x in (row, item, lo, hi, at, seed))
+    begin, count = bounds[:-1], np.diff(bounds)
+    dense = 32 * count > end - lo[begin]
+    one, keep = begin[dense], np.repeat(~dense, count)
+    none = np.full(len(one), -1)
+    return tuple(np.concatenate(x) for x in (
+        (row[keep], row[one]), (item[keep], item[one]), (lo[keep], lo[one]), (hi[keep], end[dense]), (at[keep], none), (seed[keep], none)))
 
 
 class Finder:
     """Near copies of benchmark items in texts."""
 
-    def __init__(self, items: list[tuple[int, str]], edits: float = EDITS, recall: float = RECALL):
-        self.edits = edits
-        self.items = [(i, _NORMAL[np.frombuffer(t.encode(), dtype=np.uint8)].tobytes().strip()) for i, t in items if t]
-        self.items = [(i, raw) for i, raw in self.items if raw]
-        by_class: dict[int, list[int]] = {}
-        for n, (_, raw) in enumerate(self.items):
-            by_class.setdefault(len(raw).bit_length() - 1, []).append(n)
-        self.classes = [(numbers, _Class(c, [self.items[n][1] for n in numbers], edits, recall)) for c, numbers in sorted(by_class.items())]
-
-    def find(self, texts: pa.Array):
-        """(row, item_id, distance, start) of every item in every text: where the compared part begins."""
-        for at, offsets, data in pieces(texts):
-            n = len(offsets) - 1
+    def __init__(self, items: list[tuple[int, str]], edits: float = EDITS):
+        if not 0 <= edits < 1:
+            raise ValueError(f"edits is a share of an item's bytes below 1, not {edits}")
+        ids: dict[bytes, list[int]] = {}
+        for i, t in items:
+            raw = _NORMAL[np.frombuffer((t or "").encode(), dtype=np.uint8)].tobytes().strip()
+            if raw:
+                ids.setdefault(raw, []).append(i)
+        self.items, self.ids = list(ids), list(ids.values())
+        self.size = np.array([len(raw) for raw in self.items], dtype=np.int64)
+        self.most = np.array([int(len(raw) * edits) for raw in self.items], dtype=np.int64)
+        self.base = np.cumsum(self.size) - self.size
+        self.words = _words(np.frombuffer(b"".join(self.items), dtype=np.uint8))
+        parts = self.most + 1
+        self.owner = np.repeat(np.arange(len(self.items)), parts)
+        j, n, size = _counted(parts), parts[self.owner], self.size[self.owner]
+        self.offset = j * size // n
+        self.length = (j + 1) * size // n - self.offset
+        self.following = np.where(j + 1 < n, np.append(self.length[1:], 0), 0)
+        ahead = np.minimum(AHEAD, n - 1 - j)
+        self.ahead, self.until = ahead, (j + 1 + ahead) * size // n
+        self.tables = []
+        at, short = self.base[self.owner] + self.offset, np.minimum(self.length, 8)
+        for n in np.unique(short):
+            seeds = np.flatnonzero(short == n)
+            keys = self.words[at[seeds]] & _MASK[n]
+            order = np.argsort(keys, kind="stable")
+            shift = np.uint64(64 - min(26, max(18, len(seeds).bit_length() + 5)))
+            known = np.zeros(1 << 64 - int(shift), dtype=bool)
+            known[(keys * _MIX >> shift).astype(np.int64)] = True
+            self.tables.append((int(n), keys[order], seeds[order], known, shift))
+
+    def _hits(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions and the pieces that begin there, by their first eight bytes."""
+        for n, keys, seeds, known, shift in self.tables:
+            for begin in range(0, len(words), _POSITIONS):
+                k = words[begin : begin + _POSITIONS] & _MASK[n]
+                maybe = np.flatnonzero(known[(k * _MIX >> shift).astype(np.int64)])
+                k = k[maybe]
+                lo = np.searchsorted(keys, k, side="left")
+                lo, maybe, k = (x[keys[np.minimum(lo, len(keys) - 1)] == k] for x in (lo, maybe, k))
+                count = np.searchsorted(keys, k, side="right") - lo
+                total = np.cumsum(count)
+                a = 0
+                while a < len(count):
+                    b = max(a + 1, int(np.searchsorted(total, total[a] - count[a] + _HITS, side="right")))
+                    yield begin + np.repeat(maybe[a:b], count[a:b]), seeds[np.repeat(lo[a:b], count[a:b]) + _counted(count[a:b])]
+                    a = b
+
+    def _likely(self, words: np.ndarray, at: np.ndarray, seed: np.ndarray) -> np.ndarray:
+        """Whether the last eight bytes of the piece agree too, and a half of the next piece does where at most one error
+        can have moved it."""
+        last, begin = len(words) - 1, self.base[self.owner[seed]] + self.offset[seed]
+        same = lambda by, n, s=0: (words[np.minimum(at + by + s, last)] ^ self.words[begin + by]) & _MASK[np.minimum(n, 8)] == 0
+        length, following = self.length[seed], self.following[seed]
+        half = following // 2
+        back = np.maximum(length - 8, 0)
+        near = same(length, half)
+        for s in (-1, 0, 1):
+            near |= same(length + half, following - half, s)
+        return same(back, length) & near
+
+    def find(self, texts: pa.Array) -> Iterator[tuple[int, int, int, int]]:
+        """(row, item_id, distance, start) of every item in every text: the smallest distance, and where the compared part
+        with it begins."""
+        if not self.items:
+            return
+        for first, offsets, data in pieces(texts):
             data = _NORMAL[data]
-            # A gap of zeros behind each text, as walks may read beyond its end.
-            gap = max((c.steps for _, c in self.classes), default=0)
-            size = np.diff(offsets)
-            base = offsets[:-1] + np.arange(n) * gap
-            spaced = np.zeros(len(data) + n * gap, dtype=np.uint8)
-            spaced[np.arange(len(data)) + np.repeat(np.arange(n) * gap, size)] = data
-            seen: set[tuple[int, int]] = set()
-            for numbers, kind in self.classes:
-                count = -(-size // kind.stride)
-                row = np.repeat(np.arange(n), count)
-                start = base[row] + (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)) * kind.stride
-                for k in range(0, len(start), _CHUNK):
-                    columns, entries = kind.candidates(kind.walk(spaced, start[k : k + _CHUNK]))
-                    for column, number in sorted(set(zip(columns.tolist(), kind.owner[entries].tolist(), strict=True))):
-                        r, begin, item = int(row[k + column]), int(start[k + column]), numbers[number]
-                        if (r, item) in seen:
-                            continue
-                        i, raw = self.items[item]
-                        most = int(len(raw) * self.edits)
-                        begin = max(int(base[r]), begin - kind.low - most)
-                        around = spaced[begin : min(int(base[r] + size[r]), begin + len(raw) + 2 * kind.low + 2 * most)].tobytes()
-                        d = distance(raw, around, most)
-                        if d <= most:
-                            seen.add((r, item))
-                            yield at + r, i, d, begin - int(base[r])
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, recall: float = RECALL) -> DataFrame:
+            words, found = _words(data), []
+            for at, seed in self._hits(words):
+                row = np.searchsorted(offsets, at, side="right") - 1
+                fits = at + self.length[seed] <= offsets[np.minimum(row + 1, len(offsets) - 1)]
+                at, seed, row = at[fits], seed[fits], row[fits]
+                near = self._likely(words, at, seed)
+                at, seed, row = at[near], seed[near], row[near]
+                item, begin = self.owner[seed], at - self.offset[seed]
+                lo, hi = begin - self.most[item], begin + self.size[item] + self.most[item]
+                found.append(_thinned(row, item, np.maximum(lo, offsets[row]), np.minimum(hi, offsets[row + 1]), at, seed))
+            if found:
+                for r, item, d, start in self._verified(data.tobytes(), *(np.concatenate(x) for x in zip(*found, strict=True))):
+                    for i in self.ids[item]:
+                        yield first + r, i, d, start - int(offsets[r])
+
+    def _verified(self, data: bytes, row: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray, at: np.ndarray, seed: np.ndarray):
+        """(row, item, smallest distance, start) of the items with a near copy in their parts."""
+        order, bounds, end = _overlapping(row, item, lo, hi)
+        row, item, lo, at, seed = (x[order] for x in (row, item, lo, at, seed))
+        best: dict[tuple[int, int], tuple[int, int]] = {}
+        for a, b, stop in zip(bounds[:-1].tolist(), bounds[1:].tolist(), end.tolist(), strict=True):
+            key, begin = (int(row[a]), int(item[a])), int(lo[a])
+            raw, most = self.items[key[1]], int(self.most[key[1]])
+            known = best.get(key, (most + 1, 0))[0]
+            if known and any(s < 0 or self._goes_on(data, raw, p, s) for p, s in zip(at[a:b].tolist(), seed[a:b].tolist(), strict=True)):
+                d = distance(raw, data[begin:stop], most)
+                if d < known:
+                    best[key] = d, begin
+        for (r, i), (d, start) in sorted(best.items()):
+            yield r, i, d, start
+
+    def _goes_on(self, data: bytes, raw: bytes, at: int, seed: int) -> bool:
+        """Whether the pieces behind the unchanged one hold at most an error each on the average."""
+        n, end, until = int(self.ahead[seed]), int(self.offset[seed] + self.length[seed]), int(self.until[seed])
+        at += int(self.length[seed])
+        return n == 0 or distance(raw[end:until], data[at : at + until - end + n], n) <= n
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
     """(doc_id, item_id, distance, start) of benchmark items in the texts of ``docs``, byte positions."""
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if size > BENCHMARK_BYTES:
         raise ValueError(f"a benchmark of {size} bytes is above the {BENCHMARK_BYTES} that may go to every task; give it in parts")
     items = [(r.item_id, r.text) for r in benchmark.select("item_id", "text").orderBy("item_id", "text").collect()]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def search(batches):
         finder = None
         for batch in batches:
-            finder = finder or Finder(items, edits, recall)
+            finder = finder or Finder(items, edits)
             found = list(finder.find(batch.column("text")))
             ids = batch.column("doc_id")
             yield pa.RecordBatch.from_arrays(
                 [ids.take(pa.array([f[0] for f in found], pa.int64())), *[pa.array([f[k] for f in found], pa.int64()) for k in (1, 2, 3)]],
                 ["doc_id", "item_id", "distance", "start"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(search, "doc_id long, item_id long, distance long, start long")

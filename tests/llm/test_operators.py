@@ -130,6 +130,45 @@ def test_leaks(spark, sf):
     assert decontaminate.leaks(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def _edited(rng, text, n):
+    """``text`` after ``n`` replaced, inserted or deleted bytes."""
+    out = bytearray(text.encode())
+    for _ in range(n):
+        at, kind = rng.randrange(len(out)), rng.randrange(3)
+        if kind == 0:
+            out[at] = rng.choice(b"#%$")
+        elif kind == 1:
+            out.insert(at, rng.choice(b"#%$"))
+        else:
+            del out[at]
+    return out.decode()
+
+
+def _filler(rng, n):
+    return "".join(rng.choice(SYLLABLES) for _ in range(n))
+
+
+def _all_leaks(items, texts, edits=decontaminate.EDITS):
+    """(row, item_id): distance of every item in every text, by comparing all of them."""
+    normal = lambda t: decontaminate._NORMAL[np.frombuffer(t.encode(), np.uint8)].tobytes()
+    pairs = ((r, i, normal(x).strip(), normal(t)) for r, t in enumerate(texts) for i, x in items)
+    found = ((r, i, decontaminate.distance(x, t, int(len(x) * edits)), int(len(x) * edits)) for r, i, x, t in pairs)
+    return {(r, i): d for r, i, d, most in found if d <= most}
+
+
+def test_leaks_at_the_full_edit_rate():
+    """Every copy with 5 to 10 % of its bytes replaced, inserted or deleted, as comparing everything finds them."""
+    rng = random.Random(14)
+    items = [(i, _filler(rng, n)) for i, n in enumerate((9, 15, 30, 45, 60, 90, 120, 150))]
+    texts = []
+    for _, t in items:
+        n = len(t.encode())
+        texts += [f"{_filler(rng, rng.randint(0, 30))} {_edited(rng, t, e)} {_filler(rng, 20)}" for e in range(n // 20, n // 10 + 1)]
+    want = _all_leaks(items, texts)
+    assert len(want) >= len(texts)
+    assert {(r, i): d for r, i, d, _ in decontaminate.Finder(items).find(pa.array(texts))} == want
+
+
 def test_edit_distance_to_a_part():
     rng = random.Random(2)
 
