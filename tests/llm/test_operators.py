@@ -179,6 +179,15 @@ def test_leaks_need_no_repetitions_however_many_edits():
     assert {(r, i): d for r, i, d, _ in decontaminate.Finder(items, 0.25).find(pa.array(texts))} == want
 
 
+def test_short_leaks_at_every_offset_in_foreign_text():
+    rng = random.Random(16)
+    for n in (*range(1, 20), 25, 31):
+        item = "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+        texts = ["".join(rng.choice("qrstuvwxyz") for _ in range(k)) + _edited(rng, item, n // 10 * (k % 2)) + "zyxwv" * 8 for k in range(40)]
+        found = {r for r, *_ in decontaminate.Finder([(7, item)]).find(pa.array(texts))}
+        assert found == set(range(40)), n
+
+
 def test_edit_distance_to_a_part():
     rng = random.Random(2)
 
