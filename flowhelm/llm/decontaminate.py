@@ -9,12 +9,14 @@ distance of the whole item to the part of the text around the piece. Nothing is
 
 Texts and items are compared with A-Z lower-cased and every white-space byte as a space. Null or empty texts and items
 match nothing; repeated rows are reported as rows of their own; equal items are all reported; an empty table on either
-side gives no rows. The benchmark, a stated query set, goes to every task; its size is checked.
+side gives no rows. The benchmark goes to every task in parts of at most ``PART_BYTES``, one pass over the texts for each;
+what a task holds of a part is linear in its bytes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowhelm.llm.text import IS_SPACE, LOWER, pieces
+from flowhelm.session import stored
 
 EDITS = 0.1
-BENCHMARK_BYTES = 64 << 20
+PART_BYTES = 16 << 20
 AHEAD = 3  # pieces behind an unchanged one that are compared before the whole item
 _POSITIONS, _HITS = 1 << 18, 1 << 20  # positions looked up and pieces compared at a time
 _NORMAL = np.where(IS_SPACE, 32, LOWER).astype(np.uint8)
@@ -207,22 +210,39 @@ class Finder:
         return n == 0 or distance(raw[end:until], data[at : at + until - end + n], n) <= n
 
 
+def _parts(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The benchmark in parts that may go to every task; an item above ``PART_BYTES`` alone."""
+    part, size = [], 0
+    for r in benchmark.select("item_id", "text").where("text <> ''").orderBy("item_id", "text").toLocalIterator():
+        n = len(r.text.encode())
+        if part and size + n > PART_BYTES:
+            yield part
+            part, size = [], 0
+        part.append((r.item_id, r.text))
+        size += n
+    yield part
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
     """(doc_id, item_id, distance, start) of benchmark items in the texts of ``docs``, byte positions."""
-    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > BENCHMARK_BYTES:
-        raise ValueError(f"a benchmark of {size} bytes is above the {BENCHMARK_BYTES} that may go to every task; give it in parts")
-    items = [(r.item_id, r.text) for r in benchmark.select("item_id", "text").orderBy("item_id", "text").collect()]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    def search(batches):
-        finder = None
-        for batch in batches:
-            finder = finder or Finder(items, edits)
-            found = list(finder.find(batch.column("text")))
-            ids = batch.column("doc_id")
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array([f[0] for f in found], pa.int64())), *[pa.array([f[k] for f in found], pa.int64()) for k in (1, 2, 3)]],
-                ["doc_id", "item_id", "distance", "start"])
-
-    return texts.mapInArrow(search, "doc_id long, item_id long, distance long, start long")
+    def searched(items: list[tuple[int, str]]) -> DataFrame:
+        def search(batches):
+            finder = None
+            for batch in batches:
+                finder = finder or Finder(items, edits)
+                found = list(finder.find(batch.column("text")))
+                ids = batch.column("doc_id")
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array([f[0] for f in found], pa.int64())), *[pa.array([f[k] for f in found], pa.int64()) for k in (1, 2, 3)]],
+                    ["doc_id", "item_id", "distance", "start"])
+
+        return texts.mapInArrow(search, "doc_id long, item_id long, distance long, start long")
+
+    done, parts = [], _parts(benchmark)
+    part = next(parts)
+    for following in parts:  # a part at a time, so the driver never holds more than two
+        done.append(stored(searched(part), "leaks"))
+        part = following
+    return reduce(DataFrame.unionByName, done, searched(part))

@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -188,6 +189,27 @@ def test_short_leaks_at_every_offset_in_foreign_text():
         assert found == set(range(40)), n
 
 
+def test_leaks_of_a_long_item_in_linear_memory():
+    rng = random.Random(17)
+    item = _filler(rng, 9000)
+    text = f"{_filler(rng, 50)} {_edited(rng, item, 400)} {_filler(rng, 50)}"
+    tracemalloc.start()
+    found = list(decontaminate.Finder([(1, item)]).find(pa.array([text])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(r, i) for r, i, *_ in found] == [(0, 1)] and 0 < found[0][2] <= 400
+    assert peak < 64 << 20
+
+
+def test_leaks_of_a_benchmark_in_parts(spark, sf, monkeypatch):
+    docs, benchmark = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    whole = sorted(decontaminate.leaks(docs, benchmark).collect())
+    assert whole
+    monkeypatch.setattr(decontaminate, "PART_BYTES", 3000)
+    assert len(list(decontaminate._parts(benchmark))) >= 3
+    assert sorted(decontaminate.leaks(docs, benchmark).collect()) == whole
+
+
 def test_edit_distance_to_a_part():
     rng = random.Random(2)
 
