@@ -85,7 +85,7 @@ def _(spark, sf):
     return spark.createDataFrame(scales, "scale string, size_s double").withColumn("size_s", F.round("size_s", 3))
 
 
-COARSE = ("medium", "large")  # the windows of the finest scale would be millions over a month
+COARSE = ("medium", "large")  # as in the SQL twins; the queries *_all_scales take all default scales
 
 
 def adaptive_windows(spark, sf):
@@ -110,6 +110,17 @@ def _(spark, sf):
     return W.windows_per_scale(adaptive_windows(spark, sf))
 
 
+def all_scales(spark, sf):
+    """Events, the sizes of all default scales and the time range."""
+    f = _f(spark, sf)
+    return f, W.analyse(f, ORDER)[1], *W.span(f)
+
+
+@query("windows_per_scale_all_scales")
+def _(spark, sf):
+    return W.windows_per_scale(W.generate_windows(spark, *all_scales(spark, sf)[1:]))
+
+
 _BURST = """WITH ev AS (SELECT src, t_us AS v, count(*) AS n FROM flow GROUP BY ALL), r AS (SELECT src, min(v) AS t0, max(v) AS t1, (max(v)-min(v))*0.01::DOUBLE AS eps FROM ev GROUP BY src HAVING max(v) > min(v)),
     co AS (SELECT a.src, a.v, sum(b.n) >= 3 AS core FROM ev a JOIN r USING (src) JOIN ev b ON a.src = b.src AND abs(a.v - b.v) <= eps GROUP BY a.src, a.v),
     cl AS (SELECT src, v, CAST(sum(CASE WHEN v - prev <= eps THEN 0 ELSE 1 END) OVER (PARTITION BY src ORDER BY v) - 1 AS BIGINT) AS c FROM (SELECT src, v, lag(v) OVER (PARTITION BY src ORDER BY v) AS prev FROM co WHERE core) JOIN r USING (src)),
@@ -154,11 +165,19 @@ def _(spark, sf):
     return _ms(W.low_slow_windows(spark, *W.span(_f(spark, sf))))
 
 
+def _window_counts(joined):
+    return joined.groupBy("scale", F.round("size_s", 3).alias("size_s"), F.floor(F.col("start_us") / 1000).alias("start_ms")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("bytes")).alias("mean_bytes"))
+
+
 @query("events_in_windows", """SELECT scale, round(size_s,3) AS size_s, CAST(floor(start_us/1000) AS BIGINT) AS start_ms, count(*) AS n, round(avg(bytes),6)+0.0 AS mean_bytes
     FROM (SELECT *, max(end_us) OVER (PARTITION BY scale, size_s) AS stop FROM win) JOIN flow ON t_us >= start_us AND (t_us < end_us OR (t_us = end_us AND end_us = stop)) GROUP BY ALL""", "win flow")
 def _(spark, sf):
-    joined = W.assign_windows(_f(spark, sf), adaptive_windows(spark, sf))
-    return joined.groupBy("scale", F.round("size_s", 3).alias("size_s"), F.floor(F.col("start_us") / 1000).alias("start_ms")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("bytes")).alias("mean_bytes"))
+    return _window_counts(W.assign_windows(_f(spark, sf), adaptive_windows(spark, sf)))
+
+
+@query("events_in_windows_all_scales")
+def _(spark, sf):
+    return _window_counts(W.assign_generated(*all_scales(spark, sf)))
 
 
 @query("multi_scale_tumbling", """SELECT scale, t_us - t_us % size_us AS start_us, count(*) AS n, round(sum(bytes),4)+0.0 AS total FROM flow,

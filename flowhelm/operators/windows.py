@@ -22,6 +22,7 @@ HALO_ROWS = 50_000
 # Default window sizes in seconds.
 SCALES = {"micro": 1.0, "small": 60.0, "medium": 300.0, "large": 3600.0, "macro": 86400.0, "extended": 604800.0}
 DEFAULT_ENABLED = ("micro", "medium", "large")
+WINDOWS_PER_PART = 100_000  # windows of a size that one task makes at a time
 WINDOW_SCHEMA = "scale string, size_s double, start_us double, end_us double"
 
 
@@ -179,16 +180,42 @@ def _explode_windows(sizes: DataFrame, count: Column, start: Column, end: Column
     return sizes.withColumn("i", F.explode(F.sequence(F.lit(0), (count - 1).cast("int")))).select("scale", "size_s", start.alias("start_us"), end.alias("end_us"))
 
 
-def generate_windows(spark: SparkSession, scales: Sequence[tuple[str, float]], t0: int, t1: int, max_windows: int | None = None) -> DataFrame:
-    """Back-to-back windows per size up to the final event; with ``max_windows`` at most so many, the
-    last one stretched."""
+def _sizes(spark: SparkSession, scales: Sequence[tuple[str, float]], t0: int, t1: int, max_windows: int | None = None) -> tuple[DataFrame, Column, Column]:
+    """Window sizes with ``n``, the number of their windows, and start and end of window ``i`` of them."""
     sizes = spark.createDataFrame(list(scales), "scale string, size_s double")
     step = F.col("size_s") * MICROS
     n = F.ceil(F.lit(float(t1 - t0)) / step)
     n = F.greatest(F.lit(1), n if max_windows is None else F.least(n, F.lit(max_windows)))
     start = F.lit(float(t0)) + F.col("i") * step
     end = F.when(F.col("i") == F.col("n") - 1, F.greatest(start + step, F.lit(float(t1)))).otherwise(start + step)
-    return _explode_windows(sizes.withColumn("n", n), F.col("n"), start, end).orderBy("start_us", "scale", "size_s")
+    return sizes.withColumn("n", n), start, end
+
+
+def generate_windows(spark: SparkSession, scales: Sequence[tuple[str, float]], t0: int, t1: int, max_windows: int | None = None) -> DataFrame:
+    """Back-to-back windows per size up to the final event; with ``max_windows`` at most so many, the
+    last one stretched. Sizes with many windows are made in parts by all executors."""
+    sizes, start, end = _sizes(spark, scales, t0, t1, max_windows)
+    parts = sizes.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {WINDOWS_PER_PART}"))))
+    if sizes.agg(F.sum("n")).first()[0] > WINDOWS_PER_PART:
+        parts = parts.repartition("scale", "size_s", "_part")
+    first = F.col("_part") * WINDOWS_PER_PART
+    numbered = parts.withColumn("i", F.explode(F.sequence(first, F.least(first + WINDOWS_PER_PART, F.col("n")) - 1)))
+    return numbered.select("scale", "size_s", start.alias("start_us"), end.alias("end_us")).orderBy("start_us", "scale", "size_s")
+
+
+def assign_generated(events: DataFrame, scales: Sequence[tuple[str, float]], t0: int, t1: int, t_us: str = "t_us") -> DataFrame:
+    """What :func:`assign_windows` gives for the windows of :func:`generate_windows`, from the number of the window that
+    an event falls into and its neighbours (bounds are rounded): only windows with events are made."""
+    sizes, start, end = _sizes(events.sparkSession, scales, t0, t1)
+    stop = F.lit(float(t0)) + (F.col("n") - 1) * (F.col("size_s") * MICROS)
+    stop = F.greatest(stop + F.col("size_s") * MICROS, F.lit(float(t1)))
+    at = F.floor((F.col(t_us) - F.lit(float(t0))) / (F.col("size_s") * MICROS))
+    # The last window may be stretched to the final event, and its end belongs to it.
+    near = F.sequence(F.greatest(F.lit(0).cast("long"), F.least(at, F.col("n") - 1) - 1), F.least(at + 1, F.col("n") - 1))
+    spread = events.crossJoin(F.broadcast(sizes.withColumn("_stop", stop))).where(F.col(t_us).between(t0, t1))
+    marked = spread.withColumn("i", F.explode(near)).withColumns({"start_us": start, "end_us": end})
+    inside = (F.col(t_us) >= F.col("start_us")) & ((F.col(t_us) < F.col("end_us")) | ((F.col("end_us") == F.col("_stop")) & (F.col(t_us) == F.col("_stop"))))
+    return marked.where(inside).drop("n", "i", "_stop")
 
 
 def periodic_windows(spark: SparkSession, t0: int, t1: int, period_s: float) -> DataFrame:

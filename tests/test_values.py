@@ -190,6 +190,28 @@ def test_windows_cover_every_event(spark, sf):
     assert joined.groupBy("scale").agg(F.count_distinct("flow_id").alias("n")).where(F.col("n") != f.count()).isEmpty()
 
 
+def test_windows_of_all_default_scales(spark, sf):
+    """Micro windows come whole, in parts of executors, and the windows of an event without making the empty ones."""
+    from flowhelm.catalog.registry import QUERIES
+
+    rng = np.random.default_rng(3)
+    times = np.concatenate([[0], np.cumsum(rng.integers(100_000, 90_000_000, 400)), [20_000_000_000]])
+    df = spark.createDataFrame([(i, int(t), float(i % 7)) for i, t in enumerate(times)], "flow_id long, t_us long, bytes double")
+    scales = W.analyse(df, ["t_us", "flow_id"])[1]
+    t0, t1 = W.span(df)
+    windows = W.generate_windows(spark, scales, t0, t1)
+    want = {}
+    for scale, size in scales:
+        want[scale] = want.get(scale, 0) + int(np.ceil((t1 - t0) / (size * 1e6)))
+    assert {r.scale: r.n_windows for r in W.windows_per_scale(windows).collect()} == want and want["micro"] > 50_000
+    rows = lambda d: sorted((r.flow_id, r.scale, r.size_s, r.start_us, r.end_us) for r in d.collect())
+    assert rows(W.assign_generated(df, scales, t0, t1)) == rows(W.assign_windows(df, windows))
+    coarse, whole = (QUERIES[f"events_in_windows{x}"](spark, sf).collect() for x in ("", "_all_scales"))
+    assert sorted(coarse) == sorted(r for r in whole if r.scale != "micro")
+    events = V.flow(spark, sf).count()
+    assert sum(r.n for r in whole if (r.scale, r.size_s) == ("micro", 0.5)) == events
+
+
 def test_median_impute_keeps_whole_columns_untouched(spark):
     df = spark.createDataFrame([(1.0, 1), (None, 2), (float("nan"), 3), (4.0, 4), (9.0, 5)], "a double, b int")
     assert [r.a for r in C.impute_median(df).orderBy("b").collect()] == [1.0, 4.0, 4.0, 4.0, 9.0]
