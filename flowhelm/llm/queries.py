@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowhelm.llm import chat, decontaminate, fingerprint, lines, minhash, mixing, ngrams, secrets, suffixes, toxicity
+from flowhelm.llm import chat, decontaminate, fingerprint, lines, minhash, mixing, ngrams, pieces, secrets, suffixes, toxicity
 from flowhelm.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +102,12 @@ def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probabilities of all documents under an interpolated n-gram model of the documents not held out."""
     return ngrams.score(table(spark, sf_dir, "documents"), stable=True)
+
+
+@query()
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded by a 32k piece vocabulary, and decoded again."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    tokens = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model, drop=["text"])
+    return pieces.decode(tokens, model).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
