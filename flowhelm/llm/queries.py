@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowhelm.llm import chat, decontaminate, fingerprint, lines, minhash, mixing, ngrams, pieces, secrets, suffixes, toxicity
+from flowhelm.llm import chat, decontaminate, fingerprint, lines, minhash, mixing, ngrams, pieces, secrets, suffixes, toxicity, whitening
 from flowhelm.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,9 @@ def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model, drop=["text"])
     return pieces.decode(tokens, model).select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query()
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings projected on the eight leading components of their covariance, each with variance one."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
