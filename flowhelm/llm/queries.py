@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowhelm.llm import chat, decontaminate, fingerprint, lines, minhash, mixing, ngrams, pieces, secrets, suffixes, toxicity, whitening
+from flowhelm.llm import chat, decontaminate, fingerprint, lines, minhash, mixing, ngrams, pieces, repair, secrets, suffixes, toxicity, whitening
 from flowhelm.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,9 @@ def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings projected on the eight leading components of their covariance, each with variance one."""
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query(repair.SQL)
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations damaged by checksum and repaired by the cheapest edits."""
+    return repair.damaged_and_repaired(table(spark, sf_dir, "conversations"))
