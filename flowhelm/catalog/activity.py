@@ -33,7 +33,7 @@ _MS = "scale, round(size_s,3) AS size_s, CAST(floor(start_us/1000) AS BIGINT) AS
 
 @query("gap_statistics", 'SELECT ' + ", ".join(f'round({e},6)+0.0 AS "{n}"' for n, e in (("min", "lo"), ("max", "hi"), ("median", "med"), ("q1", "q1"), ("q3", "q3"), ("iqr", "q3-q1"))) + " FROM gst", "gst")
 def _(spark, sf):
-    row = W.gap_statistics_row(spark, _gaps(spark, sf)[1])
+    row = W.gap_statistics_row(spark, W.gap_statistics(W.gaps(_f(spark, sf), ORDER)))
     return row.select(*[r6(c).alias(c) for c in row.columns])
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 from flowhelm.functions import ip as IP
 from flowhelm.functions.scalar import is_inf, is_nan_or_null
 from flowhelm.plans.lookup import lookup_join
-from flowhelm.plans.ordered import ROWS_PER_BLOCK, number, percentiles
+from flowhelm.plans.ordered import ROWS_PER_BLOCK, number
+from flowhelm.plans.ranks import interpolated, order_statistics, ranks_around
 from flowhelm.session import cut_lineage
 
 # Label column names looked for, in this order.
@@ -74,22 +75,25 @@ def long_form(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -
     return df.select(*keep, F.inline(cells))
 
 
-def medians(df: DataFrame, columns: Sequence[str], rows_per_block: int = ROWS_PER_BLOCK) -> dict[str, float]:
-    """Exact median per column over the non-missing values."""
-    cells = long_form(df, columns).where(~is_nan_or_null("value"))
-    return {r["feature"]: r["value"] for r in percentiles(cells, "value", [0.5], ["feature"], rows_per_block).collect()}
+def medians(df: DataFrame, columns: Sequence[str], sizes: dict[str, int] | None = None) -> dict[str, float]:
+    """Exact median per column over the non-missing values (as many as ``sizes`` says, if known)."""
+    if sizes is None:
+        sizes = df.agg(*[F.count_if(~is_nan_or_null(c)).alias(c) for c in columns]).first().asDict()
+    found = order_statistics(df, {c: ranks_around(sizes[c], [0.5]) for c in columns if sizes[c]}, sizes)
+    return {c: interpolated(v, sizes[c], 0.5) for c, v in found.items()}
 
 
-def impute_median(df: DataFrame, columns: Sequence[str] | None = None, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    """NaN / null of numeric columns to the exact median; only columns with gaps are ordered."""
+def impute_median(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """NaN / null of numeric columns to the exact median; only columns with gaps are looked through for it."""
     columns = list(columns or _numeric(df))
     floats = set(_floating(df))
     missing = {c: is_nan_or_null(c) if c in floats else F.col(c).isNull() for c in columns}
-    holes = df.agg(*[F.bool_or(m).alias(c) for c, m in missing.items()]).first().asDict()
-    todo = [c for c in columns if holes[c]]
+    counted = [F.count(F.lit(1)).alias("n"), *[F.count_if(m).alias(f"m{i}") for i, m in enumerate(missing.values())]]
+    holes = df.agg(*counted).first()
+    todo = {c: holes["n"] - holes[f"m{i}"] for i, c in enumerate(columns) if holes[f"m{i}"]}
     if not todo:
         return df
-    mid = medians(df, todo, rows_per_block)
+    mid = medians(df, list(todo), todo)
     return df.withColumns({c: F.when(missing[c], F.lit(mid[c])).otherwise(F.col(c)) for c in todo if c in mid})
 
 

@@ -14,8 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowhelm.functions.scalar import seeded_hash
-from flowhelm.plans.lookup import lookup_join, with_both_ends
+from flowhelm.plans.lookup import with_both_ends
 from flowhelm.plans.ordered import ROWS_PER_BLOCK, hash_number, number
+from flowhelm.plans.ranks import mark_quota
+from flowhelm.plans.skew import null_safe_join
 from flowhelm.session import cut_lineage
 
 
@@ -30,10 +32,6 @@ def _sums(counts: DataFrame) -> tuple[int, int]:
     return total, least
 
 
-def _with_quota(ranked: DataFrame, quotas: DataFrame, label: str, ident: str) -> DataFrame:
-    return lookup_join(ranked, quotas.select(label, F.col("quota").alias("_quota")), [label], ident, "inner")
-
-
 def _ranked(df: DataFrame, ident: str, seed: str, keys: Sequence[str] = (), name: str = "_rk", rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     return hash_number(df.withColumn("_h", seeded_hash(ident, seed)), "_h", keys, name, rows_per_block).drop("_h")
 
@@ -53,15 +51,13 @@ def proportional_quotas(counts: DataFrame, label: str, total: int, rows_per_bloc
     return _rounded(counts.withColumn("share", F.col("n") * total / F.lit(float(n))), label, total, rows_per_block)
 
 
-def sample_random(df: DataFrame, ident: str, ratio: float, seed: str = "0", rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+def sample_random(df: DataFrame, ident: str, ratio: float, seed: str = "0") -> DataFrame:
     """Exactly int(n * ratio) rows."""
-    k = int(df.count() * ratio)
-    return _ranked(df, ident, seed, rows_per_block=rows_per_block).where(F.col("_rk") <= k).drop("_rk")
+    return mark_quota(df, ident, seed, int(df.count() * ratio)).where("_in").drop("_in")
 
 
-def _take(df: DataFrame, ident: str, label: str, quotas: DataFrame, seed: str, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    ranked = _ranked(df, ident, seed, [label], rows_per_block=rows_per_block)
-    return _with_quota(ranked, quotas, label, ident).where(F.col("_rk") <= F.col("_quota")).select(*df.columns)
+def _take(df: DataFrame, ident: str, label: str, quotas: DataFrame, seed: str) -> DataFrame:
+    return mark_quota(df, ident, seed, quotas, [label]).where("_in").select(*df.columns)
 
 
 def sample_stratified(df: DataFrame, ident: str, label: str, ratio: float, seed: str = "0", rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
@@ -69,8 +65,8 @@ def sample_stratified(df: DataFrame, ident: str, label: str, ratio: float, seed:
     counts = cut_lineage(class_counts(df, label))
     total, least = _sums(counts)
     if not 0 < ratio < 1 or least < 2:
-        return sample_random(df, ident, min(ratio, 1.0), seed, rows_per_block)
-    return _take(df, ident, label, proportional_quotas(counts, label, int(total * ratio), rows_per_block), seed, rows_per_block)
+        return sample_random(df, ident, min(ratio, 1.0), seed)
+    return _take(df, ident, label, proportional_quotas(counts, label, int(total * ratio), rows_per_block), seed)
 
 
 def minimum_quotas(counts: DataFrame, label: str, ratio: float, at_least: int, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
@@ -100,22 +96,20 @@ def split_train_test(df: DataFrame, ident: str, label: str, test_size: float = 0
     counts = cut_lineage(class_counts(df, label))
     total, least = _sums(counts)
     n_test = math.ceil(total * test_size)
-    if least < 2:
-        ranked = _ranked(df, ident, seed, rows_per_block=rows_per_block).withColumn("_quota", F.lit(n_test))
-    else:
-        ranked = _with_quota(_ranked(df, ident, seed, [label], rows_per_block=rows_per_block), proportional_quotas(counts, label, n_test, rows_per_block), label, ident)
-    return ranked.withColumn("split", F.when(F.col("_rk") <= F.col("_quota"), "test").otherwise("train")).select(*df.columns, "split")
+    quotas, keys = (n_test, []) if least < 2 else (proportional_quotas(counts, label, n_test, rows_per_block), [label])
+    marked = mark_quota(df, ident, seed, quotas, keys)
+    return marked.withColumn("split", F.when(F.col("_in"), "test").otherwise("train")).select(*df.columns, "split")
 
 
 def split_reuse(df: DataFrame, stored: DataFrame, ident: str) -> DataFrame:
-    """A stored split wins over the new one."""
-    kept = stored.select(ident, F.col("split").alias("_stored"))
-    return df.join(kept, ident, "left").withColumn("split", F.coalesce("_stored", "split")).drop("_stored")
+    """A stored split wins over the new one; an id stored more than once counts as train if it ever was."""
+    kept = stored.groupBy(ident).agg(F.max("split").alias("_stored"))
+    return null_safe_join(df, kept, [ident], "left").withColumn("split", F.coalesce("_stored", "split")).drop("_stored")
 
 
 def sample_batch(df: DataFrame, ident: str, size: int, seed: str = "0") -> DataFrame:
-    """``size`` random rows (a batch, so a top-k suffices)."""
-    return df.withColumn("_h", seeded_hash(ident, seed)).orderBy("_h").limit(size).drop("_h")
+    """``size`` random rows, or all if there are fewer."""
+    return mark_quota(df, ident, seed, size).where("_in").drop("_in")
 
 
 # --- folds: (fold, role, id) ----------------------------------------------------------------

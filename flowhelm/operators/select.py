@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowhelm.operators.clean import impute_median, long_form
-from flowhelm.plans.ordered import ROWS_PER_BLOCK, running_sums
-from flowhelm.session import cut_lineage
+from flowhelm.plans.ranks import order_statistics, points_below
+from flowhelm.plans.skew import null_safe_join
+from flowhelm.session import stored
 
 # Name parts of columns that selection always keeps.
 ALWAYS_KEPT_PARTS = ["_octet", "_subnet", "_is_private", "_is_global", "time", "duration"]
@@ -110,20 +111,44 @@ def anova_p(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "feature string, f double, p double")
 
 
-def mutual_info(df: DataFrame, columns: Sequence[str], label: str, bins: int = 32, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    """Plug-in mutual information of each feature (equal-count bins, equal values share a bin) and the label."""
-    joint = long_form(df, columns, [label]).groupBy("feature", "value", label).agg(F.count(F.lit(1)).alias("n"))
-    # One row per value with its class counts (as many as there are classes).
-    per_value = cut_lineage(joint.groupBy("feature", "value").agg(F.sum("n").alias("_nv"), F.collect_list(F.struct(label, "n")).alias("_g")))
-    size = per_value.agg(F.sum("_nv"), F.count(F.lit(1))).first()
-    total = size[0] / len(columns)
-    cum = running_sums(per_value, ["value"], {"_cum": F.col("_nv")}, ["feature"], rows_per_block, rows=size[1])
-    bin_ = F.floor((F.col("_cum") - F.col("_nv")) * bins / total).alias("bin")
-    cells = cum.select("feature", bin_, F.inline("_g")).groupBy("feature", "bin", label).agg((F.sum("n") / total).alias("p"))
-    by_bin = cells.groupBy("feature", "bin").agg(F.sum("p").alias("pb"))
-    by_label = cells.groupBy("feature", label).agg(F.sum("p").alias("pl"))
-    term = F.col("p") * F.log(F.col("p") / (F.col("pb") * F.col("pl")))
-    return cells.join(by_bin, ["feature", "bin"]).join(by_label, ["feature", label]).groupBy("feature").agg(F.sum(term).alias("mi"))
+def bin_edges(df: DataFrame, columns: Sequence[str], bins: int) -> DataFrame:
+    """(feature, edges): ascending values; the number of edges below a value is its equal-count bin. Missing values come first, NaN last;
+    an edge among them is null or NaN."""
+    counts = [F.count(F.lit(1)).alias("n")]
+    for i, c in enumerate(columns):
+        v = F.col(c).cast("double")
+        counts += [F.count_if(v.isNull()).alias(f"m{i}"), F.count_if(F.isnan(v)).alias(f"a{i}")]
+    row = df.agg(*counts).first()
+    n = row["n"]
+    places = sorted({-(-b * n // bins) for b in range(1, bins)}) if n else []
+    sizes = {c: n - row[f"m{i}"] - row[f"a{i}"] for i, c in enumerate(columns)}
+    ranks = {c: [t - row[f"m{i}"] for t in places if 0 < t - row[f"m{i}"] <= sizes[c]] for i, c in enumerate(columns)}
+    found = order_statistics(df, ranks, sizes)
+    rows = []
+    for i, c in enumerate(columns):
+        def at(rank: int, c: str = c) -> float:
+            return -math.inf if rank <= 0 else math.nan if rank > sizes[c] else found[c][rank]
+
+        edges = [at(-(-b * n // bins) - row[f"m{i}"]) for b in range(1, bins)] if n else []
+        lowest = sum(-(-b * n // bins) <= row[f"m{i}"] for b in range(1, bins)) if n else 0
+        rows.append((c, edges[lowest:], lowest))
+    return df.sparkSession.createDataFrame(rows, "feature string, edges array<double>, lowest int")
+
+
+def mutual_info(df: DataFrame, columns: Sequence[str], label: str, bins: int = 32) -> DataFrame:
+    """Plug-in mutual information of each feature (equal-count bins, equal values share a bin) and the label. Bin edges come
+    from selection; then one aggregate counts cells of feature, bin and class where the rows are."""
+    edges = bin_edges(df, columns, bins)
+    value = F.col("value")
+    bin_ = F.when(value.isNull(), 0).otherwise(F.col("lowest") + points_below(F.col("edges"), value, bins - 1))
+    placed = long_form(df, columns, [label]).join(F.broadcast(edges), "feature").select("feature", bin_.alias("bin"), label)
+    cells = stored(placed.groupBy("feature", "bin", label).agg(F.count(F.lit(1)).alias("n")), "cells")
+    total = cells.groupBy("feature").agg(F.sum("n").alias("total"))
+    by_bin = cells.groupBy("feature", "bin").agg(F.sum("n").alias("nb"))
+    by_label = cells.groupBy("feature", label).agg(F.sum("n").alias("nl"))
+    p, pb, pl = F.col("n") / F.col("total"), F.col("nb") / F.col("total"), F.col("nl") / F.col("total")
+    joined = null_safe_join(cells.join(total, "feature").join(by_bin, ["feature", "bin"]), by_label, ["feature", label])
+    return joined.groupBy("feature").agg(F.sum(p * F.log(p / (pb * pl))).alias("mi"))
 
 
 def insignificant(anova: DataFrame, mi: DataFrame, p_limit: float = 0.05, mi_quantile: float = 0.2) -> DataFrame:

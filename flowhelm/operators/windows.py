@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowhelm.plans.lookup import is_small
-from flowhelm.plans.ordered import ROWS_PER_BLOCK, neighbours, number, percentile_row, row_halo, running_sums
+from flowhelm.plans.ordered import ROWS_PER_BLOCK, neighbours, number, row_halo, running_sums
+from flowhelm.plans.ranks import ACCURACY, interpolated, order_statistics, ranks_around
 from flowhelm.session import cut_lineage
 
 MICROS = 1_000_000.0
@@ -33,12 +34,19 @@ def gaps(df: DataFrame, order: Sequence[str], t_us: str = "t_us", keys: Sequence
     return prev.where(F.col("_prev").isNotNull()).withColumn("gap", (F.col(t_us) - F.col("_prev")) / F.lit(MICROS)).drop("_prev")
 
 
-def gap_statistics(g: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> dict:
-    """n, min, max, median, q1, q3, iqr, mean, std (population) of ``gap`` as numbers."""
-    base = g.agg(F.count("gap").alias("n"), F.min("gap").alias("min"), F.max("gap").alias("max"), F.avg("gap").alias("mean"), F.stddev_pop("gap").alias("std")).first().asDict()
-    if not base["n"]:
+def gap_statistics(g: DataFrame) -> dict:
+    """n, min, max, median, q1, q3, iqr, mean, std (population) of ``gap`` as numbers: moments and a sketch in one pass, exact
+    quartiles by selection in another."""
+    shares = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    near = sorted(p + d for p in shares.values() for d in (-2 / ACCURACY, 2 / ACCURACY))
+    base = g.agg(
+        F.count("gap").alias("n"), F.min("gap").alias("min"), F.max("gap").alias("max"), F.avg("gap").alias("mean"), F.stddev_pop("gap").alias("std"),
+        F.percentile_approx("gap", near, ACCURACY).alias("near")).first().asDict()
+    near, n = base.pop("near"), base["n"]
+    if not n:
         return base | {"q1": None, "median": None, "q3": None, "iqr": None}
-    q = percentile_row(g, "gap", {"q1": 0.25, "median": 0.5, "q3": 0.75}, rows_per_block)
+    found = order_statistics(g, {"gap": ranks_around(n, list(shares.values()))}, {"gap": n}, {"gap": near})["gap"]
+    q = {k: interpolated(found, n, p) for k, p in shares.items()}
     return base | q | {"iqr": q["q3"] - q["q1"]}
 
 
@@ -164,7 +172,7 @@ def select_scales(stats: dict, bursty: bool, period: float, low_slow: bool, enab
 def analyse(df: DataFrame, order: Sequence[str], t_us: str = "t_us", enabled: Sequence[str] = DEFAULT_ENABLED, rows_per_block: int = ROWS_PER_BLOCK) -> tuple[dict, list[tuple[str, float]]]:
     """Gap numbers and the window sizes chosen from them and from the detected patterns."""
     g = cut_lineage(gaps(df, order, t_us, rows_per_block=rows_per_block))  # one global ordering, read four times
-    stats = gap_statistics(g, rows_per_block)
+    stats = gap_statistics(g)
     if stats["n"] < 2:
         return stats, select_scales(stats, False, 0.0, False, enabled)
     acf = autocorrelation(g, order, stats, rows_per_block)

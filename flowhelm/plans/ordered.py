@@ -212,7 +212,7 @@ def percentiles(
     counts = cut_lineage(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")))
     cum = running_sums(counts, [value], {"_cum": F.col("_n")}, keys, rows_per_block)
     if keys:
-        cum = cum.join(counts.groupBy(*keys).agg(F.sum("_n").alias("_total")), list(keys))
+        cum = null_safe_join(cum, counts.groupBy(*keys).agg(F.sum("_n").alias("_total")), list(keys))
     else:
         cum = cum.withColumn("_total", F.lit(counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]))
     spread = cum.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in ps])))

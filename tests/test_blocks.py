@@ -98,7 +98,6 @@ def test_row_halo(skewed):
     lambda d, n: P.kfold_time(d, "id", ["t_us", "id"], 4, rows_per_block=n),
     lambda d, n: P.sample_systematic(d, ["id"], 0.2, n),
     lambda d, n: M.points(d.withColumn("y", F.col("id") % 2), p="v", cls="key", rows_per_block=n),
-    lambda d, n: S.mutual_info(d, ["v", "t_us"], "key", rows_per_block=n).select("feature", F.round("mi", 9).alias("mi")),
     lambda d, n: H.early_stop_epoch(O.number(d, ["id"], ["key"], "epoch"), "key", "epoch", "v", "t_us", 5, n),
     lambda d, n: W.gaps(d, ["t_us", "id"], keys=["key"], rows_per_block=n),
 ])
