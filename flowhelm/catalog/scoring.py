@@ -210,13 +210,39 @@ def _(spark, sf):
     return _long(A.mean_message(edges_with_time(spark, sf), projected, encode, HEADS * OUT, TDIM), "msg", "id")
 
 
-@query("tgat_encode")
+def layer_sql(layer: A.Layer, edges: str, nodes: str, out: str) -> str:
+    """One layer as views: from ``edges`` (b, flow_id, src, dst, t) and ``nodes`` (b, id, feat), graphs of several batches b at once, to ``out``."""
+    p, many = out + "_", len(layer.weight)
+    head = " UNION ALL ".join(
+        f"SELECT e.b, flow_id, src, dst, {k}::INT AS head, {_dots(layer.left[k], 'l.h', k)}+{_dots(layer.right[k], 'r.h', k)} AS s FROM {edges} e JOIN {p}pj l ON l.b = e.b AND l.id = src JOIN {p}pj r ON r.b = e.b AND r.id = dst"
+        for k in range(layer.heads))
+    sums = ", ".join(f"sum(a*h[{i + 1}]) FILTER (head = {i // layer.out}) AS r{i}" for i in range(many))
+    residual = _affine(layer.residual, [0.0] * many, "feat")
+    elu = ", ".join(f"CASE WHEN coalesce(r{i},0)+{x} > 0 THEN coalesce(r{i},0)+{x} ELSE exp(coalesce(r{i},0)+{x})-1 END" for i, x in enumerate(residual))
+    return f"""{p}tm AS (SELECT b, dst AS id, {', '.join(f'avg({c}) AS v{i}' for i, c in enumerate(_cos('t', TW, TB)))} FROM {edges} GROUP BY b, dst),
+    {p}x AS (SELECT n.b, n.id, feat, list_concat(feat, [{', '.join(f'coalesce(v{i},0)' for i in range(TDIM))}]) AS x FROM {nodes} n LEFT JOIN {p}tm t ON t.b = n.b AND t.id = n.id),
+    {p}pj AS MATERIALIZED (SELECT b, id, feat, [{', '.join(_affine(layer.weight, layer.bias, 'x'))}] AS h FROM {p}x),
+    {p}sc AS (SELECT b, flow_id, src, dst, head, CASE WHEN s >= 0 THEN s ELSE s*0.01::DOUBLE END AS e FROM ({head})),
+    {p}sm AS (SELECT b, src, dst, head, x/sum(x) OVER (PARTITION BY b, dst, head) AS a FROM (SELECT *, exp(e - max(e) OVER (PARTITION BY b, dst, head)) AS x FROM {p}sc)),
+    {p}ag AS (SELECT m.b, dst AS id, {sums} FROM {p}sm m JOIN {p}pj q ON q.b = m.b AND q.id = src GROUP BY m.b, dst),
+    {out} AS MATERIALIZED (SELECT q.b, q.id, [{elu}] AS feat FROM {p}pj q LEFT JOIN {p}ag g ON g.b = q.b AND g.id = q.id)"""
+
+
+def _dots(params, h: str, head: int) -> str:
+    return "(" + "+".join(f"{lit(c)}*{h}[{head * len(params) + j + 1}]" for j, c in enumerate(params)) + ")"
+
+
+_GRAPH = f"{_ET}, ed AS (SELECT 0 AS b, * FROM et), nd AS (SELECT 0 AS b, id, feat FROM node)"
+_FEATS = "SELECT id, unnest(range(4))::INT AS pos, round(unnest(feat),6)+0.0 AS value FROM {}"
+
+
+@query("tgat_encode", f"WITH {_GRAPH}, {layer_sql(LAYERS[0], 'ed', 'nd', 'l0')}, {layer_sql(LAYERS[1], 'ed', 'l0', 'l1')} {_FEATS.format('l1')}", "edge node")
 def tgat_encode(spark, sf):
     """Two attention layers over all nodes and edges (tests compare with a numpy forward pass)."""
     return _long(A.tgat_encode(edges_with_time(spark, sf), _nodes(spark, sf), LAYERS, encode, TDIM), "feat", "id")
 
 
-@query("tgat_layer")
+@query("tgat_layer", f"WITH {_GRAPH}, {layer_sql(LAYERS[0], 'ed', 'nd', 'l0')} {_FEATS.format('l0')}", "edge node")
 def _(spark, sf):
     return _long(A.tgat_layer(edges_with_time(spark, sf), _nodes(spark, sf), LAYERS[0], encode, TDIM), "feat", "id")
 

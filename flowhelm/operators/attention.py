@@ -20,6 +20,7 @@ from flowhelm.plans.skew import hot_keys
 from flowhelm.session import cut_lineage
 
 SLOPE = 0.01
+SPAN = 32.0  # scores that share a span are summed as they are
 SPARSE_LIMIT = 0.01
 WIDE = 1024
 
@@ -115,17 +116,40 @@ def attention_scores(edges: DataFrame, projected: DataFrame, layer: Layer, sides
     return joined.withColumn("e", F.array(*[score(k) for k in range(layer.heads)])).drop("_el", "_er")
 
 
-def _shifted(scored: DataFrame, heads: int, sides: Sides, spread_on: str) -> DataFrame:
-    """``x = exp(e - max over the destination)`` per head."""
-    top = scored.groupBy("dst").agg(F.array(*[F.max(F.get("e", k)) for k in range(heads)]).alias("_m"))
-    return _to_dst(scored, top, sides, spread_on).withColumn("x", F.array(*[F.exp(F.get("e", k) - F.get("_m", k)) for k in range(heads)])).drop("_m")
+def _spans(heads: int) -> Column:
+    """Per head the span of scores an edge's score lies in; exp of a score less its span's start is neither huge nor zero."""
+    return F.array(*[F.floor(F.get("e", k) / SPAN).cast("int") for k in range(heads)])
+
+
+def _power(k: int) -> Column:
+    return F.exp(F.get("e", k) - F.get("_span", k) * SPAN)
+
+
+def _rescaled(grouped: DataFrame, heads: int, sums: dict[str, int]) -> DataFrame:
+    """Sums per destination and spans added up per destination: each is scaled down to the highest span of its head. A destination has as many rows
+    as its scores have spans, mostly one. ``sums`` names array columns and says how many elements each head has there."""
+    parts = grouped.groupBy("dst").agg(F.collect_list(F.struct("_span", *sums)).alias("_p"))
+    top = F.array(*[F.array_max(F.transform("_p", lambda p, k=k: F.get(p["_span"], k))) for k in range(heads)])
+    parts = parts.withColumn("_top", top)
+
+    def total(name: str, width: int) -> Column:
+        def element(i: int) -> Column:
+            k = i // width
+            return F.aggregate("_p", F.lit(0.0), lambda t, p: t + F.coalesce(F.get(p[name], i) * F.exp((F.get(p["_span"], k) - F.get("_top", k)) * SPAN), F.lit(0.0)))
+
+        return F.array(*[element(i) for i in range(heads * width)]).alias(name)
+
+    return parts.select("dst", "_top", *[total(n, w) for n, w in sums.items()])
 
 
 def edge_softmax(scored: DataFrame, heads: int, sides: Sides, spread_on: str = "flow_id") -> DataFrame:
-    """Softmax of ``e`` over the incoming edges of each destination: column ``a`` per head."""
-    shifted = _shifted(cut_lineage(scored), heads, sides, spread_on)  # the maxima, the sums and the rows all read it
-    total = shifted.groupBy("dst").agg(F.array(*[F.sum(F.get("x", k)) for k in range(heads)]).alias("_s"))
-    return _to_dst(shifted, total, sides, spread_on).withColumn("a", F.array(*[F.get("x", k) / F.get("_s", k) for k in range(heads)])).drop("x", "_s")
+    """Softmax of ``e`` over the incoming edges of each destination: column ``a`` per head. Denominators come from one aggregate in
+    spans of scores, so no pass for the maxima comes before it; one table of destinations goes back to the edges."""
+    spanned = scored.withColumn("_span", _spans(heads))
+    sums = spanned.groupBy("dst", "_span").agg(F.array(*[F.sum(_power(k)) for k in range(heads)]).alias("_s"))
+    below = _rescaled(sums, heads, {"_s": 1})
+    share = F.array(*[F.try_divide(F.exp(F.get("e", k) - F.get("_top", k) * SPAN), F.get("_s", k)) for k in range(heads)])
+    return _to_dst(scored, below, sides, spread_on).withColumn("a", share).drop("_top", "_s")
 
 
 def elu(x: Column) -> Column:
@@ -135,13 +159,14 @@ def elu(x: Column) -> Column:
 def attention_aggregate(scored: DataFrame, projected: DataFrame, nodes: DataFrame, layer: Layer, sides: Sides, vec: str = "feat", spread_on: str = "flow_id") -> DataFrame:
     """(id, feat): softmax-weighted sum of source vectors, residual, ELU, heads concatenated.
 
-    Numerators and the softmax denominator are summed in the same aggregate.
+    Numerators and the softmax denominator are summed in one aggregate, in spans of scores; nothing is joined back.
     """
     heads, out = layer.heads, layer.out
-    shifted = _shifted(cut_lineage(scored), heads, sides, spread_on)
-    msgs = _to_src(shifted.select("src", "dst", "x", spread_on), projected.select(F.col("id").alias("src"), "h"), sides, spread_on)
-    sums = [F.sum(F.get("x", k) * F.get("h", k * out + j)) / F.sum(F.get("x", k)) for k in range(heads) for j in range(out)]
-    got = msgs.groupBy(F.col("dst").alias("id")).agg(F.array(*sums).alias("_r"))
+    msgs = _to_src(scored.select("src", "dst", "e", spread_on), projected.select(F.col("id").alias("src"), "h"), sides, spread_on).withColumn("_span", _spans(heads))
+    weighted_sums = F.array(*[F.sum(_power(k) * F.get("h", k * out + j)) for k in range(heads) for j in range(out)])
+    summed = msgs.groupBy("dst", "_span").agg(F.array(*[F.sum(_power(k)) for k in range(heads)]).alias("_s"), weighted_sums.alias("_w"))
+    share = F.array(*[F.try_divide(F.get("_w", k * out + j), F.get("_s", k)) for k in range(heads) for j in range(out)])
+    got = _rescaled(summed, heads, {"_s": 1, "_w": out}).select(F.col("dst").alias("id"), share.alias("_r"))
     all_nodes = nodes.select("id", F.col(vec).alias("_in")).join(got, "id", "left")
     rst = F.coalesce("_r", F.array_repeat(F.lit(0.0), heads * out))
     if layer.residual is not None:

@@ -8,14 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowhelm.operators.graph import insert_edges
 from flowhelm.session import scratch_path
+from flowhelm.streaming.state import admitted, on_disk
 
 TIMEOUT_S = 1800
-PAIR_BUCKETS = 16
 
 
 def stream_source(spark: SparkSession, path: str, schema, pattern: str = "*.parquet", files_per_batch: int | None = None, fmt: str = "parquet", **options) -> DataFrame:
@@ -37,7 +36,7 @@ def run_batches(stream: DataFrame, step: Callable[[DataFrame, int], None], mode:
     _finish(stream.writeStream.outputMode(mode).foreachBatch(step).option("checkpointLocation", where).trigger(availableNow=True).start())
 
 
-def _write_batch(path: str) -> Callable[[DataFrame, int], None]:
+def write_batch(path: str) -> Callable[[DataFrame, int], None]:
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/_batch={number}")
 
@@ -54,10 +53,8 @@ def run_updates(stream: DataFrame, keys: Sequence[str], path: str | None = None)
     """Run an updating aggregate; returns the newest row per key."""
     spark = stream.sparkSession
     path = path or scratch_path(spark, "updates")
-    run_batches(stream, _write_batch(path), "update")
-    saved = spark.read.parquet(path)
-    value = [c for c in saved.columns if c not in keys and c != "_batch"]
-    return saved.groupBy(*keys).agg(F.max_by(F.struct(*value), "_batch").alias("v")).select(*keys, "v.*")
+    run_batches(stream, write_batch(path), "update")
+    return newest_rows(spark.read.parquet(path), keys)
 
 
 def windowed(stream: DataFrame, ts: str, size: str, step: str | None = None, delay: str = "24 hours", value: str = "value") -> DataFrame:
@@ -66,12 +63,6 @@ def windowed(stream: DataFrame, ts: str, size: str, step: str | None = None, del
     return stream.withWatermark(ts, delay).groupBy(w.alias("w")).agg(F.count(F.lit(1)).alias("n"), F.max(value).alias("top")).select(F.unix_micros("w.start").alias("start_us"), "n", "top")
 
 
-def node_state(stream: DataFrame) -> DataFrame:
-    """First sighting, last sighting and count per node; partial aggregates precede the state update,
-    so a hot node sends one row per task."""
-    return stream.groupBy("id").agg(F.min("t_us").alias("first_us"), F.max("t_us").alias("last_us"), F.count(F.lit(1)).alias("activity"))
-
-
 def activity_sessions(stream: DataFrame, key: str, ts: str, idle: str, delay: str) -> DataFrame:
     """Lives of a key that end after ``idle`` without events. The state of a life is dropped, and the
     life emitted, once the watermark passes its end; a later event starts a new life."""
@@ -86,57 +77,45 @@ def first_edges(stream: DataFrame) -> DataFrame:
     return stream.groupBy("src", "dst").agg(first.alias("w")).select("src", "dst", "w.t_us", "w.flow_id")
 
 
-def proximity_join(stream: DataFrame, other: DataFrame, within_s: int, delay: str = "1 hour") -> DataFrame:
-    """Pairs of events at most ``within_s`` apart, earlier first. The bucket is the equi key, the time
-    bounds let Spark drop join state behind the watermark."""
-    width = within_s * 1_000_000
-    bucket = F.floor(F.col("t_us") / width)
-    a = stream.withWatermark("ts", delay).select(F.col("flow_id").alias("src"), F.col("t_us").alias("a_us"), F.col("ts").alias("a_ts"), F.explode(F.array(bucket, bucket + 1)).alias("cell"))
-    b = other.withWatermark("ts", delay).select(F.col("flow_id").alias("dst"), F.col("t_us").alias("b_us"), F.col("ts").alias("b_ts"), bucket.alias("cell"))
+def proximity_join(stream: DataFrame, other: DataFrame, within_s: int, delay: str = "1 hour", sub_cells: int = 4, salts: int = 4) -> DataFrame:
+    """Pairs of events at most ``within_s`` apart, earlier first. The equi key is a time cell, the time bounds let Spark drop join state
+    behind the watermark. As nothing splits a crowded cell of a stream at run time, cells are ``sub_cells`` times finer than the
+    reach, and rows of the later side are dealt to ``salts`` parts: an event goes to (sub_cells + 1) * salts cells, a later one to one."""
+    width = max(1, within_s * 1_000_000 // sub_cells)
+    cell, salt = F.floor(F.col("t_us") / width), F.pmod(F.xxhash64("flow_id"), F.lit(salts)).cast("int")
+    reach = -(-within_s * 1_000_000 // width)
+    a = stream.withWatermark("ts", delay).select(
+        F.col("flow_id").alias("src"), F.col("t_us").alias("a_us"), F.col("ts").alias("a_ts"), F.explode(F.sequence(cell, cell + reach)).alias("cell"))
+    a = a.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    b = other.withWatermark("ts", delay).select(F.col("flow_id").alias("dst"), F.col("t_us").alias("b_us"), F.col("ts").alias("b_ts"), cell.alias("cell"), salt.alias("salt"))
     near = f"b_ts >= a_ts AND b_ts <= a_ts + INTERVAL {within_s} SECONDS"
-    return a.join(b, "cell").where(F.expr(near)).where("src != dst").select("src", "dst", F.col("b_us").alias("t_us"))
+    return a.join(b, ["cell", "salt"]).where(F.expr(near)).where("src != dst").select("src", "dst", F.col("b_us").alias("t_us"))
 
 
-def _pair_bucket() -> Column:
-    return F.pmod(F.xxhash64("src", "dst"), F.lit(PAIR_BUCKETS)).cast("int")
+def grow_graph(spark: SparkSession, nodes: DataFrame, edges: DataFrame, store: str) -> None:
+    """Grow a stored graph by what has arrived: nodes (id) are registered, edges (src, dst, t_us, flow_id) between registered nodes
+    are kept (``<store>/admitted``), others refused; then the winning edge of each pair, the first to arrive (``<store>/edges``), and the totals of each
+    node (``<store>/nodes``) follow from what is new. All three are streaming queries with keyed state of their own, so a
+    micro-batch reads what it touches and no stored table; called again, they go on where they stopped."""
+    with on_disk(spark):
+        run_appended(admitted(nodes, edges), f"{store}/admitted", checkpoint=f"{store}/checkpoint/admitted")
+        news = stream_source(spark, f"{store}/admitted", "src string, dst string, t_us long, flow_id long, arrival_us long")
+        won = news.groupBy("src", "dst").agg(F.min(F.struct("arrival_us", "t_us", "flow_id")).alias("w")).select("src", "dst", "w.t_us", "w.flow_id")
+        run_batches(won, write_batch(f"{store}/edges"), "update", f"{store}/checkpoint/edges")
+        ends = news.select(F.explode(F.array("src", "dst")).alias("id"), "t_us").groupBy("id").agg(F.max("t_us").alias("last_us"), F.count(F.lit(1)).alias("activity"))
+        run_batches(ends, write_batch(f"{store}/nodes"), "update", f"{store}/checkpoint/nodes")
 
 
-def edge_batches(spark: SparkSession, store: str, nodes: DataFrame | None = None, seq: Sequence[str] = ("t_us", "flow_id"), after: Callable[[DataFrame, int], None] | None = None) -> Callable[[DataFrame, int], None]:
-    """A step that grows a stored graph by a micro-batch: nodes are upserted (``<store>/nodes``, read by
-    :func:`stored_nodes`), edges between known nodes are added once per (src, dst), first wins (``<store>/edges``).
-
-    Pairs are stored in buckets of their hash, and a batch looks only into the buckets it touches. It reads only batches
-    before its own, so a repeated batch gives the same result.
-    """
-
-    def step(batch: DataFrame, number: int) -> None:
-        batch = batch.select("src", "dst", "t_us", "flow_id")
-        seen = batch.select(F.explode(F.array("src", "dst")).alias("id"), "t_us").groupBy("id").agg(F.max("t_us").alias("last_us"), F.count(F.lit(1)).alias("activity"))
-        seen.write.mode("overwrite").parquet(f"{store}/nodes/_batch={number}")
-        known = nodes if nodes is not None else stored_nodes(spark, store, number)
-        first = insert_edges(batch.limit(0), batch, known.select("id"), seq).withColumn("_bucket", _pair_bucket())
-        if number > 0:
-            touched = [r[0] for r in first.select("_bucket").distinct().collect()]
-            old = spark.read.parquet(f"{store}/edges").where((F.col("_batch") < number) & F.col("_bucket").isin(touched))
-            first = first.join(old.select("src", "dst"), ["src", "dst"], "left_anti")
-        first.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{store}/edges/_batch={number}")
-        if after is not None:
-            after(batch, number)
-
-    return step
-
-
-def stored_nodes(spark: SparkSession, store: str, upto: int | None = None) -> DataFrame:
-    """(id, last_us, activity) of the stored graph, updates of all batches (up to one) merged."""
-    saved = spark.read.parquet(f"{store}/nodes")
-    saved = saved if upto is None else saved.where(F.col("_batch") <= upto)
-    return saved.groupBy("id").agg(F.max("last_us").alias("last_us"), F.sum("activity").alias("activity"))
+def newest_rows(saved: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The row of the last micro-batch (``_batch``) per key."""
+    value = [c for c in saved.columns if c not in keys and c != "_batch"]
+    return saved.groupBy(*keys).agg(F.max_by(F.struct(*value), "_batch").alias("v")).select(*keys, "v.*")
 
 
 def temporal_graph(spark: SparkSession, store: str) -> DataFrame:
     """The stored edges with the last activity of both ends."""
-    lives = stored_nodes(spark, store).select("id", "last_us")
-    edges = spark.read.parquet(f"{store}/edges").select("src", "dst", "t_us", "flow_id")
+    lives = newest_rows(spark.read.parquet(f"{store}/nodes"), ["id"]).select("id", "last_us")
+    edges = newest_rows(spark.read.parquet(f"{store}/edges"), ["src", "dst"])
     return edges.join(lives.toDF("src", "src_last_us"), "src").join(lives.toDF("dst", "dst_last_us"), "dst")
 
 
