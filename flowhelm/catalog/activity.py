@@ -85,17 +85,34 @@ def _(spark, sf):
     return spark.createDataFrame(scales, "scale string, size_s double").withColumn("size_s", F.round("size_s", 3))
 
 
-COARSE = ("medium", "large")  # as in the SQL twins; the queries *_all_scales take all default scales
+def all_scales(spark, sf):
+    """Events, the sizes of all default scales and the time range."""
+    f = _f(spark, sf)
+    return f, W.analyse(f, ORDER)[1], *W.span(f)
 
 
 def adaptive_windows(spark, sf):
-    f = _f(spark, sf)
-    return W.generate_windows(spark, W.analyse(f, ORDER, enabled=COARSE)[1], *W.span(f))
+    return W.generate_windows(spark, *all_scales(spark, sf)[1:])
 
 
-@query("generate_windows", f"SELECT {_MS} FROM win", "win")
+def _per_hour(windows):
+    """Windows summed up by size and the hour they start in: how many, the first start, the last end, and the sums of both in milliseconds
+    after the hour."""
+    hour = F.floor(F.col("start_us") / 3_600_000_000)
+    start, end = (F.floor(F.col(c) / 1000).cast("long") - F.col("hour") * 3_600_000 for c in ("start_us", "end_us"))
+    return windows.withColumn("hour", hour).groupBy("scale", F.round("size_s", 3).alias("size_s"), "hour").agg(
+        F.count(F.lit(1)).alias("n"), F.min(start).alias("first_ms"), F.max(end).alias("last_ms"), F.sum(start).alias("starts_ms"), F.sum(end).alias("ends_ms"))
+
+
+_HOURS = """SELECT scale, round(size_s,3) AS size_s, hour, count(*) AS n, min(s) AS first_ms, max(e) AS last_ms, CAST(sum(s) AS BIGINT) AS starts_ms, CAST(sum(e) AS BIGINT) AS ends_ms FROM (
+    SELECT scale, size_s, hour, CAST(floor(start_us/1000) AS BIGINT) - hour*3600000 AS s, CAST(floor(end_us/1000) AS BIGINT) - hour*3600000 AS e
+    FROM (SELECT *, CAST(floor(start_us/3600000000) AS BIGINT) AS hour FROM win)) GROUP BY ALL"""
+
+
+@query("generate_windows", _HOURS, "win")
 def _(spark, sf):
-    return _ms(adaptive_windows(spark, sf))
+    """All windows of all default scales, without a cap, summed up by hour."""
+    return _per_hour(adaptive_windows(spark, sf))
 
 
 @query("generate_windows_capped", f"SELECT {_MS} FROM wincap", "wincap")
@@ -105,22 +122,11 @@ def _(spark, sf):
     return _ms(W.generate_windows(spark, W.analyse(f, ORDER)[1], *W.span(f), max_windows=100))
 
 
-@query("windows_per_scale", "SELECT scale, count(*) AS n_windows FROM win GROUP BY scale", "win")
+@query("windows_per_scale", "SELECT scale, CAST(sum(n) AS BIGINT) AS n_windows FROM winn GROUP BY scale", "winn")
 def _(spark, sf):
     return W.windows_per_scale(adaptive_windows(spark, sf))
 
 
-def all_scales(spark, sf):
-    """Events, the sizes of all default scales and the time range."""
-    f = _f(spark, sf)
-    return f, W.analyse(f, ORDER)[1], *W.span(f)
-
-
-@query("windows_per_scale_all_scales")
-def _(spark, sf):
-    return W.windows_per_scale(W.generate_windows(spark, *all_scales(spark, sf)[1:]))
-
-
 _BURST = """WITH ev AS (SELECT src, t_us AS v, count(*) AS n FROM flow GROUP BY ALL), r AS (SELECT src, min(v) AS t0, max(v) AS t1, (max(v)-min(v))*0.01::DOUBLE AS eps FROM ev GROUP BY src HAVING max(v) > min(v)),
     co AS (SELECT a.src, a.v, sum(b.n) >= 3 AS core FROM ev a JOIN r USING (src) JOIN ev b ON a.src = b.src AND abs(a.v - b.v) <= eps GROUP BY a.src, a.v),
     cl AS (SELECT src, v, CAST(sum(CASE WHEN v - prev <= eps THEN 0 ELSE 1 END) OVER (PARTITION BY src ORDER BY v) - 1 AS BIGINT) AS c FROM (SELECT src, v, lag(v) OVER (PARTITION BY src ORDER BY v) AS prev FROM co WHERE core) JOIN r USING (src)),
@@ -147,10 +153,10 @@ def _(spark, sf):
     return _ms(W.periodic_windows(spark, *W.span(_f(spark, sf)), 86400.0))
 
 
-@query("periodic_windows_auto", f"SELECT {_MS} FROM win", "win")
+@query("periodic_windows_auto", _HOURS, "win")
 def _(spark, sf):
     """The events have no period, so the pattern falls back to adaptive windows."""
-    return _ms(W.windows_for_pattern(_f(spark, sf), ORDER, "periodic", enabled=COARSE))
+    return _per_hour(W.windows_for_pattern(_f(spark, sf), ORDER, "periodic"))
 
 
 _LOWSLOW = """WITH p AS (SELECT t0, t1, greatest(3600000000.0::DOUBLE, (t1-t0)/5::DOUBLE) AS large FROM rng),
@@ -169,15 +175,21 @@ def _window_counts(joined):
     return joined.groupBy("scale", F.round("size_s", 3).alias("size_s"), F.floor(F.col("start_us") / 1000).alias("start_ms")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("bytes")).alias("mean_bytes"))
 
 
-@query("events_in_windows", """SELECT scale, round(size_s,3) AS size_s, CAST(floor(start_us/1000) AS BIGINT) AS start_ms, count(*) AS n, round(avg(bytes),6)+0.0 AS mean_bytes
-    FROM (SELECT *, max(end_us) OVER (PARTITION BY scale, size_s) AS stop FROM win) JOIN flow ON t_us >= start_us AND (t_us < end_us OR (t_us = end_us AND end_us = stop)) GROUP BY ALL""", "win flow")
+@query("events_in_windows", """WITH spot AS (SELECT *, CAST(floor((t_us - t0::DOUBLE)/step) AS BIGINT) AS i FROM flow, winn),
+    near AS (SELECT *, t0::DOUBLE + k*step AS start_us, CASE WHEN k = n-1 THEN stop ELSE t0::DOUBLE + k*step + step END AS end_us FROM (SELECT *, unnest([least(i,n-1)-1, least(i,n-1), least(i+1,n-1)+CASE WHEN i >= n-1 THEN n ELSE 0 END]) AS k FROM spot) WHERE k BETWEEN 0 AND n-1)
+    SELECT scale, round(size_s,3) AS size_s, CAST(floor(start_us/1000) AS BIGINT) AS start_ms, count(*) AS n, round(avg(bytes),6)+0.0 AS mean_bytes FROM near
+    WHERE t_us >= start_us AND (t_us < end_us OR (t_us = end_us AND end_us = stop)) GROUP BY ALL""", "flow winn")
 def _(spark, sf):
-    return _window_counts(W.assign_windows(_f(spark, sf), adaptive_windows(spark, sf)))
+    """Events counted in all windows of all default scales; only windows with events are made."""
+    return _window_counts(W.assign_generated(*all_scales(spark, sf)))
 
 
-@query("events_in_windows_all_scales")
+@query("events_in_windows_coarse", """SELECT scale, round(size_s,3) AS size_s, CAST(floor(start_us/1000) AS BIGINT) AS start_ms, count(*) AS n, round(avg(bytes),6)+0.0 AS mean_bytes
+    FROM (SELECT *, max(end_us) OVER (PARTITION BY scale, size_s) AS stop FROM win WHERE scale <> 'micro') JOIN flow ON t_us >= start_us AND (t_us < end_us OR (t_us = end_us AND end_us = stop)) GROUP BY ALL""", "win flow")
 def _(spark, sf):
-    return _window_counts(W.assign_generated(*all_scales(spark, sf)))
+    """The same by an interval join with given windows, here those of the two coarser scales."""
+    f, scales, t0, t1 = all_scales(spark, sf)
+    return _window_counts(W.assign_windows(f, W.generate_windows(spark, [s for s in scales if s[0] != "micro"], t0, t1)))
 
 
 @query("multi_scale_tumbling", """SELECT scale, t_us - t_us % size_us AS start_us, count(*) AS n, round(sum(bytes),4)+0.0 AS total FROM flow,

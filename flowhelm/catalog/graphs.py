@@ -175,7 +175,10 @@ def _(spark, sf):
     return G.proximity_edges(n, 60_000_000).withColumns({"dt": r6("dt"), "similarity": r6("similarity")})
 
 
-@query("edge_similarity", f"SELECT flow_id, round({_COS.format(a='a.feat', b='b.feat')},6)+0.0 AS similarity FROM edge JOIN node a ON a.id = src JOIN node b ON b.id = dst", "edge node")
+@query("edge_similarity", """WITH el AS (SELECT id, unnest(feat) AS x, generate_subscripts(feat, 1) AS k FROM node), nm AS (SELECT id, sqrt(sum(x*x)) AS norm FROM el GROUP BY id),
+    pr AS (SELECT DISTINCT src, dst FROM edge), dt AS (SELECT src, dst, sum(a.x*b.x) AS dot FROM pr JOIN el a ON a.id = src JOIN el b ON b.id = dst AND b.k = a.k GROUP BY src, dst),
+    sim AS (SELECT src, dst, round(dot/(p.norm*q.norm+1e-8::DOUBLE),6)+0.0 AS similarity FROM dt JOIN nm p ON p.id = src JOIN nm q ON q.id = dst)
+    SELECT flow_id, similarity FROM edge JOIN sim USING (src, dst)""", "edge node")
 def _(spark, sf):
     return G.edge_similarity(V.edge(spark, sf), V.node(spark, sf)).select("flow_id", r6("similarity").alias("similarity"))
 

@@ -66,10 +66,10 @@ def _(spark, sf):
 
 
 def _starts(spark, sf):
-    return V.node(spark, sf).where("label < 3").select("id")
+    return V.node(spark, sf).select("id")
 
 
-@query("random_walks", f"WITH RECURSIVE {_walk('(SELECT id FROM node WHERE label < 3)', 4, 'rw')} SELECT walk, step, id FROM wk", "edge node")
+@query("random_walks", f"WITH RECURSIVE {_walk('(SELECT id FROM node)', 4, 'rw')} SELECT walk, step, id FROM wk", "edge node")
 def _(spark, sf):
     return S.random_walks(_e(spark, sf), _starts(spark, sf), 4, "rw")
 
@@ -178,7 +178,7 @@ def _fan(k: int, front: str, layer: int) -> str:
     return f"SELECT {layer}::INT AS layer, src, dst, flow_id FROM (SELECT *, {rank} AS rk FROM both_edges WHERE dst IN ({front})) WHERE rk <= {k}"
 
 
-@query("neighbor_fanout", f"""WITH both_edges AS (SELECT src, dst, flow_id FROM edge UNION ALL SELECT dst, src, flow_id + 1000000000 FROM edge), l0 AS MATERIALIZED ({_fan(5, 'SELECT id FROM node WHERE label < 3', 0)}),
+@query("neighbor_fanout", f"""WITH both_edges AS (SELECT src, dst, flow_id FROM edge UNION ALL SELECT dst, src, flow_id + 1000000000 FROM edge), l0 AS MATERIALIZED ({_fan(5, 'SELECT id FROM node', 0)}),
     l1 AS ({_fan(3, 'SELECT src FROM l0', 1)}) SELECT * FROM l0 UNION ALL SELECT * FROM l1""", "edge node")
 def _(spark, sf):
     e = _e(spark, sf).select("src", "dst", "flow_id")

@@ -165,7 +165,9 @@ SQL: dict[str, tuple[str, str]] = {
     "rng": ("flow", "SELECT min(t_us) AS t0, max(t_us) AS t1 FROM flow"),
     "win": ("scales rng", """SELECT scale, size_s, t0::DOUBLE + i*(size_s*1000000.0::DOUBLE) AS start_us, CASE WHEN i = n-1 THEN greatest(t0::DOUBLE + i*(size_s*1000000.0::DOUBLE) + size_s*1000000.0::DOUBLE, t1::DOUBLE)
         ELSE t0::DOUBLE + i*(size_s*1000000.0::DOUBLE) + size_s*1000000.0::DOUBLE END AS end_us FROM (
-        SELECT *, unnest(range(n)) AS i FROM (SELECT *, CAST(greatest(1, ceil((t1-t0)::DOUBLE/(size_s*1000000.0::DOUBLE))) AS BIGINT) AS n FROM scales, rng WHERE scale IN ('medium','large')))"""),
+        SELECT *, unnest(range(n)) AS i FROM (SELECT *, CAST(greatest(1, ceil((t1-t0)::DOUBLE/(size_s*1000000.0::DOUBLE))) AS BIGINT) AS n FROM scales, rng WHERE scale IN ('micro','medium','large')))"""),
+    "winn": ("scales rng", """SELECT *, size_s*1000000.0::DOUBLE AS step, t0::DOUBLE + (n-1)*(size_s*1000000.0::DOUBLE) AS last_start, greatest(t0::DOUBLE + (n-1)*(size_s*1000000.0::DOUBLE) + size_s*1000000.0::DOUBLE, t1::DOUBLE) AS stop FROM (
+        SELECT *, CAST(greatest(1, ceil((t1-t0)::DOUBLE/(size_s*1000000.0::DOUBLE))) AS BIGINT) AS n FROM scales, rng WHERE scale IN ('micro','medium','large'))"""),
     "wincap": ("scales rng", """SELECT scale, size_s, t0::DOUBLE + i*(size_s*1000000.0::DOUBLE) AS start_us, CASE WHEN i = n-1 THEN greatest(t0::DOUBLE + i*(size_s*1000000.0::DOUBLE) + size_s*1000000.0::DOUBLE, t1::DOUBLE)
         ELSE t0::DOUBLE + i*(size_s*1000000.0::DOUBLE) + size_s*1000000.0::DOUBLE END AS end_us FROM (
         SELECT *, unnest(range(n)) AS i FROM (SELECT *, CAST(greatest(1, least(ceil((t1-t0)::DOUBLE/(size_s*1000000.0::DOUBLE)), 100)) AS BIGINT) AS n FROM scales, rng WHERE scale IN ('micro','medium','large')))"""),

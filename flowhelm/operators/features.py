@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowhelm.plans.ordered import ROWS_PER_BLOCK, neighbours, number, row_halo, running_sums
-from flowhelm.plans.skew import null_safe_join, salted_join
+from flowhelm.plans.skew import HOT_ROWS, hot_keys, null_safe_join, salted_join
 
 FORWARD_SECONDS = (1, 5, 10, 30, 60)
 MICROS = 1_000_000
@@ -75,11 +75,14 @@ def minute_agg(df: DataFrame, keys: Sequence[str], t_us: str, features: Sequence
 
 
 def packet_features(df: DataFrame, src: str, dst: str, t_us: str, ident: str, features: Sequence[str] | None = None) -> DataFrame:
-    """Flow rows with the minute aggregates of their source, destination and pair."""
+    """Flow rows with the minute aggregates of their source, destination and pair. Keys are counted on the flows alone, before any join, and
+    only in tables where a key can be hot."""
     wanted = [c for c in (features or CIC_FEATURES) if c in df.columns]
-    out = df.withColumn("minute_us", minute(t_us))
+    out = base = df.withColumn("minute_us", minute(t_us))
+    many = base.count() > HOT_ROWS
     for prefix, keys in (("src", [src]), ("dst", [dst]), ("pair", [src, dst])):
-        out = salted_join(out, minute_agg(df, keys, t_us, wanted, prefix), [*keys, "minute_us"], ident, "left")
+        on = [*keys, "minute_us"]
+        out = salted_join(out, minute_agg(df, keys, t_us, wanted, prefix), on, ident, "left", hot=hot_keys(base, on) if many else [])
     return out
 
 

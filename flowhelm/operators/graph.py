@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowhelm.functions.scalar import cosine, seeded_hash
+from flowhelm.functions.scalar import cosine
 from flowhelm.plans.lookup import keep_matching, lookup_join, with_both_ends
-from flowhelm.plans.ordered import ROWS_PER_BLOCK, neighbours, number
+from flowhelm.plans.ordered import ROWS_PER_BLOCK, neighbours, number, top_rows
+from flowhelm.plans.ranks import mark_quota
 from flowhelm.plans.skew import HOT_ROWS, salted_join
 
 MICROS = 1_000_000
@@ -36,7 +37,7 @@ def temporal_edges(
     ratio = F.when(F.col(size) > 0, F.col("_s2") / F.col(size)).otherwise(F.lit(0.0))
     pair = [F.col(src), F.col(dst)] if ends else []
     edges = linked.select(*pair, F.col(ident).alias("src_flow"), F.col("_id2").alias("dst_flow"), F.col("_t2").alias("t_us"), gap.alias("gap"), ratio.alias("size_ratio"))
-    return edges if max_edges is None else edges.orderBy("t_us", "dst_flow").limit(max_edges)
+    return edges if max_edges is None else top_rows(edges, [F.col("t_us"), F.col("dst_flow")], max_edges)
 
 
 def pair_groups(flows: DataFrame, src: str, dst: str, t_us: str) -> DataFrame:
@@ -122,9 +123,9 @@ def temporal_subgraph_all_nodes(edges: DataFrame, nodes: DataFrame, now_us: int,
 
 def subgraph_caps(edges: DataFrame, nodes: DataFrame, now_us: int, window_us: int, max_nodes: int = 5000, max_edges: int = 10_000, seed: str = "0") -> tuple[DataFrame, DataFrame]:
     """A sample of at most ``max_nodes`` nodes, then the oldest ``max_edges`` window edges among them."""
-    some = nodes.withColumn("_h", seeded_hash("id", seed)).orderBy("_h").limit(max_nodes).drop("_h")
+    some = mark_quota(nodes, "id", seed, max_nodes).where("_in").drop("_in")
     cut = with_both_ends(edges.where(F.col("t_us").between(now_us - window_us, now_us)), some)
-    return cut.orderBy("t_us", "flow_id").limit(max_edges), some
+    return top_rows(cut, [F.col("t_us"), F.col("flow_id")], max_edges), some
 
 
 def add_self_loops(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -14,20 +14,9 @@ from pyspark.sql import functions as F
 from flowhelm.functions.scalar import seeded_hash, unit
 from flowhelm.operators.graph import degrees
 from flowhelm.plans.lookup import keep_matching, with_both_ends
-from flowhelm.plans.ordered import ROWS_PER_BLOCK, hash_number, number
-from flowhelm.session import cut_lineage
-
-TOP_K_ROWS = 100_000
-
-
-def top_rows(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
-    """First k rows: a top-k while k is small, else exact numbering in blocks."""
-    if k <= TOP_K_ROWS:
-        return df.orderBy(*order).limit(k)
-    names = [f"_o{i}" for i in range(len(order))]
-    keyed = df.withColumns(dict(zip(names, order)))
-    return number(keyed, names, name="_rn").where(F.col("_rn") <= k).drop("_rn", *names)
-
+from flowhelm.plans.ordered import ROWS_PER_BLOCK, TOP_K_ROWS, hash_number, number, top_rows
+from flowhelm.plans.ranks import interpolated, order_statistics, ranks_around
+from flowhelm.session import cut_lineage, stored
 
 def node_importance(edges: DataFrame) -> DataFrame:
     """(id, degree, importance): degree share of each node; importance sums to one."""
@@ -47,22 +36,20 @@ def sample_nodes_weighted(nodes: DataFrame, size: int, weight: str = "importance
 def random_walks(edges: DataFrame, starts: DataFrame, length: int, seed: str = "0", rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """(walk, step, id): up to ``length`` steps along successors; a walk ends at a sink.
 
-    Successors are numbered once, so a step is an equi-join on (node, position) and a hub costs no
-    more than any other node.
+    Successors are numbered once and know how many their own are, so a step is one equi-join on (node, position) and a hub
+    costs no more than any other node. A walk carries its path; steps become rows at the end.
     """
     pairs = edges.select("src", "dst").distinct()
-    adj = cut_lineage(number(pairs, ["dst"], ["src"], "_pos", rows_per_block))
-    deg = adj.groupBy("src").agg(F.max("_pos").alias("_deg"))
-    out = starts.select(F.col("id").alias("walk"), F.lit(0).alias("step"), "id")
-    current = out
+    numbered = number(pairs, ["dst"], ["src"], "_pos", rows_per_block)
+    deg = stored(pairs.groupBy("src").agg(F.count(F.lit(1)).alias("_deg")), "degrees")
+    adj = stored(numbered.join(deg.select(F.col("src").alias("dst"), F.col("_deg").alias("_next")), "dst", "left"), "successors")
+    walks = starts.select(F.col("id").alias("walk"), F.col("id").alias("src")).join(deg, "src", "left").select("walk", "src", "_deg", F.array("src").alias("_path"))
     for step in range(1, length + 1):
         pick = F.conv(F.substring(F.md5(F.concat(F.col("walk"), F.lit(f"|{seed}|{step}"))), 1, 8), 16, 10).cast("long")
-        at = current.select("walk", F.col("id").alias("src")).join(deg, "src").withColumn("_pos", pick % F.col("_deg") + 1)
-        current = at.join(adj, ["src", "_pos"]).select("walk", F.lit(step).alias("step"), F.col("dst").alias("id"))
-        if step % 4 == 0 and step < length:
-            current = cut_lineage(current)
-        out = out.unionByName(current)
-    return out
+        met = walks.withColumn("_pos", F.when(F.col("_deg").isNotNull(), pick % F.col("_deg") + 1)).join(adj, ["src", "_pos"], "left")
+        path = F.when(F.col("dst").isNotNull(), F.concat("_path", F.array("dst"))).otherwise(F.col("_path"))
+        walks = met.select("walk", F.col("dst").alias("src"), F.col("_next").alias("_deg"), path.alias("_path"))
+    return walks.select("walk", F.posexplode("_path").alias("step", "id"))
 
 
 def induced_subgraph(edges: DataFrame, ids: DataFrame) -> DataFrame:
@@ -70,9 +57,12 @@ def induced_subgraph(edges: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def memory_percentile(memory: DataFrame, p: float) -> DataFrame:
-    """Memory nodes whose importance reaches the p-th percentile; the memory has a fixed maximum size."""
-    cut = memory.agg(F.percentile("importance", p / 100.0)).first()[0]
-    return memory.where(F.col("importance") >= F.lit(cut))
+    """Memory nodes whose importance reaches the p-th percentile, found by selection whatever the size of the memory."""
+    n = memory.agg(F.count_if(F.col("importance").isNotNull() & ~F.isnan("importance"))).first()[0]
+    if not n:
+        return memory.limit(0)
+    found = order_statistics(memory, {"importance": ranks_around(n, [p / 100.0])}, {"importance": n})["importance"]
+    return memory.where(F.col("importance") >= F.lit(interpolated(found, n, p / 100.0)))
 
 
 def memory_update(memory: DataFrame, sampled: DataFrame, now: int, size: int = 1000) -> DataFrame:

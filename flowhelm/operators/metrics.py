@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from flowhelm.plans.lookup import is_small
 from flowhelm.plans.ordered import ROWS_PER_BLOCK, neighbours, running_sums
+from flowhelm.plans.skew import null_safe_join
 from flowhelm.session import cut_lineage
 
 
@@ -31,12 +32,11 @@ def counts(df: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:
 
 
 def confusion_matrix(df: DataFrame, y: str = "y", pred: str = "pred", truth_only: bool = False) -> DataFrame:
-    """All (truth, prediction) cells over the labels present, zero cells kept."""
+    """All (truth, prediction) cells over the labels present, zero cells kept; a missing label is a label of its own."""
     cells = counts(df, y, pred)
     seen = cells.select(F.explode(F.array("y") if truth_only else F.array("y", "pred")).alias("c")).distinct()
-    classes = seen.agg(F.collect_set("c").alias("all"))
-    grid = seen.where("c IS NOT NULL").select(F.col("c").alias("y"), F.explode(classes.scalar()).alias("pred"))
-    return grid.join(cells, ["y", "pred"], "left").select("y", "pred", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    grid = seen.select(F.col("c").alias("y")).join(seen.select(F.col("c").alias("pred")))  # a row per cell of the matrix
+    return null_safe_join(grid, cells, ["y", "pred"], "left").select("y", "pred", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def per_class(cells: DataFrame) -> DataFrame:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,26 +18,89 @@ from flowhelm.session import stored
 
 # Name parts of columns that selection always keeps.
 ALWAYS_KEPT_PARTS = ["_octet", "_subnet", "_is_private", "_is_global", "time", "duration"]
-PAIRS_IN_ONE_AGG = 120
 
 
-def pearson(a: str, b: str) -> Column:
-    """Correlation, null when a column is constant."""
-    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+def _batch_moments(x: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Over the rows in which both columns of a pair have values: how many, the mean of the first column, its squared deviations and the products
+    of both columns' deviations; and rows with a NaN in either. Sums are taken from the first value of a column, so constants stay exact."""
+    d = x.shape[1]
+    there = ~np.isnan(x)
+    start = np.array([x[there[:, j], j][0] if there[:, j].any() else 0.0 for j in range(d)])
+    z, m = np.where(there, x - start, 0.0), there.astype(float)
+    n = m.T @ m
+    safe = np.where(n > 0, n, 1.0)
+    first, squares, products = z.T @ m, (z * z).T @ m, z.T @ z
+    mean = first / safe
+    return n, start[:, None] + mean, squares - first * mean, products - first * first.T / safe
+
+
+def _merge_moments(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    (na, ma, va, ca), (nb, mb, vb, cb) = a, b
+    n = na + nb
+    safe = np.where(n > 0, n, 1.0)
+    d = np.where((na > 0) & (nb > 0), mb - ma, 0.0)
+    w = na * nb / safe
+    return n, np.where(na > 0, ma + d * nb / safe, mb), va + vb + w * d * d, ca + cb + w * d * d.T
+
+
+_PARTS = "n double, mean_a double, mean_b double, dev_a double, dev_b double, prod double"
+
+
+def co_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(i, j, n, dev_a, dev_b, prod, nan) of all pairs i < j from one scan: every task adds up matrices of its Arrow batches and gives one row
+    a pair; these meet around the means of the first. ``nan`` counts rows of a pair with a NaN."""
+    d = len(columns)
+    upper = np.triu_indices(d, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, nan = None, np.zeros((d, d))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            null = np.column_stack([c.is_null().to_numpy(zero_copy_only=False) for c in batch.columns])
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+            nan += (np.isnan(x) & ~null).astype(float).T @ (~null).astype(float)
+            part = _batch_moments(x)
+            total = part if total is None else _merge_moments(total, part)
+        if total is not None:
+            n, mean, dev, prod = total
+            values = [*upper, n[upper], mean[upper], mean.T[upper], dev[upper], dev.T[upper], prod[upper], (nan + nan.T)[upper]]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in values], names=["i", "j", "n", "mean_a", "mean_b", "dev_a", "dev_b", "prod", "nan"])
+
+    cells = df.select(*[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(columns)])
+    parts = cells.mapInArrow(run, f"i long, j long, {_PARTS}, nan double")
+    fields = [f.split()[0] for f in _PARTS.split(", ")]
+    lists = parts.groupBy("i", "j").agg(F.sum("nan").alias("nan"), F.filter(F.collect_list(F.struct(*fields)), lambda x: x["n"] > 0).alias("p")).withColumn("first", F.get("p", 0))
+
+    def total(value) -> Column:
+        return F.aggregate("p", F.lit(0.0), lambda t, x: t + value(x))
+
+    def a(x: Column) -> Column:
+        return x["mean_a"] - F.col("first.mean_a")
+
+    def b(x: Column) -> Column:
+        return x["mean_b"] - F.col("first.mean_b")
+
+    sums = lists.select(
+        "i", "j", "nan", total(lambda x: x["n"]).alias("n"), total(lambda x: x["n"] * a(x)).alias("sa"), total(lambda x: x["n"] * b(x)).alias("sb"),
+        total(lambda x: x["dev_a"] + x["n"] * a(x) * a(x)).alias("da"), total(lambda x: x["dev_b"] + x["n"] * b(x) * b(x)).alias("db"),
+        total(lambda x: x["prod"] + x["n"] * a(x) * b(x)).alias("dp"))
+
+    def less(value: str, one: str, other: str) -> Column:
+        return F.col(value) - F.coalesce(F.try_divide(F.col(one) * F.col(other), F.col("n")), F.lit(0.0))
+
+    return sums.select("i", "j", "n", less("da", "sa", "sa").alias("dev_a"), less("db", "sb", "sb").alias("dev_b"), less("dp", "sa", "sb").alias("prod"), "nan")
 
 
 def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """|Pearson| of every column pair, upper triangle: (a, b, corr). A row counts for the pairs it has both values of;
-    the pairs are aggregated some at a time, however many columns there are."""
+    """|Pearson| of every column pair, upper triangle: (a, b, corr). A row counts for the pairs it has both values of. All pairs
+    come from one scan; null when a column is constant in the pair's rows, NaN when there is a NaN among them."""
     columns = list(columns)
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
-    out = None
-    for at in range(0, len(pairs), PAIRS_IN_ONE_AGG):
-        some = pairs[at : at + PAIRS_IN_ONE_AGG]
-        one = df.agg(*[F.abs(pearson(columns[i], columns[j])).alias(f"c{i}_{j}") for i, j in some])
-        rows = one.select(F.inline(F.array(*[F.struct(F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b"), F.col(f"c{i}_{j}").alias("corr")) for i, j in some])))
-        out = rows if out is None else out.unionByName(rows)
-    return df.sparkSession.createDataFrame([], "a string, b string, corr double") if out is None else out
+    if len(columns) < 2:
+        return df.sparkSession.createDataFrame([], "a string, b string, corr double")
+    names = F.array(*[F.lit(c) for c in columns])
+    corr = F.when(F.col("nan") > 0, F.lit(float("nan"))).otherwise(F.abs(F.try_divide(F.col("prod"), F.sqrt("dev_a") * F.sqrt("dev_b"))))
+    return co_moments(df, columns).select(F.get(names, F.col("i").cast("int")).alias("a"), F.get(names, F.col("j").cast("int")).alias("b"), corr.alias("corr"))
 
 
 def variances(df: DataFrame, columns: Sequence[str], population: bool = True) -> DataFrame:
@@ -65,10 +130,11 @@ def anova_f(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
     groups = long_form(df, columns, [label]).groupBy("feature", label).agg(
         F.count("value").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"))
     n, m = F.col("n"), F.col("m")
-    s = groups.groupBy("feature").agg(
-        F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), (F.sum(n * m) / F.sum("n")).alias("gm"),
-        F.collect_list(F.struct("n", "m")).alias("g"), F.sum(n * F.col("v")).alias("ssw"))
-    ssb = F.aggregate("g", F.lit(0.0), lambda a, g: a + g["n"] * (g["m"] - F.col("gm")) * (g["m"] - F.col("gm")))
+    mean = groups.groupBy("feature").agg(F.try_divide(F.sum(n * m), F.sum("n")).alias("gm"))
+    away = (m - F.col("gm")) * (m - F.col("gm"))
+    s = groups.join(F.broadcast(mean), "feature").groupBy("feature").agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.coalesce(F.sum(n * away), F.lit(0.0)).alias("ssb"), F.sum(n * F.col("v")).alias("ssw"))
+    ssb = F.col("ssb")
     dfb, dfw = F.col("k") - 1, F.col("n") - F.col("k")
     f = F.try_divide(F.try_divide(ssb, dfb), F.try_divide(F.col("ssw"), dfw))
     perfect = (F.col("ssw") == 0) & (ssb > 0)

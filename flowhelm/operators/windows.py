@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from flowhelm.plans.lookup import is_small
 from flowhelm.plans.ordered import ROWS_PER_BLOCK, neighbours, number, row_halo, running_sums
 from flowhelm.plans.ranks import ACCURACY, interpolated, order_statistics, ranks_around
+from flowhelm.plans.skew import null_safe_join
 from flowhelm.session import cut_lineage
 
 MICROS = 1_000_000.0
@@ -250,14 +251,15 @@ def burst_windows(df: DataFrame, t_us: str = "t_us", keys: Sequence[str] = (), r
     context window, per key. A key whose events share one time has no range and no windows."""
     ranges = df.groupBy(*keys).agg(F.min(t_us).alias("_t0"), F.max(t_us).alias("_t1"))
     if keys:
-        with_eps = df.select(*keys, t_us).groupBy(*keys, t_us).agg(F.count(F.lit(1)).alias("_n")).join(ranges, list(keys))
+        with_eps = df.select(*keys, t_us).groupBy(*keys, t_us).agg(F.count(F.lit(1)).alias("_n"))
+        with_eps = null_safe_join(with_eps, ranges, keys)
     else:
         t0, t1 = span(df, t_us)
         with_eps = df.groupBy(t_us).agg(F.count(F.lit(1)).alias("_n")).withColumns({"_t0": F.lit(t0), "_t1": F.lit(t1)})
     points = with_eps.where("_t1 > _t0").withColumn("_m", F.explode(F.sequence(F.lit(1), F.least("_n", F.lit(3)).cast("int"))))
     clusters = dbscan_1d(points, t_us, (F.col("_t1") - F.col("_t0")) * 0.01, 3, keys, rows_per_block).where("cluster >= 0")
     edge = clusters.groupBy(*keys, "cluster").agg(F.min(t_us).cast("double").alias("a"), F.max(t_us).cast("double").alias("b"))
-    edge = edge.join(ranges, list(keys)) if keys else edge.withColumns({"_t0": F.lit(t0), "_t1": F.lit(t1)})
+    edge = null_safe_join(edge, ranges, keys) if keys else edge.withColumns({"_t0": F.lit(t0), "_t1": F.lit(t1)})
     length = F.col("b") - F.col("a")
     pad = F.when(length < MICROS, (F.lit(MICROS) - length) / 2).otherwise(F.lit(0.0))
     a, b = F.col("a") - pad, F.col("b") + pad

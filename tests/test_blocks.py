@@ -137,3 +137,34 @@ def test_correlations_with_nulls_take_one_path(spark):
     got = {(r.a, r.b): r["corr"] for r in S.corr_matrix(wide, wide.columns).collect()}
     few = {(r.a, r.b): r["corr"] for r in S.corr_matrix(wide, ["c3", "c7", "c19"]).collect()}
     assert len(got) == 190 and all(abs(got[k] - v) < 1e-12 for k, v in few.items())
+
+
+def test_null_keys_keep_windows_cells_and_percentiles(spark):
+    rows = [(None if i % 2 else "a", 1_000_000 * (i // 2 % 7) + i // 14 * 10**9) for i in range(84)]
+    events = spark.createDataFrame(rows, "key string, t_us long")
+    got = sorted(map(str, W.burst_windows(events, keys=["key"]).drop("key").collect()))
+    alone = [sorted(map(str, W.burst_windows(events.where(c), keys=["key"]).drop("key").collect())) for c in ("key IS NULL", "key = 'a'")]
+    assert got and got == sorted(alone[0] + alone[1]) and alone[0] == alone[1]
+    cells = M.confusion_matrix(spark.createDataFrame([(1, 1), (1, None), (None, 1), (None, None)], "y int, pred int"))
+    assert {(r.y, r.pred): r.n for r in cells.collect()} == {(a, b): 1 for a in (1, None) for b in (1, None)}
+    halves = O.percentiles(events.withColumn("v", F.col("t_us").cast("double")), "v", [0.5], ["key"])
+    assert {r.key for r in halves.collect()} == {None, "a"}
+
+
+def test_eighty_columns_in_one_scan(spark, tmp_path):
+    """Columns with gaps, constants and large offsets; the parts of many tasks meet."""
+    wide = spark.range(500).repartition(9).select(*[
+        F.when((F.col("id") * (k + 3)) % 11 > 0, F.sin(F.col("id") * (k + 1)) + (10**7 if k % 5 == 0 else 0)).alias(f"c{k}") for k in range(78)], F.lit(0.1).alias("c78"), F.lit(None).cast("double").alias("c79"))
+    wide.write.parquet(str(tmp_path / "wide"))
+    stored = spark.read.parquet(str(tmp_path / "wide"))
+    frame = S.corr_matrix(stored, stored.columns)
+    assert frame._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    got = {(r.a, r.b): r["corr"] for r in frame.collect()}
+    assert len(got) == 80 * 79 // 2 and all(v is None for (a, b), v in got.items() if b in ("c78", "c79"))
+    data = stored.toPandas()
+    for a, b in (("c0", "c5"), ("c0", "c1"), ("c7", "c70"), ("c35", "c77")):
+        pair = data[[a, b]].dropna()
+        assert got[a, b] == pytest.approx(abs(pair[a].corr(pair[b])), abs=1e-8)
+    nan = S.corr_matrix(spark.createDataFrame([(1.0, 2.0, 1.0), (2.0, float("nan"), None), (3.0, 5.0, 4.0)], "a double, b double, c double"), ["a", "b", "c"])
+    found = {(r.a, r.b): r["corr"] for r in nan.collect()}
+    assert found["a", "b"] != found["a", "b"] and found["a", "c"] == pytest.approx(1.0) and found["b", "c"] == pytest.approx(1.0)

@@ -206,7 +206,7 @@ def test_windows_of_all_default_scales(spark, sf):
     assert {r.scale: r.n_windows for r in W.windows_per_scale(windows).collect()} == want and want["micro"] > 50_000
     rows = lambda d: sorted((r.flow_id, r.scale, r.size_s, r.start_us, r.end_us) for r in d.collect())
     assert rows(W.assign_generated(df, scales, t0, t1)) == rows(W.assign_windows(df, windows))
-    coarse, whole = (QUERIES[f"events_in_windows{x}"](spark, sf).collect() for x in ("", "_all_scales"))
+    coarse, whole = (QUERIES[f"events_in_windows{x}"](spark, sf).collect() for x in ("_coarse", ""))
     assert sorted(coarse) == sorted(r for r in whole if r.scale != "micro")
     events = V.flow(spark, sf).count()
     assert sum(r.n for r in whole if (r.scale, r.size_s) == ("micro", 0.5)) == events
