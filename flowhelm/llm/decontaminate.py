@@ -1,11 +1,16 @@
-"""Benchmark decontamination by pigeonhole seeds and exact edit distance, without loss.
+"""Benchmark decontamination by CGK embeddings, bit-sampling tables and exact edit distance, without loss.
 
-At most ``edits`` of an item's bytes may differ, say k. The item is cut into k + 1 pieces, so any near copy holds at
-least one of them unchanged. Moreover, counting errors minus pieces from left to right, the pieces behind the last
-maximum are followed to the end by fewer errors than pieces: some unchanged piece is followed by a piece with at most
-one error, by two with at most two, and so on. Unchanged pieces are found by a look-up of eight bytes at every position
-of a text, then the next piece and the next three are held against that, and what is left is verified by the exact edit
-distance of the whole item to the part of the text around the piece. Nothing is sampled and no true copy is dropped.
+At most ``edits`` of an item's bytes may differ, say k. Item-sized windows of the texts are embedded by random walks and looked up in
+sampled tables (:mod:`flowhelm.llm.cgk`), whose repetitions are added until copies with the full k edits are found; candidates are verified by the
+exact edit distance of the whole item to the part of the text around them. The recall that was measured for the class of an item's length is
+part of the result.
+
+What sampling misses is found exactly: an item is cut into k + 1 pieces, so any near copy holds at least one of them unchanged.
+Moreover, counting errors minus pieces from left to right, the pieces behind the last maximum are followed to the end by fewer
+errors than pieces: some unchanged piece is followed by a piece with at most one error, by two with at most two, and so
+on. Unchanged pieces are found by a look-up of eight bytes at every position of a text, then the next piece and the next three
+are held against that, and what is left joins the candidates. So no true copy is dropped, at any edit rate; items below
+``cgk.LEAST_SIZE`` bytes, too short for sampled walks, are found this way alone.
 
 Texts and items are compared with A-Z lower-cased and every white-space byte as a space. Null or empty texts and items
 match nothing; repeated rows are reported as rows of their own; equal items are all reported; an empty table on either
@@ -15,6 +20,7 @@ what a task holds of a part is linear in its bytes.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -23,15 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowhelm.llm import cgk
 from flowhelm.llm.text import IS_SPACE, LOWER, pieces
 from flowhelm.session import stored
 
 EDITS = 0.1
-PART_BYTES = 16 << 20
+PART_BYTES = 2 << 20
 AHEAD = 3  # pieces behind an unchanged one that are compared before the whole item
 _POSITIONS, _HITS = 1 << 18, 1 << 20  # positions looked up and pieces compared at a time
 _NORMAL = np.where(IS_SPACE, 32, LOWER).astype(np.uint8)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_FINDERS: dict[str, Finder] = {}
 _MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
@@ -124,6 +132,15 @@ class Finder:
         self.following = np.where(j + 1 < n, np.append(self.length[1:], 0), 0)
         ahead = np.minimum(AHEAD, n - 1 - j)
         self.ahead, self.until = ahead, (j + 1 + ahead) * size // n
+        raws = self.items
+        classes = 1 << np.maximum(np.log2(np.maximum(self.size, 1)).astype(int), 0)
+        self.walks = [
+            cgk.Walks(int(low), numbers, [raws[n] for n in numbers], edits)
+            for low in np.unique(classes) if low >= cgk.LEAST_SIZE for numbers in [np.flatnonzero(classes == low)]]
+        self.recall: list[float | None] = [None] * len(raws)
+        for walks in self.walks:
+            for n in walks.numbers:
+                self.recall[n] = walks.measured
         self.tables = []
         at, short = self.base[self.owner] + self.offset, np.minimum(self.length, 8)
         for n in np.unique(short):
@@ -168,24 +185,54 @@ class Finder:
     def find(self, texts: pa.Array) -> Iterator[tuple[int, int, int, int]]:
         """(row, item_id, distance, start) of every item in every text: the smallest distance, and where the compared part
         with it begins."""
+        for row, item, d, start, *_ in self.found(texts):
+            yield row, item, d, start
+
+    def found(self, texts: pa.Array) -> Iterator[tuple[int, int, int, int, bool, float | None]]:
+        """The same, whether the walks came upon it, and the recall measured for items of this length."""
         if not self.items:
             return
         for first, offsets, data in pieces(texts):
             data = _NORMAL[data]
-            words, found = _words(data), []
-            for at, seed in self._hits(words):
-                row = np.searchsorted(offsets, at, side="right") - 1
-                fits = at + self.length[seed] <= offsets[np.minimum(row + 1, len(offsets) - 1)]
-                at, seed, row = at[fits], seed[fits], row[fits]
-                near = self._likely(words, at, seed)
-                at, seed, row = at[near], seed[near], row[near]
-                item, begin = self.owner[seed], at - self.offset[seed]
-                lo, hi = begin - self.most[item], begin + self.size[item] + self.most[item]
-                found.append(_thinned(row, item, np.maximum(lo, offsets[row]), np.minimum(hi, offsets[row + 1]), at, seed))
-            if found:
-                for r, item, d, start in self._verified(data.tobytes(), *(np.concatenate(x) for x in zip(*found, strict=True))):
+            walked = list(self._walked(data, offsets))
+            parts = [*walked, *self._seeded(_words(data), offsets)]
+            by_walk = {(int(r), int(i)) for row, item, *_ in walked for r, i in zip(row, item, strict=True)}
+            if parts:
+                for r, item, d, start in self._verified(data.tobytes(), *(np.concatenate(x) for x in zip(*parts, strict=True))):
                     for i in self.ids[item]:
-                        yield first + r, i, d, start - int(offsets[r])
+                        yield first + r, i, d, start - int(offsets[r]), (r, item) in by_walk, self.recall[item]
+
+    def _around(self, row: np.ndarray, item: np.ndarray, begin: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The part of a text in which an item that begins at a place may lie."""
+        lo, hi = begin - self.most[item], begin + self.size[item] + self.most[item]
+        return np.maximum(lo, offsets[row]), np.minimum(hi, offsets[row + 1])
+
+    def _walked(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Candidates whose walks agree with those of windows that begin at fixed strides in each text."""
+        size = np.diff(offsets)
+        for walks in self.walks:
+            count = -(-size // walks.stride)
+            row = np.repeat(np.arange(len(size)), count)
+            start = offsets[row] + _counted(count) * walks.stride
+            windows, entries, _ = walks.candidates(data, start)
+            if len(windows):
+                row, owner = row[windows], walks.owner[entries]
+                item = walks.numbers[owner]
+                lo, hi = self._around(row, item, start[windows] - (entries - walks.first[owner]), offsets)
+                none = np.full(len(row), -1)
+                yield row, item, lo, hi, none, none
+
+    def _seeded(self, words: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Candidates around unchanged pieces of items."""
+        for at, seed in self._hits(words):
+            row = np.searchsorted(offsets, at, side="right") - 1
+            fits = at + self.length[seed] <= offsets[np.minimum(row + 1, len(offsets) - 1)]
+            at, seed, row = at[fits], seed[fits], row[fits]
+            near = self._likely(words, at, seed)
+            at, seed, row = at[near], seed[near], row[near]
+            item = self.owner[seed]
+            lo, hi = self._around(row, item, at - self.offset[seed], offsets)
+            yield _thinned(row, item, lo, hi, at, seed)
 
     def _verified(self, data: bytes, row: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray, at: np.ndarray, seed: np.ndarray):
         """(row, item, smallest distance, start) of the items with a near copy in their parts."""
@@ -223,26 +270,37 @@ def _parts(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     yield part
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
-    """(doc_id, item_id, distance, start) of benchmark items in the texts of ``docs``, byte positions."""
+def _finder(items: list[tuple[int, str]], edits: float) -> Finder:
+    """The finder of a part of the benchmark, kept by a worker until another part comes."""
+    name = hashlib.sha256(repr((items, edits)).encode()).hexdigest()
+    if name not in _FINDERS:
+        _FINDERS.clear()
+        _FINDERS[name] = Finder(items, edits)
+    return _FINDERS[name]
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, evidence: bool = False) -> DataFrame:
+    """(doc_id, item_id, distance, start) of benchmark items in the texts of ``docs``, byte positions. With ``evidence`` also ``by_walk``, whether
+    the sampled walks came upon it, and ``recall``, what was measured for the walks of items of that length in its part of the benchmark, null
+    where only the exact way looks."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.float64()]
+    names = ["doc_id", "item_id", "distance", "start", "by_walk", "recall"]
 
     def searched(items: list[tuple[int, str]]) -> DataFrame:
         def search(batches):
-            finder = None
             for batch in batches:
-                finder = finder or Finder(items, edits)
-                found = list(finder.find(batch.column("text")))
+                found = list(_finder(items, edits).found(batch.column("text")))
                 ids = batch.column("doc_id")
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array([f[0] for f in found], pa.int64())), *[pa.array([f[k] for f in found], pa.int64()) for k in (1, 2, 3)]],
-                    ["doc_id", "item_id", "distance", "start"])
+                    [ids.take(pa.array([f[0] for f in found], pa.int64())), *[pa.array([f[k + 1] for f in found], t) for k, t in enumerate(kinds)]], names)
 
-        return texts.mapInArrow(search, "doc_id long, item_id long, distance long, start long")
+        return texts.mapInArrow(search, "doc_id long, item_id long, distance long, start long, by_walk boolean, recall double")
 
     done, parts = [], _parts(benchmark)
     part = next(parts)
     for following in parts:  # a part at a time, so the driver never holds more than two
         done.append(stored(searched(part), "leaks"))
         part = following
-    return reduce(DataFrame.unionByName, done, searched(part))
+    found = reduce(DataFrame.unionByName, done, searched(part))
+    return found if evidence else found.drop("by_walk", "recall")

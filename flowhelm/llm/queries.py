@@ -88,7 +88,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op1_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items, or near copies of them, in all documents."""
-    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), evidence=True)
 
 
 @query()
