@@ -56,15 +56,24 @@ def _counted(n: np.ndarray) -> np.ndarray:
 
 def distance(item: bytes, text: bytes, most: int) -> int:
     """Edit distance of ``item`` to the best part of ``text``, or most + 1: one bit-parallel column per byte of text."""
-    if item in text:
-        return 0
+    return 0 if item in text else min(_best_end(item, text)[0], most + 1)
+
+
+def begin_of(item: bytes, text: bytes) -> int:
+    """Where the leftmost of the best parts begins: the last end of the best parts of the reversed text."""
+    at = text.find(item)
+    return at if at >= 0 else len(text) - _best_end(item[::-1], text[::-1])[1]
+
+
+def _best_end(item: bytes, text: bytes) -> tuple[int, int]:
+    """Edit distance of ``item`` to the best part of ``text``, and the last end of such a part."""
     n = len(item)
     full, top = (1 << n) - 1, 1 << (n - 1)
     match: dict[int, int] = {}
     for i, c in enumerate(item):
         match[c] = match.get(c, 0) | 1 << i
-    plus, minus, now, best = full, 0, n, n
-    for c in text:
+    plus, minus, now, best, end = full, 0, n, n, 0
+    for at, c in enumerate(text, 1):
         eq = match.get(c, 0)
         xv = eq | minus
         xh = (((eq & plus) + plus) ^ plus) | eq
@@ -74,12 +83,13 @@ def distance(item: bytes, text: bytes, most: int) -> int:
             now += 1
         elif mh & top:
             now -= 1
-            best = min(best, now)
+        if now <= best:
+            best, end = now, at
         ph = ph << 1 & full
         mh = mh << 1 & full
         plus = mh | ~(xv | ph) & full
         minus = ph & xv
-    return min(best, most + 1)
+    return best, end
 
 
 def _overlapping(row: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -183,8 +193,8 @@ class Finder:
         return same(back, length) & near
 
     def find(self, texts: pa.Array) -> Iterator[tuple[int, int, int, int]]:
-        """(row, item_id, distance, start) of every item in every text: the smallest distance, and where the compared part
-        with it begins."""
+        """(row, item_id, distance, start) of every item in every text: the smallest distance, and where the first part with it
+        begins."""
         for row, item, d, start, *_ in self.found(texts):
             yield row, item, d, start
 
@@ -246,7 +256,7 @@ class Finder:
             if known and any(s < 0 or self._goes_on(data, raw, p, s) for p, s in zip(at[a:b].tolist(), seed[a:b].tolist(), strict=True)):
                 d = distance(raw, data[begin:stop], most)
                 if d < known:
-                    best[key] = d, begin
+                    best[key] = d, begin + begin_of(raw, data[begin:stop])
         for (r, i), (d, start) in sorted(best.items()):
             yield r, i, d, start
 
