@@ -13,9 +13,9 @@ the smallest doc_id among them. The steps:
    their probes dealt over the copies;
 4. documents join with their own lost hashes and are cut.
 
-Null or empty texts are one empty line and stay as they are (null stays null). Null doc_ids count as one document behind
-all others; rows that repeat a doc_id are the same document, so their lines are not copies of each other. Ties don't
-exist: hashes are distinct and the smallest doc_id decides.
+Null or empty texts are one empty line and stay as they are (null stays null). Rows without a doc_id are
+documents of their own behind all others, in the order of their texts; rows that repeat a doc_id are the same document, so their lines are not copies of each other. Ties don't
+exist: hashes are distinct and the smallest doc_id decides. Columns of any name pass through, but `n_lines` and `n_dropped` are replaced.
 """
 
 from __future__ import annotations
@@ -26,12 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowhelm.llm import mph
+from flowhelm.llm.columns import put_back, set_aside
 from flowhelm.llm.text import IS_SPACE, LOWER, Spans, as_long, pieces
+from flowhelm.plans.ordered import number
 from flowhelm.session import stored
 
 KEYS_PER_SHARD = 250_000
 PROBES_PER_COPY = 2_000_000
-_NULL_ID = (1 << 63) - 1
+_NULL_ID = 1 << 62  # rows without an id are numbered behind this
 
 
 def _line_keys(data: np.ndarray, offsets: np.ndarray, least_chars: int):
@@ -147,10 +149,23 @@ def _lost(key: tuple, probes: pa.Table, shards: pa.Table) -> pa.Table:
     return pa.table([docs[begin], [raw[16 * a : 16 * b] for a, b in zip(begin, end, strict=True)]], schema=schema)
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_doc``, the document of a row: its id; rows without one are documents of their own, behind all others in the order of their
+    texts."""
+    missing = docs.where("doc_id IS NULL")
+    if missing.isEmpty():
+        return docs.withColumn("_doc", F.col("doc_id").cast("long"))
+    numbered = number(missing.withColumn("_row", F.monotonically_increasing_id()), ["text", "_row"], name="_doc").drop("_row")
+    own = numbered.withColumn("_doc", F.col("_doc") + F.lit(_NULL_ID))
+    return stored(docs.where("doc_id IS NOT NULL").withColumn("_doc", F.col("doc_id").cast("long")).unionByName(own), "named")
+
+
 def dedup_lines(docs: DataFrame, least_chars: int = 10, keys_per_shard: int = KEYS_PER_SHARD, probes_per_copy: int = PROBES_PER_COPY) -> DataFrame:
     """``docs`` with cut texts, and ``n_lines`` (before), ``n_dropped``."""
     spark = docs.sparkSession
-    identified = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("_doc"), F.col("text").cast("string").alias("text"))
+    outer, needed = docs.columns, ("doc_id", "text")
+    docs = _named(set_aside(docs, needed))
+    identified = docs.select("_doc", F.col("text").cast("string").alias("text"))
     keys = stored(repeated_keys(identified, least_chars), "line_keys")
     # Lines that count are at least ``least_chars`` bytes and a break, so this bounds both what a shard holds and what asks it.
     n_bytes = identified.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -182,8 +197,8 @@ def dedup_lines(docs: DataFrame, least_chars: int = 10, keys_per_shard: int = KE
         .withColumn("copy", F.explode(F.sequence(F.lit(0), (F.coalesce("copies", F.lit(1)) - 1).cast("int")))).drop("copies")
     lost = probes.groupBy("shard", "copy").cogroup(copied.groupBy("shard", "copy")).applyInArrow(_lost, "_doc long, lost binary")
     lost = lost.groupBy("_doc").agg(F.collect_list("lost").alias("_lost"))
-    joined = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID))).join(lost, "_doc", "left").drop("_doc")
-    names = docs.columns
+    joined = docs.join(lost, "_doc", "left").drop("_doc")
+    names = [c for c in docs.columns if c != "_doc"]
     text_at = names.index("text")
 
     def cut(batches):
@@ -209,10 +224,10 @@ def dedup_lines(docs: DataFrame, least_chars: int = 10, keys_per_shard: int = KE
             columns[text_at] = pa.array([f if h else t.as_py() for f, h, t in zip(fresh, has, text, strict=True)], pa.string()) if has.any() else text.cast(pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines), pa.array(n_dropped)], [*names, "_n_lines", "_n_dropped"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "_doc")
     done = joined.mapInArrow(cut, f"{kinds}, _n_lines long, _n_dropped long")
-    clash = [c for c in ("n_lines", "n_dropped") if c in names]
-    return done.drop(*clash).withColumnsRenamed({"_n_lines": "n_lines", "_n_dropped": "n_dropped"})
+    done = done.withColumnsRenamed({"_n_lines": "n_lines", "_n_dropped": "n_dropped"})
+    return put_back(done, outer, needed, ("n_lines", "n_dropped"))
 
 
 SQL = r"""

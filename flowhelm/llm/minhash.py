@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowhelm.llm.columns import KEY, with_row_keys
 from flowhelm.llm.text import LOWER, Spans, as_long, constants, mix, pieces, row_bounds, shingle_hashes, words
 from flowhelm.plans.lookup import is_small
 from flowhelm.session import stored
@@ -218,9 +219,25 @@ def _linked_in_tiles(placed: DataFrame, lead: DataFrame, sets: DataFrame, near:
 
 
 def near_components(docs: DataFrame, words_per_shingle: int = WORDS, near: int = NEAR, rows: int = ROWS_PER_BAND) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) per row of ``docs``."""
+    """(doc_id, n_shingles, component_id, kept) per row of ``docs``. Rows whose id is missing or repeated are documents of their own, in the
+    order of ids (missing ones last) and texts; the first of a component is kept, and its id, maybe missing, names the component."""
+    named, own = with_row_keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    if own:
+        return _near_components(named.drop(KEY), words_per_shingle, near, rows)
+    found = keyed_components(named, words_per_shingle, near, rows)
+    ids = named.select(KEY, "doc_id")
+    names = ids.toDF("_first", "component_id")
+    return found.join(ids, KEY).join(names, found["first"] == names["_first"]).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def keyed_components(named: DataFrame, words_per_shingle: int = WORDS, near: int = NEAR, rows: int = ROWS_PER_BAND) -> DataFrame:
+    """(KEY, n_shingles, first, kept) per row of a table with row keys; ``first`` is the smallest key of the component."""
+    texts = named.select(F.col(KEY).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return stored(_near_components(texts, words_per_shingle, near, rows), "keyed").withColumnsRenamed({"doc_id": KEY, "component_id": "first"})
+
+
+def _near_components(texts: DataFrame, words_per_shingle: int, near: int, rows: int) -> DataFrame:
     bands = bands_for(near / OF, rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = stored(signatures(texts, words_per_shingle, bands, rows), "signatures")
     full = signed.where("n_shingles > 0")
     classes = stored(full.groupBy("a", "b", "n_shingles").agg(F.min("doc_id").alias("m"), F.min_by("bands", F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("bands")), "classes")

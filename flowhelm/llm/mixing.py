@@ -13,9 +13,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowhelm.llm.columns import KEY, put_back, set_aside, with_row_keys
+from flowhelm.plans.lookup import is_small
 from flowhelm.plans.ordered import number, running_sums
 from flowhelm.session import stored
 
@@ -61,7 +63,8 @@ def plan(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), tilts: Sequence[
     A source takes whole passes over its documents, then those whose middle lies before the rest of its target; so it
     ends within half of its boundary document. ``cap`` passes at most keep every document below ``cap`` times its size.
     """
-    sized = stored(docs.select("doc_id", "source", words_of("text").alias("size")), "sizes")
+    key = [KEY] if KEY in docs.columns else []  # carried along for mix()
+    sized = stored(docs.select(*key, "doc_id", "source", words_of("text").alias("size")), "sizes")
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     cumulated = running_sums(
         sized.withColumns({"_h": order, "_last": F.col("source").isNull(), "_name": F.coalesce("source", F.lit(""))}),
@@ -69,7 +72,7 @@ def plan(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), tilts: Sequence[
     # The targets reach each row through their source; a few numbers per source, so the hot side isn't moved.
     targets = source_targets(sized, weights, tilts, share, cap, block).withColumns(
         {"_last": F.col("source").isNull(), "_name": F.coalesce("source", F.lit(""))}).drop("source")
-    rows = cumulated.join(targets, ["_last", "_name"])
+    rows = cumulated.join(F.broadcast(targets) if is_small(targets) else targets, ["_last", "_name"])
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     middle = F.col("_cum") - F.col("size") / 2
     left = F.col("target") - F.col("_passes") * F.col("source_size")
@@ -83,27 +86,17 @@ def plan(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), tilts: Sequence[
         return 2 * x / ((1 - F.col("tilt")) + F.sqrt(inside))
 
     return rows.withColumn("positions", F.transform(copies, at)) \
-        .select("doc_id", "source", "size", "source_size", "target", "copies", "positions")
+        .select(*key, "doc_id", "source", "size", "source_size", "target", "copies", "positions")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every copy of every taken document with all columns of ``docs``, range-sorted by training position.
-
-    Rows that share doc_id, source and size are numbered on both sides, so each keeps its own copies.
+    """The mix itself: every copy of every taken document with all columns of ``docs``, range-sorted by training position. Columns of any name pass
+    through; rows whose id is missing or repeated are told apart by a key of their own.
     """
-    placed = plan(docs, **options).where("copies > 0").select("doc_id", "source", "size", "copies", "positions")
-    keys = {"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "_size": F.col("size")}
-    # Equal keys have neighbouring ranks; their copies are pooled and dealt to any of the equal rows alike.
-    pooled = placed.withColumns(keys | {"_src": F.xxhash64(F.coalesce("source", F.lit("")))}) \
-        .groupBy("_id", "_src", "_size").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("_at"), F.count(F.lit(1)).alias("_same"))
-    rows = docs.withColumn("_size", words_of("text")).withColumns(
-        {"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "_src": F.xxhash64(F.coalesce("source", F.lit("")))})
-    joined = rows.join(pooled, ["_id", "_src", "_size"])
-    whole = joined.where("_same = 1").withColumn("_p", F.explode("_at"))
-    turn = F.row_number().over(Window.partitionBy("_id", "_src", "_size").orderBy("text")) - 1
-    shared = joined.where("_same > 1").withColumn("_turn", turn) \
-        .withColumn("_p", F.explode(F.filter("_at", lambda x, i: i % F.col("_same") == F.col("_turn")))).drop("_turn")
-    return whole.unionByName(shared).orderBy("_p", "_id").select(*docs.columns)
+    needed = ("doc_id", "source", "text")
+    named, _ = with_row_keys(set_aside(docs, needed))
+    placed = plan(named, **options).where("copies > 0").select(KEY, F.explode("positions").alias("_p"))
+    return put_back(named.join(placed, KEY).orderBy("_p", KEY), docs.columns, needed)
 
 
 SQL = r"""

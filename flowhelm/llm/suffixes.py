@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowhelm.llm.columns import KEY, with_row_keys
 from flowhelm.llm.text import Spans, as_long, mix, pieces
 from flowhelm.plans.lookup import is_small
-from flowhelm.plans.ordered import number
 from flowhelm.session import stored
 
 LENGTH = 100
@@ -151,12 +151,7 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
     if not gram < length:
         raise ValueError("a gram must be shorter than the windows")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    if plain.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
-        named = plain.withColumn("doc", F.col("doc_id"))
-    else:  # rows without a name of their own: number all rows in order
-        numbered = number(plain.withColumns({"_none": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0)), "_row": F.monotonically_increasing_id()}),
-                          ["_none", "_id", "text", "_row"], name="doc")
-        named = stored(numbered.select("doc_id", "text", "doc"), "numbered")
+    named = with_row_keys(plain)[0].withColumnRenamed(KEY, "doc")
     covered = covered_windows(named, length, gram)
     lists = stored(covered.groupBy("doc").agg(F.collect_list(F.struct("start", "more")).alias("cover")), "cover")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"

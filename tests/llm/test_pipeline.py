@@ -1,11 +1,12 @@
 """The pipeline's stages against brute force, each on what its predecessor kept."""
 
 import hashlib
+import random
 
 import brute
 import corpus_pipeline
 import duckdb
-from corpus import rows, sf_small  # noqa: F401
+from corpus import prose, rows, sf_small  # noqa: F401
 from pyspark.sql import functions as F
 
 from flowhelm.llm import lines, mixing
@@ -63,4 +64,27 @@ def test_registered_and_odd_rows(spark, sf_small, sf, tmp_path):
         assert stage(spark, none, sf).count() == 0
     odd = spark.createDataFrame([(None, "a b c d e f", "en", None, 11), (None, "a b c d e f", "en", None, 11), (7, "g h i j k l", None, "s", 11), (7, "g h i j k l", None, "s", 11)], "doc_id long, text string, lang string, source string, n_chars long")
     left = corpus_pipeline.drop_near_copies(spark, odd, sf).collect()
-    assert sorted(r.doc_id or 0 for r in left) == [0, 0, 7]
+    assert sorted(r.doc_id or 0 for r in left) == [0, 7]  # also of rows without an id one stays
+
+
+def test_null_and_repeated_ids_and_clashing_names(spark, sf, tmp_path):
+    """Leaks and near copies in rows without an id go, clean rows that share an id with them stay; columns of any name pass."""
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").first().text
+    rng = random.Random(1)
+    one, two, three = (prose(rng, 80) for _ in range(3))
+    rows = [(None, f"so {item} it is"), (1, f"and {item}"), (1, one), (None, two), (None, two + " more"), (None, three), (2, one)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _doc long, _lost string, _n_lines long, _at double, _size long, _turn int, _row_key long, _c0 string, n_lines long, size long"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), 5, "l", 6, 0.5, 7, 8, k, "c", 9, 10) for k, (i, t) in enumerate(rows)], schema)
+    folder = tmp_path / "tables"
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    left = stages["decontamination"](spark, docs, str(folder))
+    assert left.columns == docs.columns and sorted(r._row_key for r in left.collect()) == [2, 3, 4, 5, 6]
+    left = stages["minhash_near_dedup"](spark, left, str(folder))
+    assert left.columns == docs.columns and sorted(r._row_key for r in left.collect()) == [2, 3, 5]
+    cut = stages["line_dedup"](spark, docs, str(folder))
+    assert cut.columns == docs.columns and {r._row_key: (r._doc, r._lost, r._n_lines, r.n_lines) for r in cut.collect()} == {k: (5, "l", 6, 9) for k in range(7)}
+    mixed = stages["mixing"](spark, docs, str(folder))
+    assert mixed.columns == docs.columns and {(r._at, r._size, r.size) for r in mixed.collect()} == {(0.5, 7, 10)}
+    assert stages["toxicity"](spark, docs, str(folder)).columns == docs.columns
