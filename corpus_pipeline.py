@@ -1,51 +1,56 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and reread as the next one's documents.
 
-Every stage sees all that its predecessor kept, and all but the last keep the columns of the table. Null texts, null ids
-and repeated rows are handled as the operators say; a row without a doc_id is never rejected by a list of ids.
+Every stage sees all that its predecessor kept, and all but the last keep the columns of the table, whatever their names. Stages that reject
+rows decide by a key of every row: its doc_id, or where ids are missing or repeated, its number in the order of ids (missing ones
+last) and texts. Null and empty texts are no leaks, no copies and never toxic by their words; empty tables stay empty;
+long texts are worked on whole.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowhelm.llm import decontaminate, lines, minhash, mixing, toxicity
+from flowhelm.llm.columns import KEY, put_back, set_aside, with_row_keys
 from flowhelm.plans.lookup import keep_matching
 from flowhelm.session import prepare, stored
 
+NEEDED = ("doc_id", "text")
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return keep_matching(docs, stored(ids.select("doc_id").distinct(), "rejected"), "doc_id", "doc_id", "left_anti")
+def _without(named: DataFrame, gone: DataFrame, names: list[str]) -> DataFrame:
+    """Rows whose key isn't among those in ``gone``."""
+    left = keep_matching(named, stored(gone.select(KEY).distinct(), "rejected"), KEY, KEY, "left_anti")
+    return put_back(left, names, NEEDED)
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores below its threshold."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = toxicity.fit(docs, toxicity.training_rows(labels))
-    return toxicity.score(docs, model).where(F.col("toxicity") < toxicity.THRESHOLD).select(*docs.columns)
+    inner = set_aside(docs, NEEDED)
+    model = toxicity.fit(inner, toxicity.training_rows(labels))
+    return put_back(toxicity.score(inner, model).where(F.col("toxicity") < toxicity.THRESHOLD), docs.columns, NEEDED)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that an earlier one holds."""
-    cut = lines.dedup_lines(docs)
-    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    needed = (*NEEDED, "n_chars")
+    cut = lines.dedup_lines(set_aside(docs, needed))
+    return put_back(cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)), docs.columns, needed)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id; of repeated rows one."""
-    found = stored(minhash.near_components(docs), "components")
-    left = _without(docs, found.where("NOT kept AND doc_id IS NOT NULL AND component_id IS NOT NULL"))
-    twice = stored(docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated")
-    if twice.isEmpty():
-        return left
-    turn = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")]))
-    single = left.join(twice, "doc_id", "left_semi").withColumn("_turn", turn).where("_turn = 1").select(*docs.columns)
-    return left.join(twice, "doc_id", "left_anti").unionByName(single)
+    """Of each group of near copies the document with the smallest doc_id; of rows that share it, the first by text."""
+    named, _ = with_row_keys(set_aside(docs, NEEDED))
+    return _without(named, minhash.keyed_components(named).where("NOT kept"), docs.columns)
 
 
 def reject_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark items."""
-    return _without(docs, decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    named, _ = with_row_keys(set_aside(docs, NEEDED))
+    texts = named.select(F.col(KEY).alias("doc_id"), "text")
+    leaks = decontaminate.leaks(texts, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(named, leaks.withColumnRenamed("doc_id", KEY), docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
