@@ -1,9 +1,10 @@
 """Exact k-nearest-neighbour graph without all-pairs rows.
 
-Vectors are grouped around pivots, about the square root of their number. Each vector is first compared with
-its own group, which bounds how far its k-th neighbour can be; then only groups that the triangle inequality
-cannot exclude are searched. Searching happens on bounded tiles (some queries x some members) that return k rows
-per query.
+Vectors are placed in a metric tree: a node with more than ``LEAF_ROWS`` of them is split around pivots of its own, round by round, until
+every leaf is small or holds one vector many times over (of these the k + 1 smallest ids can be neighbours of anything).
+A vector is first compared with its leaf, which bounds how far its k-th neighbour can be; then it walks down the
+tree into the nodes that the triangle inequality cannot exclude and asks their leaves. The tree holds two numbers and a centre a node;
+it goes to the tasks in parts of at most ``PART_BYTES``.
 """
 
 from __future__ import annotations
@@ -17,14 +18,18 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowhelm.functions.scalar import seeded_hash
+from flowhelm.functions.scalar import seeded_hash, unit
+from flowhelm.plans.lookup import is_small
 from flowhelm.session import stored
 
 # The helpers travel with the tasks, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-TILE_ROWS = 512
-MAX_PIVOTS = 4096
+LEAF_ROWS = 1500
+FANOUT = 64
+QUERIES_PER_TASK = 4096
+MOST_LEVELS = 10
+PART_BYTES = 32 << 20
 
 
 def _matrix(s: pd.Series) -> np.ndarray:
@@ -67,60 +72,155 @@ def _search(k: int):
     return search
 
 
-def _tiled(asking: DataFrame, placed: DataFrame, sizes: dict[int, int], asked: dict[int, int], cells: int, tile_rows: int, k: int) -> DataFrame:
-    """(_id, neighbour, distance): every (_id, _v, _cell) of ``asking`` against the members of its cell, in tiles of
-    ``tile_rows`` queries x ``tile_rows`` members."""
-    m_tiles = F.get(F.lit([max(1, -(-sizes.get(c, 0) // tile_rows)) for c in range(cells)]), F.col("_cell"))
-    q_tiles = F.get(F.lit([max(1, -(-asked.get(c, 0) // tile_rows)) for c in range(cells)]), F.col("_cell"))
-    queries = asking.select("_id", "_v", "_cell", F.pmod(F.xxhash64("_id"), q_tiles).cast("int").alias("_q")).withColumn("_t", F.explode(F.sequence(F.lit(0), m_tiles - 1)))
-    members = placed.select("_id", "_v", "_cell", F.pmod(F.xxhash64("_id", F.lit(1)), m_tiles).cast("int").alias("_t")).withColumn("_q", F.explode(F.sequence(F.lit(0), q_tiles - 1)))
-    keys = ["_cell", "_t", "_q"]
-    return queries.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInPandas(_search(k), "_id long, neighbour long, distance double")
-
-
-def _counts(df: DataFrame) -> dict[int, int]:
-    return {r["_cell"]: r["n"] for r in df.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-
-
-def knn_graph(df: DataFrame, ident: str, vec: str, k: int = 5, tile_rows: int = TILE_ROWS, pivots: int | None = None) -> DataFrame:
+def _asked(asking: DataFrame, leaves: DataFrame, k: int) -> DataFrame:
+    """(_id, neighbour, distance): every (_id, _v, _node) of ``asking`` against the members of its leaf. A leaf that many ask goes to
+    several tasks, each with some of the queries."""
+    asks = stored(asking, "asking")
+    shares = asks.groupBy("_node").agg(F.ceil(F.count(F.lit(1)) / QUERIES_PER_TASK).cast("int").alias("_parts"))
+    shares = F.broadcast(shares) if is_small(shares) else shares
+    queries = asks.join(shares, "_node").withColumn("_q", F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int"))
+    members = leaves.join(shares, "_node").withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    keys = ["_node", "_q"]
+    return queries.select("_id", "_v", *keys).groupBy(*keys).cogroup(members.select("_id", "_v", *keys).groupBy(*keys)) \
+        .applyInPandas(_search(k), "_id long, neighbour long, distance double")
+
+
+class _Tree:
+    """Nodes by number: children (numbers, centres, radii) of inner ones, how many vectors each holds and how far they reach."""
+
+    def __init__(self, n: int):
+        self.size, self.radius = {0: n}, {0: np.inf}
+        self.children: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def open(self, leaf_rows: int) -> list[int]:
+        return sorted(n for n, size in self.size.items() if size > leaf_rows and self.radius[n] > 0 and n not in self.children)
+
+    def parts(self, nodes: list[int]) -> list[list[int]]:
+        """Inner nodes in groups whose centres fit ``PART_BYTES``."""
+        parts, size = [[]], 0
+        for n in nodes:
+            own = self.children[n][1].nbytes
+            if parts[-1] and size + own > PART_BYTES:
+                parts.append([])
+                size = 0
+            parts[-1].append(n)
+            size += own
+        return parts
+
+
+def _grown(placed: DataFrame, tree: _Tree, leaf_rows: int, level: int, fanout: int) -> DataFrame:
+    """One round: every open node gets pivots among its vectors and deals them out."""
+    spark, nodes = placed.sparkSession, tree.open(leaf_rows)
+    wanted = {n: max(2, min(fanout, math.ceil(1.5 * tree.size[n] / leaf_rows))) for n in nodes}
+    rates = spark.createDataFrame([(n, min(1.0, 8.0 * wanted[n] / tree.size[n]), wanted[n]) for n in nodes], "_node long, _rate double, _wanted int")
+    drawn = placed.join(F.broadcast(rates), "_node").withColumn("_h", seeded_hash("_id", f"pivot{level}")).where(unit("_h") <= F.col("_rate"))
+    turn = F.row_number().over(Window.partitionBy("_node").orderBy("_h"))
+    heads: dict[int, list] = {}
+    for r in drawn.withColumn("_turn", turn).where("_turn <= _wanted").select("_node", "_v").toLocalIterator():
+        heads.setdefault(r["_node"], []).append(r["_v"])
+    for n, centres in heads.items():
+        tree.children[n] = (n * FANOUT + 1 + np.arange(len(centres)), np.array(centres, dtype=float), np.zeros(len(centres)))
+    done = None
+    parts = tree.parts(sorted(heads))
+    for part in parts:
+        shared = spark.sparkContext.broadcast({n: tree.children[n][:2] for n in part})
+        rows = placed.where(F.col("_node").isin(part)) if len(parts) > 1 else placed
+
+        def assign(batches, shared=shared):
+            for pdf in batches:
+                node, reach = pdf["_node"].to_numpy().copy(), pdf["_r"].to_numpy().copy()
+                for n in np.unique(node):
+                    if n in shared.value:
+                        numbers, centres = shared.value[n]
+                        rows = np.flatnonzero(pdf["_node"].to_numpy() == n)
+                        a = _matrix(pdf["_v"].iloc[rows])
+                        cell = _squares(a, centres)[0].argmin(axis=1)
+                        node[rows], reach[rows] = numbers[cell], np.sqrt(((a - centres[cell]) ** 2).sum(axis=1))
+                yield pdf.assign(_node=node, _r=reach)
+
+        dealt = rows.mapInPandas(assign, "_id long, _v array<double>, _node long, _r double")
+        done = dealt if done is None else done.unionByName(dealt)
+    if len(parts) > 1:
+        done = done.unionByName(placed.where(~F.col("_node").isin(sorted(heads))))
+    placed = stored(done, "placed")
+    found = {r["_node"]: r for r in placed.groupBy("_node").agg(F.max("_r").alias("radius"), F.count(F.lit(1)).alias("n")).collect()}
+    for n in heads:
+        numbers, centres, radii = tree.children[n]
+        there = np.array([c in found for c in numbers])
+        tree.children[n] = numbers[there], centres[there], np.array([found[c]["radius"] for c in numbers[there]])
+        for c in numbers[there]:
+            tree.size[int(c)], tree.radius[int(c)] = found[c]["n"], found[c]["radius"]
+    return placed
+
+
+def _reaching(bounded: DataFrame, tree: _Tree) -> DataFrame:
+    """(_id, _v, _node): queries and the leaves other than their own that may hold something nearer than their ``_bound``."""
+    parts = tree.parts(sorted(tree.children)) if tree.children else []
+    out = bounded.select("_id", "_v", "_node").limit(0)
+    inner = bounded.sparkSession.sparkContext.broadcast(set(tree.children))
+    for part in parts:
+        # A part knows the nodes above it, so every query finds its way from the root; leaves are given out by the part of their parent.
+        above = {a for n in part for a in _ancestors(n)}
+        shared = bounded.sparkSession.sparkContext.broadcast(({n: tree.children[n] for n in {*part, *above}}, set(part)))
+
+        def walk(batches, shared=shared):
+            children, own = shared.value
+            for pdf in batches:
+                v, bound, home = _matrix(pdf["_v"]), pdf["_bound"].fillna(np.inf).to_numpy(), pdf["_node"].to_numpy()
+                rows, leaves = [], []
+                stack = [(0, np.arange(len(pdf)))]
+                while stack:
+                    node, some = stack.pop()
+                    numbers, centres, radii = children[node]
+                    rough, slack = _squares(v[some], centres)
+                    least = np.sqrt(rough) - np.sqrt(slack)[:, None] - radii  # no more than the distance to anything inside
+                    near = least <= bound[some, None] + 1e-9
+                    for j, child in enumerate(numbers):
+                        there = some[near[:, j]]
+                        if len(there) and int(child) in children:
+                            stack.append((int(child), there))
+                        elif len(there) and node in own and int(child) not in inner.value:
+                            there = there[home[there] != child]
+                            rows.append(there)
+                            leaves.append(np.full(len(there), child))
+                if rows:
+                    at = np.concatenate(rows)
+                    yield pd.DataFrame({"_id": pdf["_id"].to_numpy()[at], "_v": pdf["_v"].to_numpy()[at], "_node": np.concatenate(leaves)})
+
+        out = out.unionByName(bounded.select("_id", "_v", "_node", "_bound").mapInPandas(walk, "_id long, _v array<double>, _node long"))
+    return out
+
+
+def _ancestors(node: int) -> list[int]:
+    above = []
+    while node:
+        node = (node - 1) // FANOUT
+        above.append(node)
+    return above
+
+
+def knn_graph(df: DataFrame, ident: str, vec: str, k: int = 5, leaf_rows: int = LEAF_ROWS, fanout: int = FANOUT) -> DataFrame:
     """(id, rank, neighbour, distance): the k Euclidean neighbours of every vector, itself excluded;
     ties by id. NaN and infinities count as 0."""
     clean = F.transform(F.col(vec).cast("array<double>"), lambda x: F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(x))
-    data = df.select(F.col(ident).cast("long").alias("_id"), clean.alias("_v"))
-    n = data.count()
-    m = pivots or max(1, min(MAX_PIVOTS, math.isqrt(n) // 2))
-    heads = data.withColumn("_h", seeded_hash("_id", "pivot")).orderBy("_h").limit(m).select("_v").collect()
-    m = max(1, len(heads))
-    spark = df.sparkSession
-    centres = spark.sparkContext.broadcast(np.array([r["_v"] for r in heads], dtype=float))
-
-    def assign(batches):
-        for pdf in batches:
-            a = _matrix(pdf["_v"])
-            cell = _squares(a, centres.value)[0].argmin(axis=1)
-            yield pdf.assign(_cell=cell.astype("int32"), _r=np.sqrt(((a - centres.value[cell]) ** 2).sum(axis=1)))
-
-    placed = stored(data.mapInPandas(assign, "_id long, _v array<double>, _cell int, _r double"), "placed")
-    stats = placed.groupBy("_cell").agg(F.max("_r").alias("radius"), F.count(F.lit(1)).alias("n")).collect()
-    radius, sizes = np.full(m, -np.inf), {r["_cell"]: r["n"] for r in stats}
-    for r in stats:
-        radius[r["_cell"]] = r["radius"]
-    own = stored(_tiled(placed, placed, sizes, sizes, m, tile_rows, k), "near")
+    placed = stored(df.select(F.col(ident).cast("long").alias("_id"), clean.alias("_v")).withColumns({"_node": F.lit(0).cast("long"), "_r": F.lit(float("inf"))}), "placed")
+    tree, level = _Tree(placed.count()), 0
+    while tree.open(leaf_rows) and level < MOST_LEVELS:
+        placed = _grown(placed, tree, leaf_rows, level, min(fanout, FANOUT))
+        level += 1
+    # Leaves of equal vectors: whoever asks gets the smallest ids, and no more than k + 1 of them.
+    equal = [n for n, size in tree.size.items() if size > k + 1 and tree.radius[n] == 0 and n not in tree.children]
+    leaves = placed
+    if equal:
+        w = Window.partitionBy("_node").orderBy("_id")
+        marks = F.broadcast(placed.sparkSession.createDataFrame([(n,) for n in equal], "_node long"))
+        first = placed.join(marks, "_node", "left_semi").withColumn("_turn", F.row_number().over(w)).where(F.col("_turn") <= k + 1).drop("_turn")
+        leaves = stored(placed.join(marks, "_node", "left_anti").unionByName(first), "leaves")
+    own = stored(_asked(placed, leaves, k), "near")
     w = Window.partitionBy("_id").orderBy("distance", "neighbour")
     best = own.withColumn("rank", F.row_number().over(w)).where(F.col("rank") == k).select("_id", F.col("distance").alias("_bound"))
-    reached = spark.sparkContext.broadcast(radius)
-
-    def reach(batches):
-        radius = reached.value
-        for pdf in batches:
-            rough, slack = _squares(_matrix(pdf["_v"]), centres.value)
-            d = np.sqrt(rough) - np.sqrt(slack)[:, None]  # no more than the distance to the pivot
-            bound = pdf["_bound"].fillna(np.inf).to_numpy()
-            near = (d - radius[None, :] <= bound[:, None] + 1e-9) & (radius[None, :] > -np.inf)
-            near[np.arange(len(pdf)), pdf["_cell"]] = False
-            yield pdf.assign(_cells=[np.flatnonzero(x).astype("int32") for x in near])[["_id", "_v", "_cells"]]
-
-    bounded = placed.select("_id", "_v", "_cell").join(best, "_id", "left")
-    asking = stored(bounded.mapInPandas(reach, "_id long, _v array<double>, _cells array<int>").select("_id", "_v", F.explode("_cells").alias("_cell")), "asking")
-    found = own.unionByName(_tiled(asking, placed, sizes, _counts(asking), m, tile_rows, k))
+    found = own
+    if tree.children:
+        bounded = placed.select("_id", "_v", "_node").join(best, "_id", "left")
+        found = own.unionByName(_asked(_reaching(bounded, tree), leaves, k))
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("_id").alias(ident), "rank", "neighbour", "distance")

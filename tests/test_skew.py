@@ -83,3 +83,25 @@ def test_weighted_sample_prefers_heavy_nodes_and_handles_zero(spark):
     n = spark.range(100).select(F.concat(F.lit("n"), "id").alias("id"), F.when(F.col("id") < 5, 1000.0).otherwise(0.0).alias("importance"))
     got = {r["id"] for r in S.sample_nodes_weighted(n, 8).collect()}
     assert len(got) == 8 and {f"n{i}" for i in range(5)} <= got
+
+
+@pytest.mark.parametrize("leaf,part", [(30, 32 << 20), (12, 600)])
+def test_knn_tree_of_bounded_leaves(spark, monkeypatch, leaf, part):
+    """Several levels, trees that go out in parts, clusters of many equal vectors: as comparing everything finds them."""
+    import numpy as np
+
+    from flowhelm.operators import knn
+
+    monkeypatch.setattr(knn, "PART_BYTES", part)
+    monkeypatch.setattr(knn, "QUERIES_PER_TASK", 50)
+    rng = np.random.default_rng(5)
+    v = np.concatenate([rng.normal(c, 0.05, (60, 3)) for c in rng.normal(0, 3, (7, 3))] + [np.zeros((90, 3)), np.ones((4, 3))]).round(3)
+    ids = rng.permutation(len(v))
+    df = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v)], "id long, v array<double>").repartition(5)
+    got = {(r.id, r.rank): (r.neighbour, r.distance) for r in knn.knn_graph(df, "id", "v", 5, leaf, 4).collect()}
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    for a in range(len(v)):
+        order = sorted(range(len(v)), key=lambda b: (d[a, b], ids[b]))[:5]
+        assert [got[int(ids[a]), r + 1][0] for r in range(5)] == [int(ids[b]) for b in order]
+    assert len(got) == 5 * len(v)
