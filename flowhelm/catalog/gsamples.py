@@ -189,3 +189,42 @@ def _(spark, sf):
 @query("seed_batches", "SELECT id, (row_number() OVER (ORDER BY md5(concat(id,'|sb'))) - 1) // 32 AS batch FROM node", "node edge")
 def _(spark, sf):
     return S.seed_batches(V.node(spark, sf), 32, "sb")
+
+
+_ROUNDS, _MEMORY = 3, 60
+
+
+def _round_sql(r: int) -> str:
+    """Views of one call on a third of the time range: importance, picked nodes, walks, important memory nodes, ids, and the next memory."""
+    here, seed = f"t_us >= lo + {r}*step AND t_us < lo + {r + 1}*step", f"ls{r}"
+    return f"""ed{r} AS MATERIALIZED (SELECT edge.* FROM edge, thirds WHERE {here}),
+    im{r} AS MATERIALIZED (SELECT id, count(*)/sum(count(*)) OVER ()::DOUBLE AS importance FROM (SELECT src AS id FROM ed{r} UNION ALL SELECT dst FROM ed{r}) GROUP BY id),
+    {_pick(f'p{r}', f'im{r}', 30, seed)}, st{r} AS MATERIALIZED (SELECT id FROM p{r} ORDER BY md5(concat(id,'|{seed}w')) LIMIT 5),
+    ad{r} AS MATERIALIZED (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS pos, count(*) OVER (PARTITION BY src) AS deg FROM (SELECT DISTINCT src, dst FROM ed{r})),
+    wk{r} AS (SELECT id AS walk, 0 AS step, id FROM st{r} UNION ALL SELECT walk, CAST(wk{r}.step+1 AS INT), dst FROM wk{r} JOIN ad{r} ON src = wk{r}.id
+      AND pos = CAST('0x'||substr(md5(concat(walk,'|{seed}|',wk{r}.step+1)),1,8) AS BIGINT) % deg + 1 WHERE wk{r}.step < 3),
+    id{r} AS MATERIALIZED (SELECT id FROM p{r} UNION SELECT id FROM wk{r} UNION SELECT id FROM mm{r} WHERE importance >= (SELECT quantile_cont(importance, 0.75) FROM mm{r})),
+    nx{r} AS MATERIALIZED (SELECT id, coalesce(n.imp, m.importance) AS importance, CASE WHEN n.imp IS NOT NULL THEN {r} ELSE m.last_access END AS last_access
+      FROM mm{r} m FULL JOIN (SELECT id, coalesce(importance, 0) AS imp FROM id{r} LEFT JOIN im{r} USING (id)) n USING (id)),
+    mm{r + 1} AS MATERIALIZED (SELECT * FROM nx{r} ORDER BY last_access DESC, id LIMIT {_MEMORY})"""
+
+
+_LIVING = f"""WITH RECURSIVE thirds AS (SELECT min(t_us) AS lo, (max(t_us)-min(t_us))//{_ROUNDS} + 1 AS step FROM edge),
+    mm0 AS (SELECT '' AS id, 0.0::DOUBLE AS importance, 0 AS last_access FROM edge LIMIT 0), {', '.join(_round_sql(r) for r in range(_ROUNDS))} """ + " UNION ALL ".join(
+    f"""SELECT {r} AS round, id, id IN (SELECT id FROM mm{r}) AS hit, round(coalesce(feat[1], 0),6)+0.0 AS first_feature, (SELECT count(*) FROM ed{r} WHERE src IN (SELECT id FROM id{r}) AND dst IN (SELECT id FROM id{r})) AS n_edges,
+    (SELECT count(*) FROM nx{r}) - (SELECT count(*) FROM mm{r + 1}) AS evicted FROM id{r} LEFT JOIN node USING (id)""" for r in range(_ROUNDS))
+
+
+@query("memory_sampler", _LIVING, "edge node")
+def _(spark, sf):
+    """Three calls of a sampler on the thirds of the time range; its memory passes from one to the next and forgets."""
+    e, nodes = _e(spark, sf), V.node(spark, sf)
+    lo, hi = e.agg(F.min("t_us"), F.max("t_us")).first()
+    step = (hi - lo) // _ROUNDS + 1
+    sampler = S.MemorySampler(nodes, len(nodes.first()["feat"]), _MEMORY)
+    out = None
+    for r in range(_ROUNDS):
+        got = sampler.sample(e, lambda cut, memory, r=r: S.graphsaint_nodes(cut, 30, 5, 3, memory, f"ls{r}"), (lo + r * step, lo + (r + 1) * step - 1))
+        rows = got.nodes.select(F.lit(r).alias("round"), "id", "hit", r6(F.get("feat", 0)).alias("first_feature"), F.lit(got.edges.count()).alias("n_edges"), F.lit(got.evicted).cast("long").alias("evicted"))
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -6,13 +6,14 @@ it with the edges level by level and cut the lineage in the shared checkpoint fo
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowhelm.functions.scalar import seeded_hash, unit
-from flowhelm.operators.graph import degrees
+from flowhelm.operators.graph import degrees, node_features
 from flowhelm.plans.lookup import keep_matching, with_both_ends
 from flowhelm.plans.ordered import ROWS_PER_BLOCK, TOP_K_ROWS, hash_number, number, top_rows
 from flowhelm.plans.ranks import interpolated, order_statistics, ranks_around
@@ -93,6 +94,43 @@ def graphsaint(edges: DataFrame, size: int, num_walks: int, walk_length: int, me
     return induced_subgraph(edges, graphsaint_nodes(edges, size, num_walks, walk_length, memory, seed))
 
 
+@dataclass(frozen=True)
+class Sample:
+    """One call of a sampler: nodes (id, feat, hit), the edges among them, and what happened to the memory."""
+
+    nodes: DataFrame
+    edges: DataFrame
+    hits: int
+    misses: int
+    evicted: int
+
+
+class MemorySampler:
+    """Sampling whose memory lives from call to call. Each call samples in a time window, remembers what it met with its importance there, and
+    forgets the nodes met longest ago beyond ``memory_size``; later calls draw on the important ones. The memory is a stored table,
+    replaced by the next one; nodes come with their features, zeros when unknown."""
+
+    def __init__(self, nodes: DataFrame, dim: int, memory_size: int = 1000):
+        self.nodes, self.dim, self.memory_size, self.calls = nodes, dim, memory_size, 0
+        ident = nodes.schema["id"].dataType.simpleString()
+        self.memory = nodes.sparkSession.createDataFrame([], f"id {ident}, importance double, last_access long, access_count long")
+        self.remembered = 0
+
+    def sample(self, edges: DataFrame, choose: Callable[[DataFrame, DataFrame | None], DataFrame], window: tuple[int, int] | None = None) -> Sample:
+        """``choose`` gives the ids from the window's edges and the memory (none in the first call), for instance :func:`graphsaint_nodes`."""
+        cut = edges if window is None else edges.where(F.col("t_us").between(*window))
+        ids = stored(choose(cut, self.memory if self.remembered else None).select("id").distinct(), "ids")
+        known = self.memory.select("id", F.lit(True).alias("hit"))
+        marked = stored(ids.join(known, "id", "left").withColumn("hit", F.coalesce("hit", F.lit(False))), "marked")
+        hits, sampled = marked.agg(F.count_if("hit"), F.count(F.lit(1))).first()
+        met = ids.join(node_importance(cut).select("id", "importance"), "id", "left").withColumn("importance", F.coalesce("importance", F.lit(0.0)))
+        self.memory = stored(memory_update(self.memory, met, self.calls, self.memory_size), "memory")
+        self.calls += 1
+        before, self.remembered = self.remembered, self.memory.count()
+        nodes = node_features(ids, self.nodes, self.dim).join(marked, "id")
+        return Sample(nodes, induced_subgraph(cut, ids), hits, sampled - hits, before + sampled - hits - self.remembered)
+
+
 def both_directions(edges: DataFrame) -> DataFrame:
     """Neighbour rows (id, nbr) of the distinct pairs, predecessors and successors."""
     pairs = edges.select("src", "dst").distinct()

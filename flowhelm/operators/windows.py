@@ -8,6 +8,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -101,7 +103,8 @@ def burst_flag(g: DataFrame, stats: dict, rows_per_block: int = ROWS_PER_BLOCK)
 def autocorrelation(g: DataFrame, order: Sequence[str], stats: dict, rows_per_block: int = ROWS_PER_BLOCK, max_lag: int = MAX_LAG) -> DataFrame:
     """(lag, r) of the gap series for lags up to min(n // 3, max_lag), the longest period looked for.
 
-    One window pass over row blocks gives all lagged values; only ``lag`` sums leave the tasks.
+    The series is cut into blocks of consecutive rows with the rows before them that the longest lag reaches; a block's sums for
+    all lags come from one product of Fourier transforms (overlap-save), and only these sums leave the tasks.
     """
     lags = min(stats["n"] // 3, max_lag)
     spark = g.sparkSession
@@ -109,11 +112,16 @@ def autocorrelation(g: DataFrame, order: Sequence[str], stats: dict, rows_per_bl
         return spark.createDataFrame([], "lag int, r double")
     series = number(g.select(*order, "gap"), order, name="_rn", rows_per_block=rows_per_block)
     cut = row_halo(series.select("_rn", (F.col("gap") - F.lit(stats["mean"])).alias("_x")), "_rn", lags, 0, min(rows_per_block, HALO_ROWS))
-    w = Window.partitionBy("_blk").orderBy("_rn")
-    past = F.collect_list("_x").over(w.rowsBetween(-lags, 0))
-    # Reversed, element ``lag`` is the value ``lag`` rows back; products meet in map-side partial sums.
-    lagged = cut.withColumn("_past", F.reverse(past)).where("_own").select("_x", F.posexplode("_past").alias("lag", "_y"))
-    sums = lagged.where("lag > 0").groupBy("lag").agg(F.sum(F.col("_x") * F.col("_y")).alias("s"))
+
+    def lag_sums(block: pa.Table) -> pa.Table:
+        at, x, own = (block.column(c).to_numpy(zero_copy_only=False) for c in ("_rn", "_x", "_own"))
+        line = np.argsort(at, kind="stable")
+        x, own = x[line], own[line].astype(bool)
+        size = 1 << int(len(x) + lags - 1).bit_length()  # room for the longest lag, so that nothing wraps around
+        products = np.fft.irfft(np.fft.rfft(np.where(own, x, 0.0), size) * np.conj(np.fft.rfft(x, size)), size)
+        return pa.table({"lag": np.arange(1, lags + 1, dtype=np.int32), "s": products[1 : lags + 1]})
+
+    sums = cut.groupBy("_blk").applyInArrow(lag_sums, "lag int, s double").groupBy("lag").agg(F.sum("s").alias("s"))
     return sums.select("lag", (F.col("s") / ((F.lit(stats["n"]) - F.col("lag")) * F.lit(stats["std"] ** 2))).alias("r"))
 
 

@@ -168,3 +168,17 @@ def test_eighty_columns_in_one_scan(spark, tmp_path):
     nan = S.corr_matrix(spark.createDataFrame([(1.0, 2.0, 1.0), (2.0, float("nan"), None), (3.0, 5.0, 4.0)], "a double, b double, c double"), ["a", "b", "c"])
     found = {(r.a, r.b): r["corr"] for r in nan.collect()}
     assert found["a", "b"] != found["a", "b"] and found["a", "c"] == pytest.approx(1.0) and found["b", "c"] == pytest.approx(1.0)
+
+
+def test_thousands_of_lags(spark):
+    """Blocks far shorter and longer than the longest lag, against numpy."""
+    import numpy as np
+
+    x = np.random.default_rng(2).gamma(2.0, 3.0, 15_100).round(6)
+    g = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "id long, gap double").repartition(6)
+    stats = W.gap_statistics(g)
+    y = x - x.mean()
+    want = np.correlate(y, y, "full")[len(y) :][:5000] / ((len(y) - np.arange(1, 5001)) * x.std() ** 2)
+    for block in (700, 6000, 2_000_000):
+        got = {r.lag: r.r for r in W.autocorrelation(g, ["id"], stats, block, max_lag=5000).collect()}
+        assert len(got) == 5000 and np.allclose([got[k] for k in range(1, 5001)], want, atol=1e-9)
