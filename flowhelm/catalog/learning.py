@@ -75,18 +75,22 @@ def _(spark, sf):
 TRIALS = [{"encoding": e, "hops": h} | model for e in ("cosine", "fourier") for h in (1, 2) for model in ({"reg": 0.01}, {"kind": "mlp", "hidden": 12})]
 
 
-@query("model_search", "SELECT unnest(range(8))::INT AS trial, unnest(['cosine','cosine','cosine','cosine','fourier','fourier','fourier','fourier']) AS encoding, unnest([1,1,2,2,1,1,2,2])::INT AS hops, unnest(['logistic','mlp','logistic','mlp','logistic','mlp','logistic','mlp']) AS kind, true AS valid")
-def _(spark, sf):
-    """Model kind, hidden width, time encoding and hops of the features tried on one split."""
-    found = M.model_search(lambda e, h: _rows(spark, sf, e, h), _split(spark, sf), TRIALS, 10)
-    return found.select("trial", "encoding", "hops", "kind", F.col("value").between(0, 1).alias("valid"))
-
-
 _TEST = """WITH cc AS (SELECT label, count(*) AS c, sum(count(*)) OVER () AS n FROM node GROUP BY label), sh AS (SELECT label, c, CAST(ceil(n*0.2) AS BIGINT) AS total, c*CAST(ceil(n*0.2) AS BIGINT)/n::DOUBLE AS share FROM cc),
     qq AS (SELECT label, floor(share) + CASE WHEN row_number() OVER (ORDER BY share-floor(share) DESC, c DESC, label::VARCHAR) <= total - sum(floor(share)) OVER () THEN 1 ELSE 0 END AS quota FROM sh),
     ts AS (SELECT id, f.label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(concat(id,'|','ml'))) AS rk FROM node) f JOIN qq USING (label) WHERE rk <= quota)"""
 
 
+@query("model_search", _TEST + """, tr AS (SELECT unnest(range(8))::INT AS trial, unnest(['cosine','cosine','cosine','cosine','fourier','fourier','fourier','fourier']) AS encoding, unnest([1,1,2,2,1,1,2,2])::INT AS hops, unnest(['logistic','mlp','logistic','mlp','logistic','mlp','logistic','mlp']) AS kind)
+    SELECT tr.*, (SELECT count(*) FROM ts) AS tested, true AS whole FROM tr""", "node")
+def _(spark, sf):
+    """Model kind, hidden width, time encoding and hops of the features tried on one split: each value is a share of all its test rows."""
+    split = _split(spark, sf)
+    tested = split.where("split = 'test'").count()
+    found = M.model_search(lambda e, h: _rows(spark, sf, e, h), split, TRIALS, 10)
+    hits = F.col("value") * tested
+    return found.select("trial", "encoding", "hops", "kind", F.lit(tested).cast("long").alias("tested"), ((F.abs(hits - F.round(hits)) < 1e-6) & hits.between(0, tested)).alias("whole"))
+
+
 def _checked(predicted):
     """Probabilities that add up to 1 and a prediction that has the largest."""
     total = F.aggregate("probs", F.lit(0.0), lambda a, p: a + p)

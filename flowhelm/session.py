@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -69,15 +70,28 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Remove what :func:`stored` has written so far; call it when the results built on it are written."""
+def _remove(spark: SparkSession, paths: list[str]) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    while _STORED:
-        path = hadoop(_STORED.pop())
+    for name in paths:
+        path = hadoop(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _STORED.remove(name)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove what :func:`stored` has written so far; call it when the results built on it are written."""
+    _remove(spark, list(_STORED))
+
+
+def store_result(result: Callable[[], DataFrame], name: str, spark: SparkSession, done: Sequence[str] = ()) -> tuple[DataFrame, str]:
+    """Work out ``result`` and store it; the tables that were stored on the way go, and those at the paths ``done``. The table and its path."""
+    before = set(_STORED)
+    table = stored(result(), name)
+    kept = _STORED[-1]
+    _remove(spark, [p for p in _STORED if (p not in before and p != kept) or p in done])
+    return table, kept
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: later steps restart from shared storage, also after executor loss."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The table behind reliable storage: later steps restart from there, also after executor loss, and read only the columns they need."""
+    return stored(df, "cut")
