@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from flowhelm.llm import decontaminate, lines, minhash, mixing, toxicity
 from flowhelm.llm.columns import KEY, put_back, set_aside, with_row_keys
 from flowhelm.plans.lookup import keep_matching
-from flowhelm.session import prepare, stored
+from flowhelm.session import prepare, store_result, stored
 
 NEEDED = ("doc_id", "text")
 
@@ -78,7 +78,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The mix. Each stage's table goes when the next one is written, so only the last one stays in the shared folder."""
+    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs, path = store_result(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name, spark, [path] if path else [])
     return docs
