@@ -88,3 +88,18 @@ def test_null_and_repeated_ids_and_clashing_names(spark, sf, tmp_path):
     mixed = stages["mixing"](spark, docs, str(folder))
     assert mixed.columns == docs.columns and {(r._at, r._size, r.size) for r in mixed.collect()} == {(0.5, 7, 10)}
     assert stages["toxicity"](spark, docs, str(folder)).columns == docs.columns
+
+
+def test_a_run_leaves_one_table(spark, sf):
+    import os
+
+    from flowhelm import session
+
+    release(spark)
+    folder = session.shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    result = corpus_pipeline.run(spark, sf)
+    new = {x for x in set(os.listdir(folder)) - before if not x.startswith(".")}
+    assert len(new) == 1 and next(iter(new)).startswith("mixing-") and result.count() > 0
+    release(spark)
+    assert set(os.listdir(folder)) - before == set()
