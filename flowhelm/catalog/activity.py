@@ -122,7 +122,11 @@ def _(spark, sf):
     return _ms(W.generate_windows(spark, W.analyse(f, ORDER)[1], *W.span(f), max_windows=100))
 
 
-@query("windows_per_scale", "SELECT scale, CAST(sum(n) AS BIGINT) AS n_windows FROM winn GROUP BY scale", "winn")
+_PER_SCALE = "SELECT scale, CAST(sum(n) AS BIGINT) AS n_windows FROM winn GROUP BY scale"
+
+
+@query("windows_per_scale_all_scales", _PER_SCALE, "winn")
+@query("windows_per_scale", _PER_SCALE, "winn")
 def _(spark, sf):
     return W.windows_per_scale(adaptive_windows(spark, sf))
 
@@ -175,10 +179,14 @@ def _window_counts(joined):
     return joined.groupBy("scale", F.round("size_s", 3).alias("size_s"), F.floor(F.col("start_us") / 1000).alias("start_ms")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("bytes")).alias("mean_bytes"))
 
 
-@query("events_in_windows", """WITH spot AS (SELECT *, CAST(floor((t_us - t0::DOUBLE)/step) AS BIGINT) AS i FROM flow, winn),
+_IN_WINDOWS = """WITH spot AS (SELECT *, CAST(floor((t_us - t0::DOUBLE)/step) AS BIGINT) AS i FROM flow, winn),
     near AS (SELECT *, t0::DOUBLE + k*step AS start_us, CASE WHEN k = n-1 THEN stop ELSE t0::DOUBLE + k*step + step END AS end_us FROM (SELECT *, unnest([least(i,n-1)-1, least(i,n-1), least(i+1,n-1)+CASE WHEN i >= n-1 THEN n ELSE 0 END]) AS k FROM spot) WHERE k BETWEEN 0 AND n-1)
     SELECT scale, round(size_s,3) AS size_s, CAST(floor(start_us/1000) AS BIGINT) AS start_ms, count(*) AS n, round(avg(bytes),6)+0.0 AS mean_bytes FROM near
-    WHERE t_us >= start_us AND (t_us < end_us OR (t_us = end_us AND end_us = stop)) GROUP BY ALL""", "flow winn")
+    WHERE t_us >= start_us AND (t_us < end_us OR (t_us = end_us AND end_us = stop)) GROUP BY ALL"""
+
+
+@query("events_in_windows_all_scales", _IN_WINDOWS, "flow winn")
+@query("events_in_windows", _IN_WINDOWS, "flow winn")
 def _(spark, sf):
     """Events counted in all windows of all default scales; only windows with events are made."""
     return _window_counts(W.assign_generated(*all_scales(spark, sf)))

@@ -228,3 +228,13 @@ def _(spark, sf):
         rows = got.nodes.select(F.lit(r).alias("round"), "id", "hit", r6(F.get("feat", 0)).alias("first_feature"), F.lit(got.edges.count()).alias("n_edges"), F.lit(got.evicted).cast("long").alias("evicted"))
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+@query("cluster_gcn_labels", f"""WITH {_MEM}, cn AS (SELECT label FROM node GROUP BY label ORDER BY md5(concat(label,'|cg')) LIMIT 3),
+    ch AS (SELECT id FROM node WHERE label IN (SELECT label FROM cn) ORDER BY md5(concat(id,'|cg')) LIMIT 100),
+    tp AS (SELECT id FROM mem WHERE importance >= (SELECT quantile_cont(importance, 0.8) FROM mem) ORDER BY md5(concat(id,'|cgm')) LIMIT 10),
+    ids AS (SELECT id FROM ch UNION SELECT id FROM tp) {_IND}""", "edge node")
+def _(spark, sf):
+    """The same sampler on given clusters: the labels of the nodes."""
+    clusters = V.node(spark, sf).select("id", F.col("label").alias("cluster"))
+    return S.cluster_gcn(_e(spark, sf), clusters, 100, _memory(spark, sf), seed="cg").select("flow_id", "src", "dst", "t_us", "bytes")
