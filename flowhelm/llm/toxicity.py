@@ -22,9 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowhelm.llm.text import LOWER, Spans, pieces
+from flowhelm.llm.text import LOWER, Spans, as_long, pieces
+from flowhelm.session import stored
 
-SAMPLE = 2_000
+SAMPLE = 4_000
 FEATURES = 30_000
 LEAST_ODDS = 0.7
 THRESHOLD = 0.7
@@ -106,39 +107,16 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -500, 500)))
 
 
-def _fit(sets: list[np.ndarray], swapped: list[np.ndarray | None], labels: np.ndarray, penalty: float, fairness: float, steps: int) -> Model:
-    n1, n = int(labels.sum()), len(labels)
-    n0 = n - n1
-    if not n1 or not n0:
-        return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0 if not n else float(np.log((n1 + 0.5) / (n0 + 0.5))))
-    row = np.repeat(np.arange(n, dtype=np.int32), [len(s) for s in sets])
-    every = np.concatenate(sets)
-    names = np.unique(every)
-    col = np.searchsorted(names, every).astype(np.int32)
-    del every
-    toxic, clean = np.bincount(col, labels[row], len(names)), np.bincount(col, 1 - labels[row], len(names))
-    # Kept: features whose odds differ by a clear factor, beyond doubt. Weak ones would add up in long texts.
-    odds = np.log((toxic + 0.5) / (clean + 0.5) * (n0 + 1) / (n1 + 1))
-    clear = np.abs(odds) - 1.96 * np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
-    keep = np.sort(np.argsort(-clear, kind="stable")[: min(FEATURES, int((clear > LEAST_ODDS).sum()))])
-    number = np.full(len(names), -1)
-    number[keep] = np.arange(len(keep))
-    col = number[col]
-    row, col = row[col >= 0], col[col >= 0]
-    m = len(keep)
-    kept = names[keep]
+def _fit(kept: np.ndarray, own: list[np.ndarray], fewer: list[np.ndarray], more: list[np.ndarray], labels: np.ndarray, penalty: float, fairness: float, steps: int) -> Model:
+    """Weights of the ``kept`` features from the numbers of those in each text (``own``), and of those that swapping the names of groups takes
+    away or adds."""
+    n, m = len(labels), len(kept)
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(s) for s in own])
+    col = np.concatenate([np.zeros(0, dtype=np.int32), *own])
     # Change of each text under the swap of group names, as signed features.
-    pair, change, sign = [], [], []
-    for i, other in enumerate(swapped):
-        if other is not None:
-            for s, x in ((1.0, np.setdiff1d(sets[i], other)), (-1.0, np.setdiff1d(other, sets[i]))):
-                place = np.minimum(np.searchsorted(kept, x), max(m - 1, 0))
-                place = place[kept[place] == x] if m else place[:0]
-                pair.append(np.full(len(place), i))
-                change.append(place)
-                sign.append(np.full(len(place), s))
-    pair, change, sign = (np.concatenate(x) if x else np.zeros(0) for x in (pair, change, sign))
-    pair, change = pair.astype(np.int64), change.astype(np.int64)
+    pair = np.concatenate([np.repeat(np.arange(n), [len(s) for s in side]) for side in (fewer, more)])
+    change = np.concatenate([np.zeros(0, dtype=np.int32), *fewer, *more])
+    sign = np.repeat([1.0, -1.0], [sum(len(s) for s in fewer), sum(len(s) for s in more)])
     # Accelerated gradient steps; each feature's step follows a bound of the curvature in its row (diagonal dominance).
     bend = 0.25 * np.bincount(col, np.bincount(row, minlength=n)[row] + 1, m) + penalty
     if len(pair):
@@ -162,26 +140,56 @@ def _fit(sets: list[np.ndarray], swapped: list[np.ndarray | None], labels: np.nd
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: float = 0.1, fairness: float = 1.0, steps: int = 1000) -> Model:
     """The model from the ``sample`` labelled documents of each kind that come first by hash. Give only rows to learn
-    from. What reaches the driver is bounded by the sample."""
+    from. Features are counted and chosen on Spark; what reaches the driver are numbers of the at most ``FEATURES`` kept ones in each text of
+    the sample, a row for each different set of them."""
     told = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")) \
         .join(docs.where("doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_semi").withColumn("_h", F.md5(F.col("doc_id").cast("string")))
     chosen = told.where("toxic = 1").orderBy("_h").limit(sample).unionByName(told.where("toxic = 0").orderBy("_h").limit(sample))
     ids = {r.doc_id: r.toxic for r in chosen.select("doc_id", "toxic").collect()}
     listed = docs.sparkSession.createDataFrame(list(ids.items()), "doc_id long, toxic int")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(listed), "doc_id")
+    texts = stored(rows.distinct(), "sample")
+    told = {r.toxic: r["count"] for r in texts.groupBy("toxic").count().collect()}
+    n0, n1 = told.get(0, 0), told.get(1, 0)
+    if not n0 or not n1:
+        return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0 if not n0 + n1 else float(np.log((n1 + 0.5) / (n0 + 0.5))))
+
+    def count(batches):
+        for batch in batches:
+            label = batch.column("toxic").to_numpy(zero_copy_only=False)
+            sets = list(_sets(batch.column("text")))
+            names, place = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)
+            toxic = np.repeat(label, [len(s) for s in sets])
+            counts = [np.bincount(place, toxic == k, len(names)).astype(np.int64) for k in (1, 0)]
+            yield pa.RecordBatch.from_arrays([as_long(names), *map(pa.array, counts)], ["feature", "toxic", "clean"])
+
+    # Kept: features whose odds differ by a clear factor, beyond doubt. Weak ones would add up in long texts.
+    counted = texts.select("text", "toxic").mapInArrow(count, "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
+    t, c = F.col("t") + 0.5, F.col("c") + 0.5
+    clear = F.abs(F.log(t / c * F.lit((n0 + 1) / (n1 + 1)))) - 1.96 * F.sqrt(1 / t + 1 / c)
+    chosen = counted.withColumn("clear", clear).where(F.col("clear") > LEAST_ODDS).orderBy(F.desc("clear"), "feature").limit(FEATURES)
+    kept = np.sort(np.array([r.feature for r in chosen.select("feature").collect()], dtype=np.int64).view(np.uint64))
+
+    def numbered(names: np.ndarray) -> np.ndarray:
+        place = np.minimum(np.searchsorted(kept, names), max(len(kept) - 1, 0))
+        return place[kept[place] == names].astype(np.int32) if len(kept) else np.zeros(0, np.int32)
 
     def take(batches):
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            other = [swap_names(t) if t and _NAMES.search(t) else None for t in texts]
-            own = [s.tobytes() for s in _sets(batch.column("text"))]
-            swapped = [s.tobytes() if o is not None else None for s, o in zip(_sets(pa.array(other, pa.string())), other, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(own, pa.binary()), pa.array(swapped, pa.binary())], ["doc_id", "toxic", "own", "swapped"])
-
-    got = sorted({(r.doc_id, bytes(r.own)): r for r in rows.mapInArrow(take, "doc_id long, toxic int, own binary, swapped binary").toLocalIterator()}.items())
-    sets = [np.frombuffer(r.own, np.uint64) for _, r in got]
-    swapped = [None if r.swapped is None else np.frombuffer(r.swapped, np.uint64) for _, r in got]
-    return _fit(sets, swapped, np.array([r.toxic for _, r in got], dtype=np.float64), penalty, fairness, steps)
+            whole = batch.column("text").to_pylist()
+            other = [swap_names(x) if x and _NAMES.search(x) else None for x in whole]
+            columns = ([], [], [])
+            for x, y, changed in zip(_sets(batch.column("text")), _sets(pa.array(other, pa.string())), other, strict=True):
+                none = x[:0]
+                for column, names in zip(columns, (x, none if changed is None else np.setdiff1d(x, y), none if changed is None else np.setdiff1d(y, x)), strict=True):
+                    column.append(numbered(names).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *[pa.array(c, pa.binary()) for c in columns]], ["doc_id", "toxic", "own", "fewer", "more"])
+
+    # Rows of one id that keep the same features are one.
+    schema = "doc_id long, toxic int, own binary, fewer binary, more binary"
+    got = sorted(texts.mapInArrow(take, schema).distinct().toLocalIterator(), key=lambda r: (r.doc_id, bytes(r.own), bytes(r.fewer), bytes(r.more)))
+    sides = [[np.frombuffer(r[k], np.int32) for r in got] for k in ("own", "fewer", "more")]
+    return _fit(kept, *sides, np.array([r.toxic for r in got], dtype=np.float64), penalty, fairness, steps)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
