@@ -147,19 +147,20 @@ def frontier_nodes(edges: DataFrame, size: int, seeds: int = 100, memory: DataFr
     if memory is not None:
         near = keep_matching(memory_percentile(memory, 90).select("id"), deg, "id").withColumn("_h", seeded_hash("id", f"{seed}m"))
         front = front.unionByName(near.orderBy("_h").limit(memory_seeds).drop("_h")).distinct()
-    visited = front = cut_lineage(front)
+    # One stored table a layer: all nodes visited so far, and which of them are the layer's frontier.
+    state = stored(front.withColumn("_front", F.lit(True)), "layer")
     for layer in range(layers):
         quota = F.greatest(F.lit(1).cast("long"), F.floor(F.col("_deg") * F.lit(0.5 ** (layer + 1))))
-        around = nbrs.join(front, "id").join(visited.select(F.col("id").alias("nbr"), F.lit(True).alias("_seen")), "nbr", "left").withColumn("_seen", F.coalesce("_seen", F.lit(False)))
-        fresh = around.groupBy("id").agg(F.bool_and("_seen").alias("_all_seen"))
-        usable = around.join(fresh, "id").where(~F.col("_seen") | F.col("_all_seen")).select("id", "nbr")
+        seen = state.select(F.col("id").alias("nbr"), F.lit(True).alias("_seen"))
+        around = nbrs.join(state.where("_front").select("id"), "id").join(seen, "nbr", "left").withColumn("_seen", F.coalesce("_seen", F.lit(False)))
+        fresh = around.groupBy("id").agg(F.bool_and("_seen").alias("_all_seen"), F.count(F.lit(1)).alias("_deg"))
+        usable = around.join(fresh, "id").where(~F.col("_seen") | F.col("_all_seen")).select("id", "nbr", "_deg")
         ranked = hash_number(usable.withColumn("_h", F.md5(F.concat("id", F.lit("|"), "nbr", F.lit(f"|{seed}|{layer}")))), "_h", ["id"], "_rk", rows_per_block)
-        front = ranked.join(deg, "id").where(F.col("_rk") <= quota).select(F.col("nbr").alias("id")).distinct()
-        front = cut_lineage(front)
-        visited = cut_lineage(visited.unionByName(front).distinct())
-        if visited.count() >= size:
+        taken = ranked.where(F.col("_rk") <= quota).select(F.col("nbr").alias("id"), F.lit(True).alias("_front"))
+        state = stored(state.select("id", F.lit(False).alias("_front")).unionByName(taken).groupBy("id").agg(F.bool_or("_front").alias("_front")), "layer")
+        if state.count() >= size:
             break
-    return top_rows(visited.withColumn("_h", seeded_hash("id", f"{seed}c")), [F.col("_h")], size).drop("_h")
+    return top_rows(state.select("id", seeded_hash("id", f"{seed}c").alias("_h")), [F.col("_h")], size).drop("_h")
 
 
 def historical_nodes(edges: DataFrame, start_us: int, end_us: int, size: int, seed: str = "0") -> tuple[DataFrame, DataFrame]:
