@@ -22,7 +22,7 @@ from flowhelm.plans.ordered import number, running_sums
 from flowhelm.session import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
-ROWS_PER_BLOCK = 100_000
+ROWS_PER_BLOCK = 2_000  # a source is summed up in blocks from this size on, so no source is one task
 
 
 def words_of(text: str | Column) -> Column:
