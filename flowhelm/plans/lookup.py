@@ -25,11 +25,11 @@ def _width(field: T.StructField) -> Column:
 
 
 def is_small(values: DataFrame) -> bool:
-    """Whether counted rows and their bytes allow a broadcast."""
+    """Whether counted rows and their bytes allow a broadcast; counted where they are."""
     width = F.lit(16)
     for field in values.schema.fields:
         width = width + _width(field)
-    rows, size = values.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    rows, size = values.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
     return rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
 
 

@@ -120,20 +120,20 @@ def temporal_graph(spark: SparkSession, store: str) -> DataFrame:
 
 
 def retention_batches(spark: SparkSession, store: str, keep_us: int, day_us: int = 86_400_000_000) -> Callable[[DataFrame, int], None]:
-    """A step that stores edges by day and forgets: day partitions that lie wholly behind ``keep_us`` before the newest
-    edge are removed from the store."""
+    """A step that stores edges by day (and below it by micro-batch, so that a retry overwrites its own rows) and forgets: days that lie wholly
+    behind ``keep_us`` before the newest edge are removed from the store. Only the names of the stored days are listed."""
 
     def step(batch: DataFrame, number: int) -> None:
-        batch.withColumn("day", F.floor(F.col("t_us") / day_us)).write.mode("overwrite").partitionBy("day").parquet(f"{store}/_batch={number}")
+        placed = batch.withColumns({"day": F.floor(F.col("t_us") / day_us), "_batch": F.lit(number)})
+        placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "_batch").parquet(store)
         saved = spark.read.parquet(store)
         top = saved.where(F.col("day") == saved.agg(F.max("day")).first()[0]).agg(F.max("t_us")).first()[0]
         if top is None:
             return
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         fs = path(store).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        for done in range(number + 1):
-            for part in fs.globStatus(path(f"{store}/_batch={done}/day=*")) or []:
-                if int(part.getPath().getName().split("=")[1]) < (top - keep_us) // day_us:
-                    fs.delete(part.getPath(), True)
+        for part in fs.globStatus(path(f"{store}/day=*")) or []:
+            if part.getPath().getName().split("=")[1].lstrip("-").isdigit() and int(part.getPath().getName().split("=")[1]) < (top - keep_us) // day_us:
+                fs.delete(part.getPath(), True)
 
     return step
