@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from flowhelm.functions.scalar import seeded_hash, unit
 from flowhelm.operators.graph import degrees, node_features
-from flowhelm.plans.lookup import keep_matching, with_both_ends
+from flowhelm.plans.lookup import keep_matching, sized, with_both_ends
 from flowhelm.plans.ordered import ROWS_PER_BLOCK, TOP_K_ROWS, hash_number, number, top_rows
 from flowhelm.plans.ranks import interpolated, order_statistics, ranks_around
 from flowhelm.session import cut_lineage, stored
@@ -42,12 +42,15 @@ def random_walks(edges: DataFrame, starts: DataFrame, length: int, seed: str = "
     """
     pairs = edges.select("src", "dst").distinct()
     numbered = number(pairs, ["dst"], ["src"], "_pos", rows_per_block)
-    deg = stored(pairs.groupBy("src").agg(F.count(F.lit(1)).alias("_deg")), "degrees")
-    adj = stored(numbered.join(deg.select(F.col("src").alias("dst"), F.col("_deg").alias("_next")), "dst", "left"), "successors")
+    deg = sized(stored(pairs.groupBy("src").agg(F.count(F.lit(1)).alias("_deg")), "degrees"))
+    adj = sized(stored(numbered.join(deg.select(F.col("src").alias("dst"), F.col("_deg").alias("_next")), "dst", "left"), "successors"))
     walks = starts.select(F.col("id").alias("walk"), F.col("id").alias("src")).join(deg, "src", "left").select("walk", "src", "_deg", F.array("src").alias("_path"))
     for step in range(1, length + 1):
         pick = F.conv(F.substring(F.md5(F.concat(F.col("walk"), F.lit(f"|{seed}|{step}"))), 1, 8), 16, 10).cast("long")
-        met = walks.withColumn("_pos", F.when(F.col("_deg").isNotNull(), pick % F.col("_deg") + 1)).join(adj, ["src", "_pos"], "left")
+        # Ended walks ask for position 0 of their start, which no node has: in a shuffle they spread like the others.
+        goes = F.col("_deg").isNotNull()
+        asks = walks.withColumns({"src": F.when(goes, F.col("src")).otherwise(F.col("walk")), "_pos": F.when(goes, pick % F.col("_deg") + 1).otherwise(F.lit(0))})
+        met = asks.join(adj, ["src", "_pos"], "left")
         path = F.when(F.col("dst").isNotNull(), F.concat("_path", F.array("dst"))).otherwise(F.col("_path"))
         walks = met.select("walk", F.col("dst").alias("src"), F.col("_next").alias("_deg"), path.alias("_path"))
     return walks.select("walk", F.posexplode("_path").alias("step", "id"))

@@ -33,6 +33,12 @@ def is_small(values: DataFrame) -> bool:
     return rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
 
 
+def sized(values: DataFrame) -> DataFrame:
+    """``values`` as a side of a join, broadcast only when their counted size allows: a planner that goes by the size of a compressed
+    file may take millions of rows for a few megabytes."""
+    return F.broadcast(values) if is_small(values) else values.hint("merge")
+
+
 def lookup_join(
     facts: DataFrame, values: DataFrame, keys: Sequence[str], spread_on: str, how: str = "left", small: bool | None = None, hot: list | None = None
 ) -> DataFrame:

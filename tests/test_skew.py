@@ -79,6 +79,19 @@ def test_walks_follow_edges_and_stop_at_sinks(spark):
     assert all((by[w, s - 1], n) in links for (w, s), n in by.items() if s)
 
 
+def test_walks_broadcast_counted_successors_only(spark, monkeypatch):
+    """Successor tables beyond the counted size are shuffled, however small their files are; the walks stay the same."""
+    from flowhelm.plans import lookup
+
+    e = spark.range(300).select(F.concat(F.lit("n"), F.col("id") % 40).alias("src"), F.concat(F.lit("n"), F.col("id") * 7 % 55).alias("dst"))
+    starts = e.select(F.col("src").alias("id")).distinct()
+    small = S.random_walks(e, starts, 5)
+    monkeypatch.setattr(lookup, "BROADCAST_ROWS", 30)
+    large = S.random_walks(e, starts, 5)
+    assert sorted(map(tuple, large.collect())) == sorted(map(tuple, small.collect()))
+    assert "BroadcastHashJoin" not in large._jdf.queryExecution().toString()
+
+
 def test_weighted_sample_prefers_heavy_nodes_and_handles_zero(spark):
     n = spark.range(100).select(F.concat(F.lit("n"), "id").alias("id"), F.when(F.col("id") < 5, 1000.0).otherwise(0.0).alias("importance"))
     got = {r["id"] for r in S.sample_nodes_weighted(n, 8).collect()}
