@@ -10,7 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowhelm.plans.ordered import ROWS_PER_BLOCK, neighbours, running_sums
+from flowhelm.plans.ordered import ROWS_PER_BLOCK, running_sums
+from flowhelm.session import cut_lineage
 
 
 def _rank(metric: str, loss: str) -> Column:
@@ -26,15 +27,13 @@ def best_epoch(df: DataFrame, run: str, epoch: str, metric: str, loss: str) -> D
 def early_stop_epoch(df: DataFrame, run: str, epoch: str, metric: str, loss: str, patience: int, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Per run the first epoch after ``patience`` epochs without improvement; null when never.
 
-    Epochs count from 1 without gaps, so the running last improvement gives the waiting time.
+    Epochs count from 1 without gaps. The last improvement before an epoch is the first one with the best metric so far, so one
+    running maximum of (metric, earlier epoch first) gives the waiting time.
     """
-    ranked = df.select(run, epoch, _rank(metric, loss).alias("_r"))
+    ranked = cut_lineage(df.select(run, epoch, F.struct(_rank(metric, loss).alias("r"), (-F.col(epoch)).alias("e")).alias("_r")))
     top = running_sums(ranked, [epoch], {"_top": F.col("_r")}, [run], rows_per_block, largest=True)
-    before = neighbours(top, [epoch], previous={"_was": "_top"}, keys=[run], rows_per_block=rows_per_block)
-    improved = F.when(F.col("_was").isNull() | (F.col("_r") > F.col("_was")), F.col(epoch))
-    last = running_sums(before.select(run, epoch, improved.alias("_imp")), [epoch], {"_last": F.col("_imp")}, [run], rows_per_block, largest=True)
-    stop = F.when(F.col(epoch) - F.col("_last") >= patience, F.col(epoch))
-    return last.groupBy(run).agg(F.min(stop).alias("stop_epoch"))
+    stop = F.when(F.col(epoch) + F.col("_top.e") >= patience, F.col(epoch))
+    return top.groupBy(run).agg(F.min(stop).alias("stop_epoch"))
 
 
 def search_report(trials: DataFrame, trial: str, value: str, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:

@@ -14,6 +14,16 @@ from flowhelm.streaming import jobs as J
 from flowhelm.streaming import state as S
 
 
+def test_early_stop_orders_its_rows_once(spark, monkeypatch):
+    rows = [(r, e, [0.1, 0.5, 0.5, 0.2, 0.5, 0.4, 0.9, 0.1][e - 1] * r, 1) for r in (1, 2) for e in range(1, 9)] + [(3, 1, 1.0, 0), (None, 1, 2.0, 0), (None, 2, None, 0)]
+    df = spark.createDataFrame(rows, "run int, epoch int, f1 double, loss int")
+    calls, cut = [], ordered.cut_rows
+    monkeypatch.setattr(ordered, "cut_rows", lambda *a, **k: calls.append(1) or cut(*a, **k))
+    got = {r.run: r.stop_epoch for r in H.early_stop_epoch(df, "run", "epoch", "f1", "loss", 3, 4).collect()}
+    assert got == {1: 5, 2: 5, 3: None, None: None}
+    assert len(calls) == 1
+
+
 @pytest.mark.parametrize("short", [False, True])
 def test_a_pair_in_reach_costs_one_written_product(spark, short):
     rows = [(i, i * 3, [float(i), 2.0, -1.0][: 2 if short and i == 4 else 3]) for i in range(9)] + [(9, 5, None)]
