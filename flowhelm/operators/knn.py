@@ -30,6 +30,7 @@ FANOUT = 64
 QUERIES_PER_TASK = 4096
 MOST_LEVELS = 10
 PART_BYTES = 32 << 20
+ROWS_OUT_BYTES = 4 << 20
 
 
 def _matrix(s: pd.Series) -> np.ndarray:
@@ -184,8 +185,11 @@ def _reaching(bounded: DataFrame, tree: _Tree) -> DataFrame:
                             rows.append(there)
                             leaves.append(np.full(len(there), child))
                 if rows:
-                    at = np.concatenate(rows)
-                    yield pd.DataFrame({"_id": pdf["_id"].to_numpy()[at], "_v": pdf["_v"].to_numpy()[at], "_node": np.concatenate(leaves)})
+                    at, to = np.concatenate(rows), np.concatenate(leaves)
+                    # A query may ask every leaf: its vector is repeated a bounded number of rows at a time.
+                    for cut in range(0, len(at), step := max(1, ROWS_OUT_BYTES // (8 * v.shape[1] + 16))):
+                        some = at[cut : cut + step]
+                        yield pd.DataFrame({"_id": pdf["_id"].to_numpy()[some], "_v": pdf["_v"].to_numpy()[some], "_node": to[cut : cut + step]})
 
         out = out.unionByName(bounded.select("_id", "_v", "_node", "_bound").mapInPandas(walk, "_id long, _v array<double>, _node long"))
     return out

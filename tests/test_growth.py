@@ -37,3 +37,11 @@ def test_a_pair_in_reach_costs_one_written_product(spark, short):
     assert all((found[p] is None) == (9 in p or (short and 4 in p)) for p in found)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert short or "zip_with" not in plan[: plan.index("Join")]
+
+
+def test_knn_queries_leave_in_bounded_batches(spark, monkeypatch):
+    v = np.random.default_rng(2).normal(size=(300, 3))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>").coalesce(1)
+    whole = sorted(map(tuple, knn.knn_graph(df, "id", "v", 4, 30, 4).collect()))
+    monkeypatch.setattr(knn, "ROWS_OUT_BYTES", 400)
+    assert sorted(map(tuple, knn.knn_graph(df, "id", "v", 4, 30, 4).collect())) == whole
