@@ -77,16 +77,17 @@ def first_edges(stream: DataFrame) -> DataFrame:
     return stream.groupBy("src", "dst").agg(first.alias("w")).select("src", "dst", "w.t_us", "w.flow_id")
 
 
-def proximity_join(stream: DataFrame, other: DataFrame, within_s: int, delay: str = "1 hour", sub_cells: int = 4, salts: int = 4) -> DataFrame:
+def proximity_join(stream: DataFrame, other: DataFrame, within_s: int, delay: str = "1 hour", sub_cells: int = 4, salts: int = 1) -> DataFrame:
     """Pairs of events at most ``within_s`` apart, earlier first. The equi key is a time cell, the time bounds let Spark drop join state
     behind the watermark. As nothing splits a crowded cell of a stream at run time, cells are ``sub_cells`` times finer than the
-    reach, and rows of the later side are dealt to ``salts`` parts: an event goes to (sub_cells + 1) * salts cells, a later one to one."""
+    reach, and rows of the later side may be dealt to ``salts`` parts: an event goes to (sub_cells + 1) * salts cells, a later one to one.
+    Each of these copies is a row of state, so more than one part only pays where single cells are crowded."""
     width = max(1, within_s * 1_000_000 // sub_cells)
     cell, salt = F.floor(F.col("t_us") / width), F.pmod(F.xxhash64("flow_id"), F.lit(salts)).cast("int")
     reach = -(-within_s * 1_000_000 // width)
     a = stream.withWatermark("ts", delay).select(
         F.col("flow_id").alias("src"), F.col("t_us").alias("a_us"), F.col("ts").alias("a_ts"), F.explode(F.sequence(cell, cell + reach)).alias("cell"))
-    a = a.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    a = a.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])) if salts > 1 else F.lit(0))
     b = other.withWatermark("ts", delay).select(F.col("flow_id").alias("dst"), F.col("t_us").alias("b_us"), F.col("ts").alias("b_ts"), cell.alias("cell"), salt.alias("salt"))
     near = f"b_ts >= a_ts AND b_ts <= a_ts + INTERVAL {within_s} SECONDS"
     return a.join(b, ["cell", "salt"]).where(F.expr(near)).where("src != dst").select("src", "dst", F.col("b_us").alias("t_us"))

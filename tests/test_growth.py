@@ -45,3 +45,9 @@ def test_knn_queries_leave_in_bounded_batches(spark, monkeypatch):
     whole = sorted(map(tuple, knn.knn_graph(df, "id", "v", 4, 30, 4).collect()))
     monkeypatch.setattr(knn, "ROWS_OUT_BYTES", 400)
     assert sorted(map(tuple, knn.knn_graph(df, "id", "v", 4, 30, 4).collect())) == whole
+
+
+def test_an_event_of_the_stream_join_is_held_once_a_cell(spark):
+    stream = spark.readStream.format("rate").load().select(F.col("value").alias("flow_id"), F.unix_micros("timestamp").alias("t_us"), F.col("timestamp").alias("ts"))
+    plan = J.proximity_join(stream, stream, 60)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Generate ") == 1
