@@ -1,7 +1,8 @@
 """Keyed state of streaming jobs: node lives with timers, admission of edges between known nodes, edges into touched nodes.
 
 State lives in the state store on disk (:func:`on_disk`), keyed and read by key: a micro-batch costs what it touches, however
-large the graph has grown. Rows of a key arrive in Arrow batches and are folded one batch at a time.
+large the graph has grown. Most nodes have a few rows in a micro-batch, so lives and found edges are worked out on plain rows: a pandas frame
+a key costs more than its rows, and every call of the state store is a round trip.
 """
 
 from __future__ import annotations
@@ -10,11 +11,12 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+FOLD_ROWS = 10_000
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -56,40 +58,49 @@ class NodeLives(StatefulProcessor):
         self.open = handle.getValueState("open", "first array<long>, last array<long>, n array<long>")
 
     def _lives(self) -> list[tuple[int, int, int]]:
-        if not self.open.exists():
-            return []
-        first, last, n = self.open.get()
-        return list(zip(map(int, first), map(int, last), map(int, n), strict=True))
-
-    def _keep(self, lives: list[tuple[int, int, int]]) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if not lives:
+        state = self.open.get()
+        return list(zip(*state, strict=True)) if state is not None else []
+
+    def _timer(self, lives: list[tuple[int, int, int]]) -> int | None:
+        """When the first of the lives ends, in milliseconds; a node has this one timer."""
+        return -(-(min(last for _, last, _ in lives) + self.idle_us) // 1000) if lives else None
+
+    def _keep(self, before: list[tuple[int, int, int]], lives: list[tuple[int, int, int]]) -> None:
+        was, at = self._timer(before), self._timer(lives)
+        if was != at:
+            if was is not None:
+                self.handle.deleteTimer(was)
+            if at is not None:
+                self.handle.registerTimer(at)
+        if lives:
+            self.open.update(tuple(list(c) for c in zip(*lives, strict=True)))
+        elif before:
             self.open.clear()
-            return
-        self.open.update(tuple(list(c) for c in zip(*lives, strict=True)))
-        self.handle.registerTimer(-(-(min(last for _, last, _ in lives) + self.idle_us) // 1000))
 
-    def _rows(self, key, lives: list[tuple[int, int, int]], ended: bool, order: int) -> pd.DataFrame:
-        rows = [(key[0], *life, ended, order) for life in lives] or [(key[0], None, None, None, ended, order)]
-        return pd.DataFrame(rows, columns=["id", "first_us", "last_us", "activity", "ended", "order"]).astype({"first_us": "Int64", "last_us": "Int64", "activity": "Int64"})
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        lives = self._lives()
-        for part in rows:
-            lives = merged([*lives, *((t, t, 1) for t in part["t_us"].tolist())], self.idle_us)
-        self._keep(lives)
-        yield self._rows(key, lives, False, 0)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def _rows(self, key, lives: list[tuple[int, int, int]], ended: bool, order: int) -> Iterator[Row]:
+        for first, last, n in lives or [(None, None, None)]:
+            yield Row(id=key[0], first_us=first, last_us=last, activity=n, ended=ended, order=order)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        before = self._lives()
+        lives, news = before, []
+        for row in rows:
+            news.append((row.t_us, row.t_us, 1))
+            if len(news) == FOLD_ROWS:
+                lives, news = merged([*lives, *news], self.idle_us), []
+        lives = merged([*lives, *news], self.idle_us)
+        self._keep(before, lives)
+        yield from self._rows(key, lives, False, 0)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         lives = self._lives()
         over = [x for x in lives if x[1] + self.idle_us <= passed]
         left = [x for x in lives if x[1] + self.idle_us > passed]
-        self._keep(left)
+        self._keep(lives, left)
         if over:
-            yield self._rows(key, over, True, 1)
-        yield self._rows(key, left, False, 1)
+            yield from self._rows(key, over, True, 1)
+        yield from self._rows(key, left, False, 1)
 
     def close(self) -> None:
         pass
@@ -98,7 +109,7 @@ class NodeLives(StatefulProcessor):
 def node_lives(stream: DataFrame, ts: str, idle_s: int, delay: str) -> DataFrame:
     """Snapshots and ends of the lives of ``id`` (see :class:`NodeLives`), from rows (id, t_us, ts)."""
     schema = "id string, first_us long, last_us long, activity long, ended boolean, order int"
-    return stream.withWatermark(ts, delay).groupBy("id").transformWithStateInPandas(NodeLives(idle_s * 1_000_000), schema, "Update", "EventTime")
+    return stream.withWatermark(ts, delay).groupBy("id").transformWithState(NodeLives(idle_s * 1_000_000), schema, "Update", "EventTime")
 
 
 def latest_lives(saved: DataFrame) -> DataFrame:
@@ -161,17 +172,15 @@ class EdgesInto(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.edges = handle.getListState("edges", "src string, t_us long, flow_id long, bytes double")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         asked, news, newest = False, [], None
-        for part in rows:
-            asked = asked or bool((part["kind"] != "edge").any())
-            top = part["t_us"].max()
-            newest = top if newest is None or top > newest else newest
-            fresh = part[part["kind"] == "edge"]
-            news.extend(fresh[["src", "t_us", "flow_id", "bytes"]].itertuples(index=False, name=None))
-            found = part[part["kind"] == "found"]
-            if len(found):
-                yield found[list(FOUND)]
+        for row in rows:
+            asked = asked or row.kind != "edge"
+            newest = row.t_us if newest is None or (row.t_us is not None and row.t_us > newest) else newest
+            if row.kind == "edge":
+                news.append((row.src, row.t_us, row.flow_id, row.bytes))
+            elif row.kind == "found":
+                yield Row(**{c: row[c] for c in FOUND})
         kept = [tuple(e) for e in self.edges.get()] if asked or news else []
         live = [e for e in (*kept, *news) if e[1] >= newest - self.window_us]
         if len(live) < len(kept) + len(news):
@@ -179,8 +188,8 @@ class EdgesInto(StatefulProcessor):
         elif news:
             self.edges.appendList(news)
         if asked and (live or not self.hop):
-            found = [(key[0], *e, self.hop) for e in live] or [(key[0], None, int(newest), None, None, self.hop)]
-            yield pd.DataFrame(found, columns=list(FOUND)).astype({"flow_id": "Int64"})
+            for src, t_us, flow_id, size in live or [(None, newest, None, None)]:
+                yield Row(dst=key[0], src=src, t_us=t_us, flow_id=flow_id, bytes=size, hop=self.hop)
 
     def close(self) -> None:
         pass
@@ -205,6 +214,6 @@ def edges_into_touched(stream: DataFrame, window_us: int, hops: int = 1) -> Data
     found = None
     for hop in range(hops + 1):
         both = rows(base, "dst", "edge").unionByName(asked)
-        found = both.groupBy("id").transformWithStateInPandas(EdgesInto(window_us, hop), _FOUND_SCHEMA, "Append", "None")
+        found = both.groupBy("id").transformWithState(EdgesInto(window_us, hop), _FOUND_SCHEMA, "Append", "None")
         asked = rows(found.withColumn("id", F.coalesce("src", "dst")), "id", "found")
     return found

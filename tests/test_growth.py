@@ -47,6 +47,35 @@ def test_knn_queries_leave_in_bounded_batches(spark, monkeypatch):
     assert sorted(map(tuple, knn.knn_graph(df, "id", "v", 4, 30, 4).collect())) == whole
 
 
+class _Handle:
+    def __init__(self):
+        self.calls = []
+
+    def __getattr__(self, name):
+        return lambda *a: self.calls.append(name) or (None if name == "get" else self)
+
+
+def test_a_node_costs_three_calls_of_its_state(spark):
+    from pyspark.sql import Row
+
+    handle = _Handle()
+    lives = S.NodeLives(10)
+    lives.init(handle)
+    handle.calls.clear()
+    out = list(lives.handleInputRows(("a",), iter([Row(id="a", t_us=5), Row(id="a", t_us=9), Row(id="a", t_us=40)]), None))
+    assert [(r.first_us, r.last_us, r.activity) for r in out] == [(5, 9, 2), (40, 40, 1)]
+    assert sorted(handle.calls) == ["get", "registerTimer", "update"]
+
+
+def test_found_edges_are_plain_rows(spark):
+    from pyspark.sql import Row
+
+    into = S.EdgesInto(100, 1)
+    into.edges = type("E", (), {"get": lambda self: iter([])})()
+    row = Row(id="a", kind="found", dst="d", src="a", t_us=3, flow_id=1, bytes=1.0, hop=0)
+    assert list(into.handleInputRows(("a",), iter([row]), None)) == [Row(dst="d", src="a", t_us=3, flow_id=1, bytes=1.0, hop=0)]
+
+
 def test_an_event_of_the_stream_join_is_held_once_a_cell(spark):
     stream = spark.readStream.format("rate").load().select(F.col("value").alias("flow_id"), F.unix_micros("timestamp").alias("t_us"), F.col("timestamp").alias("ts"))
     plan = J.proximity_join(stream, stream, 60)._jdf.queryExecution().analyzed().toString()
