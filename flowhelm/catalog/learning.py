@@ -12,7 +12,7 @@ from flowhelm.functions.scalar import r6
 from flowhelm.operators import history as H
 from flowhelm.operators import ml as M
 from flowhelm.operators import sampling as P
-from flowhelm.session import scratch_path
+from flowhelm.session import cut_lineage, scratch_path
 
 
 def _encode(t):
@@ -23,11 +23,12 @@ ENCODINGS = {"cosine": (_encode, TDIM), "time2vec": (lambda t: T.time2vec(t, TW,
 
 
 def _rows(spark, sf, encoding="cosine", hops=1):
-    return M.graph_features(edges_with_time(spark, sf), V.node(spark, sf), V.DIM, *ENCODINGS[encoding], hops)
+    """Features of all nodes, stored: every pass of a fit reads them."""
+    return cut_lineage(M.graph_features(edges_with_time(spark, sf), cut_lineage(V.node(spark, sf)), V.DIM, *ENCODINGS[encoding], hops))
 
 
 def _split(spark, sf):
-    return P.split_train_test(V.node(spark, sf).select("id", "label"), "id", "label", 0.2, "ml").select("id", "split")
+    return P.split_train_test(cut_lineage(V.node(spark, sf).select("id", "label")), "id", "label", 0.2, "ml").select("id", "split")
 
 
 def _out(predicted):
@@ -84,9 +85,10 @@ _TEST = """WITH cc AS (SELECT label, count(*) AS c, sum(count(*)) OVER () AS n F
     SELECT tr.*, (SELECT count(*) FROM ts) AS tested, true AS whole FROM tr""", "node")
 def _(spark, sf):
     """Model kind, hidden width, time encoding and hops of the features tried on one split: each value is a share of all its test rows."""
-    split = _split(spark, sf)
+    edges, nodes, split = edges_with_time(spark, sf), cut_lineage(V.node(spark, sf)), cut_lineage(_split(spark, sf))
+    means = M.neighbour_means(edges, nodes, V.DIM, max(t["hops"] for t in TRIALS))
     tested = split.where("split = 'test'").count()
-    found = M.model_search(lambda e, h: _rows(spark, sf, e, h), split, TRIALS, 10)
+    found = M.model_search(lambda e, h: M.graph_features(edges, nodes, V.DIM, *ENCODINGS[e], h, means), split, TRIALS, 10)
     hits = F.col("value") * tested
     return found.select("trial", "encoding", "hops", "kind", F.lit(tested).cast("long").alias("tested"), ((F.abs(hits - F.round(hits)) < 1e-6) & hits.between(0, tested)).alias("whole"))
 
@@ -100,7 +102,7 @@ def _checked(predicted):
 @query("train_early_stop", _TEST + " SELECT id, label AS y, true AS valid FROM ts", "node")
 def _(spark, sf):
     """Trained while a validation part of the training rows improves; every test row is predicted properly."""
-    rows = _rows(spark, sf, hops=2).join(_split(spark, sf), "id")
+    rows = cut_lineage(_rows(spark, sf, hops=2).join(_split(spark, sf), "id"))
     train = rows.where("split = 'train'").withColumn("_val", F.pmod(F.crc32("id"), F.lit(5)) == 0)
     model, _history = M.train_early_stop(train.where("NOT _val"), train.where("_val"))
     return _checked(M.predict(model, rows.where("split = 'test'")))

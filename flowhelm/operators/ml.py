@@ -18,16 +18,24 @@ from flowhelm.plans.lookup import lookup_join
 from flowhelm.session import cut_lineage
 
 
-def graph_features(edges: DataFrame, nodes: DataFrame, dim: int, encode: Callable[[Column], Column], time_dim: int, hops: int = 1) -> DataFrame:
-    """(id, label, features): own vector, means of the neighbours' vectors at one to ``hops`` steps, mean time encoding."""
+def neighbour_means(edges: DataFrame, nodes: DataFrame, dim: int, hops: int = 1) -> list[DataFrame]:
+    """(id, _f) per step: means of the neighbours' vectors at one to ``hops`` steps, stored, as several feature sets may read them."""
     ends = F.array(F.struct(F.col("src").alias("id"), F.col("dst").alias("nbr")), F.struct(F.col("dst").alias("id"), F.col("src").alias("nbr")))
     links = edges.select("flow_id", F.inline(ends))
     around, means = nodes.select("id", F.col("feat").alias("_f")), []
     for _ in range(hops):
         near = lookup_join(links, around.withColumnRenamed("id", "nbr"), ["nbr"], "flow_id", "inner")
-        around = near.groupBy("id").agg(F.array(*[F.avg(F.get("_f", i)) for i in range(dim)]).alias("_f"))
-        around = around if hops == 1 else cut_lineage(around)  # read again by the next step
+        around = cut_lineage(near.groupBy("id").agg(F.array(*[F.avg(F.get("_f", i)) for i in range(dim)]).alias("_f")))
         means.append(around)
+    return means
+
+
+def graph_features(
+    edges: DataFrame, nodes: DataFrame, dim: int, encode: Callable[[Column], Column], time_dim: int, hops: int = 1, means: Sequence[DataFrame] | None = None
+) -> DataFrame:
+    """(id, label, features): own vector, means of the neighbours' vectors at one to ``hops`` steps, mean time encoding. ``means``
+    (see :func:`neighbour_means`) saves their computation when feature sets differ in the encoding alone."""
+    means = neighbour_means(edges, nodes, dim, hops) if means is None else means[:hops]
     flat = edges.unionByName(edges.withColumns({"src": F.col("dst"), "dst": F.col("src")}))
     timed = edge_time_mean(flat, nodes, encode, time_dim)
     joined = nodes.select("id", "label", "feat")
@@ -53,6 +61,7 @@ def train_node_classifier(train: DataFrame, **options) -> PipelineModel:
 
 def train_early_stop(train: DataFrame, val: DataFrame, steps: Sequence[int] = (5, 10, 20, 40, 80), patience: int = 1, **options) -> tuple[PipelineModel, list[tuple[int, float]]]:
     """Training that goes on while the accuracy on ``val`` improves: the best model and (iterations, accuracy) tried."""
+    train, val = cut_lineage(train), cut_lineage(val)  # read by every step
     best, history, waited = None, [], 0
     for n in steps:
         model = train_node_classifier(train, max_iter=n, **options)
@@ -98,6 +107,7 @@ def model_search(features: Callable[[str, int], DataFrame], split: DataFrame, tr
     accuracy on the test rows. ``features(encoding, hops)`` is made once per combination, whatever models try it."""
     made: dict[tuple[str, int], DataFrame] = {}
     out = None
+    split = cut_lineage(split)
     for i, t in enumerate(trials):
         key = (t.get("encoding", "cosine"), t.get("hops", 1))
         if key not in made:
@@ -131,9 +141,10 @@ def hyperparameter_search(rows: DataFrame, regs: Sequence[float], nets: Sequence
 
 def encoding_comparison(edges: DataFrame, nodes: DataFrame, dim: int, encodings: dict[str, tuple[Callable[[Column], Column], int]], split: DataFrame, **options) -> DataFrame:
     """(encoding, accuracy, best) for one pipeline per time encoding on the same split (id, split)."""
-    out = None
+    nodes, split, out = cut_lineage(nodes), cut_lineage(split), None
+    means = neighbour_means(edges, nodes, dim)
     for name, (encode, time_dim) in encodings.items():
-        rows = graph_features(edges, nodes, dim, encode, time_dim).join(split, "id")
+        rows = cut_lineage(graph_features(edges, nodes, dim, encode, time_dim, means=means).join(split, "id"))  # read by every pass of a fit
         model = train_node_classifier(rows.where("split = 'train'"), **options)
         got = predict(model, rows.where("split = 'test'")).agg(accuracy().alias("accuracy")).withColumn("encoding", F.lit(name))
         out = got if out is None else out.unionByName(got)

@@ -47,6 +47,41 @@ def test_knn_queries_leave_in_bounded_batches(spark, monkeypatch):
     assert sorted(map(tuple, knn.knn_graph(df, "id", "v", 4, 30, 4).collect())) == whole
 
 
+def _counted(spark, rows):
+    """Rows whose every computation is counted."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    return rows.mapInPandas(count, rows.schema), seen
+
+
+def _points(spark):
+    return spark.range(80).select("id", (F.col("id") % 2).cast("double").alias("label"), F.array(F.col("id") % 2 + F.rand(3), F.rand(4)).alias("f"))
+
+
+def test_training_steps_read_stored_rows(spark):
+    counted, seen = _counted(spark, _points(spark))
+    rows = counted.select("id", "label", array_to_vector("f").alias("features"))
+    M.train_early_stop(rows.where("id < 60"), rows.where("id >= 60"), steps=(2, 4, 8))
+    assert seen.value == 2 * 80
+
+
+def test_encodings_and_trials_share_the_means_of_neighbours(spark, monkeypatch):
+    calls, means = [], M.neighbour_means
+    monkeypatch.setattr(M, "neighbour_means", lambda *a, **k: calls.append(1) or means(*a, **k))
+    counted, seen = _counted(spark, _points(spark).withColumnRenamed("f", "feat"))
+    edges = spark.range(200).select(F.col("id").alias("flow_id"), (F.col("id") % 80).alias("src"), (F.col("id") * 7 % 80).alias("dst"), F.col("id").cast("double").alias("t"))
+    split = spark.range(80).select("id", F.when(F.col("id") % 4 == 0, "test").otherwise("train").alias("split"))
+    encodings = {n: (lambda t, k=k: F.array(F.cos(t * k), F.sin(t)), 2) for k, n in enumerate("abc", 1)}
+    got = M.encoding_comparison(edges, counted, 2, encodings, split)
+    assert got.count() == 3 and got.where("best").count() >= 1
+    assert len(calls) == 1 and seen.value == 80
+
+
 class _Handle:
     def __init__(self):
         self.calls = []
