@@ -186,7 +186,8 @@ def _(spark, sf):
 @query("knn_graph", """SELECT vec_id, CAST(rank AS INT) AS rank, neighbour, round(distance,6)+0.0 AS distance FROM (SELECT a.vec_id, b.vec_id AS neighbour, list_distance(a.v, b.v) AS distance,
     row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v), b.vec_id) AS rank FROM emb a JOIN emb b ON a.vec_id <> b.vec_id) WHERE rank <= 5""", "emb")
 def _(spark, sf):
-    return knn_graph(V.emb(spark, sf), "vec_id", "v", 5).withColumn("distance", r6("distance"))
+    vectors = V.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    return knn_graph(vectors, "vec_id", "v", 5).withColumn("distance", r6("distance"))
 
 
 def _asked(spark, sf):

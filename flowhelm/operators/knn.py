@@ -2,9 +2,10 @@
 
 Vectors are placed in a metric tree: a node with more than ``LEAF_ROWS`` of them is split around pivots of its own, round by round, until
 every leaf is small or holds one vector many times over (of these the k + 1 smallest ids can be neighbours of anything).
-A vector is first compared with its leaf, which bounds how far its k-th neighbour can be; then it walks down the
-tree into the nodes that the triangle inequality cannot exclude and asks their leaves. The tree holds two numbers and a centre a node;
-it goes to the tasks in parts of at most ``PART_BYTES``.
+A vector is first compared with its leaf, which bounds how far its k-th neighbour can be. Then the leaves go to the tasks, in parts of at
+most ``MEMBER_BYTES`` of vectors, and a query walks down the tree into the nodes that the triangle inequality cannot exclude and asks their
+leaves where it is: however many leaves it asks, no query is copied, and what lies on disk grows with the vectors, not with the asks.
+While the tree grows, its centres go out in parts of at most ``PART_BYTES``.
 """
 
 from __future__ import annotations
@@ -19,8 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowhelm.functions.scalar import seeded_hash, unit
-from flowhelm.plans.lookup import is_small
-from flowhelm.session import stored
+from flowhelm.session import discard, stored
 
 # The helpers travel with the tasks, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -30,7 +30,10 @@ FANOUT = 64
 QUERIES_PER_TASK = 4096
 MOST_LEVELS = 10
 PART_BYTES = 32 << 20
+MEMBER_BYTES = 64 << 20
 ROWS_OUT_BYTES = 4 << 20
+BLOCK_ROWS = 1024
+BLOCK_PAIRS = 1 << 15
 
 
 def _matrix(s: pd.Series) -> np.ndarray:
@@ -44,48 +47,63 @@ def _squares(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum(rough, 0.0), 1e-9 * (na + (nb.max() if len(nb) else 0.0)) + 1e-12
 
 
-def _closest(a: np.ndarray, ids: np.ndarray, b: np.ndarray, others: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row of ``a``, row of ``b`` and exact distance of the k nearest others, ties by id: the product finds who may be
-    among them, differences decide."""
-    rough, slack = _squares(a, b)
-    rough[ids[:, None] == others[None, :]] = np.inf
-    if rough.shape[1] > k:
-        limit = np.partition(rough, k - 1, axis=1)[:, k - 1] + 2 * slack
-        maybe = (rough <= limit[:, None]) & np.isfinite(rough)
-    else:
-        maybe = np.isfinite(rough)
-    i, j = np.nonzero(maybe)
-    exact = np.sqrt(((a[i] - b[j]) ** 2).sum(axis=1))
-    order = np.lexsort((others[j], exact, i))
-    i, j, exact = i[order], j[order], exact[order]
-    place = np.arange(len(i)) - np.searchsorted(i, i, side="left")
-    return i[place < k], j[place < k], exact[place < k]
-
-
-def _search(k: int):
-    def search(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(x):
-            return pd.DataFrame({"_id": [], "neighbour": [], "distance": []}).astype({"_id": "int64", "neighbour": "int64", "distance": "float64"})
-        ids, others = q["_id"].to_numpy(), x["_id"].to_numpy()
-        i, j, d = _closest(_matrix(q["_v"]), ids, _matrix(x["_v"]), others, k)
-        return pd.DataFrame({"_id": ids[i], "neighbour": others[j], "distance": d})
+def _candidates(a: np.ndarray, ids: np.ndarray, bound: np.ndarray, b: np.ndarray, others: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of ``a``, row of ``b`` and exact distance of all that may be among the k nearest others within ``bound``: the product
+    finds who may be near enough, differences decide. A bounded number of rows and of pairs at a time."""
+    rows, cols, far = [], [], []
+    nb = np.einsum("ij,ij->i", b, b)
+    right = np.column_stack([b, np.ones(len(b)), nb])
+    for begin in range(0, len(a), BLOCK_ROWS):
+        some = slice(begin, begin + BLOCK_ROWS)
+        na = np.einsum("ij,ij->i", a[some], a[some])
+        rough = np.column_stack([-2.0 * a[some], na, np.ones(len(na))]) @ right.T  # squared distances
+        slack = 1e-9 * (na + (nb.max() if len(nb) else 0.0)) + 1e-12
+        maybe = rough <= ((bound[some] + 1e-9) ** 2 + slack)[:, None]
+        many = np.flatnonzero(maybe.sum(axis=1) > 4 * k)
+        if len(many) and len(b) > k:
+            apart = rough[many]
+            apart[ids[some][many][:, None] == others[None, :]] = np.inf
+            maybe[many] &= apart <= (np.partition(apart, k - 1, axis=1)[:, k - 1] + 2 * slack[many])[:, None]
+        i, j = np.nonzero(maybe)
+        unlike = ids[some][i] != others[j]
+        i, j = i[unlike] + begin, j[unlike]
+        for cut in range(0, len(i), BLOCK_PAIRS):
+            x, y = i[cut : cut + BLOCK_PAIRS], j[cut : cut + BLOCK_PAIRS]
+            d = np.sqrt(((a[x] - b[y]) ** 2).sum(axis=1))
+            near = d <= bound[x]
+            rows.append(x[near])
+            cols.append(y[near])
+            far.append(d[near])
+    join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, dtype=kind)
+    return join(rows, int), join(cols, int), join(far, float)
+
+
+def _first(i: np.ndarray, others: np.ndarray, far: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k nearest of each row ``i``, ties by id, in the order of rows and ranks."""
+    order = np.lexsort((others, far, i))
+    turn = np.arange(len(i)) - np.searchsorted(i[order], i[order], side="left")
+    return order[turn < k]
+
+
+def _own(k: int):
+    """Every vector of a group against the group: its nearest, as lists, and how far the k-th is."""
+
+    def search(group: pd.DataFrame) -> pd.DataFrame:
+        ids, v = group["_id"].to_numpy(), _matrix(group["_v"])
+        i, j, d = _candidates(v, ids, np.full(len(v), np.inf), v, ids, k)
+        best = _first(i, ids[j], d, k)
+        ends = np.searchsorted(i[best], np.arange(len(v) + 1))
+        near, far = ids[j[best]], d[best]
+        bound = np.full(len(v), np.inf)
+        whole = np.diff(ends) >= k
+        bound[whole] = far[ends[1:][whole] - 1]
+        lists = [slice(x, y) for x, y in zip(ends, ends[1:])]
+        near = near if near.dtype.kind != "f" else np.array([None if x != x else int(x) for x in near], dtype=object)
+        return group[["_id", "_v", "_node", "_piece"]].assign(_bound=bound, _near=[list(near[x]) for x in lists], _far=[far[x] for x in lists])
 
     return search
 
 
-def _asked(asking: DataFrame, leaves: DataFrame, k: int) -> DataFrame:
-    """(_id, neighbour, distance): every (_id, _v, _node) of ``asking`` against the members of its leaf. A leaf that many ask goes to
-    several tasks, each with some of the queries."""
-    asks = stored(asking, "asking")
-    shares = asks.groupBy("_node").agg(F.ceil(F.count(F.lit(1)) / QUERIES_PER_TASK).cast("int").alias("_parts"))
-    shares = F.broadcast(shares) if is_small(shares) else shares
-    queries = asks.join(shares, "_node").withColumn("_q", F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int"))
-    members = leaves.join(shares, "_node").withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    keys = ["_node", "_q"]
-    return queries.select("_id", "_v", *keys).groupBy(*keys).cogroup(members.select("_id", "_v", *keys).groupBy(*keys)) \
-        .applyInPandas(_search(k), "_id long, neighbour long, distance double")
-
-
 class _Tree:
     """Nodes by number: children (numbers, centres, radii) of inner ones, how many vectors each holds and how far they reach."""
 
@@ -139,7 +157,7 @@ def _grown(placed: DataFrame, tree: _Tree, leaf_rows: int, level: int, fanout: i
                         node[rows], reach[rows] = numbers[cell], np.sqrt(((a - centres[cell]) ** 2).sum(axis=1))
                 yield pdf.assign(_node=node, _r=reach)
 
-        dealt = rows.mapInPandas(assign, "_id long, _v array<double>, _node long, _r double")
+        dealt = rows.mapInPandas(assign, placed.schema)
         done = dealt if done is None else done.unionByName(dealt)
     if len(parts) > 1:
         done = done.unionByName(placed.where(~F.col("_node").isin(sorted(heads))))
@@ -154,45 +172,9 @@ def _grown(placed: DataFrame, tree: _Tree, leaf_rows: int, level: int, fanout: i
     return placed
 
 
-def _reaching(bounded: DataFrame, tree: _Tree) -> DataFrame:
-    """(_id, _v, _node): queries and the leaves other than their own that may hold something nearer than their ``_bound``."""
-    parts = tree.parts(sorted(tree.children)) if tree.children else []
-    out = bounded.select("_id", "_v", "_node").limit(0)
-    inner = bounded.sparkSession.sparkContext.broadcast(set(tree.children))
-    for part in parts:
-        # A part knows the nodes above it, so every query finds its way from the root; leaves are given out by the part of their parent.
-        above = {a for n in part for a in _ancestors(n)}
-        shared = bounded.sparkSession.sparkContext.broadcast(({n: tree.children[n] for n in {*part, *above}}, set(part)))
-
-        def walk(batches, shared=shared):
-            children, own = shared.value
-            for pdf in batches:
-                v, bound, home = _matrix(pdf["_v"]), pdf["_bound"].fillna(np.inf).to_numpy(), pdf["_node"].to_numpy()
-                rows, leaves = [], []
-                stack = [(0, np.arange(len(pdf)))]
-                while stack:
-                    node, some = stack.pop()
-                    numbers, centres, radii = children[node]
-                    rough, slack = _squares(v[some], centres)
-                    least = np.sqrt(rough) - np.sqrt(slack)[:, None] - radii  # no more than the distance to anything inside
-                    near = least <= bound[some, None] + 1e-9
-                    for j, child in enumerate(numbers):
-                        there = some[near[:, j]]
-                        if len(there) and int(child) in children:
-                            stack.append((int(child), there))
-                        elif len(there) and node in own and int(child) not in inner.value:
-                            there = there[home[there] != child]
-                            rows.append(there)
-                            leaves.append(np.full(len(there), child))
-                if rows:
-                    at, to = np.concatenate(rows), np.concatenate(leaves)
-                    # A query may ask every leaf: its vector is repeated a bounded number of rows at a time.
-                    for cut in range(0, len(at), step := max(1, ROWS_OUT_BYTES // (8 * v.shape[1] + 16))):
-                        some = at[cut : cut + step]
-                        yield pd.DataFrame({"_id": pdf["_id"].to_numpy()[some], "_v": pdf["_v"].to_numpy()[some], "_node": to[cut : cut + step]})
-
-        out = out.unionByName(bounded.select("_id", "_v", "_node", "_bound").mapInPandas(walk, "_id long, _v array<double>, _node long"))
-    return out
+def _path(node: int) -> tuple[int, ...]:
+    """The nodes from the root to ``node``; leaves sorted by it have their neighbours in the tree beside them."""
+    return (*reversed(_ancestors(node)), node)
 
 
 def _ancestors(node: int) -> list[int]:
@@ -203,28 +185,153 @@ def _ancestors(node: int) -> list[int]:
     return above
 
 
+def _member_parts(groups: list[tuple[int, int, int]], width: int) -> list[list[tuple[int, int]]]:
+    """Groups (leaf, piece, rows) in the order of the tree, in parts whose vectors of ``width`` bytes fit ``MEMBER_BYTES``."""
+    parts, size = [[]], 0
+    for node, piece, n in sorted(groups, key=lambda g: (_path(g[0]), g[1])):
+        if parts[-1] and size + n * width > MEMBER_BYTES:
+            parts.append([])
+            size = 0
+        parts[-1].append((node, piece))
+        size += n * width
+    return parts
+
+
+def _reach_of(tree: _Tree, part: list[tuple[int, int]], homes: dict[int, float]) -> list[int]:
+    """The leaves of ``homes`` (with the largest bound of their vectors) from which anything in ``part`` can be in reach: centres may be as far
+    apart as both radii and the bound together."""
+    place = {int(n): (c, r) for numbers, centres, radii in tree.children.values() for n, c, r in zip(numbers, centres, radii)}
+    there = sorted({n for n, _ in part})
+    if any(n not in place for n in [*there, *homes]):
+        return sorted(homes)
+    b, rb = np.array([place[n][0] for n in there]), np.array([place[n][1] for n in there])
+    out = []
+    for n, bound in homes.items():
+        centre, radius = place[n]
+        gap = np.sqrt(((b - centre) ** 2).sum(axis=1)) - rb - radius
+        if (gap <= bound + 1e-9 * (1.0 + np.abs(gap) + radius + rb)).any():
+            out.append(n)
+    return out
+
+
+def _asked(bounded: DataFrame, members: DataFrame, tree: _Tree, part: list[tuple[int, int]], homes: list[int] | None, k: int) -> DataFrame:
+    """(_id, neighbour, distance): for every query the k nearest members of ``part``, groups (leaf, piece) other than the query's own, within its bound.
+
+    The members go to the tasks, so no query is copied. A query walks down the tree to the leaves that the triangle inequality cannot
+    exclude, asks the nearest first, and what it finds tightens its bound."""
+    spark = bounded.sparkSession
+    wanted = F.broadcast(spark.createDataFrame(part, "_node long, _piece int"))
+    held: dict[int, dict[int, tuple[np.ndarray, np.ndarray]]] = {}
+    for (node, piece), rows in members.join(wanted, ["_node", "_piece"], "left_semi").select("_node", "_piece", "_id", "_v").toPandas().groupby(["_node", "_piece"]):
+        held.setdefault(int(node), {})[int(piece)] = rows["_id"].to_numpy(), np.stack(rows["_v"].to_list())
+    above = {a for n in held for a in _ancestors(n)}
+    steps = {}
+    for n in above:
+        numbers, centres, radii = tree.children[n]
+        way = np.array([int(c) in above or int(c) in held for c in numbers], dtype=bool)
+        steps[n] = numbers[way], centres[way], radii[way]
+    shared = spark.sparkContext.broadcast((held, steps))
+    if homes is not None:
+        bounded = bounded.join(F.broadcast(spark.createDataFrame([(n,) for n in homes], "_node long")), "_node", "left_semi")
+
+    def ask(batches):
+        held, steps = shared.value
+        for pdf in batches:
+            v, ids, home, piece = _matrix(pdf["_v"]), pdf["_id"].to_numpy(), pdf["_node"].to_numpy(), pdf["_piece"].to_numpy()
+            bound = pdf["_bound"].to_numpy().copy()
+            best = np.full((len(pdf), k), np.inf)
+            for row, far in enumerate(pdf["_far"]):
+                best[row, : len(far)] = far
+            visits, stack = [], [(0, np.arange(len(pdf)), np.zeros(len(pdf)))]
+            while stack:
+                node, some, least = stack.pop()
+                if node in held:
+                    visits.append((node, some, least))
+                    continue
+                numbers, centres, radii = steps[node]
+                rough, slack = _squares(v[some], centres)
+                least = np.sqrt(rough) - np.sqrt(slack)[:, None] - radii  # no more than the distance to anything inside
+                for j, child in enumerate(numbers):
+                    there = least[:, j] <= bound[some] + 1e-9
+                    if there.any():
+                        stack.append((int(child), some[there], least[there, j]))
+            at, near, far = [], [], []
+            for node, some, least in sorted(visits, key=lambda x: x[2].mean()):
+                for own, (others, b) in held[node].items():
+                    asks = some[(least <= bound[some] + 1e-9) & ((home[some] != node) | (piece[some] != own))]
+                    if not len(asks):
+                        continue
+                    i, j, d = _candidates(v[asks], ids[asks], bound[asks], b.astype(float), others, k)
+                    first = _first(i, others[j], d, k)
+                    i, j, d = i[first], j[first], d[first]
+                    at.append(asks[i])
+                    near.append(others[j])
+                    far.append(d)
+                    found, begin = np.unique(i, return_index=True)
+                    news = np.full((len(found), k), np.inf)
+                    news[np.searchsorted(found, i), np.arange(len(i)) - np.repeat(begin, np.diff([*begin, len(i)]))] = d
+                    rows = asks[found]
+                    best[rows] = np.sort(np.hstack([best[rows], news]), axis=1)[:, :k]
+                    bound[rows] = np.minimum(bound[rows], best[rows, k - 1])
+            if at:
+                at, near, far = np.concatenate(at), np.concatenate(near), np.concatenate(far)
+                still = far <= bound[at]
+                at, near, far = at[still], near[still], far[still]
+                first = _first(at, near, far, k)
+                for cut in range(0, len(first), step := max(1, ROWS_OUT_BYTES // 24)):
+                    some = first[cut : cut + step]
+                    yield pd.DataFrame({"_id": ids[at[some]], "neighbour": near[some], "distance": far[some]})
+
+    found = stored(bounded.select("_id", "_v", "_node", "_piece", "_bound", "_far").mapInPandas(ask, "_id long, neighbour long, distance double"), "near")
+    shared.destroy()
+    return found
+
+
 def knn_graph(df: DataFrame, ident: str, vec: str, k: int = 5, leaf_rows: int = LEAF_ROWS, fanout: int = FANOUT) -> DataFrame:
     """(id, rank, neighbour, distance): the k Euclidean neighbours of every vector, itself excluded;
     ties by id. NaN and infinities count as 0."""
-    clean = F.transform(F.col(vec).cast("array<double>"), lambda x: F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(x))
+    spark, kind = df.sparkSession, "float" if "FloatType" in str(df.schema[vec].dataType) else "double"
+    clean = F.transform(F.col(vec).cast(f"array<{kind}>"), lambda x: F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), F.lit(0.0).cast(kind)).otherwise(x))
     placed = stored(df.select(F.col(ident).cast("long").alias("_id"), clean.alias("_v")).withColumns({"_node": F.lit(0).cast("long"), "_r": F.lit(float("inf"))}), "placed")
-    tree, level = _Tree(placed.count()), 0
+    n, width = placed.agg(F.count(F.lit(1)), F.max(F.size("_v"))).first()
+    tree, level = _Tree(n), 0
     while tree.open(leaf_rows) and level < MOST_LEVELS:
-        placed = _grown(placed, tree, leaf_rows, level, min(fanout, FANOUT))
+        last, placed = placed, _grown(placed, tree, leaf_rows, level, min(fanout, FANOUT))
+        discard(last)
         level += 1
     # Leaves of equal vectors: whoever asks gets the smallest ids, and no more than k + 1 of them.
-    equal = [n for n, size in tree.size.items() if size > k + 1 and tree.radius[n] == 0 and n not in tree.children]
-    leaves = placed
+    leaves = {n: size for n, size in tree.size.items() if n not in tree.children}
+    equal = [n for n, size in leaves.items() if size > k + 1 and tree.radius[n] == 0]
+    own = placed.drop("_r").withColumn("_piece", F.lit(0))
+    # A leaf that can't be split is searched in pieces of a bounded size, which ask one another like other leaves.
+    pieces = {n: -(-size // QUERIES_PER_TASK) for n, size in leaves.items() if n not in equal and size > QUERIES_PER_TASK}
+    if pieces:
+        counts = F.broadcast(spark.createDataFrame(list(pieces.items()), "_node long, _pieces int"))
+        own = own.join(counts, "_node", "left").withColumn("_piece", F.coalesce(F.pmod(F.xxhash64("_id"), F.col("_pieces")).cast("int"), F.lit(0))).drop("_pieces")
+    lists = f"_id long, _v array<{kind}>, _node long, _piece int, _bound double, _near array<long>, _far array<double>"
+    names = [c.split()[0] for c in lists.split(", ")]
+    if equal:
+        marks = F.broadcast(spark.createDataFrame([(n,) for n in equal], "_node long"))
+        alike, own = own.join(marks, "_node", "left_semi"), own.join(marks, "_node", "left_anti")
+    bounded = own.groupBy("_node", "_piece").applyInPandas(_own(k), lists)
+    if equal:
+        none = {"_bound": F.lit(0.0), "_near": F.array().cast("array<long>"), "_far": F.array().cast("array<double>")}
+        bounded = bounded.unionByName(alike.withColumns({"_piece": F.lit(-1), **none}).select(*names))
+    bounded = stored(bounded, "bounded")
+    discard(placed)
+    found = bounded.select("_id", F.explode(F.arrays_zip(F.col("_near").alias("neighbour"), F.col("_far").alias("distance"))).alias("x")).select("_id", "x.*")
+    members = bounded.select("_node", "_piece", "_id", "_v")
+    sizes = [(r["_node"], r["_piece"], r["n"], r["far"]) for r in bounded.groupBy("_node", "_piece").agg(F.count(F.lit(1)).alias("n"), F.max("_bound").alias("far")).collect()]
     if equal:
         w = Window.partitionBy("_node").orderBy("_id")
-        marks = F.broadcast(placed.sparkSession.createDataFrame([(n,) for n in equal], "_node long"))
-        first = placed.join(marks, "_node", "left_semi").withColumn("_turn", F.row_number().over(w)).where(F.col("_turn") <= k + 1).drop("_turn")
-        leaves = stored(placed.join(marks, "_node", "left_anti").unionByName(first), "leaves")
-    own = stored(_asked(placed, leaves, k), "near")
+        first = members.where("_piece = -1").withColumn("_turn", F.row_number().over(w)).where(F.col("_turn") <= k + 1)
+        members = members.where("_piece >= 0").unionByName(first.select("_node", "_turn", "_id", "_v").select("_node", F.lit(0).alias("_piece"), "_id", "_v"))
+    homes: dict[int, float] = {}
+    for node, _, _, far in sizes:
+        homes[node] = max(far, homes.get(node, 0.0))
+    groups = [(node, max(piece, 0), size if piece >= 0 else k + 1) for node, piece, size, _ in sizes]
+    for part in _member_parts(groups, (8 if kind == "double" else 4) * max(width or 0, 1)) if len(groups) > 1 or equal else []:
+        reach = _reach_of(tree, part, homes)
+        found = found.unionByName(_asked(bounded, members, tree, part, reach if len(reach) < len(homes) else None, k))
     w = Window.partitionBy("_id").orderBy("distance", "neighbour")
-    best = own.withColumn("rank", F.row_number().over(w)).where(F.col("rank") == k).select("_id", F.col("distance").alias("_bound"))
-    found = own
-    if tree.children:
-        bounded = placed.select("_id", "_v", "_node").join(best, "_id", "left")
-        found = own.unionByName(_asked(_reaching(bounded, tree), leaves, k))
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("_id").alias(ident), "rank", "neighbour", "distance")

@@ -67,7 +67,9 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     _STORED.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._stored_at = path
+    return table
 
 
 def _remove(spark: SparkSession, paths: list[str]) -> None:
@@ -78,6 +80,11 @@ def _remove(spark: SparkSession, paths: list[str]) -> None:
         _STORED.remove(name)
 
 
+def discard(table: DataFrame) -> None:
+    """Remove a table that :func:`stored` returned, when nothing reads it any more."""
+    _remove(table.sparkSession, [p for p in _STORED if p == table._stored_at])
+
+
 def release(spark: SparkSession) -> None:
     """Remove what :func:`stored` has written so far; call it when the results built on it are written."""
     _remove(spark, list(_STORED))

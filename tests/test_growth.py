@@ -47,6 +47,32 @@ def test_knn_queries_leave_in_bounded_batches(spark, monkeypatch):
     assert sorted(map(tuple, knn.knn_graph(df, "id", "v", 4, 30, 4).collect())) == whole
 
 
+@pytest.mark.parametrize("members,levels", [(64 << 20, 10), (2000, 10), (2000, 1)])
+def test_knn_copies_no_vector_for_the_leaves_it_asks(spark, monkeypatch, members, levels):
+    """Random vectors ask nearly every leaf; stored are as many vectors as there are, whether members go out in one part or in many, from
+    leaves or from pieces of leaves that couldn't be split."""
+    v = np.random.default_rng(4).normal(size=(300, 8))
+    v[290:] = v[280]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    rows, write = [], knn.stored
+
+    def store(table, *name):
+        done = write(table, *name)
+        rows.append(done.count() if "_v" in done.columns else 0)
+        return done
+
+    monkeypatch.setattr(knn, "stored", store)
+    monkeypatch.setattr(knn, "MEMBER_BYTES", members, raising=False)
+    monkeypatch.setattr(knn, "MOST_LEVELS", levels)
+    monkeypatch.setattr(knn, "QUERIES_PER_TASK", 40)
+    got = {(r.id, r.rank): (r.neighbour, r.distance) for r in knn.knn_graph(df, "id", "v", 4, 10, 4).collect()}
+    assert max(rows) == 300
+    far = np.sqrt(((v[:, None] - v[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(far, np.inf)
+    want = {(a, rank): (b, pytest.approx(far[a, b])) for a in range(300) for rank, b in enumerate(np.argsort(far[a], kind="stable")[:4].tolist(), 1)}
+    assert got == want
+
+
 def _counted(spark, rows):
     """Rows whose every computation is counted."""
     seen = spark.sparkContext.accumulator(0)
