@@ -9,7 +9,7 @@ from flowhelm.operators import graph as G
 from flowhelm.operators import history as H
 from flowhelm.operators import knn
 from flowhelm.operators import ml as M
-from flowhelm.plans import ordered
+from flowhelm.plans import ordered, reach
 from flowhelm.streaming import jobs as J
 from flowhelm.streaming import state as S
 
@@ -47,6 +47,59 @@ def test_knn_queries_leave_in_bounded_batches(spark, monkeypatch):
     assert sorted(map(tuple, knn.knn_graph(df, "id", "v", 4, 30, 4).collect())) == whole
 
 
+def _shuffled(plan):
+    """Rows written by all shuffles of a plan that has run."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return _shuffled(plan.finalPhysicalPlan())
+    if "QueryStage" in name:
+        return _shuffled(plan.plan())
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if name == "Exchange" else 0
+    below, children = own, plan.children().iterator()
+    while children.hasNext():
+        below += _shuffled(children.next())
+    return below
+
+
+def test_a_node_in_reach_of_others_is_shuffled_about_once(spark):
+    nodes = spark.range(2000).select("id", (F.col("id") * 100).alias("t_us"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("feat"))
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = G.proximity_edges(nodes, 700)
+        assert len(got.collect()) == 7 * 2000 - 28
+        assert _shuffled(got._jdf.queryExecution().executedPlan()) < 1.5 * 2000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+
+
+@pytest.mark.parametrize("hot_rows", [5_000_000, 300])
+def test_proximity_over_borders_of_cells_and_batches(spark, monkeypatch, hot_rows):
+    """Negative and equal times, crowds at one time, missing ids, times and values, batches and results cut small."""
+    rng = np.random.default_rng(8)
+    t = np.concatenate([rng.integers(-400, 400, 150), np.full(40, 160), np.full(25, 159)]).tolist()
+    rows = [(i if i % 29 else None, int(s) if i % 31 else None, None if i % 37 == 5 else [float(i), None if i % 41 == 7 else 2.0, -0.5][: 2 if i % 7 == 3 else 3]) for i, s in enumerate(t)]
+    nodes = spark.createDataFrame(rows, "id int, t_us int, feat array<double>").repartition(5)
+    monkeypatch.setattr(reach, "PAIRS_OUT", 9)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = G.proximity_edges(nodes, 10, hot_rows=hot_rows).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    whole = [r for r in rows if r[0] is not None and r[1] is not None]
+    want = {(a[0], b[0]): (a, b) for a in whole for b in whole if a[0] != b[0] and 0 <= b[1] - a[1] <= 10}
+    assert len(found) == len(want)
+    for r in found:
+        a, b = want[r.src, r.dst]
+        assert (r.t_us, r.dt) == (b[1], pytest.approx((b[1] - a[1]) / 1e6))
+        if a[2] is None or b[2] is None or len(a[2]) != len(b[2]) or None in a[2] or None in b[2]:
+            assert r.similarity is None
+        else:
+            x, y = np.array(a[2]), np.array(b[2])
+            assert r.similarity == pytest.approx(x @ y / (np.sqrt(x @ x) * np.sqrt(y @ y) + 1e-8), abs=1e-12)
+
+
 @pytest.mark.parametrize("members,levels", [(64 << 20, 10), (2000, 10), (2000, 1)])
 def test_knn_copies_no_vector_for_the_leaves_it_asks(spark, monkeypatch, members, levels):
     """Random vectors ask nearly every leaf; stored are as many vectors as there are, whether members go out in one part or in many, from
