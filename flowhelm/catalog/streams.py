@@ -223,8 +223,8 @@ def _(spark, sf):
 
 @query("stream_proximity_join", "SELECT a.flow_id AS src, b.flow_id AS dst, b.t_us FROM flow a JOIN flow b ON a.t_us <= b.t_us AND a.t_us >= b.t_us - 60000000 AND a.flow_id <> b.flow_id", "flow")
 def _(spark, sf):
-    path = scratch_path(spark, "near")
-    J.run_appended(J.proximity_join(_events(spark, sf), _events(spark, sf), 60), path)
+    path, events = scratch_path(spark, "near"), _events(spark, sf)
+    J.run_appended(J.proximity_join(events, events, 60), path)
     return spark.read.parquet(path)
 
 

@@ -10,11 +10,14 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from flowhelm.plans.reach import near_in_packs, packed
 from flowhelm.session import scratch_path
 from flowhelm.streaming.state import admitted, on_disk
 
 TIMEOUT_S = 1800
+CELLS = 64
 
 
 def stream_source(spark: SparkSession, path: str, schema, pattern: str = "*.parquet", files_per_batch: int | None = None, fmt: str = "parquet", **options) -> DataFrame:
@@ -78,19 +81,35 @@ def first_edges(stream: DataFrame) -> DataFrame:
 
 
 def proximity_join(stream: DataFrame, other: DataFrame, within_s: int, delay: str = "1 hour", sub_cells: int = 4, salts: int = 1) -> DataFrame:
-    """Pairs of events at most ``within_s`` apart, earlier first. The equi key is a time cell, the time bounds let Spark drop join state
-    behind the watermark. As nothing splits a crowded cell of a stream at run time, cells are ``sub_cells`` times finer than the
-    reach, and rows of the later side may be dealt to ``salts`` parts: an event goes to (sub_cells + 1) * salts cells, a later one to one.
-    Each of these copies is a row of state, so more than one part only pays where single cells are crowded."""
-    width = max(1, within_s * 1_000_000 // sub_cells)
-    cell, salt = F.floor(F.col("t_us") / width), F.pmod(F.xxhash64("flow_id"), F.lit(salts)).cast("int")
-    reach = -(-within_s * 1_000_000 // width)
-    a = stream.withWatermark("ts", delay).select(
-        F.col("flow_id").alias("src"), F.col("t_us").alias("a_us"), F.col("ts").alias("a_ts"), F.explode(F.sequence(cell, cell + reach)).alias("cell"))
-    a = a.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])) if salts > 1 else F.lit(0))
-    b = other.withWatermark("ts", delay).select(F.col("flow_id").alias("dst"), F.col("t_us").alias("b_us"), F.col("ts").alias("b_ts"), cell.alias("cell"), salt.alias("salt"))
-    near = f"b_ts >= a_ts AND b_ts <= a_ts + INTERVAL {within_s} SECONDS"
-    return a.join(b, ["cell", "salt"]).where(F.expr(near)).where("src != dst").select("src", "dst", F.col("b_us").alias("t_us"))
+    """Pairs of events at most ``within_s`` apart, earlier first. The equi key is a cell of time, ``CELLS / sub_cells`` times the reach wide; an event
+    goes to its cell, and as an earlier one to the next when its reach ends there. The events of a cell that come in one micro-batch travel as one row
+    of lists sorted by time, which is one row of join state; rows of lists that can hold pairs meet, and the pairs are found by binary search.
+
+    The time bounds let Spark drop join state behind the watermark; a row of lists is as late as its last event, so events up to a cell older
+    than the watermark may still be taken. As nothing splits a crowded cell of a stream at run time, cells can be made narrower (``sub_cells``), and the
+    events of the later side dealt to ``salts`` parts; the lists of the earlier side then go to all of them."""
+    reach = within_s * 1_000_000
+    width = max(1, CELLS * reach // sub_cells)
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    cell, salt = F.floor(at / width), F.pmod(F.xxhash64("flow_id"), F.lit(salts)).cast("int")
+
+    def packs(rows: DataFrame) -> DataFrame:
+        lists = "".join(f", {n} array<{kind}>" for n, kind in rows.dtypes[2:])
+        return rows.repartition("cell", "salt").mapInArrow(packed(), f"cell long, salt int, lo long, hi long{lists}").withColumn("ts", F.timestamp_micros("hi"))
+
+    timed = "ts IS NOT NULL"
+    a = packs(stream.where(timed).select(F.explode(F.sequence(cell, F.floor((at + reach) / width))).alias("cell"), F.lit(0).alias("salt"), at.alias("at_us"), F.col("flow_id").alias("id")))
+    if salts > 1:
+        a = a.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    b = packs(other.where(timed).select(cell.alias("cell"), salt.alias("salt"), at.alias("at_us"), F.col("flow_id").alias("id"), F.col("t_us").alias("us")))
+    a = a.withWatermark("ts", delay).select("cell", "salt", *(F.col(n).alias(f"a_{n}") for n in ("lo", "hi", "ts")), F.col("at_us").alias("a_at"), F.col("id").alias("a_id"))
+    b = b.withWatermark("ts", delay).select(
+        "cell", "salt", *(F.col(n).alias(f"b_{n}") for n in ("lo", "hi", "ts")), F.col("at_us").alias("b_at"), F.col("id").alias("b_id"), F.col("us").alias("b_us"))
+    apart = f"INTERVAL {width + reach} MICROSECONDS"  # of the ends of two rows with a pair, at most: one spans a cell, an earlier one its reach as well
+    near = f"b_ts >= a_ts - {apart} AND b_ts <= a_ts + {apart} AND b_hi >= a_lo AND b_lo <= a_hi + {reach}L"
+    kinds = {"src": stream.schema["flow_id"].dataType, "dst": other.schema["flow_id"].dataType, "t_us": other.schema["t_us"].dataType}
+    met = a.join(b, ["cell", "salt"]).where(F.expr(near)).select("a_at", "a_id", "b_at", "b_id", "b_us")
+    return met.mapInArrow(near_in_packs(reach, list(kinds)), T.StructType([T.StructField(n, kind) for n, kind in kinds.items()])).where("src != dst")
 
 
 def grow_graph(spark: SparkSession, nodes: DataFrame, edges: DataFrame, store: str) -> None:

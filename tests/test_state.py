@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowhelm.catalog import streams as Q
 from flowhelm.operators import attention as A
+from flowhelm.plans import reach
 from flowhelm.session import scratch_path
 from flowhelm.streaming import jobs as J
 from flowhelm.streaming import state as S
@@ -137,3 +138,20 @@ def test_crowded_cell(spark):
     J.run_appended(J.proximity_join(stream(), stream(), 60, sub_cells=8, salts=8), path)
     got = sorted((r.src, r.dst) for r in spark.read.parquet(path).collect())
     assert got == sorted((a, b) for a, s in rows for b, t in rows if a != b and 0 <= t - s <= 60_000_000)
+
+
+@pytest.mark.parametrize("most,held", [(4096, 1 << 18), (3, 50)])
+def test_events_of_a_cell_are_one_row_of_join_state(spark, monkeypatch, most, held):
+    """Pairs within and across micro-batches, at the ends of the reach, over borders of cells, of late events; missing times and ids have none."""
+    rng = random.Random(2)
+    rows = [(i, 1000 * HOUR + rng.randrange(2400) * 500_000) for i in range(400)] + [(400 + i, 1000 * HOUR + 2000_000_000 + 60_000_000 * i) for i in range(5)]
+    odd = [(None, 1000 * HOUR + 5), (500, None)]
+    monkeypatch.setattr(reach, "PACK_ROWS", most, raising=False)
+    monkeypatch.setattr(reach, "HELD_ROWS", held, raising=False)
+    stream = lambda: with_time(feed(spark, "flow_id long, t_us long", [rows[::2], rows[1::2] + odd]))
+    path, checkpoint = scratch_path(spark, "near"), scratch_path(spark, "checkpoint")
+    J.run_appended(J.proximity_join(stream(), stream(), 60), path, checkpoint=checkpoint)
+    got = sorted((r.src, r.dst, r.t_us) for r in spark.read.parquet(path).collect())
+    assert got == sorted((a, b, t + START) for a, s in rows for b, t in rows if a != b and 0 <= t - s <= 60_000_000)
+    state = [spark.read.format("statestore").option("joinSide", side).load(checkpoint).count() for side in ("left", "right")]
+    assert most < 400 or sum(state) <= 30
